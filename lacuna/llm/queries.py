@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lacuna.llm.common import read
 from lacuna.llm.fingerprints import document_fingerprints
+from lacuna.llm.packing import pack
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
 
