@@ -53,8 +53,6 @@ class WordTokenizer:
 
     # fixed values: the tokenizer's own pattern, white space spelled out (regex would count U+001C to U+001F as such)
     SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    # fixed values: the tokenizer's own pattern, with its white space spelled out (regex counts U+001C to U+001F too)
-    SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 
     def __init__(self, path: str):
@@ -72,7 +70,7 @@ class WordTokenizer:
         """Ids of one match of the pattern."""
         ids = self.parts.get(part)
         if ids is None:
-            mapped = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+            mapped = part if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()])
             ids = struct.pack(f"<{len(t)}I", *t) if (t := [x.id for x in self.model.tokenize(mapped)]) else b""
             if len(self.parts) < CACHED_WORDS:
                 self.parts[part] = ids
