@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lacuna.llm.common import read
 from lacuna.llm.fingerprints import document_fingerprints
 from lacuna.llm.packing import pack
+from lacuna.llm.toxicity import toxicity
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +20,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
