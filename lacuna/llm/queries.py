@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lacuna.llm.common import read
 from lacuna.llm.fingerprints import document_fingerprints
+from lacuna.llm.html_text import html_text
 from lacuna.llm.packing import pack
 from lacuna.llm.toxicity import toxicity
 
@@ -20,11 +21,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(read(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 QUERIES = {
+    "op3_html_text": op3_html_text,
     "op5_toxicity": op5_toxicity,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
