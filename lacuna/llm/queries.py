@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lacuna.llm.common import read
 from lacuna.llm.fingerprints import document_fingerprints
 from lacuna.llm.html_text import html_text
+from lacuna.llm.licenses import license_scan
+from lacuna.llm.licenses import oracle as license_oracle
 from lacuna.llm.packing import pack
 from lacuna.llm.toxicity import toxicity
 
@@ -21,6 +23,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(read(spark, sf_dir, "pages"))
 
@@ -30,10 +36,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_html_text": op3_html_text,
     "op5_toxicity": op5_toxicity,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": license_oracle(),
+}
