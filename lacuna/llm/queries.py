@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lacuna.llm.common import read
 from lacuna.llm.fingerprints import document_fingerprints
 from lacuna.llm.html_text import html_text
 from lacuna.llm.licenses import license_scan
 from lacuna.llm.licenses import oracle as license_oracle
+from lacuna.llm import mixing
 from lacuna.llm.packing import pack
 from lacuna.llm.toxicity import toxicity
 
@@ -17,6 +19,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_domain(read(spark, sf_dir, "documents"))
+    mixed = mixing.mix(docs, mixing.query_weights(spark), mixing.SHARE, max_epochs=mixing.EPOCHS)
+    return mixed.select("doc_id", "domain", "lang", "source", F.col("epoch").cast("long").alias("epoch"), "n_tokens", "take_tokens")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,10 +47,12 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op3_html_text": op3_html_text,
     "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_oracle(),
+    "op6_mixing": mixing.oracle(),
 }
