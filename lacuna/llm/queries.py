@@ -11,6 +11,7 @@ from lacuna.llm.html_text import html_text
 from lacuna.llm.licenses import license_scan
 from lacuna.llm.licenses import oracle as license_oracle
 from lacuna.llm import mixing
+from lacuna.llm.neighbours import divisible_queries, nearest_neighbours
 from lacuna.llm.packing import pack
 from lacuna.llm.quality import quality
 from lacuna.llm.toxicity import toxicity
@@ -40,6 +41,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, divisible_queries(vectors), k=20)
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(read(spark, sf_dir, "pages"))
 
@@ -50,6 +56,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_neighbours": op2_neighbours,
     "op3_html_text": op3_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
