@@ -30,6 +30,7 @@ from lacuna.llm.common import text_or_empty
 BITS = 18  #: hashed features share 2 ** BITS weights
 SAMPLE = 6000  #: documents that the scorer is fitted on, at most
 EM_ROUNDS = 200
+FALSE_ALARMS = 0.02  #: how often a labeller votes against a good document, at most
 ROUNDS = 150  #: gradient steps of the scorer
 L2 = 1e-3
 CACHED_WORDS = 500_000  #: words whose features a worker remembers
@@ -67,34 +68,39 @@ def labels(text: str) -> str:
     )
 
 
-def estimate(votes: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
+def estimate(votes: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over combinations of votes that occur ``counts`` times each.
 
-    Returns the posterior of good by combination, the prior, and rates[labeller, class, vote] (votes in the order b,
-    -, g). Most labellers look for one defect of many, so silence is no evidence, while the rate of a vote counts the
-    silent. It starts from what each says of itself (one vote against makes a text bad), so that the classes keep
-    their names.
+    Labellers look for different defects, so bad documents are of as many kinds as there are labellers: class 0 is
+    good, class j + 1 starts as what labeller j votes against. Returns the posterior of good by combination, the
+    classes' shares, and rates[class, labeller, vote] (votes in the order b, -, g), which hold the labellers'
+    accuracies. A good document draws a labeller's vote against at a rate of FALSE_ALARMS at most.
     """
     coded = np.array([["b-g".index(c) for c in v] for v in votes], int).reshape(len(votes), -1)
-    n, m = coded.shape
-    post = np.where((coded == 0).any(1), 0.1, 0.9)
-    prior, rates = 0.5, np.full((m, 2, 3), 1 / 3)
+    m = coded.shape[1]
+    against = coded == 0
+    some = against.any(1, keepdims=True)
+    resp = np.hstack([np.where(some, 0.1, 0.9), np.where(some, 0.9 * against / np.maximum(against.sum(1, keepdims=True), 1), 0.1 / max(m, 1))])
+    shares, rates = np.full(m + 1, 1 / (m + 1)), np.full((m + 1, m, 3), 1 / 3)
     for _ in range(rounds):
-        weight = (counts * (1 - post), counts * post)
-        prior = float(np.clip((weight[1].sum() + 1) / (counts.sum() + 2), 1e-3, 1 - 1e-3))
-        for c in (0, 1):
-            for j in range(m):
-                rates[j, c] = np.bincount(coded[:, j], weight[c], 3) + 0.1
-            rates[:, c] /= rates[:, c].sum(1, keepdims=True)
-        logs = np.log(rates)
-        logs[:, :, 1] = 0.0
-        odds = np.log(prior / (1 - prior)) + sum((logs[j, 1] - logs[j, 0])[coded[:, j]] for j in range(m))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        done = np.abs(new - post).max(initial=0) < 1e-9
-        post = new
+        weight = counts[:, None] * resp
+        shares = (weight.sum(0) + 1) / (counts.sum() + m + 1)
+        logs = np.log(shares)[None, :].repeat(len(votes), 0)
+        for j in range(m):
+            r = np.stack([np.bincount(coded[:, j], weight[:, c], 3) for c in range(m + 1)]) + 0.1
+            r /= r.sum(1, keepdims=True)
+            capped = min(r[0, 0], FALSE_ALARMS)
+            r[0] *= (1 - capped) / (1 - r[0, 0])
+            r[0, 0] = capped
+            rates[:, j] = r
+            logs += np.log(r)[:, coded[:, j]].T
+        new = np.exp(logs - logs.max(1, keepdims=True, initial=-np.inf))
+        new /= new.sum(1, keepdims=True)
+        done = np.abs(new - resp).max(initial=0) < 1e-9
+        resp = new
         if done:
             break
-    return post, prior, rates
+    return resp[:, 0], shares, rates
 
 
 def shape(word: str) -> str:
