@@ -12,6 +12,7 @@ from lacuna.llm.licenses import license_scan
 from lacuna.llm.licenses import oracle as license_oracle
 from lacuna.llm import mixing
 from lacuna.llm.neighbours import divisible_queries, nearest_neighbours
+from lacuna.llm.ngram_join import ngram_components
 from lacuna.llm.packing import pack
 from lacuna.llm.quality import quality
 from lacuna.llm.toxicity import toxicity
@@ -27,6 +28,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", F.col("epoch").cast("long").alias("epoch"), "n_tokens", "take_tokens")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
