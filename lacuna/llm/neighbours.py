@@ -3,14 +3,14 @@
 Coarse centroids and the quantiser's codebooks are fitted on a bounded sample (``sample`` vectors in the order of a
 hash of the id); every vector is indexed: it goes to the list of its nearest centroid, and its residual is coded by
 the nearest codeword of each subspace. A query looks into its ``probes`` best lists; there a table of inner products
-with all codewords scores every code, and the best ``rerank`` per list part are scored again on the original vectors,
-in double precision. ``probes`` is the least number that reaches ``aim`` recall for sample vectors as queries against
+with all codewords scores every code, and the best ``rerank`` of a shard are scored again on the original vectors, in
+double precision. ``probes`` is the least number that reaches ``aim`` recall for sample vectors as queries against
 the sample, found by brute force there.
 
 Vectors are first made distinct, each with its ids; of one vector's ids the k + 1 smallest can matter, so a vector
-that repeats many times costs no more than one (ties go to the smaller id). Lists are cut into parts of at most
-``part`` vectors and the queries of a list into blocks, so no task holds a whole list, and rows of (query, part) meet
-in one join key. No step emits all pairs: a part returns at most k rows a query.
+that repeats many times costs no more than one (ties go to the smaller id). Small lists share a shard of about ``part``
+vectors, long ones are cut into several, and the queries of a shard into blocks, so no task holds more than a shard
+and a block. No step emits all pairs: a shard returns at most k rows a query.
 
 Vectors that are null, zero, of another dimension than most, or hold a null or non-finite component take no part.
 Null ids take no part. Of rows that repeat an id with different vectors each counts; a query's own id is never its
@@ -31,9 +31,9 @@ from lacuna.llm.common import materialize
 SAMPLE = 12_000  #: vectors that centroids and codebooks are fitted on, at most
 SUBSPACES = 16
 CODEWORDS = 64
-PART = 4096  #: vectors of a list that are searched together
+PART = 8192  #: vectors that are searched together, of one or more lists
 BLOCK = 4096  #: queries that are answered together
-RERANK = 96
+RERANK = 256
 AIM = 0.97
 
 SCHEMA = "query_id long, vec_id long, score double"
@@ -131,32 +131,45 @@ def _assign(index):
     return run
 
 
-def _route(index):
+def shards_of(sizes: dict[int, int], lists: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first shard, number of shards) of each list: runs of small lists share a shard of about ``part`` vectors, a
+    larger list has several of its own."""
+    first, parts = np.zeros(lists, np.int64), np.ones(lists, np.int64)
+    shard, room = 0, part
+    for i in range(lists):
+        n = sizes.get(i, 0)
+        if n > part:
+            shard += room < part
+            first[i], parts[i] = shard, -(-n // part)
+            shard, room = shard + parts[i], part
+        else:
+            if n > room:
+                shard, room = shard + 1, part
+            first[i] = shard
+            room -= n
+    return first, parts
+
+
+def _route(index, first: np.ndarray, parts: np.ndarray):
+    """A row for each query and shard that holds one of its lists, with those lists."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = index.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            lists = ix.best_lists(np.stack(pdf["vec"].to_list()))
-            n = lists.shape[1]
-            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n), "vec": pdf["vec"].repeat(n).to_numpy(), "list": lists.ravel()})
+            out = []
+            for query, vec, near in zip(pdf["id"], pdf["vec"], ix.best_lists(np.stack(pdf["vec"].to_list()))):
+                near = np.sort(near)
+                at = np.nonzero(np.diff(first[near], prepend=-1))[0]
+                for own in np.split(near, at[1:]):
+                    for shard in range(first[own[0]], first[own[0]] + parts[own[0]]):
+                        out.append((query, vec, shard, own.astype("<i4").tobytes()))
+            yield pd.DataFrame(out, columns=["id", "vec", "shard", "lists"])
 
     return run
 
 
-def top_k(score: np.ndarray, k: int) -> np.ndarray:
-    """Indices of each row's k largest scores, unordered; all of them if there are no more."""
-    return np.argpartition(-score, k - 1, 1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
-
-
-def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products summed component by component, so that a pair's score is the same wherever it is computed."""
-    out = np.zeros(len(x))
-    for i in range(x.shape[1]):
-        out += q[i] * x[:, i]
-    return out
-
-
 def _search(index, k: int, rerank: int):
     columns = ["query_id", "vec_id", "score"]
 
@@ -166,25 +179,38 @@ def _search(index, k: int, rerank: int):
         ix = index.value
         q, x = np.stack(left["vec"].to_list()), np.stack(right["vec"].to_list())
         codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(x), -1)
-        ids = right["ids"].to_list()
-        flat = codes.astype(np.int64) + np.arange(codes.shape[1]) * ix.books.shape[1]
+        flat = np.ascontiguousarray((codes.astype(np.int64) + np.arange(codes.shape[1]) * ix.books.shape[1]).T)
+        lists, member = np.unique(right["list"].to_numpy(), return_inverse=True)
+        ids, names = right["ids"].to_list(), left["id"].to_list()
         out = []
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            tables = ix.tables(part).reshape(len(part), -1)
-            score = np.zeros((len(part), len(x)))  # less the centroid's part, which is the same for the whole list
-            for i in range(flat.shape[1]):
-                score += tables[:, flat[:, i]]
-            for query, query_id, near in zip(part, left["id"].iloc[a : a + 256], top_k(score, min(rerank, len(x)))):
-                s = exact(query, x[near])
-                # best vectors first, their ids until k: equal scores may tie across vectors, so take every tie
+        for a in range(0, len(q), 64):
+            part = q[a : a + 64]
+            n = len(part)
+            tables = ix.tables(part).reshape(n, -1).astype(np.float32)
+            # the centroids' share of the inner product; lists that the query doesn't look into are out
+            base = np.full((n, len(lists)), -np.inf, np.float32)
+            for r, own in enumerate(left["lists"].iloc[a : a + 64]):
+                own = np.searchsorted(lists, np.intersect1d(lists, np.frombuffer(own, "<i4")))
+                base[r, own] = ix.centroids[lists[own]] @ part[r]
+            score = base[:, member]
+            for row in range(flat.shape[0]):
+                score += tables[:, flat[row]]
+            near = np.argpartition(-score, rerank - 1, 1)[:, :rerank] if rerank < len(x) else np.tile(np.arange(len(x)), (n, 1))
+            # inner products summed component by component: a pair's score is the same wherever it is computed
+            true = np.zeros(near.shape)
+            for i in range(x.shape[1]):
+                true += part[:, i, None] * x[near, i]
+            true[np.isinf(np.take_along_axis(score, near, 1))] = -np.inf
+            for r in range(n):
+                # best vectors first, all ids of each; vectors that tie with the last one count too
                 taken, last = [], None
-                for j in np.argsort(-s, kind="stable"):
-                    if len(taken) >= k and s[j] < last:
+                for j in np.argsort(-true[r], kind="stable"):
+                    s = true[r, j]
+                    if s == -np.inf or len(taken) >= k and s < last:
                         break
-                    last = s[j]
-                    taken += [(query_id, v, s[j]) for v in ids[near[j]] if v != query_id][:k]
-                out += sorted(taken, key=lambda t: (-t[2], t[1]))[:k]
+                    last = s
+                    taken += [(-s, v) for v in ids[near[r, j]] if v != names[a + r]]
+                out += [(names[a + r], v, -s) for s, v in sorted(taken)[:k]]
         return pd.DataFrame(out, columns=columns)
 
     return run
@@ -210,20 +236,19 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, samp
     index = spark.sparkContext.broadcast(Index(drawn, lists, k, aim))  # 4096 centroids and SUBSPACES * CODEWORDS codewords at most
     coded = rows.mapInPandas(_assign(index), "ids array<long>, vec array<double>, list int, code binary")
     coded = materialize(coded, "ann-index")
-    counts = coded.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
-    routed = asked.mapInPandas(_route(index), "id long, vec array<double>, list int")
-    blocks = max(1, -(-asked.count() // block))
-    # a list's parts are random shares of it; a list has as many rows of (part, block) as its work needs
-    left = routed.join(F.broadcast(counts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    right = (
-        coded.join(F.broadcast(counts), "list")
-        .withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0], F.lit(3)), F.col("parts")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    )
-    by = ("list", "part", "block")
-    found = left.select(*by, "id", "vec").groupBy(*by).cogroup(right.select(*by, "ids", "vec", "code").groupBy(*by)).applyInPandas(_search(index, k, rerank), SCHEMA)
+    sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row a list
+    first, parts = shards_of(sizes, len(index.value.centroids), part)
+    place = F.array(*[F.lit(int(v)) for v in first])[F.col("list")], F.array(*[F.lit(int(v)) for v in parts])[F.col("list")]
+    coded = coded.withColumn("shard", place[0].cast("long") + F.pmod(F.xxhash64(F.col("ids")[0], F.lit(3)), place[1]))
+    routed = materialize(asked.mapInPandas(_route(index, first, parts), "id long, vec array<double>, shard long, lists binary"), "ann-routed")
+    # a shard's queries come in blocks; its vectors go to each
+    blocks = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    left = routed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    right = coded.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    by = ("shard", "block")
+    found = left.select(*by, "id", "vec", "lists").groupBy(*by).cogroup(right.select(*by, "ids", "vec", "list", "code").groupBy(*by)).applyInPandas(_search(index, k, rerank), SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["query_id", "vec_id", "score"]).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
