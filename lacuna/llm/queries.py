@@ -15,6 +15,7 @@ from lacuna.llm.neighbours import divisible_queries, nearest_neighbours
 from lacuna.llm.ngram_join import ngram_components
 from lacuna.llm.packing import pack
 from lacuna.llm.quality import quality
+from lacuna.llm.suffix_dedup import remove_repeats
 from lacuna.llm.toxicity import toxicity
 
 
@@ -55,6 +56,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(read(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_neighbours": op2_neighbours,
     "op3_html_text": op3_html_text,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op7_ngram_join": op7_ngram_join,
