@@ -1,8 +1,9 @@
 """Self-join of documents on the Jaccard similarity of their n-gram sets, by prefix trees.
 
 A document's set holds the hashes of its word n-grams, sorted in one global order: n-grams that a sample shows to
-be common come last. Two sets whose similarity reaches the threshold share an element among their first
-``prefix`` ones, so documents meet in *bundles*, one for each such element. Inside a bundle the sets are the paths
+be common come last. Two sets whose similarity reaches the threshold share an element among their first ones, and
+several among a few more. Sets that share too few with all others are out; the rest meet in *bundles*, one for each
+shared element among the first. Inside a bundle the sets are the paths
 of a trie (with unary runs as one node); a query walks down, counts overlap once for all sets that share a path,
 and leaves a subtree when the elements that remain cannot reach the threshold for any size in it, or when all of
 it is already in the query's component. Components are what is wanted, so no pairs are listed.
@@ -43,7 +44,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
-_SETS = "doc_id long, set_id long, n_shingles long, prefix array<long>, elements binary"
+EXTRA = 4  #: hundredths of a set that its prefix is longer than one common element needs, for a count of common ones
+_SETS = "doc_id long, set_id long, n_shingles long, short int, prefix array<long>"
 
 
 class _Powers:
@@ -101,28 +103,48 @@ def _sample(n: int):
     return run
 
 
+def ordered_set(grams: np.ndarray, known: np.ndarray, klass: np.ndarray) -> np.ndarray:
+    """The set in the global order: common n-grams last, by class, and by hash in a class."""
+    order = grams >> np.uint64(64 - HASH_BITS)
+    if len(known) and len(grams):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        order |= np.where(known[at] == grams, klass[at], np.uint64(0)) << np.uint64(HASH_BITS)
+    return np.sort(order)
+
+
+def set_id(grams: np.ndarray) -> int | None:
+    return int.from_bytes(blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True) if len(grams) else None
+
+
 def _sets(common, n: int, threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, klass = common.value
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 s = shingles(text, n)
                 size = len(s)
-                sid = int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if size else None
-                order = s >> np.uint64(64 - HASH_BITS)
-                if len(known) and size:
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    order |= np.where(known[at] == s, klass[at], np.uint64(0)) << np.uint64(HASH_BITS)
-                order = np.sort(order)
                 first = size - (threshold * size + 99) // 100 + 1 if size else 0
-                out.append((None if pd.isna(doc_id) else int(doc_id), sid, size, order[:first].astype(np.int64), pack48(order)))
-            frame = pd.DataFrame(out, columns=["doc_id", "set_id", "n_shingles", "prefix", "elements"])
+                more = EXTRA * size // 100
+                out.append((None if pd.isna(doc_id) else int(doc_id), set_id(s), size, first, ordered_set(s, *common.value)[: first + more].astype(np.int64)))
+            frame = pd.DataFrame(out, columns=["doc_id", "set_id", "n_shingles", "short", "prefix"])
             yield frame.astype({"doc_id": "Int64", "set_id": "Int64"})
 
     return run
 
 
+def _elements(common, n: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for sid, text in zip(pdf["set_id"], pdf["text"]):
+                s = shingles(text, n)
+                if set_id(s) == sid:  # another row may repeat the id
+                    out.append((sid, pack48(ordered_set(s, *common.value))))
+            yield pd.DataFrame(out, columns=["set_id", "elements"])
+
+    return run
+
+
 class _Node:
     __slots__ = ("start", "end", "owner", "children", "low", "high", "label", "mixed")
 
@@ -235,6 +257,7 @@ def _bundles(threshold: int):
     """Joins each run of rows with one key; partitions come sorted by it."""
 
     def solve(rows: list[tuple]) -> list[tuple]:
+        rows = list({r[0]: r for r in rows}.values())
         if len({r[1] for r in rows}) < 2:
             return []
         sets = [unpack48(r[2]) for r in rows]
@@ -321,16 +344,26 @@ def ngram_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sa
 
     distinct = sets.where("set_id is not null and doc_id is not null")
     one = distinct.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))  # one row to stand for each set
-    tokens = distinct.select("set_id", "doc_id", "n_shingles", "prefix").join(one, ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
-    tokens = tokens.select(F.explode("prefix").alias("token"), "set_id", "n_shingles")
-    # a set stays in a bundle only with another of like size: next to it in order of size
-    by_size = Window.partitionBy("token").orderBy("n_shingles", "set_id")
-    smaller, larger = F.lag("n_shingles").over(by_size), F.lead("n_shingles").over(by_size)
-    near = (smaller * 100 >= F.col("n_shingles") * threshold) | (F.col("n_shingles") * 100 >= larger * threshold)
-    shared = materialize(tokens.withColumn("near", near).where("near").select("token", "set_id"), "ngram-shared")
-    met = shared.select("set_id").distinct()
-    elements = distinct.select("set_id", "doc_id", "elements").join(one, ["set_id", "doc_id"], "left_semi").join(met, "set_id", "left_semi")
-    elements = materialize(elements.dropDuplicates(["set_id"]).select("set_id", "elements"), "ngram-elements")
+    tokens = distinct.groupBy("set_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("short").alias("short"), F.first("prefix").alias("prefix"))
+    tokens = tokens.select(F.posexplode("prefix").alias("at", "token"), "set_id", "n_shingles", "short")
+
+    def near(rows: DataFrame) -> DataFrame:
+        """Rows that share their token with a set of like size: one next to it in order of size."""
+        by_size = Window.partitionBy("token").orderBy("n_shingles", "set_id")
+        smaller, larger = F.lag("n_shingles").over(by_size), F.lead("n_shingles").over(by_size)
+        like = (smaller * 100 >= F.col("n_shingles") * threshold) | (F.col("n_shingles") * 100 >= larger * threshold)
+        return rows.withColumn("like", like).where("like").drop("like")
+
+    # Linked sets of sizes a <= b have 1 + EXTRA * a / 100 elements or more in common among their prefixes, as these
+    # are longer by as much; a set that shares fewer with all sets of like size together has no link.
+    shared = materialize(near(tokens), "ngram-shared")
+    least = F.floor(F.ceil(F.col("n_shingles") * threshold / F.lit(100)) * EXTRA / F.lit(100)) + 1
+    enough = shared.groupBy("set_id", "n_shingles").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("set_id")
+    shared = near(shared.where("at < short").join(enough, "set_id", "left_semi")).select("token", "set_id")
+    shared = materialize(shared, "ngram-shared")
+    met = shared.select("set_id").distinct().join(one, "set_id")
+    elements = docs.join(met, "doc_id").select("set_id", "text").mapInPandas(_elements(sent, n), "set_id long, elements binary")
+    elements = materialize(elements, "ngram-elements")
 
     # round 1: every set in the bundle of its first shared element
     home = shared.groupBy("set_id").agg(F.min("token").alias("token")).withColumn("label", F.col("set_id"))
