@@ -313,7 +313,7 @@ def _compare(length: int, gram: int):
     return run
 
 
-def _apply(keep_text: bool):
+def _apply(keep_text: bool, carry: tuple[str, ...]):
     columns = [c.split()[0] for c in SCHEMA.split(", ")] + ["spans", "kept"] * keep_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,20 +335,27 @@ def _apply(keep_text: bool):
                     kept = b"".join([*pieces, raw[at:]])
                 row = (None if pd.isna(doc_id) else int(doc_id), len(raw), removed, len(merged), hashlib.sha256(kept).hexdigest())
                 out.append((*row, [list(m) for m in merged], kept) if keep_text else row)
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+            frame = pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+            for i, c in enumerate(carry):
+                frame[c] = pdf[f"carry{i}"]
+            yield frame
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``. With ``keep_text`` also spans (removed byte ranges) and kept (remaining bytes)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``. With ``keep_text`` also spans (removed byte ranges) and kept (remaining bytes).
+
+    ``carry``: string columns of ``docs`` that the result shall have too.
+    """
     spark = docs.sparkSession
     buckets = max(2 * shuffle_partitions(spark), 1)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    extra = [f"carry{i}" for i in range(len(carry))]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *[F.col(c).cast("string").alias(x) for c, x in zip(carry, extra)])
     # rows that repeat an id are told apart by a hash of the text; where ids are unique, none is needed
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     mark = F.xxhash64("text") if ids else F.lit(0).cast("long")
-    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), mark.alias("mark"), "doc_id", "text")
+    docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), mark.alias("mark"), "doc_id", "text", *extra)
     sent = docs.select("doc", "mark", "text").mapInPandas(_emit_anchors(length, gram, buckets), f"bucket long, blob binary, {_KEY}, spans binary")
     settled = sent.groupBy("bucket").applyInPandas(_settle(length, gram), f"{_KEY}, spans binary, ask binary")
     settled = materialize(settled, "repeats-settled")
@@ -359,5 +366,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     bytes_of = here.select(*by, "text").join(asked.hint("shuffle_merge"), list(by)).mapInPandas(_contexts(length, gram, buckets), "bucket long, blob binary")
     compared = bytes_of.groupBy("bucket").applyInPandas(_compare(length, gram), f"{_KEY}, spans binary")
     spans = settled.where("spans is not null").select(*by, "spans").unionByName(compared).groupBy(*by).agg(F.collect_list("spans").alias("spans"))
-    full = here.join(spans.hint("shuffle_merge"), list(by), "left").select("doc_id", "text", "spans")
-    return full.mapInPandas(_apply(keep_text), SCHEMA + ", spans array<array<long>>, kept binary" * keep_text)
+    full = here.join(spans.hint("shuffle_merge"), list(by), "left").select("doc_id", "text", "spans", *extra)
+    return full.mapInPandas(_apply(keep_text, carry), SCHEMA + ", spans array<array<long>>, kept binary" * keep_text + "".join(f", `{c}` string" for c in carry))

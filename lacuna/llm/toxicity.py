@@ -131,36 +131,48 @@ def _known(model_key: str) -> dict:
     return {}
 
 
+def _scorer(model: tuple, model_key: str, bits: int):
+    """A function from a text to (score, sentence spans, sentence scores)."""
+    slots, values, bias = model
+    table = dict(zip(slots.tolist(), values.tolist()))
+    known = _known(model_key)
+
+    def score(text: str) -> tuple[float, list[tuple[int, int]], np.ndarray]:
+        spans = sentences(text)
+        z = []
+        for a, b in spans:
+            total = bias
+            for raw in set(text[a:b].lower().split()):
+                w = known.get(raw)
+                if w is None:
+                    word = raw.strip(STRIPPED)
+                    w = sum(table.get(s, 0.0) for s in slots_of(word, bits))
+                    if len(known) < CACHED_WORDS:
+                        known[raw] = w
+                total += w
+            z.append(total)
+        if not z:
+            return 0.0, spans, np.empty(0)
+        p = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
+        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), spans, p
+
+    return score
+
+
 def _score(model, model_key: str, bits: int, folds: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        slots, values, bias = model.value
-        table = dict(zip(slots.tolist(), values.tolist()))
-        known = _known(model_key)
+        score_of = _scorer(model.value, model_key, bits)
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                spans = sentences(text)
-                z = []
-                for a, b in spans:
-                    total = bias
-                    for raw in set(text[a:b].lower().split()):
-                        w = known.get(raw)
-                        if w is None:
-                            word = raw.strip(STRIPPED)
-                            w = sum(table.get(s, 0.0) for s in slots_of(word, bits))
-                            if len(known) < CACHED_WORDS:
-                                known[raw] = w
-                        total += w
-                    z.append(total)
                 held = None
                 if not pd.isna(doc_id):
                     doc_id = int(doc_id)
                     held = crc32(str(doc_id).encode()) % folds == 0
-                if z:
-                    p = 1 / (1 + np.exp(-np.clip(np.array(z), -40, 40)))
-                    score = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+                score, spans, p = score_of(text)
+                if spans:
                     worst = int(p.argmax())
-                    out.append((doc_id, held, score, int(score >= 0.5), len(z), *spans[worst], float(p[worst])))
+                    out.append((doc_id, held, score, int(score >= 0.5), len(p), *spans[worst], float(p[worst])))
                 else:
                     out.append((doc_id, held, 0.0, 0, 0, None, None, None))
             pdf = pd.DataFrame(out, columns=[c.split()[0] for c in SCORES.split(", ")])
@@ -169,6 +181,24 @@ def _score(model, model_key: str, bits: int, folds: int):
     return run
 
 
+def _keep_clean(model, model_key: str, bits: int):
+    def run(batches):
+        import pyarrow as pa
+
+        score_of = _scorer(model.value, model_key, bits)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([score_of(t or "")[0] < 0.5 for t in texts], pa.bool_()))
+
+    return run
+
+
+def _sent(docs: DataFrame, labels: DataFrame, sample: int, bits: int, folds: int):
+    model = learn(docs, labels, sample, bits, folds)
+    key = f"{crc32(model[0].tobytes() + model[1].tobytes()):08x}-{bits}-{model[2]:.12g}"
+    return docs.sparkSession.sparkContext.broadcast(model), key  # as many weights as 2 ** bits at most
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots with a weight, their weights, bias) learned outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("y")).where("key is not null and y in (0, 1)")
@@ -191,8 +221,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS) -> DataFrame:
     """A score for every row of ``docs``, and the span of its worst sentence in code points."""
-    model = learn(docs, labels, sample, bits, folds)
-    spark = docs.sparkSession
-    key = f"{crc32(model[0].tobytes() + model[1].tobytes()):08x}-{bits}-{model[2]:.12g}"
-    sent = spark.sparkContext.broadcast(model)  # as many weights as 2 ** bits at most
+    sent, key = _sent(docs, labels, sample, bits, folds)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_score(sent, key, bits, folds), SCORES)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is less than 0.5."""
+    sent, key = _sent(docs, labels, sample, bits, folds)
+    return docs.mapInArrow(_keep_clean(sent, key, bits), docs.schema)
