@@ -349,7 +349,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     ``carry``: string columns of ``docs`` that the result shall have too.
     """
     spark = docs.sparkSession
-    buckets = max(2 * shuffle_partitions(spark), 1)
+    buckets = shuffle_partitions(spark)
     extra = [f"carry{i}" for i in range(len(carry))]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *[F.col(c).cast("string").alias(x) for c, x in zip(carry, extra)])
     # rows that repeat an id are told apart by a hash of the text; where ids are unique, none is needed
@@ -360,11 +360,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     settled = sent.groupBy("bucket").applyInPandas(_settle(length, gram), f"{_KEY}, spans binary, ask binary")
     settled = materialize(settled, "repeats-settled")
 
-    by = ("doc", "mark")
+    by = ("doc", "mark") if ids else ("doc",)
+    first_mark = [] if ids else [F.lit(0).cast("long").alias("mark")]
     here = docs.repartition(shuffle_partitions(spark), *by)  # shuffled once, read for both joins
     asked = settled.where("ask is not null").groupBy(*by).agg(F.collect_list("ask").alias("ask"))
-    bytes_of = here.select(*by, "text").join(asked.hint("shuffle_merge"), list(by)).mapInPandas(_contexts(length, gram, buckets), "bucket long, blob binary")
+    bytes_of = here.select(*by, "text").join(asked.hint("shuffle_merge"), list(by)).select("*", *first_mark).mapInPandas(_contexts(length, gram, buckets), "bucket long, blob binary")
     compared = bytes_of.groupBy("bucket").applyInPandas(_compare(length, gram), f"{_KEY}, spans binary")
-    spans = settled.where("spans is not null").select(*by, "spans").unionByName(compared).groupBy(*by).agg(F.collect_list("spans").alias("spans"))
+    spans = settled.where("spans is not null").select(*by, "spans").unionByName(compared.select(*by, "spans")).groupBy(*by).agg(F.collect_list("spans").alias("spans"))
     full = here.join(spans.hint("shuffle_merge"), list(by), "left").select("doc_id", "text", "spans", *extra)
     return full.mapInPandas(_apply(keep_text, carry), SCHEMA + ", spans array<array<long>>, kept binary" * keep_text + "".join(f", `{c}` string" for c in carry))
