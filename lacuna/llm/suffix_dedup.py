@@ -37,6 +37,7 @@ from lacuna.llm.ngram_join import _Powers, pack48, unpack48
 
 LENGTH = 50  #: bytes of a string that counts as a repeat
 GRAM = 16  #: bytes that an anchor's hash covers
+HOME = 4096  #: mean number of documents whose spans are put together in one task
 SEGMENT = 1 << 22  #: bytes hashed at once
 LAST = (1 << 63) - 1  #: stands for a null id
 
@@ -98,8 +99,45 @@ def _by_owner(docs: np.ndarray, marks: np.ndarray, owner, start, end) -> pd.Data
     return pd.DataFrame({"doc": docs[who], "mark": marks[who], "spans": [p.tobytes() for p in np.split(pairs, cut)]})
 
 
-def _emit_anchors(length: int, gram: int, buckets: int):
-    """Rows (bucket, blob) of anchors for other tasks to settle, and (doc, mark, spans) settled here."""
+def to_homes(frame: pd.DataFrame, column: str, kind: int, homes: int) -> pd.DataFrame:
+    """Rows (doc, mark, bytes) as one row for each home, a share of the documents that is a hash of the id."""
+    if not len(frame):
+        return pd.DataFrame({"home": [], "blob": []})
+    docs, marks = frame["doc"].to_numpy(np.int64), frame["mark"].to_numpy(np.int64)
+    data = frame[column].to_list()
+    home = (mix64(docs.view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    names, blobs = [], []
+    for s in np.split(order, np.nonzero(np.diff(home[order]))[0] + 1):
+        sizes = np.array([len(data[i]) for i in s], "<u4")
+        blobs.append(np.array([len(s), kind], "<u4").tobytes() + docs[s].astype("<i8").tobytes() + marks[s].astype("<i8").tobytes() + sizes.tobytes() + b"".join([data[i] for i in s]))
+        names.append(int(home[s[0]]))
+    return pd.DataFrame({"home": names, "blob": blobs})
+
+
+def _at_home(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document of a home: its merged spans, and the positions that are asked for."""
+    found: dict[tuple[int, int], tuple[list[bytes], list[bytes]]] = {}
+    for blob in pdf["blob"]:
+        n, kind = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+        docs, marks = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<i8", n, 8 + 8 * n)
+        ends = np.cumsum(np.frombuffer(blob, "<u4", n, 8 + 16 * n).astype(np.int64)) + 8 + 20 * n
+        at = 8 + 20 * n
+        for doc, mark, end in zip(docs.tolist(), marks.tolist(), ends.tolist()):
+            found.setdefault((doc, mark), ([], []))[kind].append(blob[at:end])
+            at = end
+    out = []
+    for (doc, mark), (spans, asks) in found.items():
+        if spans:
+            pairs = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
+            _, start, end = merge_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+            spans = np.stack([start, end], 1).astype("<u4").tobytes()
+        out.append((doc, mark, spans or None, b"".join(asks) or None))
+    return pd.DataFrame(out, columns=["doc", "mark", "spans", "ask"])
+
+
+def _emit_anchors(length: int, gram: int, buckets: int, homes: int):
+    """Rows (bucket, blob) of anchors for other tasks to settle, and (home, settled) of spans settled here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -122,7 +160,8 @@ def _emit_anchors(length: int, gram: int, buckets: int):
             least = docs[row[new]][np.cumsum(new) - 1]
             done = docs[row] > least
             settled = _by_owner(docs, marks, row[done], a[done], b[done])
-            yield pd.DataFrame({"bucket": (settled["doc"].to_numpy(np.int64) % buckets).astype(np.int64), "blob": None, "doc": settled["doc"], "mark": settled["mark"], "spans": settled["spans"]})
+            own = to_homes(settled, "spans", 0, homes)
+            yield pd.DataFrame({"bucket": own["home"] % buckets, "blob": None, "home": own["home"], "settled": own["blob"]})
             row, pos, h, ctx = (x[~done] for x in (row, pos, h, ctx))
             place = (h % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((pos, row, place))
@@ -137,7 +176,7 @@ def _emit_anchors(length: int, gram: int, buckets: int):
                 head = np.array([len(s), len(first)], "<u4").tobytes()
                 blobs.append(head + docs[own[first]].astype("<i8").tobytes() + marks[own[first]].astype("<i8").tobytes() + counts.tobytes() + pos[s].astype("<u4").tobytes() + pack48(h[s]) + pack48(ctx[s]))
                 names.append(int(place[s[0]]))
-            yield pd.DataFrame({"bucket": names, "blob": blobs, "doc": None, "mark": None, "spans": None}).astype({"doc": "Int64", "mark": "Int64"})
+            yield pd.DataFrame({"bucket": names, "blob": blobs, "home": None, "settled": None}).astype({"home": "Int64"})
 
     return run
 
@@ -154,17 +193,17 @@ def read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(docs, counts), np.repeat(marks, counts), pos, unpack48(blob[at : at + 6 * n]), unpack48(blob[at + 6 * n :])
 
 
-def _settle(length: int, gram: int):
-    """Spans of contexts that an earlier document holds, and positions of anchors whose contexts must be compared.
+def _settle(length: int, gram: int, homes: int):
+    """For each home, spans of contexts that an earlier document holds, and positions of anchors whose contexts must be compared.
 
     A context that the document's ends cut short reaches less far; its end is not known here, so a span is given as
     the anchor's position and cut to the document in the last step.
     """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        passed = pdf.loc[pdf["blob"].isna(), ["doc", "mark", "spans"]]
+        passed = pdf.loc[pdf["blob"].isna(), ["home", "settled"]]
         blobs = pdf.loc[pdf["blob"].notna(), "blob"]
-        frames = [passed.assign(ask=None)]
+        frames = [passed.set_axis(["home", "blob"], axis=1)]
         if len(blobs):
             doc, mark, pos, h, ctx = (np.concatenate(x) for x in zip(*map(read_blob, blobs)))
             order = np.lexsort((pos, mark, doc, ctx, h))
@@ -182,15 +221,15 @@ def _settle(length: int, gram: int):
             owners, who = np.unique(np.stack([doc, mark], 1), axis=0, return_inverse=True)
             who = who.ravel()
             start, end = np.maximum(pos[done].astype(np.int64) - (length - gram), 0), pos[done].astype(np.int64) + length
-            frames.append(_by_owner(owners[:, 0], owners[:, 1], who[done], start, end).assign(ask=None))
+            frames.append(to_homes(_by_owner(owners[:, 0], owners[:, 1], who[done], start, end), "spans", 0, homes))
             if ask.any():
                 at = np.lexsort((pos[ask], who[ask]))
                 w, p = who[ask][at], pos[ask][at].astype("<u4")
                 cut = np.nonzero(np.diff(w))[0] + 1
                 first = w[np.concatenate([[0], cut])]
-                frames.append(pd.DataFrame({"doc": owners[first, 0], "mark": owners[first, 1], "spans": None, "ask": [x.tobytes() for x in np.split(p, cut)]}))
-        out = pd.concat([f for f in frames if len(f)]) if any(len(f) for f in frames) else frames[0]
-        return out[["doc", "mark", "spans", "ask"]]
+                asks = pd.DataFrame({"doc": owners[first, 0], "mark": owners[first, 1], "ask": [x.tobytes() for x in np.split(p, cut)]})
+                frames.append(to_homes(asks, "ask", 1, homes))
+        return pd.concat([f for f in frames if len(f)]) if any(len(f) for f in frames) else frames[0]
 
     return run
 
@@ -204,7 +243,7 @@ def _contexts(length: int, gram: int, buckets: int):
             parts = []
             for doc, mark, text, ask in zip(pdf["doc"], pdf["mark"], pdf["text"], pdf["ask"]):
                 c = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                pos = np.sort(np.concatenate([np.frombuffer(x, "<u4") for x in ask])).astype(np.int64)
+                pos = np.sort(np.frombuffer(ask, "<u4")).astype(np.int64)
                 padded = np.concatenate([np.zeros(length - gram, np.uint8), c, np.zeros(length, np.uint8)])
                 rows = np.lib.stride_tricks.sliding_window_view(padded, width)[pos]
                 h = rolling_hash(np.ascontiguousarray(rows[:, length - gram : length]).ravel(), gram)[::gram] if len(pos) else np.empty(0, np.uint64)
@@ -274,7 +313,7 @@ def earlier_match(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(length: int, gram: int):
+def _compare(length: int, gram: int, homes: int):
     width = 2 * length - gram
     starts = length - gram + 1
 
@@ -307,8 +346,8 @@ def _compare(length: int, gram: int):
             r, s = r[hit], s[hit]
             begin = pos[part][r].astype(np.int64) - (length - gram) + s
             owners, who = np.unique(np.stack([doc[part][r], mark[part][r]], 1), axis=0, return_inverse=True)
-            frames.append(_by_owner(owners[:, 0], owners[:, 1], who.ravel(), begin, begin + length))
-        return pd.concat(frames)[["doc", "mark", "spans"]]
+            frames.append(to_homes(_by_owner(owners[:, 0], owners[:, 1], who.ravel(), begin, begin + length), "spans", 0, homes))
+        return pd.concat(frames)
 
     return run
 
@@ -356,16 +395,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     mark = F.xxhash64("text") if ids else F.lit(0).cast("long")
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), mark.alias("mark"), "doc_id", "text", *extra)
-    sent = docs.select("doc", "mark", "text").mapInPandas(_emit_anchors(length, gram, buckets), f"bucket long, blob binary, {_KEY}, spans binary")
-    settled = sent.groupBy("bucket").applyInPandas(_settle(length, gram), f"{_KEY}, spans binary, ask binary")
-    settled = materialize(settled, "repeats-settled")
+    homes = max(1, -(-docs.count() // HOME))
+    sent = docs.select("doc", "mark", "text").mapInPandas(_emit_anchors(length, gram, buckets, homes), "bucket long, blob binary, home long, settled binary")
+    settled = sent.groupBy("bucket").applyInPandas(_settle(length, gram, homes), "home long, blob binary")
+    settled = materialize(settled.groupBy("home").applyInPandas(_at_home, f"{_KEY}, spans binary, ask binary"), "repeats-settled")
 
     by = ("doc", "mark") if ids else ("doc",)
     first_mark = [] if ids else [F.lit(0).cast("long").alias("mark")]
     here = docs.repartition(shuffle_partitions(spark), *by)  # shuffled once, read for both joins
-    asked = settled.where("ask is not null").groupBy(*by).agg(F.collect_list("ask").alias("ask"))
+    asked = settled.where("ask is not null").select(*by, "ask")
     bytes_of = here.select(*by, "text").join(asked.hint("shuffle_merge"), list(by)).select("*", *first_mark).mapInPandas(_contexts(length, gram, buckets), "bucket long, blob binary")
-    compared = bytes_of.groupBy("bucket").applyInPandas(_compare(length, gram), f"{_KEY}, spans binary")
-    spans = settled.where("spans is not null").select(*by, "spans").unionByName(compared.select(*by, "spans")).groupBy(*by).agg(F.collect_list("spans").alias("spans"))
+    compared = bytes_of.groupBy("bucket").applyInPandas(_compare(length, gram, homes), "home long, blob binary")
+    compared = compared.groupBy("home").applyInPandas(_at_home, f"{_KEY}, spans binary, ask binary")
+    spans = settled.unionByName(compared).where("spans is not null").select(*by, "spans").groupBy(*by).agg(F.collect_list("spans").alias("spans"))
     full = here.join(spans.hint("shuffle_merge"), list(by), "left").select("doc_id", "text", "spans", *extra)
     return full.mapInPandas(_apply(keep_text, carry), SCHEMA + ", spans array<array<long>>, kept binary" * keep_text + "".join(f", `{c}` string" for c in carry))
