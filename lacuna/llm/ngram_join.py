@@ -44,7 +44,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
-EXTRA = 4  #: hundredths of a set that its prefix is longer than one common element needs, for a count of common ones
+EXTRA = 15  #: hundredths of a set that its prefix is longer than one common element needs, for a count of common ones
 _SETS = "doc_id long, set_id long, n_shingles long, short int, prefix array<long>"
 
 
