@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,12 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def int_column(values: list):
+    """A nullable column of 64-bit integers; pandas alone would go through floats where a value is None."""
+    out = np.array([0 if v is None else v for v in values], np.int64)
+    return pd.arrays.IntegerArray(out, np.array([v is None for v in values], bool))
+
+
 # -- rolling hashes over integer sequences, as numpy passes -----------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import materialize, mix64, text_or_empty
+from lacuna.llm.common import int_column, materialize, mix64, text_or_empty
 
 N = 3  #: words in an n-gram
 THRESHOLD = 90  #: hundredths of Jaccard similarity that link
@@ -126,8 +126,8 @@ def _sets(common, n: int, threshold: int):
                 first = size - (threshold * size + 99) // 100 + 1 if size else 0
                 more = EXTRA * size // 100
                 out.append((None if pd.isna(doc_id) else int(doc_id), set_id(s), size, first, ordered_set(s, *common.value)[: first + more].astype(np.int64)))
-            frame = pd.DataFrame(out, columns=["doc_id", "set_id", "n_shingles", "short", "prefix"])
-            yield frame.astype({"doc_id": "Int64", "set_id": "Int64"})
+            ids, sids, sizes, firsts, prefixes = zip(*out) if out else ([],) * 5
+            yield pd.DataFrame({"doc_id": int_column(ids), "set_id": int_column(sids), "n_shingles": sizes, "short": firsts, "prefix": prefixes})
 
     return run
 

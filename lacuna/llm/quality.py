@@ -76,7 +76,7 @@ def estimate(votes: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> t
     classes' shares, and rates[class, labeller, vote] (votes in the order b, -, g), which hold the labellers'
     accuracies. A good document draws a labeller's vote against at a rate of FALSE_ALARMS at most.
     """
-    coded = np.array([["b-g".index(c) for c in v] for v in votes], int).reshape(len(votes), -1)
+    coded = np.array([["b-g".index(c) for c in v] for v in votes], int).reshape(len(votes), len(votes[0]) if votes else len(LABELLERS))
     m = coded.shape[1]
     against = coded == 0
     some = against.any(1, keepdims=True)
