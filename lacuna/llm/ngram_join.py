@@ -9,10 +9,12 @@ and leaves a subtree when the elements that remain cannot reach the threshold fo
 it is already in the query's component. Components are what is wanted, so no pairs are listed.
 
 To keep sets from travelling to each of their bundles, bundles go in rounds, and between rounds linked sets get one
-label: first every set in one bundle only; then one set for each label of a bundle; last, exactly, all bundles
-that still hold two labels, bundles with the same members once. A bundle of more than ``part`` sets is cut into
-parts; the first two rounds join inside parts, the last one joins every two parts, so that no task holds a whole
-bundle and no link between sets is lost.
+label: first every set in one bundle only; then one set for each label of a bundle; last, exactly, all members of the
+bundles that still hold two labels, bundles with the same members once. In the last two rounds only sizes and parity
+sketches travel first: two sets differ in at least as many elements as their sketches do in bits, so what cannot
+reach the threshold is out for certain, and the pairs that are left go through the trie with their elements. A bundle
+of more than ``part`` sets is cut into parts; the first round joins inside parts, the others every two parts, so
+that no task holds a whole bundle and no link between sets is lost.
 
 Equal sets are one set from the start. Documents without words have an empty set and no link. Null text counts as
 empty; null ids take no part in links (component_id null). Rows that repeat an id count as documents of their
@@ -132,6 +134,15 @@ def _sets(common, n: int, threshold: int):
     return run
 
 
+def parity(elements: np.ndarray) -> bytes:
+    """A bit for each of about as many cells as there are elements: whether an odd number of them falls there.
+
+    The cells in which two sets differ are no more than the elements in which they do.
+    """
+    width = min(max(64, 1 << (len(elements) - 1).bit_length()), 1 << 16)
+    return np.packbits(np.bincount((mix64(elements) % np.uint64(width)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
 def _elements(common, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -139,8 +150,9 @@ def _elements(common, n: int):
             for sid, text in zip(pdf["set_id"], pdf["text"]):
                 s = shingles(text, n)
                 if set_id(s) == sid:  # another row may repeat the id
-                    out.append((sid, pack48(ordered_set(s, *common.value))))
-            yield pd.DataFrame(out, columns=["set_id", "elements"])
+                    s = ordered_set(s, *common.value)
+                    out.append((sid, pack48(s), len(s), parity(s)))
+            yield pd.DataFrame(out, columns=["set_id", "elements", "size", "parity"])
 
     return run
 
@@ -286,18 +298,78 @@ def _bundles(threshold: int):
     return run
 
 
-def join_bundles(members: DataFrame, sets: DataFrame, every_two_parts: bool, threshold: int, part: int) -> DataFrame:
-    """Edges (a, b) between labels. ``members``: token, set_id, label; ``sets``: set_id, elements."""
+def _place(members: DataFrame, every_two_parts: bool, part: int) -> DataFrame:
+    """``members`` (token, set_id, label) with the parts i <= j of their bundle that are joined."""
     sizes = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
     placed = members.join(sizes, "token").withColumn("p", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
-    if every_two_parts:
-        placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    else:
-        placed = placed.withColumn("o", F.col("p"))
-    placed = placed.select("token", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "set_id", "label")
-    full = placed.join(sets, "set_id")
-    dealt = full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "set_id")
-    return dealt.select("token", "i", "j", "set_id", "label", "elements").mapInPandas(_bundles(threshold), "a long, b long")
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if every_two_parts else F.col("p"))
+    return placed.select("token", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "set_id", "label")
+
+
+def _dealt(placed: DataFrame) -> DataFrame:
+    return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "set_id")
+
+
+def join_bundles(members: DataFrame, sets: DataFrame, threshold: int, part: int) -> DataFrame:
+    """Edges (a, b) between labels of sets that are linked inside a part of a bundle. ``sets``: set_id, elements."""
+    full = _dealt(_place(members, False, part).join(sets.select("set_id", "elements"), "set_id"))
+    return full.select("token", "i", "j", "set_id", "label", "elements").mapInPandas(_bundles(threshold), "a long, b long")
+
+
+def _candidates(threshold: int):
+    """Pairs of a bundle's sets with different labels whose sizes and parities allow the threshold."""
+
+    def solve(rows: list[tuple]) -> list[tuple]:
+        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[2], r[0]))
+        if len({r[1] for r in rows}) < 2:
+            return []
+        label = np.array([r[1] for r in rows])
+        size = np.array([r[2] for r in rows], np.int64)
+        bits = [np.frombuffer(r[3], "<u8") for r in rows]
+        out = []
+        for words in {len(b) for b in bits}:
+            # like sizes have the same width or twice it; a wider one folds onto the narrower
+            at = np.array([i for i, b in enumerate(bits) if len(b) in (words, 2 * words)])
+            flat = np.stack([bits[i] if len(bits[i]) == words else bits[i][:words] ^ bits[i][words:] for i in at])
+            own = np.array([len(bits[i]) == words for i in at])
+            n, lab = size[at], label[at]
+            ends = np.searchsorted(n, n * 100 // threshold, side="right")
+            for k in np.nonzero(own)[0]:
+                span = slice(k + 1, ends[k])
+                if span.start >= span.stop:
+                    continue
+                both = n[span] + n[k]
+                allowed = both - 2 * ((threshold * both + 99 + threshold) // (100 + threshold))
+                near = (np.bitwise_count(flat[span] ^ flat[k]).sum(1) <= allowed) & (lab[span] != lab[k])
+                for j in np.nonzero(near)[0] + k + 1:
+                    x, y = rows[at[k]], rows[at[j]]
+                    out.append((x[0], y[0], x[1], y[1]) if x[0] < y[0] else (y[0], x[0], y[1], x[1]))
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["x", "y", "x_label", "y_label"]
+        key, rows = None, []
+        for pdf in batches:
+            out = []
+            for token, i, j, sid, label, size, bits in zip(pdf["token"], pdf["i"], pdf["j"], pdf["set_id"], pdf["label"], pdf["size"], pdf["parity"]):
+                if (token, i, j) != key:
+                    out += solve(rows) if len(rows) > 1 else []
+                    key, rows = (token, i, j), []
+                rows.append((sid, label, size, bits))
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if len(rows) > 1 and (out := solve(rows)):
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def candidate_bundles(members: DataFrame, sets: DataFrame, threshold: int, part: int) -> DataFrame:
+    """The pairs of ``members``' bundles that may be linked, each as a bundle of its own."""
+    full = _dealt(_place(members, True, part).join(sets.select("set_id", "size", "parity"), "set_id"))
+    pairs = full.select("token", "i", "j", "set_id", "label", "size", "parity").mapInPandas(_candidates(threshold), "x long, y long, x_label long, y_label long").distinct()
+    ends = F.array(F.struct(F.col("x").alias("set_id"), F.col("x_label").alias("label")), F.struct(F.col("y").alias("set_id"), F.col("y_label").alias("label")))
+    return pairs.select(F.xxhash64("x", "y").alias("token"), F.explode(ends).alias("e")).select("token", "e.set_id", "e.label")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -362,12 +434,12 @@ def ngram_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sa
     shared = near(shared.where("at < short").join(enough, "set_id", "left_semi")).select("token", "set_id")
     shared = materialize(shared, "ngram-shared")
     met = shared.select("set_id").distinct().join(one, "set_id")
-    elements = docs.join(met, "doc_id").select("set_id", "text").mapInPandas(_elements(sent, n), "set_id long, elements binary")
+    elements = docs.join(met, "doc_id").select("set_id", "text").mapInPandas(_elements(sent, n), "set_id long, elements binary, size long, parity binary")
     elements = materialize(elements, "ngram-elements")
 
     # round 1: every set in the bundle of its first shared element
     home = shared.groupBy("set_id").agg(F.min("token").alias("token")).withColumn("label", F.col("set_id"))
-    edges = materialize(join_bundles(home, elements, False, threshold, part), "ngram-edges")
+    edges = materialize(join_bundles(home, elements, threshold, part), "ngram-edges")
     labels = components(edges)
 
     def labelled() -> DataFrame:
@@ -388,13 +460,15 @@ def ngram_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sa
     spokes = spokes.select("token", "set_id", "label")
     marks = spokes.groupBy("token").agg(F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("size"))
     once = marks.groupBy("mark", "size").agg(F.min("token").alias("token")).select("token")
-    found = materialize(join_bundles(spokes.join(once, "token", "left_semi"), elements, False, threshold, part), "ngram-edges")
+    pairs = materialize(candidate_bundles(spokes.join(once, "token", "left_semi"), elements, threshold, part), "ngram-pairs")
+    found = materialize(join_bundles(pairs, elements, threshold, part), "ngram-edges")
     labels = merged(found)
 
     # round 3: all that is left, whole
     got, several = labelled()
     once = several.groupBy("mark", "size").agg(F.min("token").alias("token")).select("token")
-    found = materialize(join_bundles(got.join(once, "token", "left_semi").select("token", "set_id", "label"), elements, True, threshold, part), "ngram-edges")
+    pairs = materialize(candidate_bundles(got.join(once, "token", "left_semi").select("token", "set_id", "label"), elements, threshold, part), "ngram-pairs")
+    found = materialize(join_bundles(pairs, elements, threshold, part), "ngram-edges")
     labels = merged(found)
 
     labels = labels.withColumnRenamed("node", "set_id")
