@@ -32,6 +32,7 @@ BITS = 20  #: hashed words share 2 ** BITS weights
 SAMPLE = 8000  #: labelled documents that are learned from, at most
 MIN_DOCS = 3  #: documents of the sample that must hold a hashed word for it to get a weight
 ROUNDS = 150  #: gradient steps over the sample
+CHUNK = 250  #: documents of the sample that a gradient step looks at at once
 L1 = 1.5  #: evidence, in documents, that a weight must have to leave 0
 PREFIXES = (4, 5)
 FOLDS = 5  #: documents whose crc32 modulo FOLDS is 0 are held out
@@ -89,32 +90,39 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, rounds
     y = np.array([b[0] for b in bags], float)
     if not len(y) or y.min() == y.max():
         return weights, -50.0
-    slots = np.concatenate([b[1] for b in bags])
-    sizes = np.concatenate([b[2] for b in bags])
-    n_sent = np.array([len(b[2]) for b in bags])
-    sent_doc = np.repeat(np.arange(len(bags)), n_sent)
-    slot_sent = np.repeat(np.arange(len(sizes)), sizes)
     # words that stand in at least min_docs documents get a weight
-    seen = np.unique(slots.astype(np.int64) * len(bags) + sent_doc[slot_sent]) // len(bags)
-    used, df = np.unique(seen, return_counts=True)
-    used = used[df >= min_docs]
-    at = np.searchsorted(used, slots)
-    keep = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == slots) if len(used) else np.zeros(len(slots), bool)
-    at, slot_sent = at[keep], slot_sent[keep]
-    w, bias = np.zeros(len(used)), np.log(max(y.mean(), 1e-6) / max(n_sent.mean(), 1.0))
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    share = np.sqrt(share)  # between the classes' own shares and even ones
+    df = np.zeros(1 << bits, np.int32)
+    for b in bags:
+        df[np.unique(b[1])] += 1
+    used = np.nonzero(df >= min_docs)[0]
+    place = np.full(1 << bits, -1, np.int32)
+    place[used] = np.arange(len(used))
+    # chunks of documents, so that a step needs little memory beside the sample
+    chunks, sentences_seen = [], 0
+    for a in range(0, len(bags), CHUNK):
+        part = bags[a : a + CHUNK]
+        at = place[np.concatenate([b[1] for b in part])]
+        sizes = np.concatenate([b[2] for b in part])
+        of_sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at >= 0]
+        of_doc = np.repeat(np.arange(len(part), dtype=np.int32), [len(b[2]) for b in part])
+        chunks.append((at[at >= 0], of_sentence, of_doc, y[a : a + CHUNK]))
+        sentences_seen += len(sizes)
+    w, bias = np.zeros(len(used)), np.log(max(y.mean(), 1e-6) / max(sentences_seen / len(y), 1.0))
+    # between the classes' own shares and even ones
+    share_1, share_0 = np.sqrt(0.5 * len(y) / y.sum()), np.sqrt(0.5 * len(y) / (1 - y).sum())
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
-        z = np.bincount(slot_sent, w[at], len(sizes)) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        log_clean = np.bincount(sent_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
-        clean = np.exp(log_clean)
-        pull = np.where(y > 0, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share
-        gz = pull[sent_doc] * p
-        g = np.bincount(at, gz[slot_sent], len(used)) / len(y)
+        g, gb = np.zeros(len(used)), 0.0
+        for at, of_sentence, of_doc, labels in chunks:
+            z = np.bincount(of_sentence, w[at], len(of_doc)) + bias
+            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            clean = np.exp(np.bincount(of_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
+            pull = np.where(labels > 0, -clean / np.maximum(1 - clean, 1e-9) * share_1, share_0)
+            gz = pull[of_doc] * p
+            g += np.bincount(at, gz[of_sentence], len(used))
+            gb += gz.sum()
+        g, gb = g / len(y), gb / len(y)
         g = np.where(w != 0, g + l1 / len(y) * np.sign(w), np.sign(g) * np.maximum(np.abs(g) - l1 / len(y), 0))
-        gb = gz.sum() / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.15 if step < 0.7 * rounds else 0.05
