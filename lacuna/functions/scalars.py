@@ -126,7 +126,7 @@ def tri_flag(text: Column) -> Column:
 def short_name(name: Column) -> Column:
     """What follows the first " - ", of a name longer than 24."""
     at = F.instr(name, " - ")
-    return F.when((F.length(name) > 24) & (at > 0), F.expr("substring({0}, {1} + 3)".format("__n", "__a")) if False else F.substring(name, at + 3, F.length(name))).otherwise(name)
+    return F.when((F.length(name) > 24) & (at > 0), F.substring(name, at + 3, F.length(name))).otherwise(name)
 
 
 def grid_xy(lon: Column, lat: Column, west: float, south: float, east: float, north: float, size: int) -> Column:

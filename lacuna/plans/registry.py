@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalars as S
-from lacuna.operators import graph, guards, intervals, rank, reconcile, schedule
+from lacuna.operators import decide, graph, guards, intervals, rank, reconcile, schedule
 from lacuna.plans import fixtures as X
 from lacuna.plans.fixtures import ctes
 from lacuna.sources import readers
@@ -732,3 +732,135 @@ def _(spark, sf):
 @query("x3_stale_feed_drop", ctes("busy") + "SELECT event_id FROM busy WHERE date = DATE '2024-01-10'")
 def _(spark, sf):
     return fixes.stale_feed_drop(X.busy(spark, sf), F.col("date"), F.expr("date'2024-01-10'")).select("event_id")
+
+
+# -- decisions ---------------------------------------------------------------------------------
+
+SAFETY = """WITH c AS (SELECT p_partkey AS resource_id, p_partkey % 17 <> 0 AS campus, p_brand AS type, p_partkey % 23 = 0 AS restricted, (p_partkey * 7 % 3300)::DOUBLE AS metres, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey % 9 <> 0 END AS hours_known,
+ p_size AS weekly, CASE WHEN p_partkey % 3 = 0 THEN true END AS listed FROM part),
+ s AS (SELECT *, CASE WHEN NOT campus THEN 'offCampus' WHEN type NOT IN ('Brand#1', 'Brand#2', 'Brand#11', 'Brand#12', 'Brand#13') THEN 'type' WHEN restricted THEN 'restricted' WHEN metres > 3000 THEN 'farFromCampus' WHEN hours_known = false THEN 'noHours' WHEN weekly < 3 AND listed IS NULL THEN 'thin' END AS reason FROM c),
+ v AS (SELECT *, CASE WHEN reason IS NULL THEN CASE WHEN type IN ('Brand#1', 'Brand#11') THEN 'shown' ELSE 'secondary' END END AS visibility FROM s)"""
+
+
+def classified(spark, sf) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = X.table(spark, sf, "part").select(
+        k.alias("resource_id"), (k % 17 != 0).alias("campus"), F.col("p_brand").alias("type"), (k % 23 == 0).alias("restricted"), (k * 7 % 3300).cast("double").alias("metres"),
+        F.when(k % 4 != 0, k % 9 != 0).alias("hours_known"), F.col("p_size").alias("weekly"), F.when(k % 3 == 0, True).alias("listed"),
+    )
+    return decide.classify_safety(rows, ("Brand#1", "Brand#11"), ("Brand#2", "Brand#12", "Brand#13"))
+
+
+@query("p4_classify_safety", SAFETY + " SELECT resource_id, reason, visibility FROM v")
+def _(spark, sf):
+    return classified(spark, sf).select("resource_id", "reason", "visibility")
+
+
+@query("a16_safety_stats", SAFETY + " SELECT coalesce(reason, visibility) AS outcome, count(*) AS rows, min(resource_id) AS example FROM v GROUP BY 1")
+def _(spark, sf):
+    return decide.safety_stats(classified(spark, sf))
+
+
+@query("d6_staleness", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'gated' WHEN o_orderkey % 50 >= 35 THEN 'banner' WHEN o_orderkey % 50 >= 14 THEN 'line' ELSE 'silent' END AS state FROM orders")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    return X.table(spark, sf, "orders").select("o_orderkey", decide.staleness(k % 50, k % 7 == 0).alias("state"))
+
+
+@query("d1_refusal", """SELECT o_orderkey, CASE WHEN o_orderkey % 1500 > 1440 THEN 'clock' WHEN o_orderkey % 400 < 150 THEN 'index-floor' WHEN o_orderkey % 5 = 0 THEN 'exams' WHEN o_orderkey % 7 = 0 THEN 'out-of-term' WHEN o_orderkey % 11 = 0 THEN 'closed'
+ WHEN o_orderkey % 13 = 0 OR o_orderkey % 100 / 100 < 0.1 THEN 'no-schedule' END AS reason FROM orders""")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    reason = decide.refusal(k % 1500, k % 400, decide.season_floor(F.lit("1261")), k % 5 == 0, k % 7 != 0, k % 11 == 0, F.when(k % 13 != 0, k % 100 / 100))
+    return X.table(spark, sf, "orders").select("o_orderkey", reason.alias("reason"))
+
+
+@query("g19_season_floor", "SELECT p_partkey, CASE p_partkey % 10 WHEN 2 THEN 250 WHEN 4 THEN 200 WHEN 8 THEN 250 ELSE 150 END AS least FROM part")
+def _(spark, sf):
+    return X.table(spark, sf, "part").select("p_partkey", decide.season_floor(F.col("p_partkey").cast("string")).alias("least"))
+
+
+@query("f17_room_claim", ctes("busy") + "," + ISLANDS.format(src="busy", op=">") + """, q AS (SELECT DISTINCT resource_id, date, (480 + (resource_id * 7) % 700)::INT AS now FROM busy WHERE day <> 2),
+ g AS (SELECT q.*, min(start) AS first, max("end") AS last, max("end") FILTER (WHERE start <= now AND now < "end") AS class_end, min(start) FILTER (WHERE start > now) AS next FROM q LEFT JOIN merged m ON m.resource_id = q.resource_id AND m.date = q.date AND m.start <> 0 GROUP BY q.resource_id, q.date, q.now),
+ s AS (SELECT *, CASE WHEN first IS NULL THEN 'no-class-today' WHEN class_end IS NOT NULL THEN 'in-class' WHEN now < first THEN 'before-first-class' WHEN next IS NULL THEN 'after-last-class' ELSE 'free' END AS state FROM g)
+ SELECT resource_id, date, now, state, CASE WHEN state = 'in-class' THEN class_end WHEN state IN ('free', 'before-first-class') THEN next - 10 END AS until FROM s""")
+def _(spark, sf):
+    rows = X.busy(spark, sf)
+    merged = intervals.merge_intervals(rows, KEYS).where("start <> 0").select(*KEYS, "start", "end")
+    asks = rows.where("day <> 2").select(*KEYS, (480 + F.col("resource_id") * 7 % 700).cast("int").alias("now")).distinct()
+    return decide.room_claims(merged, asks)
+
+
+@query("u10_calendar_states", """WITH e AS (SELECT o_orderdate::DATE AS date, CASE WHEN o_orderkey % 40 = 0 THEN 2 WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS l FROM orders) SELECT date, CASE max(l) WHEN 2 THEN 'offices-closed' WHEN 1 THEN 'no-classes' ELSE 'none' END AS state FROM e GROUP BY date""")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    summary = F.when(k % 40 == 0, "Offices closed: holiday").when(k % 9 == 0, "Autumn Break").otherwise("First day")
+    return decide.calendar_states(X.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date"), summary.alias("summary")))
+
+
+@query("j12_nearest_door", """WITH d AS (SELECT n_nationkey AS place_id, (i * 37 % 90)::DOUBLE AS east, (i * 53 % 70 + n_nationkey)::DOUBLE AS north FROM nation, range(4) t(i) WHERE i < n_nationkey % 4), o AS (SELECT s_suppkey AS id, s_nationkey AS place_id, (s_suppkey % 101)::DOUBLE AS x, (s_suppkey % 77)::DOUBLE AS y FROM supplier)
+ SELECT id, o.place_id, coalesce(min(sqrt((x - east) * (x - east) + (y - north) * (y - north))), sqrt(x * x + y * y)) AS metres FROM o LEFT JOIN d ON d.place_id = o.place_id GROUP BY id, o.place_id, x, y""")
+def _(spark, sf):
+    k, i = F.col("n_nationkey"), F.col("i")
+    doors = X.table(spark, sf, "nation").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).where(i < k % 4).select(k.alias("place_id"), (i * 37 % 90).cast("double").alias("east"), (i * 53 % 70 + k).cast("double").alias("north"))
+    s = F.col("s_suppkey")
+    origins = X.table(spark, sf, "supplier").select(s.alias("id"), F.col("s_nationkey").alias("place_id"), (s % 101).cast("double").alias("x"), (s % 77).cast("double").alias("y"))
+    return decide.nearest_door(origins, doors)
+
+
+@query("t4_rank_places", ctes("hours", "asks", "places") + f""", n AS (SELECT a.*, p.place_id, {METRES.format(a='a', b='p')} AS metres, ceil({METRES.format(a='a', b='p')} * 1.3 / 78.0)::INT AS walk FROM asks a, places p WHERE {METRES.format(a='a', b='p')} <= {RADIUS}),
+ s AS (SELECT n.ask_id, n.place_id, walk, metres, CASE WHEN h.day IS NULL THEN 'unknown' WHEN open <= now AND now < close THEN 'open' ELSE 'closed' END AS status, CASE WHEN open > now THEN open ELSE 1441 END AS opens FROM n LEFT JOIN hours h ON h.place_id = n.place_id AND h.day = n.day)
+ SELECT ask_id, place_id, status, row_number() OVER (PARTITION BY ask_id, status ORDER BY CASE WHEN status = 'closed' THEN opens ELSE 0 END, walk, metres, place_id) AS place FROM s""")
+def _(spark, sf):
+    near = rank.hours_tristate_join(rank.ask_places(X.asks(spark, sf), X.places(spark, sf), RADIUS), X.hours(spark, sf))
+    return rank.rank_places(near).select("ask_id", "place_id", "status", F.col("place").cast("long").alias("place"))
+
+
+@query("a28_available_per_place", ANSWERS + " SELECT ask_id, place_id, count(*) AS free FROM answers WHERE known AND wait = 0 GROUP BY ask_id, place_id")
+def _(spark, sf):
+    return answers(spark, sf).where("known and wait = 0").groupBy("ask_id", "place_id").agg(F.count(F.lit(1)).alias("free"))
+
+
+@query("t8_soonest_opening", ANSWERS + " SELECT ask_id, min(gap_start) AS opens FROM answers WHERE wait > 90 GROUP BY ask_id")
+def _(spark, sf):
+    return answers(spark, sf).where("wait > 90").groupBy("ask_id").agg(F.min("gap_start").alias("opens"))
+
+
+@query("a25_visibility_counts", ANSWERS + " SELECT ask_id, count(*) AS ranked, count(*) FILTER (WHERE place <= 40) AS shown, count(*) FILTER (WHERE place > 40) AS below FROM ranked GROUP BY ask_id")
+def _(spark, sf):
+    return ranked(spark, sf).groupBy("ask_id").agg(F.count(F.lit(1)).alias("ranked"), F.count_if(F.col("place") <= 40).alias("shown"), F.count_if(F.col("place") > 40).alias("below"))
+
+
+@query("n5_prune_to_reach", ctes("edges").replace("WITH ", "WITH RECURSIVE ") + ", r(node, dist) AS (SELECT src, 0 FROM edges WHERE src % 50 = 7 UNION SELECT e.dst, r.dist + e.w FROM r JOIN edges e ON e.src = r.node WHERE r.dist + e.w <= 300), k AS (SELECT DISTINCT node FROM r) SELECT src, dst, w FROM edges WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)")
+def _(spark, sf):
+    e = X.edges(spark, sf)
+    doors = e.where("src % 50 = 7").select(F.col("src").alias("node")).distinct()
+    return graph.prune_to_reach(e, doors, 300).select("src", "dst", "w")
+
+
+@query("g13_refusal_report", ctes("busy") + """, f AS (SELECT (SELECT count(*) > 0 FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2))::BIGINT
+ + (SELECT count(DISTINCT source) <= 1 OR count(*) FILTER (WHERE source = 'src0') = 0 FROM documents)::BIGINT + (SELECT count(*) FILTER (WHERE event_id % 10 = 0) / count(*) > 0.05 FROM busy)::BIGINT AS fatal,
+ (SELECT min(m) / max(m) < 0.3 FROM (SELECT sum(greatest("end" - start, 0)) AS m FROM busy WHERE day BETWEEN 1 AND 5 GROUP BY day))::BIGINT AS forceable) SELECT *, fatal > 0 OR forceable > 0 AS refused FROM f""")
+def _(spark, sf):
+    c = X.table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
+    rows = X.busy(spark, sf)
+    found = [
+        guards.unresolved_guard(c, X.table(spark, sf, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("k")), "k"),
+        guards.coordinate_guard(X.places(spark, sf)),
+        guards.bucket_guard(X.table(spark, sf, "documents"), "source", "src0"),
+        guards.balance_guard(schedule.index_measure(rows)),
+        guards.residue_guard(rows, F.col("event_id") % 10 == 0, "tenth", 0.05),
+    ]
+    return guards.refusal_report(found)
+
+
+@query("p10_off_range", ctes("places") + f"SELECT place_id, {METRES.format(a='places', b='c')} > 900 AS off FROM places, (SELECT 39.995::DOUBLE AS lat, -83.013::DOUBLE AS lon) c")
+def _(spark, sf):
+    return X.places(spark, sf).select("place_id", (S.planar_m(F.col("lat"), F.col("lon"), F.lit(39.995), F.lit(-83.013)) > 900).alias("off"))
+
+
+@query("f26_short_name", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'wing ' || s_suppkey ELSE s_name END AS name FROM supplier")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    name = F.when(k % 2 == 0, F.concat("s_name", F.lit(" annex - wing "), k.cast("string"))).otherwise(F.col("s_name"))
+    return X.table(spark, sf, "supplier").select("s_suppkey", S.short_name(name).alias("name"))
