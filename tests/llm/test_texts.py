@@ -36,9 +36,8 @@ def test_license_variants(spark):
     mit = licenses.LICENSES["MIT"]
     changed = mit.replace("License", "LICENCE", 1).replace("Copyright (c) <year> <copyright holders>", "  * Copyright 2020, 2021 Someone\n(c) Someone Else").replace("\n", "\r\n\t ").replace('"', "“").replace(",", " ;")
     rows = [(1, mit), (2, changed), (3, mit + " and more"), (4, None), (5, ""), (None, "Released under the MIT License."), (1, mit), (7, "Copyright 2020\nAll rights reserved.")]
-    got = sorted(((r.doc_id or 0), r.license_id) for r in licenses.license_scan(docs(spark, rows)).collect())
-    assert got == sorted([(0, "MIT-notice"), (1, "MIT"), (1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (7, None)], key=lambda x: (x[0],)) or {x for x in got if x[1]} == {(0, "MIT-notice"), (1, "MIT"), (2, "MIT")}
-    assert len(got) == 8
+    got = [(r.doc_id or 0, r.license_id) for r in licenses.license_scan(docs(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(0, "MIT-notice"), (1, "MIT"), (1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (7, None)], key=str)
     assert licenses.license_scan(docs(spark, rows).limit(0)).count() == 0
 
 
@@ -187,7 +186,7 @@ def test_toxicity_on_held_out_documents(spark):
 
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert [r.score for r in toxicity.toxicity(docs(spark, [(1, "a b. c")]), none).collect()] == [0.0] or toxicity.toxicity(docs(spark, [(1, "a b. c")]), none).first().score < 1e-6
+    assert toxicity.toxicity(docs(spark, [(1, "a b. c")]), none).first().score < 1e-6
     assert toxicity.toxicity(docs(spark, [(1, "a")]).limit(0), none).count() == 0
 
 
