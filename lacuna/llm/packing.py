@@ -100,7 +100,7 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def word_tokenizer(path: str) -> WordTokenizer:
     """One to a worker, so that later tasks find its words."""
     return WordTokenizer(path)

@@ -118,7 +118,7 @@ def _slot(feature: str, bits: int) -> int:
     return crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _known(bits: int) -> dict:
     return {}
 

@@ -134,7 +134,7 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, rounds
     return weights, float(bias)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)  # a former model's words are of no use
 def _known(model_key: str) -> dict:
     return {}
 
