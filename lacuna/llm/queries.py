@@ -30,7 +30,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(read(spark, sf_dir, "documents"))
+    return ngram_components(read(spark, sf_dir, "documents"), n=3, threshold=90)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,45 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["mixing"]) < set(kept["suffix_dedup"])
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept["mixing"])
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [[word() for _ in range(n)] for n in (200, 1000, 200)]
+    longer = base[0] + [word() for _ in range(30)]
+    changed = [word() if i % 50 == 25 else w for i, w in enumerate(base[1])]
+    other = [word() if i % 20 == 10 else w for i, w in enumerate(base[2])]  # 5-word similarity 0.59
+    for a, b in ((base[0], longer), (base[1], changed)):
+        x, y = grams(" ".join(a)), grams(" ".join(b))
+        assert 100 * len(x & y) < 90 * len(x | y)
+    rows = [(i, " ".join(w)) for i, w in enumerate([*base, longer, changed, other])]
+    frame = docs(spark, rows).selectExpr("doc_id", "text", "lang", "'s' as source", "0L as n_chars")
+    assert sorted(r.doc_id for r in corpus_pipeline.ngram_join(spark, frame, "").collect()) == [0, 1, 2, 5]
+
+
+def brute_five(rows, threshold):
+    sets, u = {}, Union()
+    for i, t in rows:
+        w = t.split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1)))
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]):
+                u.union(a, b)
+    return {i: u.find(i) for i in sets}
+
+
+def test_components_at_the_pipeline_bounds(spark):
+    rng = random.Random(13)
+    bases = [[f"w{rng.randrange(500)}" for _ in range(rng.randint(6, 150))] for _ in range(8)]
+    rows = []
+    for i in rng.sample(range(10000), 150):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(500)}"
+        rows.append((i, " ".join(w + [f"x{rng.randrange(9)}" for _ in range(rng.choice([0, 0, len(w) // 6]))])))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs(spark, rows), n=5, threshold=80, sample=60, part=20).collect()}
+    assert got == brute_five(rows, 80) != brute_five(rows, 90)
