@@ -295,3 +295,19 @@ def test_components_at_the_pipeline_bounds(spark):
         rows.append((i, " ".join(w + [f"x{rng.randrange(9)}" for _ in range(rng.choice([0, 0, len(w) // 6]))])))
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs(spark, rows), n=5, threshold=80, sample=60, part=20).collect()}
     assert got == brute_five(rows, 80) != brute_five(rows, 90)
+
+
+def test_pipeline_keeps_one_row_of_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, b + " more"), (None, d), (None, d + " more"), (2, e + " more"), (2, e), (9, None), (9, None), (None, None), (None, " "), (None, " ")]
+    frame = docs(spark, rows).selectExpr("doc_id", "text", "lang", "'s' as source", "0L as n_chars")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, frame, "").collect()]
+    words = [(i, t) for i, t in got if (t or "").strip()]
+    assert {(3, a), (5, b), (7, c)} < set(words) and len(words) == 5
+    assert [t in (d, d + " more") for i, t in words if i is None] == [True]
+    assert [t in (e, e + " more") for i, t in words if i == 2] == [True]
+    assert len(got) - len(words) == 5
+    assert corpus_pipeline.ngram_join(spark, frame.limit(0), "").count() == 0
