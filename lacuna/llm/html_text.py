@@ -3,8 +3,8 @@
 A page is read as a sequence of text blocks, each with the elements it lies in. A linear classifier over a
 block's features (link share, length, punctuation, the elements around it) gives it a cost for being kept and one
 for being dropped; these are the capacities to and from the terminals. Neighbouring blocks and blocks with a
-near common ancestor are joined by edges whose capacity is the price of telling them apart. The minimum cut,
-found by augmenting paths, separates the article from the rest.
+near common ancestor are joined by edges whose capacity is the price of telling them apart. What an element around
+a block says against it counts for less the more of the page's text the element holds. The minimum cut, found by augmenting paths, separates the article from the rest.
 
 Pages are independent, so this is one pass with no shuffle. Null html is an empty page; a page without blocks has
 an empty text; rows that repeat a page are read each; other columns are ignored.
@@ -37,6 +37,9 @@ IMPLIED_END = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt
 IMPLIED_END = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED_END.items()}
 #: elements, and words in class, id and role, that speak for or against the article
 AGAINST_TAG = frozenset("nav header footer aside form menu dialog fieldset button".split())
+#: of these, what may hold articles that are not the page's; what others say ends at an article, and all of it at main
+FIRM_TAG = AGAINST_TAG - {"form", "fieldset", "header"}
+FIRM_WORD = frozenset("ad ads advert adverts advertisement advertising comment comments disqus discussion promo promoted promotion related reply replies respond sponsor sponsored".split())
 FOR_TAG = frozenset("article main".split())
 WORD = re.compile(r"[a-z]+")
 AGAINST_WORD = frozenset(
@@ -48,7 +51,9 @@ AGAINST_WORD = frozenset(
 FOR_WORD = frozenset("article content post entry story main body text blog prose maintext".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[^a-zA-Z/!?])|<", re.S)
-ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NEGATED = re.compile(r"(?:no|not|non|has|with|without|hide)[-_]", re.I)
+NAMES = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTR = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 SPACES = re.compile(r"\s+")
 
@@ -65,11 +70,38 @@ class Block:
         self.path, self.against, self.inside, self.heading = path, against, inside, heading
 
 
+def is_hidden(attrs: str) -> bool:
+    """Whether a tag has the attribute hidden, or a style with display: none."""
+    low = attrs.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, a, b, c in NAMES.findall(low):
+        if name == "hidden" or name == "style" and any(x.replace(" ", "").removesuffix("!important") == "display:none" for x in SPACES.sub(" ", a or b or c).split(";")):
+            return True
+    return False
+
+
+def graded(blocks: list[Block]) -> list[Block]:
+    """``blocks`` with the elements in against and inside as grades: 1 if they hold up to 2/5 of the text, 0 from 3/5."""
+    held: dict[int, int] = {}
+    for b in blocks:
+        for e in b.against:
+            held[e] = held.get(e, 0) + b.size - b.linked
+    total = max(sum(b.size - b.linked for b in blocks), 1)
+    grade = {e: min(max(3 - 5 * n / total, 0.0), 1.0) for e, n in held.items()}
+    for b in blocks:
+        b.against = max((grade[e] for e in b.against), default=0.0)
+        b.inside = any(all(grade.get(e, 1.0) < 0.5 for e in around) for around in b.inside)
+    return blocks
+
+
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order. Unclosed, misplaced and unknown tags are taken as browsers take them, roughly."""
     out: list[Block] = []
-    # an open element: name, number, skipped depth, whether it or one around it speaks against or for the article, in a link, heading
-    stack: list[tuple] = [("", 0, False, False, False, False, False)]
+    # an open element: name, number, skipped depth, the elements up to it that speak against the article, those around each
+    # one that speaks for it, in a link, heading
+    stack: list[tuple] = [("", 0, False, (), (), False, False)]
+    firm = set()
     number, current, at, n = 0, None, 0, len(html)
 
     def add(text: str) -> None:
@@ -157,17 +189,25 @@ def blocks_of(html: str) -> list[Block]:
         words = set()
         if attrs and ("=" in attrs):
             for a in ATTR.finditer(attrs):
-                words.update(WORD.findall((a.group(1) or a.group(2) or a.group(3) or "").lower()))
+                for x in (a.group(1) or a.group(2) or a.group(3) or "").split():
+                    if not NEGATED.match(x):
+                        words.update(WORD.findall(x.lower()))
         top = stack[-1]
         number += 1
-        hidden = bool(attrs) and (" hidden" in attrs.lower() or "display:none" in attrs.replace(" ", "").lower())
+        hidden = bool(attrs) and is_hidden(attrs)
         article = name in FOR_TAG
         main = article or bool(words & FOR_WORD)
         # a header inside an article is the article's own; an article inside an aside or a comment list is not the page's
-        against = top[3] or bool(words & AGAINST_WORD) and not article or name in AGAINST_TAG and not (name == "header" and top[4])
-        inside = top[4] or main and not against
+        against = top[3]
+        if article:
+            against = () if name == "main" else tuple(e for e in against if e in firm)
+        elif name not in ("html", "body") and (words & AGAINST_WORD or name in AGAINST_TAG and not (name == "header" and top[4])):
+            against = (*against, number)
+            if name in FIRM_TAG or words & FIRM_WORD:
+                firm.add(number)
+        inside = top[4] if not main or against in top[4] else (*top[4], against)
         stack.append((name, number, top[2] or name in SKIPPED or hidden, against, inside, top[5] or name == "a", top[6] or len(name) == 2 and name[0] == "h" and name[1] in "123456"))
-    return out
+    return graded(out)
 
 
 def net_cost(text: str, block: Block, any_main: bool) -> float:
@@ -175,7 +215,7 @@ def net_cost(text: str, block: Block, any_main: bool) -> float:
     n = len(text)
     c = WEIGHTS["bias"]
     if block.against:
-        c += WEIGHTS["against"]
+        c += WEIGHTS["against"] * block.against
     if block.inside:
         c += WEIGHTS["inside"]
     elif any_main:

@@ -56,3 +56,33 @@ def test_rows(spark):
     n = len(extract(PAGE)[0])
     assert got == [(0, "z", 0, 4), (1, "u", 4, n), (1, "u", 4, n), (2, "", 0, 0), (3, "w", 0, 0)]
     assert html_text(pages.limit(0)).count() == 0
+
+
+BODY = "".join(f"<p>Paragraph {i} of the article, which is long enough to be read as one, with a comma and a full stop at its end; so it goes on.</p>" for i in range(4))
+TEXT = BODY.replace("<p>", "").replace("</p>", "\n").strip()
+REST = "<nav><a href='/'>Home</a></nav>"
+
+
+def test_wrappers_with_unlucky_words():
+    for before, after in (
+        ('<body class="single has-sidebar"><article>', "</article>"),
+        ('<body class="widget"><div>', "</div>"),
+        ('<body><div class="no-comments">', "</div>"),
+        ('<body><form action="/"><article>', "</article></form>"),
+        ('<body><form action="/"><div>', "</div></form>"),
+        ('<body><div class="sidebar"><main>', "</main></div>"),
+        ('<body><div class="page widget">', "</div>"),
+    ):
+        assert extract(before + REST + BODY + after + "<footer>Some of the rest.</footer>")[0] == TEXT, before
+
+
+def test_hidden_is_an_attribute():
+    for attrs in ('style="overflow: hidden"', 'class="x hidden-print"', 'title="a hidden thing"', "title='display:none'", 'data-x="1" data-hidden="1"'):
+        assert extract(f"<article {attrs}>{BODY}</article>")[0] == TEXT, attrs
+    for attrs in ("hidden", 'class="a" HIDDEN=""', 'style="color:red; display : none"', "style='display:none !important'"):
+        assert extract(f"<article>{BODY}<div {attrs}><p>Not to be seen, ever.</p></div></article>")[0] == TEXT, attrs
+
+
+def test_articles_of_comment_lists_are_not_the_page():
+    comments = '<section id="comments"><article><p>A reader says that it is good.</p></article></section><aside><article><p>Another story, in short.</p></article></aside>'
+    assert extract(f"<article>{BODY}</article>{comments}")[0] == TEXT
