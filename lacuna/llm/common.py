@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,20 +13,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PIECE = 4 << 20  #: characters of text that a worker looks at together
 
 _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder on a local master; on a cluster, where no machine sees another's, the warehouse.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lacuna-scratch"
     if "at" not in _OWN_DIR:
         _OWN_DIR["at"] = "file://" + tempfile.mkdtemp(prefix="spark-lacuna-")
     return _OWN_DIR["at"]
 
 
+def release() -> None:
+    """Freed memory goes back to the system; Python workers outlive their tasks and stages."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def pieces(frames: Iterator[pd.DataFrame], column: str = "text", most: int = PIECE) -> Iterator[pd.DataFrame]:
+    """The rows of ``frames`` in order, in frames whose texts have ``most`` characters together at most; a longer text is alone."""
+    for pdf in frames:
+        upto = np.cumsum([len(t) for t in pdf[column]])
+        at = 0
+        while at < len(pdf):
+            to = max(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")), at + 1)
+            yield pdf.iloc[at:to]
+            at = to
+    release()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
 

@@ -12,9 +12,10 @@ To keep sets from travelling to each of their bundles, bundles go in rounds, and
 label: first every set in one bundle only; then one set for each label of a bundle; last, exactly, all members of the
 bundles that still hold two labels, bundles with the same members once. In the last two rounds only sizes and parity
 sketches travel first: two sets differ in at least as many elements as their sketches do in bits, so what cannot
-reach the threshold is out for certain, and the pairs that are left go through the trie with their elements. A bundle
-of more than ``part`` sets is cut into parts; the first round joins inside parts, the others every two parts, so
-that no task holds a whole bundle and no link between sets is lost.
+reach the threshold is out for certain. The sets of two labels that are left form a bundle of their own, which a trie
+joins; each of them goes there once, so what travels does not grow with the product of two families' sizes. A bundle
+of more than ``part`` sets (or very many elements) is cut into parts; the first round joins inside parts, the others
+every two parts, so that no task holds a whole bundle and no link between sets is lost.
 
 Equal sets are one set from the start. Documents without words have an empty set and no link. Null text counts as
 empty; null ids take no part in links (component_id null). Rows that repeat an id count as documents of their
@@ -32,13 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import int_column, materialize, mix64, text_or_empty
+from lacuna.llm.common import int_column, materialize, mix64, pieces, release, text_or_empty
 
 N = 3  #: words in an n-gram
 THRESHOLD = 90  #: hundredths of Jaccard similarity that link
 SAMPLE = 4000  #: documents whose n-grams show which are common
 COMMON = 100_000  #: n-grams that are known as common, at most
 PART = 2000  #: sets of a bundle that are joined together
+PART_ELEMENTS = 2_000_000  #: and their elements
 
 HASH_BITS, CLASS_BITS = 42, 6
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -51,19 +53,22 @@ _SETS = "doc_id long, set_id long, n_shingles long, short int, prefix array<long
 
 
 class _Powers:
-    """Powers of the hash base and of its inverse, as many as the longest text so far needs."""
+    """Powers of the hash base and of its inverse; up to KEPT of each are remembered, longer runs are made anew."""
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    KEPT = 1 << 16
+    up = down = np.ones(1, np.uint64)
 
     @classmethod
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(cls.up) < n:
-            k = len(cls.up)
+        up, down = cls.up, cls.down
+        while len(up) < n:
+            k = len(up)
             with np.errstate(over="ignore"):
-                cls.up = np.concatenate([cls.up, cls.up * np.uint64(pow(_B, k, 1 << 64))])
-                cls.down = np.concatenate([cls.down, cls.down * np.uint64(pow(_INV, k, 1 << 64))])
-        return cls.up[:n], cls.down[:n]
+                up = np.concatenate([up, up * np.uint64(pow(_B, k, 1 << 64))])
+                down = np.concatenate([down, down * np.uint64(pow(_INV, k, 1 << 64))])
+        if len(up) <= cls.KEPT:
+            cls.up, cls.down = up, down
+        return up[:n], down[:n]
 
 
 def shingles(text: str, n: int = N) -> np.ndarray:
@@ -98,7 +103,7 @@ def unpack48(raw: bytes) -> np.ndarray:
 
 def _sample(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             made = [shingles(t, n) for t in pdf["text"]]
             yield pd.DataFrame({"gram": np.concatenate(made).view(np.int64) if made else np.empty(0, np.int64)})
 
@@ -120,7 +125,7 @@ def set_id(grams: np.ndarray) -> int | None:
 
 def _sets(common, n: int, threshold: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 s = shingles(text, n)
@@ -145,7 +150,7 @@ def parity(elements: np.ndarray) -> bytes:
 
 def _elements(common, n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             out = []
             for sid, text in zip(pdf["set_id"], pdf["text"]):
                 s = shingles(text, n)
@@ -294,39 +299,45 @@ def _bundles(threshold: int):
                 yield pd.DataFrame(out, columns=["a", "b"])
         if len(rows) > 1 and (out := solve(rows)):
             yield pd.DataFrame(out, columns=["a", "b"])
+        key, rows = None, []
+        release()
 
     return run
 
 
 def _place(members: DataFrame, every_two_parts: bool, part: int) -> DataFrame:
-    """``members`` (token, set_id, label) with the parts i <= j of their bundle that are joined."""
-    sizes = members.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    """``members`` (token, set_id, label, size and what else travels) with the parts i <= j of their bundle that are joined."""
+    n = F.greatest(F.count(F.lit(1)) / part, F.sum("size") / PART_ELEMENTS)
+    sizes = members.groupBy("token").agg(F.ceil(n).cast("int").alias("parts"))
     placed = members.join(sizes, "token").withColumn("p", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if every_two_parts else F.col("p"))
-    return placed.select("token", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), "set_id", "label")
+    return placed.withColumn("i", F.least("p", "o")).withColumn("j", F.greatest("p", "o")).drop("p", "o", "parts")
 
 
 def _dealt(placed: DataFrame) -> DataFrame:
     return placed.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "set_id")
 
 
-def join_bundles(members: DataFrame, sets: DataFrame, threshold: int, part: int) -> DataFrame:
-    """Edges (a, b) between labels of sets that are linked inside a part of a bundle. ``sets``: set_id, elements."""
-    full = _dealt(_place(members, False, part).join(sets.select("set_id", "elements"), "set_id"))
+def join_bundles(members: DataFrame, sets: DataFrame, threshold: int, part: int, every_two_parts: bool = False) -> DataFrame:
+    """Edges (a, b) between labels of sets that are linked inside a part, or two parts, of a bundle.
+
+    ``members``: token, set_id, label, size; ``sets``: set_id, elements.
+    """
+    full = _dealt(_place(members, every_two_parts, part).join(sets.select("set_id", "elements"), "set_id"))
     return full.select("token", "i", "j", "set_id", "label", "elements").mapInPandas(_bundles(threshold), "a long, b long")
 
 
 def _candidates(threshold: int):
-    """Pairs of a bundle's sets with different labels whose sizes and parities allow the threshold."""
+    """Sets of a bundle that sizes and parities allow to be linked to a set of another label: a row for each set and pair of labels."""
 
-    def solve(rows: list[tuple]) -> list[tuple]:
+    def solve(rows: list[tuple]) -> set[tuple]:
         rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[2], r[0]))
         if len({r[1] for r in rows}) < 2:
-            return []
+            return set()
         label = np.array([r[1] for r in rows])
         size = np.array([r[2] for r in rows], np.int64)
         bits = [np.frombuffer(r[3], "<u8") for r in rows]
-        out = []
+        out = set()
         for words in {len(b) for b in bits}:
             # like sizes have the same width or twice it; a wider one folds onto the narrower
             at = np.array([i for i, b in enumerate(bits) if len(b) in (words, 2 * words)])
@@ -341,42 +352,51 @@ def _candidates(threshold: int):
                 both = n[span] + n[k]
                 allowed = both - 2 * ((threshold * both + 99 + threshold) // (100 + threshold))
                 near = (np.bitwise_count(flat[span] ^ flat[k]).sum(1) <= allowed) & (lab[span] != lab[k])
+                x = rows[at[k]]
                 for j in np.nonzero(near)[0] + k + 1:
-                    x, y = rows[at[k]], rows[at[j]]
-                    out.append((x[0], y[0], x[1], y[1]) if x[0] < y[0] else (y[0], x[0], y[1], x[1]))
+                    y = rows[at[j]]
+                    pair = (x[1], y[1]) if x[1] < y[1] else (y[1], x[1])
+                    out.add((*pair, x[0], x[1], x[2]))
+                    out.add((*pair, y[0], y[1], y[2]))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["x", "y", "x_label", "y_label"]
-        key, rows = None, []
+        columns = ["x_label", "y_label", "set_id", "label", "size"]
+        key, rows, out = None, [], set()
         for pdf in batches:
-            out = []
             for token, i, j, sid, label, size, bits in zip(pdf["token"], pdf["i"], pdf["j"], pdf["set_id"], pdf["label"], pdf["size"], pdf["parity"]):
                 if (token, i, j) != key:
-                    out += solve(rows) if len(rows) > 1 else []
+                    out |= solve(rows) if len(rows) > 1 else set()
                     key, rows = (token, i, j), []
                 rows.append((sid, label, size, bits))
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-        if len(rows) > 1 and (out := solve(rows)):
-            yield pd.DataFrame(out, columns=columns)
+            if len(out) > 100_000:
+                yield pd.DataFrame(list(out), columns=columns)
+                out = set()
+        if len(rows) > 1:
+            out |= solve(rows)
+        if out:
+            yield pd.DataFrame(list(out), columns=columns)
+        key, rows, out = None, [], set()
+        release()
 
     return run
 
 
 def candidate_bundles(members: DataFrame, sets: DataFrame, threshold: int, part: int) -> DataFrame:
-    """The pairs of ``members``' bundles that may be linked, each as a bundle of its own."""
-    full = _dealt(_place(members, True, part).join(sets.select("set_id", "size", "parity"), "set_id"))
-    pairs = full.select("token", "i", "j", "set_id", "label", "size", "parity").mapInPandas(_candidates(threshold), "x long, y long, x_label long, y_label long").distinct()
-    ends = F.array(F.struct(F.col("x").alias("set_id"), F.col("x_label").alias("label")), F.struct(F.col("y").alias("set_id"), F.col("y_label").alias("label")))
-    return pairs.select(F.xxhash64("x", "y").alias("token"), F.explode(ends).alias("e")).select("token", "e.set_id", "e.label")
+    """A bundle for each two labels that meet in one of ``members``' bundles, with their sets that may be linked.
+
+    A set travels once for each two labels, however many sets of the other label it is near to and bundles it shares with them.
+    """
+    full = _dealt(_place(members.join(sets.select("set_id", "size", "parity"), "set_id"), True, part))
+    rows = full.select("token", "i", "j", "set_id", "label", "size", "parity").mapInPandas(_candidates(threshold), "x_label long, y_label long, set_id long, label long, size long").distinct()
+    return rows.select(F.xxhash64("x_label", "y_label").alias("token"), "set_id", "label", "size")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each node's component, by contraction.
 
-    Each round gives a node the least of itself and its neighbours, then joins edges of the contracted graph; the
-    number of nodes falls at least by half each time.
+    Each round gives a node the least of itself and its neighbours, then joins edges of the contracted graph. Nodes
+    must be hashes (here, of sets): then no long chain has its nodes in order, and a few of them are left each time.
     """
     spark = edges.sparkSession
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -439,7 +459,7 @@ def ngram_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sa
 
     # round 1: every set in the bundle of its first shared element
     home = shared.groupBy("set_id").agg(F.min("token").alias("token")).withColumn("label", F.col("set_id"))
-    edges = materialize(join_bundles(home, elements, threshold, part), "ngram-edges")
+    edges = materialize(join_bundles(home.join(elements.select("set_id", "size"), "set_id"), elements, threshold, part), "ngram-edges")
     labels = components(edges)
 
     def labelled() -> DataFrame:
@@ -461,14 +481,14 @@ def ngram_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sa
     marks = spokes.groupBy("token").agg(F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("size"))
     once = marks.groupBy("mark", "size").agg(F.min("token").alias("token")).select("token")
     pairs = materialize(candidate_bundles(spokes.join(once, "token", "left_semi"), elements, threshold, part), "ngram-pairs")
-    found = materialize(join_bundles(pairs, elements, threshold, part), "ngram-edges")
+    found = materialize(join_bundles(pairs, elements, threshold, part, every_two_parts=True), "ngram-edges")
     labels = merged(found)
 
     # round 3: all that is left, whole
     got, several = labelled()
     once = several.groupBy("mark", "size").agg(F.min("token").alias("token")).select("token")
     pairs = materialize(candidate_bundles(got.join(once, "token", "left_semi").select("token", "set_id", "label"), elements, threshold, part), "ngram-pairs")
-    found = materialize(join_bundles(pairs, elements, threshold, part), "ngram-edges")
+    found = materialize(join_bundles(pairs, elements, threshold, part, every_two_parts=True), "ngram-edges")
     labels = merged(found)
 
     labels = labels.withColumnRenamed("node", "set_id")

@@ -17,18 +17,17 @@ import unicodedata
 import zlib
 from collections import ChainMap
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import text_or_empty
+from lacuna.llm.common import pieces, release, text_or_empty
 
 LENGTH = 2048  #: tokens in a sequence
 GROUP_DOCS = 2048  #: mean number of documents in a group; a row of a group has LENGTH tokens at most
-CACHED_WORDS = 700_000  #: words, and parts of words, whose ids a worker remembers
+CACHED_WORDS = 200_000  #: words, and as many parts of words, whose ids a task remembers
 END_ID = 1
 
 TOKENS_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, group long"
@@ -100,12 +99,6 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(maxsize=1)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One to a worker, so that later tasks find its words."""
-    return WordTokenizer(path)
-
-
 def crc(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
 
@@ -114,8 +107,8 @@ def _tokens(path: str, length: int, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = word_tokenizer(path)
-        for pdf in batches:
+        tok = WordTokenizer(path)
+        for pdf in pieces(batches):
             out = []
             for doc_id, group, ids in zip(pdf["doc_id"], pdf["group"], tok.encode(pdf["text"].tolist())):
                 ids += end

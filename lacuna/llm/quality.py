@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import text_or_empty
+from lacuna.llm.common import pieces, text_or_empty
 
 BITS = 18  #: hashed features share 2 ** BITS weights
 SAMPLE = 6000  #: documents that the scorer is fitted on, at most
@@ -171,13 +171,13 @@ def fit(bags: list[tuple[float, np.ndarray, np.ndarray]], bits: int = BITS, roun
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
+    for pdf in pieces(batches):
         yield pd.DataFrame({"votes": [labels(t) for t in pdf["text"]]})
 
 
 def _bags(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             made = [features(t, bits) for t in pdf["text"]]
             yield pd.DataFrame(
                 {
@@ -196,7 +196,7 @@ def _score(model, bits: int):
         posterior, slots, values, bias = model.value
         weights = np.zeros(1 << bits)
         weights[slots] = values
-        for pdf in batches:
+        for pdf in pieces(batches):
             votes = [labels(t) for t in pdf["text"]]
             z = []
             for t in pdf["text"]:

@@ -32,12 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import materialize, mix64, rolling_hash, shuffle_partitions, sliding_min, text_or_empty
+from lacuna.llm.common import PIECE, materialize, mix64, pieces, release, rolling_hash, shuffle_partitions, sliding_min, text_or_empty
 from lacuna.llm.ngram_join import _Powers, pack48, unpack48
 
 LENGTH = 50  #: bytes of a string that counts as a repeat
 GRAM = 16  #: bytes that an anchor's hash covers
 HOME = 4096  #: mean number of documents whose spans are put together in one task
+BUCKET = 8 << 20  #: mean number of bytes of text whose anchors meet in one group
+TOGETHER = 8192  #: contexts whose suffixes are sorted together
 SEGMENT = 1 << 22  #: bytes hashed at once
 LAST = (1 << 63) - 1  #: stands for a null id
 
@@ -140,7 +142,7 @@ def _emit_anchors(length: int, gram: int, buckets: int, homes: int):
     """Rows (bucket, blob) of anchors for other tasks to settle, and (home, settled) of spans settled here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             docs, marks = pdf["doc"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64)
             parts = []
             for i, text in enumerate(pdf["text"]):
@@ -239,7 +241,7 @@ def _contexts(length: int, gram: int, buckets: int):
     width = 2 * length - gram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches, most=PIECE // 2):
             parts = []
             for doc, mark, text, ask in zip(pdf["doc"], pdf["mark"], pdf["text"], pdf["ask"]):
                 c = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -279,6 +281,17 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_ranks(rows: np.ndarray) -> np.ndarray:
+    """Each row's number among the distinct rows of bytes, in order."""
+    rows = np.ascontiguousarray(rows)
+    order = np.argsort(rows.view(f"V{rows.shape[1]}").ravel(), kind="stable")
+    step = np.zeros(len(rows), np.uint64)
+    step[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1)
+    out = np.empty(len(rows), np.uint64)
+    out[order] = np.cumsum(step)
+    return out
+
+
 def suffix_ranks(rows: np.ndarray, length: int) -> np.ndarray:
     """[row, start]: ranks of the suffixes of the rows in order of their first ``length`` bytes, by prefix doubling."""
     n, width = rows.shape
@@ -334,19 +347,29 @@ def _compare(length: int, gram: int, homes: int):
         ends = np.append(np.nonzero(~same)[0] + 1, len(order))
         at = 0
         while at < len(order):
-            to = ends[min(np.searchsorted(ends, at + 50_000), len(ends) - 1)]
+            to = ends[min(np.searchsorted(ends, at + TOGETHER), len(ends) - 1)]
             part = order[at:to]
             at = to
-            rank = suffix_ranks(rows[part], length)[:, :starts]
             # windows lie in the document: bytes from the left end to the right one
-            begin = np.arange(starts)[None, :]
-            inside = (begin >= (length - gram) - left[part].astype(np.int64)[:, None]) & (begin + length <= (length - gram) + right[part].astype(np.int64)[:, None])
-            r, s = np.nonzero(inside)
-            hit = earlier_match(rank[r, s], doc[part][r])
-            r, s = r[hit], s[hit]
+            first, last = (length - gram) - left[part].astype(np.int64), (length - gram) + right[part].astype(np.int64) - length
+            found = []
+            if len(part) <= 2 * TOGETHER:
+                rank = suffix_ranks(rows[part], length)[:, :starts]
+                begin = np.arange(starts)[None, :]
+                r, s = np.nonzero((begin >= first[:, None]) & (begin <= last[:, None]))
+                hit = earlier_match(rank[r, s], doc[part][r])
+                found.append((r[hit], s[hit]))
+            else:
+                # one anchor with very many contexts: equal windows have it at the same place, so one place after the other
+                for s in range(starts):
+                    r = np.nonzero((s >= first) & (s <= last))[0]
+                    hit = earlier_match(row_ranks(rows[part[r], s : s + length]), doc[part][r])
+                    found.append((r[hit], np.full(int(hit.sum()), s)))
+            r, s = (np.concatenate(x) for x in zip(*found))
             begin = pos[part][r].astype(np.int64) - (length - gram) + s
             owners, who = np.unique(np.stack([doc[part][r], mark[part][r]], 1), axis=0, return_inverse=True)
             frames.append(to_homes(_by_owner(owners[:, 0], owners[:, 1], who.ravel(), begin, begin + length), "spans", 0, homes))
+        release()
         return pd.concat(frames)
 
     return run
@@ -356,7 +379,7 @@ def _apply(keep_text: bool, carry: tuple[str, ...]):
     columns = [c.split()[0] for c in SCHEMA.split(", ")] + ["spans", "kept"] * keep_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             out = []
             for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -376,7 +399,7 @@ def _apply(keep_text: bool, carry: tuple[str, ...]):
                 out.append((*row, [list(m) for m in merged], kept) if keep_text else row)
             frame = pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
             for i, c in enumerate(carry):
-                frame[c] = pdf[f"carry{i}"]
+                frame[c] = pdf[f"carry{i}"].to_numpy()
             yield frame
 
     return run
@@ -388,14 +411,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     ``carry``: string columns of ``docs`` that the result shall have too.
     """
     spark = docs.sparkSession
-    buckets = shuffle_partitions(spark)
     extra = [f"carry{i}" for i in range(len(carry))]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *[F.col(c).cast("string").alias(x) for c, x in zip(carry, extra)])
     # rows that repeat an id are told apart by a hash of the text; where ids are unique, none is needed
     ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
     mark = F.xxhash64("text") if ids else F.lit(0).cast("long")
     docs = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), mark.alias("mark"), "doc_id", "text", *extra)
-    homes = max(1, -(-docs.count() // HOME))
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    homes, buckets = max(1, -(-size["n"] // HOME)), max(shuffle_partitions(spark), -(-size["bytes"] // BUCKET))
     sent = docs.select("doc", "mark", "text").mapInPandas(_emit_anchors(length, gram, buckets, homes), "bucket long, blob binary, home long, settled binary")
     settled = sent.groupBy("bucket").applyInPandas(_settle(length, gram, homes), "home long, blob binary")
     settled = materialize(settled.groupBy("home").applyInPandas(_at_home, f"{_KEY}, spans binary, ask binary"), "repeats-settled")

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -26,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import text_or_empty
+from lacuna.llm.common import pieces, release, text_or_empty
 
 BITS = 20  #: hashed words share 2 ** BITS weights
 SAMPLE = 8000  #: labelled documents that are learned from, at most
@@ -36,7 +35,7 @@ CHUNK = 250  #: documents of the sample that a gradient step looks at at once
 L1 = 1.5  #: evidence, in documents, that a weight must have to leave 0
 PREFIXES = (4, 5)
 FOLDS = 5  #: documents whose crc32 modulo FOLDS is 0 are held out
-CACHED_WORDS = 500_000  #: words whose weight a worker remembers
+CACHED_WORDS = 150_000  #: words whose weight a task remembers
 
 SENTENCES = re.compile(r"[^.!?\n]+")
 SCORES = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, worst_start long, worst_end long, worst_score double"
@@ -68,7 +67,7 @@ def slots_of(word: str, bits: int = BITS) -> list[int]:
 
 def _features(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             out = []
             for key, y, text in zip(pdf["key"], pdf["y"], pdf["text"]):
                 slots, sizes = [], []
@@ -134,16 +133,11 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, rounds
     return weights, float(bias)
 
 
-@lru_cache(maxsize=1)  # a former model's words are of no use
-def _known(model_key: str) -> dict:
-    return {}
-
-
-def _scorer(model: tuple, model_key: str, bits: int):
+def _scorer(model: tuple, bits: int):
     """A function from a text to (score, sentence spans, sentence scores)."""
     slots, values, bias = model
     table = dict(zip(slots.tolist(), values.tolist()))
-    known = _known(model_key)
+    known: dict[str, float] = {}
 
     def score(text: str) -> tuple[float, list[tuple[int, int]], np.ndarray]:
         spans = sentences(text)
@@ -167,10 +161,10 @@ def _scorer(model: tuple, model_key: str, bits: int):
     return score
 
 
-def _score(model, model_key: str, bits: int, folds: int):
+def _score(model, bits: int, folds: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score_of = _scorer(model.value, model_key, bits)
-        for pdf in batches:
+        score_of = _scorer(model.value, bits)
+        for pdf in pieces(batches):
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 held = None
@@ -189,22 +183,22 @@ def _score(model, model_key: str, bits: int, folds: int):
     return run
 
 
-def _keep_clean(model, model_key: str, bits: int):
+def _keep_clean(model, bits: int):
     def run(batches):
         import pyarrow as pa
 
-        score_of = _scorer(model.value, model_key, bits)
+        score_of = _scorer(model.value, bits)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([score_of(t or "")[0] < 0.5 for t in texts], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array([score_of(t.as_py() or "")[0] < 0.5 for t in texts], pa.bool_()))
+        score_of = None
+        release()
 
     return run
 
 
 def _sent(docs: DataFrame, labels: DataFrame, sample: int, bits: int, folds: int):
-    model = learn(docs, labels, sample, bits, folds)
-    key = f"{crc32(model[0].tobytes() + model[1].tobytes()):08x}-{bits}-{model[2]:.12g}"
-    return docs.sparkSession.sparkContext.broadcast(model), key  # as many weights as 2 ** bits at most
+    return docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample, bits, folds))  # as many weights as 2 ** bits at most
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -229,11 +223,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS) -> DataFrame:
     """A score for every row of ``docs``, and the span of its worst sentence in code points."""
-    sent, key = _sent(docs, labels, sample, bits, folds)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_score(sent, key, bits, folds), SCORES)
+    sent = _sent(docs, labels, sample, bits, folds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(_score(sent, bits, folds), SCORES)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is less than 0.5."""
-    sent, key = _sent(docs, labels, sample, bits, folds)
-    return docs.mapInArrow(_keep_clean(sent, key, bits), docs.schema)
+    sent = _sent(docs, labels, sample, bits, folds)
+    return docs.mapInArrow(_keep_clean(sent, bits), docs.schema)
