@@ -389,12 +389,12 @@ def _apply(keep_text: bool, carry: tuple[str, ...]):
                     pairs = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 2) for x in spans]).astype(np.int64)
                     _, start, end = merge_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], np.minimum(pairs[:, 1], len(raw)))
                     merged = list(zip(start.tolist(), end.tolist()))
-                    pieces, at = [], 0
+                    left, at = [], 0
                     for a, b in merged:
-                        pieces.append(raw[at:a])
+                        left.append(raw[at:a])
                         removed += b - a
                         at = b
-                    kept = b"".join([*pieces, raw[at:]])
+                    kept = b"".join([*left, raw[at:]])
                 row = (None if pd.isna(doc_id) else int(doc_id), len(raw), removed, len(merged), hashlib.sha256(kept).hexdigest())
                 out.append((*row, [list(m) for m in merged], kept) if keep_text else row)
             frame = pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
