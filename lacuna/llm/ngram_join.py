@@ -41,6 +41,7 @@ SAMPLE = 4000  #: documents whose n-grams show which are common
 COMMON = 100_000  #: n-grams that are known as common, at most
 PART = 2000  #: sets of a bundle that are joined together
 PART_ELEMENTS = 2_000_000  #: and their elements
+HEADS = 32  #: shared elements of a set that travel with it, to tell where two sets meet first
 
 HASH_BITS, CLASS_BITS = 42, 6
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -328,15 +329,19 @@ def join_bundles(members: DataFrame, sets: DataFrame, threshold: int, part: int,
 
 
 def _candidates(threshold: int):
-    """Sets of a bundle that sizes and parities allow to be linked to a set of another label: a row for each set and pair of labels."""
+    """Sets of a bundle that sizes and parities allow to be linked to a set of another label: a row for each set and pair of labels.
 
-    def solve(rows: list[tuple]) -> set[tuple]:
+    Two sets that have met in an earlier bundle, as the first of their shared elements (``heads``) show, are left out.
+    """
+
+    def solve(token: int, rows: list[tuple]) -> set[tuple]:
         rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[2], r[0]))
         if len({r[1] for r in rows}) < 2:
             return set()
         label = np.array([r[1] for r in rows])
         size = np.array([r[2] for r in rows], np.int64)
         bits = [np.frombuffer(r[3], "<u8") for r in rows]
+        before = [frozenset(h for h in r[4] if h < token) for r in rows]
         out = set()
         for words in {len(b) for b in bits}:
             # like sizes have the same width or twice it; a wider one folds onto the narrower
@@ -352,8 +357,10 @@ def _candidates(threshold: int):
                 both = n[span] + n[k]
                 allowed = both - 2 * ((threshold * both + 99 + threshold) // (100 + threshold))
                 near = (np.bitwise_count(flat[span] ^ flat[k]).sum(1) <= allowed) & (lab[span] != lab[k])
-                x = rows[at[k]]
+                x, seen = rows[at[k]], before[at[k]]
                 for j in np.nonzero(near)[0] + k + 1:
+                    if not seen.isdisjoint(before[at[j]]):
+                        continue
                     y = rows[at[j]]
                     pair = (x[1], y[1]) if x[1] < y[1] else (y[1], x[1])
                     out.add((*pair, x[0], x[1], x[2]))
@@ -364,16 +371,16 @@ def _candidates(threshold: int):
         columns = ["x_label", "y_label", "set_id", "label", "size"]
         key, rows, out = None, [], set()
         for pdf in batches:
-            for token, i, j, sid, label, size, bits in zip(pdf["token"], pdf["i"], pdf["j"], pdf["set_id"], pdf["label"], pdf["size"], pdf["parity"]):
+            for token, i, j, sid, label, size, bits, heads in zip(pdf["token"], pdf["i"], pdf["j"], pdf["set_id"], pdf["label"], pdf["size"], pdf["parity"], pdf["heads"]):
                 if (token, i, j) != key:
-                    out |= solve(rows) if len(rows) > 1 else set()
+                    out |= solve(key[0], rows) if len(rows) > 1 else set()
                     key, rows = (token, i, j), []
-                rows.append((sid, label, size, bits))
+                rows.append((sid, label, size, bits, heads))
             if len(out) > 100_000:
                 yield pd.DataFrame(list(out), columns=columns)
                 out = set()
         if len(rows) > 1:
-            out |= solve(rows)
+            out |= solve(key[0], rows)
         if out:
             yield pd.DataFrame(list(out), columns=columns)
         key, rows, out = None, [], set()
@@ -387,8 +394,8 @@ def candidate_bundles(members: DataFrame, sets: DataFrame, threshold: int, part:
 
     A set travels once for each two labels, however many sets of the other label it is near to and bundles it shares with them.
     """
-    full = _dealt(_place(members.join(sets.select("set_id", "size", "parity"), "set_id"), True, part))
-    rows = full.select("token", "i", "j", "set_id", "label", "size", "parity").mapInPandas(_candidates(threshold), "x_label long, y_label long, set_id long, label long, size long").distinct()
+    full = _dealt(_place(members.join(sets.select("set_id", "size", "parity", "heads"), "set_id"), True, part))
+    rows = full.select("token", "i", "j", "set_id", "label", "size", "parity", "heads").mapInPandas(_candidates(threshold), "x_label long, y_label long, set_id long, label long, size long").distinct()
     return rows.select(F.xxhash64("x_label", "y_label").alias("token"), "set_id", "label", "size")
 
 
@@ -455,7 +462,8 @@ def ngram_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sa
     shared = materialize(shared, "ngram-shared")
     met = shared.select("set_id").distinct().join(one, "set_id")
     elements = docs.join(met, "doc_id").select("set_id", "text").mapInPandas(_elements(sent, n), "set_id long, elements binary, size long, parity binary")
-    elements = materialize(elements, "ngram-elements")
+    heads = shared.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list("token")), 1, HEADS).alias("heads"))  # a set's own elements
+    elements = materialize(elements.join(heads, "set_id"), "ngram-elements")
 
     # round 1: every set in the bundle of its first shared element
     home = shared.groupBy("set_id").agg(F.min("token").alias("token")).withColumn("label", F.col("set_id"))
@@ -480,7 +488,9 @@ def ngram_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sa
     spokes = spokes.select("token", "set_id", "label")
     marks = spokes.groupBy("token").agg(F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("size"))
     once = marks.groupBy("mark", "size").agg(F.min("token").alias("token")).select("token")
-    pairs = materialize(candidate_bundles(spokes.join(once, "token", "left_semi"), elements, threshold, part), "ngram-pairs")
+    # (sets that stand for a label do so in one bundle and not in the other, so earlier bundles don't count)
+    anywhere = elements.withColumn("heads", F.array().cast("array<long>"))
+    pairs = materialize(candidate_bundles(spokes.join(once, "token", "left_semi"), anywhere, threshold, part), "ngram-pairs")
     found = materialize(join_bundles(pairs, elements, threshold, part, every_two_parts=True), "ngram-edges")
     labels = merged(found)
 
