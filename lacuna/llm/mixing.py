@@ -89,48 +89,55 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame | None, budget: Column, t
 def mix(docs: DataFrame, weights: DataFrame | None = None, share: float = 0.5, tree: Sequence[str] = TREE, max_epochs: int = 1, seed: int = SEED, default_weight: float = 1.0) -> DataFrame:
     """The rows of ``docs`` that are taken, once for each epoch, with epoch, n_tokens and take_tokens.
 
-    The budget is ``share`` of all tokens. take_tokens is less than n_tokens for a leaf's last document alone.
+    The budget is ``share`` of all tokens. take_tokens is less than n_tokens for a leaf's last document alone. Texts
+    are split into tokens once, for a table of ids, leaves and numbers of tokens that the rest of the work reads; of
+    texts that may be taken, the tokens are counted again at the end, as joining the numbers back would shuffle texts.
     """
-    spark = docs.sparkSession
-    docs = docs.withColumn("n_tokens", n_tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    tagged = docs.select(*tree, "doc_id", "n_tokens").where("n_tokens > 0")
-    leaves = materialize(tagged.groupBy(*tree).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
+    own = [c for c in docs.columns if c not in ("epoch", "take_tokens", "n_tokens")]
+    row = F.struct(*[F.col(f"`{c}`") for c in own])
+    leaf = [F.col(f"`{c}`").alias(f"_t{i}") for i, c in enumerate(tree)]
+    by = [f"_t{i}" for i in range(len(tree))]
+    # names of our own, so that no column of the input can clash
+    counted = docs.select(*leaf, F.col("doc_id").alias("_id"), n_tokens(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_n"))
+    tagged = materialize(counted, "mix-tokens").where("_n > 0")  # a filter below would count again
+    leaves = materialize(tagged.groupBy(*by).agg(F.sum("_n").alias("tokens")), "mix-leaves")
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
-    given = leaf_budgets(leaves, weights, F.lit(share * total), tree, max_epochs, default_weight)
-    given = given.select(*tree, (F.col("given") / F.col("tokens")).cast("long").alias("whole"), F.col("given") % F.col("tokens") % F.greatest("tokens", F.lit(1)))
-    given = given.toDF(*tree, "whole", "left")
+    given = leaf_budgets(leaves, weights, F.lit(share * total), by, max_epochs, default_weight)
+    given = given.select(*by, (F.col("given") / F.col("tokens")).cast("long").alias("whole"), (F.col("given") % F.col("tokens") % F.greatest("tokens", F.lit(1))).alias("left"))
     given = _hint(materialize(given, "mix-given"))
 
-    same = lambda a, b: _all([F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in tree])
+    same = lambda a, b: _all([F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by])
     # the epoch in which a leaf's prefix ends has its own order; tokens by leaf and bucket of that order
     last = tagged.alias("d").join(given.alias("g"), same("d", "g")).where("g.left > 0").select("d.*", "g.whole", "g.left")
-    last = last.withColumn("key", order_key(seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.substring("key", 1, DIGITS))
-    sums = last.groupBy(*tree, "bucket", "left").agg(F.sum("n_tokens").alias("tokens"))
-    before = Window.partitionBy(*tree).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("key", order_key(seed, F.col("whole"), F.col("_id"))).withColumn("bucket", F.substring("key", 1, DIGITS))
+    sums = last.groupBy(*by, "bucket", "left").agg(F.sum("_n").alias("tokens"))
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    ends = sums.where("before < left and before + tokens >= left").select(*tree, "bucket", "before", "left")
+    ends = sums.where("before < left and before + tokens >= left").select(*by, "bucket", "before", "left")
     ends = _hint(materialize(ends, "mix-ends"))
     # the documents of that one bucket, in order; equal keys (rows that repeat an id) are told apart by their place
     inner = last.drop("left").alias("d").join(ends.alias("e"), same("d", "e") & (F.col("d.bucket") == F.col("e.bucket"))).select("d.*", "e.before", "e.left")
-    in_order = Window.partitionBy(*tree).orderBy("key", "doc_id", "n_tokens")
-    inner = inner.groupBy(*tree, "key", "doc_id", "n_tokens", "before", "left").agg(F.count(F.lit(1)).alias("copies"))
-    inner = inner.withColumn("start", F.col("before") + F.sum(F.col("n_tokens") * F.col("copies")).over(in_order) - F.col("n_tokens") * F.col("copies"))
-    stop = inner.where("start < left").groupBy(*tree).agg(F.max(F.struct("key", "doc_id", "n_tokens", "start", "left", "copies")).alias("stop"))
+    in_order = Window.partitionBy(*by).orderBy("key", "_id", "_n")
+    inner = inner.groupBy(*by, "key", "_id", "_n", "before", "left").agg(F.count(F.lit(1)).alias("copies"))
+    inner = inner.withColumn("start", F.col("before") + F.sum(F.col("_n") * F.col("copies")).over(in_order) - F.col("_n") * F.col("copies"))
+    stop = inner.where("start < left").groupBy(*by).agg(F.max(F.struct("key", "_id", "_n", "start", "left", "copies")).alias("stop"))
     cut = given.alias("g").join(stop.alias("s"), same("g", "s"), "left").select("g.*", "s.stop")
     cut = _hint(materialize(cut, "mix-cut"))
 
-    own = [c for c in docs.columns if c not in ("epoch", "take_tokens", "n_tokens")]
-    out = docs.where("n_tokens > 0").alias("d").join(cut.alias("c"), same("d", "c")).select(*[F.col(f"d.`{c}`") for c in own], "d.n_tokens", "c.whole", "c.stop")
-    key = order_key(seed, F.col("whole"), F.col("doc_id"))
-    mine = F.struct(key.alias("key"), F.col("doc_id"), F.col("n_tokens"))
-    end = F.struct(F.col("stop.key"), F.col("stop.doc_id"), F.col("stop.n_tokens"))
+    some = cut.where("whole > 0 or stop is not null")
+    out = docs.select(*leaf, F.col("doc_id").alias("_id"), row.alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    out = out.alias("d").join(some.alias("c"), same("d", "c")).select("d._id", "d._row", "d._text", "c.whole", "c.stop")
+    key = order_key(seed, F.col("whole"), F.col("_id"))
+    # what lies past the prefix in order is out by its key alone
+    out = out.withColumn("_key", key).where((F.col("whole") > 0) | (F.col("_key") <= F.col("stop.key"))).withColumn("_n", n_tokens(F.col("_text")))
+    mine = F.struct(F.col("_key").alias("key"), F.col("_id"), F.col("_n"))
+    end = F.struct(F.col("stop.key"), F.col("stop._id"), F.col("stop._n"))
     # rows equal in key, id and tokens are copies; those that the prefix does not reach whole share its rest evenly
     rest = F.floor((F.col("stop.left") - F.col("stop.start")) / F.col("stop.copies"))
-    part = F.when(F.col("stop").isNull() | (mine > end), F.lit(0)).when(mine < end, F.col("n_tokens")).otherwise(F.least(F.col("n_tokens"), rest)).cast("long")
-    epochs = F.sequence(F.lit(0), F.col("whole"))
-    out = out.withColumn("part", part).withColumn("epoch", F.explode(epochs))
-    out = out.withColumn("take_tokens", F.when(F.col("epoch") < F.col("whole"), F.col("n_tokens")).otherwise(F.col("part")))
-    return out.where("take_tokens > 0").select(*own, "n_tokens", "epoch", "take_tokens")
+    part = F.when(F.col("stop").isNull() | (mine > end), F.lit(0)).when(mine < end, F.col("_n")).otherwise(F.least(F.col("_n"), rest)).cast("long")
+    out = out.withColumn("_part", part).withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("whole"))))
+    out = out.withColumn("_take", F.when(F.col("_epoch") < F.col("whole"), F.col("_n")).otherwise(F.col("_part"))).where("_take > 0")
+    return out.select(*[F.col("_row")[c].alias(c) for c in own], F.col("_n").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_take").alias("take_tokens"))
 
 
 def _hint(table: DataFrame) -> DataFrame:
