@@ -1,13 +1,20 @@
 """Main text of web pages by minimum cut.
 
-A page is read as a sequence of text blocks, each with the elements it lies in. A linear classifier over a
-block's features (link share, length, punctuation, the elements around it) gives it a cost for being kept and one
-for being dropped; these are the capacities to and from the terminals. Neighbouring blocks and blocks with a
-near common ancestor are joined by edges whose capacity is the price of telling them apart. What an element around
-a block says against it counts for less the more of the page's text the element holds. The minimum cut, found by augmenting paths, separates the article from the rest.
-
-Pages are independent, so this is one pass with no shuffle. Null html is an empty page; a page without blocks has
-an empty text; rows that repeat a page are read each; other columns are ignored.
+A page is read as a sequence of text blocks, each with the elements it lies in. A classifier gives a block a cost for
+being kept and one for being dropped: the log odds of what its text looks like (length, link share, how it ends), and of
+what the elements around it say; these are the capacities to and from the terminals. Neighbouring blocks and blocks with
+a near common ancestor are joined by edges whose capacity is the price of telling them apart. The minimum cut, found by
+augmenting paths, separates the article from the rest.
+
+The classifier's weights for texts and the edges' capacities are fitted, in each run, to ``sample`` pages of the table
+(in the order of a hash): there, blocks that an article or main element holds are taken for content, blocks in
+elements like nav or footer for the rest, and how often related blocks agree gives the capacities. Both are drawn to
+fixed starting values, which alone count where a table has no such elements. What an element around a block says
+against it counts for less the more of the page's text the element holds. Neither side is so sure that the cut could
+not overrule it: a short line between paragraphs follows them, whatever it looks like.
+
+Pages are independent, so the rest is one pass with no shuffle. Null html is an empty page; a page without blocks has
+an empty text; rows that repeat a page are read each; other columns are ignored. Pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -16,11 +23,14 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long"
+from lacuna.llm.common import pieces
+
+SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long, n_moved long"
 
 # fixed values: element names of HTML
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button head title".split())
@@ -50,24 +60,34 @@ AGAINST_WORD = frozenset(
 )
 FOR_WORD = frozenset("article content post entry story main body text blog prose maintext".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=[^a-zA-Z/!?])|<", re.S)
+#: the last but two: a tag whose quotes don't close
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*(?:>|\Z)|<(?=[^a-zA-Z/!?])|<", re.S)
 NEGATED = re.compile(r"(?:no|not|non|has|with|without|hide)[-_]", re.I)
 NAMES = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 ATTR = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 SPACES = re.compile(r"\s+")
 
-#: classifier: cost of keeping less cost of dropping is the dot product with these
-WEIGHTS = {"bias": -0.6, "against": 6.0, "inside": -3.0, "heading": -0.8, "link": 3.0, "short": 0.5, "sentence": -0.7, "long": -1.2, "copyright": 2.0}
-NEXT, NEAR = 0.35, 0.25  #: smoothness: blocks next to each other; times 1 / (1 + steps) for each step to a common ancestor
+SAMPLE = 2000  #: pages that weights and capacities are fitted to, at most
+#: starting values of the text's log odds, more for the rest: by length in code points up to each bound, by share of linked
+#: text up to each bound, whether the last character ends a sentence, a heading, a list item, a copyright sign in front
+LENGTHS, LINKS = (24, 59, 119, 299), (0.0, 0.25, 0.5)
+START = np.array([0.6, 0.1, -0.3, -0.8, -1.0, -0.3, 0.0, 0.5, 1.6, 0.2, -0.5, -0.5, 0.3, 1.5])
+DRAWN = 40.0  #: how many blocks the starting values count as much as
+SEEN = 2000.0  #: blocks that the sample counts as, at most
+TEXT_MOST = 2.0  #: the text's log odds are cut to this
+FOR, AGAINST = -2.5, 3.0  #: log odds of lying in an article, of lying in something that isn't one
+EDGE_MOST = 1.5  #: capacity of an edge, at most
+#: how often related blocks agree and differ before any is counted: with the same elements for or against around them; with others
+AGREE = ((20.0, 1.0), (1.0, 2.0))
 
 
 class Block:
-    __slots__ = ("parts", "path", "linked", "size", "against", "inside", "heading")
+    __slots__ = ("parts", "path", "linked", "size", "around", "against", "inside", "heading", "item")
 
-    def __init__(self, path, against, inside, heading):
-        self.parts, self.linked, self.size = [], 0, 0
-        self.path, self.against, self.inside, self.heading = path, against, inside, heading
+    def __init__(self, path, against, inside, heading, item):
+        self.parts, self.linked, self.size, self.around = [], 0, 0, (against, inside)
+        self.path, self.against, self.inside, self.heading, self.item = path, against, inside, heading, item
 
 
 def is_hidden(attrs: str) -> bool:
@@ -113,7 +133,7 @@ def blocks_of(html: str) -> list[Block]:
         if current is None:
             if not text.strip():
                 return
-            current = Block(tuple(e[1] for e in stack if e[0] in BLOCK), top[3], top[4], top[6])
+            current = Block(tuple(e[1] for e in stack if e[0] in BLOCK), top[3], top[4], top[6], any(e[0] == "li" for e in stack))
             out.append(current)
         current.parts.append(text)
         size = len(text)
@@ -210,59 +230,92 @@ def blocks_of(html: str) -> list[Block]:
     return graded(out)
 
 
-def net_cost(text: str, block: Block, any_main: bool) -> float:
-    """Cost of keeping the block less the cost of dropping it, from the linear classifier."""
-    n = len(text)
-    c = WEIGHTS["bias"]
-    if block.against:
-        c += WEIGHTS["against"] * block.against
-    if block.inside:
-        c += WEIGHTS["inside"]
-    elif any_main:
-        c -= WEIGHTS["inside"]
-    if block.heading:
-        c += WEIGHTS["heading"]
+def features(text: str, block: Block) -> tuple[int, ...]:
+    """The places in START of what the text looks like."""
     share = block.linked / max(block.size, 1)
-    if share > 0.5 and not block.inside:
-        c += WEIGHTS["link"] * share
-    if n < 25:
-        c += WEIGHTS["short"]
-    elif n > 120:
-        c += WEIGHTS["long"]
-    if text[-1] in ".!?:;\"'”’)":
-        c += WEIGHTS["sentence"]
-    if text[0] == "©":
-        c += WEIGHTS["copyright"]
-    return c
-
-
-def edges_of(paths: list[tuple]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: adjacency in page order, and DOM proximity to the last block below each ancestor."""
-    edges = []
-    last: dict[int, int] = {}
-    for i, path in enumerate(paths):
+    ends = 9 + (text[-1] in ".!?:;\"'”’)")
+    return (
+        sum(len(text) > x for x in LENGTHS), 5 + sum(share > x for x in LINKS), ends,
+        *[11] * block.heading, *[12] * block.item, *[13] * (text[0] == "©"),
+    )
+
+
+def said(block: Block, any_main: bool) -> float:
+    """Log odds of what the elements around a block say, more for the rest."""
+    base = FOR if block.inside else -FOR if any_main else 0.0
+    return AGAINST * block.against + base * (1 - block.against)
+
+
+def seed_label(block: Block) -> int | None:
+    """1 where the elements around a block tell that it is not the article's, 0 where that it is, else None."""
+    return 1 if block.against >= 1 else 0 if block.inside and not block.against else None
+
+
+def relations(blocks: list[Block]) -> list[tuple[int, int, tuple[int, int, int]]]:
+    """Related blocks i < j and how: next to each other (0) or children or grandchildren of one element (1), whether the
+    elements for or against the article around them differ, and steps from one to the other (5 at most), or to the element."""
+    out = []
+    last: dict[tuple[int, int], int] = {}
+    for i, block in enumerate(blocks):
+        path = block.path
         if i:
-            near = paths[i - 1]
+            near = blocks[i - 1]
             common = 0
-            for x, y in zip(path, near):
+            for x, y in zip(path, near.path):
                 if x != y:
                     break
                 common += 1
-            steps = len(path) + len(near) - 2 * common
-            edges.append((i - 1, i, NEXT / (1 + steps)))
-        for depth in range(len(path) - 1, max(len(path) - 4, 0), -1):  # the three nearest ancestors, the root aside
-            j = last.get(path[depth])
-            if j is not None and j != i - 1:
-                edges.append((j, i, NEAR / (1 + len(path) - depth)))
-            last[path[depth]] = i
-    return edges
+            steps = len(path) + len(near.path) - 2 * common
+            out.append((i - 1, i, (0, int(block.around != near.around), min(steps, 5))))
+        for up in (2, 3):  # the block before among the children, and the grandchildren, of one element
+            if len(path) >= up:
+                j = last.get((up, path[-up]))
+                if j is not None and j != i - 1:
+                    out.append((j, i, (1, int(block.around != blocks[j].around), up)))
+                last[up, path[-up]] = i
+    return out
+
+
+def fit_weights(counts: dict[tuple[tuple[int, ...], int], float]) -> np.ndarray:
+    """Weights of the text's features by logistic regression on (features, label) counts, drawn to START."""
+    w = START.copy()
+    if not counts:
+        return w
+    x = np.zeros((len(counts), len(w)))
+    for i, (f, _) in enumerate(counts):
+        x[i, list(f)] = 1
+    y = np.array([label for _, label in counts], float)
+    n = np.array(list(counts.values()))
+    for c in (0, 1):  # both labels count the same
+        if n[y == c].sum():
+            n[y == c] *= min(n.sum(), SEEN) / 2 / n[y == c].sum()
+    if y.min() == y.max():
+        return w
+    for _ in range(50):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ w))
+        g = x.T @ (n * (p - y)) + DRAWN * (w - START)
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + DRAWN * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def capacity(relation: tuple[int, int, int], agreed: dict[tuple[int, int, int], tuple[float, float]]) -> float:
+    """Half the log odds that blocks so related agree, times 1 / (1 + steps) below a common ancestor."""
+    kind, other, steps = relation
+    same, differ = agreed.get(relation, (0.0, 0.0))
+    same, differ = same + AGREE[other][0], differ + AGREE[other][1]
+    return min(max(0.5 * float(np.log(same / differ)), 0.0), EDGE_MOST) / (1 + steps if kind else 1)
 
 
 def min_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes lie on the source's side (kept) of a minimum cut.
 
-    A node with a negative cost is tied to the source by that much, one with a positive cost to the sink; edges
-    have their capacity both ways. Shortest augmenting paths are filled until none is left.
+    A node with a negative cost is tied to the source by that much, one with a positive cost to the sink; edges have
+    their capacity both ways. Paths are sought back from one node with a demand at a time. Where none with a supply is
+    found, nothing can flow into the nodes seen any more, so they are left alone from then on.
     """
     n = len(cost)
     to: list[list[int]] = [[] for _ in range(n)]
@@ -275,65 +328,132 @@ def min_cut(cost: list[float], edges: list[tuple[int, int, float]]) -> list[bool
         head.append(a)
         room.append(c)
     supply = [max(-c, 0.0) for c in cost]
-    demand = [max(c, 0.0) for c in cost]
     eps = 1e-9
-    while True:
-        via = {i: -1 for i in range(n) if supply[i] > eps}
-        queue = list(via)
-        goal = -1
-        for u in queue:
-            if demand[u] > eps:
-                goal = u
+    dead = [False] * n
+    for goal in range(n):
+        demand = max(cost[goal], 0.0)
+        while demand > eps and not dead[goal]:
+            via = {goal: -1}  # the edge that leads from a node towards the goal
+            queue = [goal]
+            start = -1
+            for u in queue:
+                if supply[u] > eps:
+                    start = u
+                    break
+                for e in to[u]:
+                    v = head[e]
+                    if room[e ^ 1] > eps and v not in via and not dead[v]:
+                        via[v] = e ^ 1
+                        queue.append(v)
+            if start < 0:
+                for u in queue:
+                    dead[u] = True
                 break
-            for e in to[u]:
-                v = head[e]
-                if room[e] > eps and v not in via:
-                    via[v] = e
-                    queue.append(v)
-        if goal < 0:
-            # what the source still reaches is kept; so is a node that ties the two sides only if it is reached
-            return [i in via for i in range(n)]
-        flow, u = demand[goal], goal
-        while via[u] >= 0:
-            flow = min(flow, room[via[u]])
-            u = head[via[u] ^ 1]
-        flow = min(flow, supply[u])
-        supply[u] -= flow
-        demand[goal] -= flow
-        u = goal
-        while via[u] >= 0:
-            e = via[u]
-            room[e] -= flow
-            room[e ^ 1] += flow
-            u = head[e ^ 1]
-
-
-def extract(html: str) -> tuple[str, int, int]:
-    """(main text, number of blocks, number of kept ones)."""
+            flow, u = min(demand, supply[start]), start
+            while via[u] >= 0:
+                flow = min(flow, room[via[u]])
+                u = head[via[u]]
+            supply[start] -= flow
+            demand -= flow
+            u = start
+            while via[u] >= 0:
+                e = via[u]
+                room[e] -= flow
+                room[e ^ 1] += flow
+                u = head[e]
+    # what a supply still reaches is kept
+    kept = [s > eps for s in supply]
+    queue = [i for i in range(n) if kept[i]]
+    for u in queue:
+        for e in to[u]:
+            if room[e] > eps and not kept[head[e]]:
+                kept[head[e]] = True
+                queue.append(head[e])
+    return kept
+
+
+def texts_of(html: str) -> tuple[list[str], list[Block]]:
+    """Blocks that hold text, white space squashed."""
     found = []
     for b in blocks_of(html):
         text = SPACES.sub(" ", "".join(b.parts)).strip()
         if text:
             found.append((text, b))
-    if not found:
-        return "", 0, 0
-    any_main = any(b.inside for _, b in found)
-    cost = [net_cost(t, b, any_main) for t, b in found]
-    kept = [t for (t, _), k in zip(found, min_cut(cost, edges_of([b.path for _, b in found]))) if k]
-    return "\n".join(kept), len(found), len(kept)
-
-
-def _extract_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
-            text, n, k = extract(html)
-            out.append((None if pd.isna(page_id) else int(page_id), url, text, len(text), n, k))
-        yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars", "n_blocks", "n_kept"]).astype({"page_id": "Int64"})
-
-
-def html_text(pages: DataFrame) -> DataFrame:
+    return [t for t, _ in found], [b for _, b in found]
+
+
+Model = tuple[np.ndarray, dict[tuple[int, int, int], tuple[float, float]]]  #: weights of the text, agreement of related blocks
+
+
+def costs(texts: list[str], blocks: list[Block], model: Model = (START, {})) -> list[float]:
+    """Cost of keeping each block less that of dropping it."""
+    any_main = any(b.inside for b in blocks)
+    weights = model[0]
+    return [min(max(sum(weights[i] for i in features(t, b)), -TEXT_MOST), TEXT_MOST) + said(b, any_main) for t, b in zip(texts, blocks)]
+
+
+def extract(html: str, model: Model = (START, {})) -> tuple[str, int, int, int]:
+    """(main text, number of blocks, of kept ones, of those that the cut and the sign of their cost tell apart)."""
+    texts, blocks = texts_of(html)
+    if not texts:
+        return "", 0, 0, 0
+    cost = costs(texts, blocks, model)
+    known: dict[tuple[int, int, int], float] = {}
+    edges = [(i, j, known.setdefault(r, capacity(r, model[1])) if r not in known else known[r]) for i, j, r in relations(blocks)]
+    kept = min_cut(cost, edges)
+    return "\n".join(t for t, k in zip(texts, kept) if k), len(texts), sum(kept), sum(k != (c < 0) for k, c in zip(kept, cost))
+
+
+def _seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, key, label) counts of a batch's blocks and related blocks whose surroundings tell what they are."""
+    for pdf in pieces(batches, "html"):
+        found: dict[tuple[str, str, int], int] = {}
+        for html in pdf["html"]:
+            texts, blocks = texts_of(html)
+            labels = [seed_label(b) for b in blocks]
+            for t, b, y in zip(texts, blocks, labels):
+                if y is not None:
+                    key = ("text", ",".join(map(str, features(t, b))), y)
+                    found[key] = found.get(key, 0) + 1
+            for i, j, r in relations(blocks):
+                if labels[i] is not None and labels[j] is not None:
+                    key = ("edge", ",".join(map(str, r)), int(labels[i] == labels[j]))
+                    found[key] = found.get(key, 0) + 1
+        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "key", "label", "n"])
+
+
+def learn(pages: DataFrame, sample: int = SAMPLE) -> Model:
+    """The text's weights and how often related blocks agree, from ``sample`` pages (page_id, url, html)."""
+    key = F.xxhash64("page_id", "url").alias("key")
+    drawn = pages.select(key).distinct().orderBy("key").limit(sample)  # hashes only
+    seeds = pages.select(key, "html").join(F.broadcast(drawn), "key").dropDuplicates(["key"]).select("html").mapInPandas(_seeds, "kind string, key string, label int, n long")
+    rows = seeds.groupBy("kind", "key", "label").agg(F.sum("n").alias("n")).orderBy("kind", "key", "label").collect()  # as many as there are kinds of blocks
+    parse = lambda k: tuple(int(x) for x in k.split(","))
+    weights = fit_weights({(parse(r["key"]), r["label"]): float(r["n"]) for r in rows if r["kind"] == "text"})
+    agreed: dict[tuple[int, int, int], tuple[float, float]] = {}
+    for r in rows:
+        if r["kind"] == "edge":
+            k = parse(r["key"])
+            same, differ = agreed.get(k, (0.0, 0.0))
+            agreed[k] = (same + r["n"], differ) if r["label"] else (same, differ + r["n"])
+    return weights, agreed
+
+
+def _extract_all(model: Model):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pieces(batches, "html"):
+            out = []
+            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"]):
+                text, n, k, moved = extract(html, model)
+                out.append((None if pd.isna(page_id) else int(page_id), url, text, len(text), n, k, moved))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"page_id": "Int64"})
+
+    return run
+
+
+def html_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per page with its main text; see the module."""
-    return pages.select(
+    pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
-    ).mapInPandas(_extract_all, SCHEMA)
+    )
+    return pages.mapInPandas(_extract_all(learn(pages, sample)), SCHEMA)

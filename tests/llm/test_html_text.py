@@ -1,7 +1,9 @@
 import itertools
 import random
 
-from lacuna.llm.html_text import edges_of, extract, html_text, min_cut
+import time
+
+from lacuna.llm.html_text import costs, extract, fit_weights, html_text, learn, min_cut, relations, texts_of
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>
 <header class="site"><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
@@ -43,8 +45,57 @@ def test_min_cut_is_a_minimum():
 
 
 def test_edges_join_neighbours_and_relatives():
-    edges = edges_of([(0, 1, 2), (0, 1, 3), (0, 1, 2)])
-    assert {(a, b) for a, b, _ in edges} == {(0, 1), (1, 2), (0, 2)}
+    _, blocks = texts_of("<div><p>a</p></div><div><p>b</p></div><div><p>c</p></div>")
+    assert {(i, j) for i, j, _ in relations(blocks)} >= {(0, 1), (1, 2)}
+    _, blocks = texts_of("<body><div><p>a</p><ul><li>x</li></ul><p>b</p></div></body>")
+    assert {(i, j) for i, j, _ in relations(blocks)} == {(0, 1), (1, 2), (0, 2)}
+
+
+LONG = "This is a paragraph of the article that goes on for a while, as paragraphs do, and it ends with a full stop after quite a few words."
+
+
+def test_the_cut_overrules_costs():
+    # short lines and a list of links amid paragraphs follow them; nothing here says where the article is
+    page = f"<body><div>{''.join(f'<p>{LONG}</p>' for _ in range(3))}<p>Tom</p><p><a href='/x'>The sources of it</a></p>{''.join(f'<p>{LONG}</p>' for _ in range(3))}</div></body>"
+    text, n, kept, moved = extract(page)
+    assert n == kept == 8 and moved == 2 and "\nTom\nThe sources of it\n" in text
+    signs = [c < 0 for c in costs(*texts_of(page))]
+    assert signs.count(False) == 2  # what the classifier alone would have lost
+    # and a sentence amid links goes with them
+    links = "".join(f"<p><a href='/{i}'>Go to {i}</a></p>" for i in range(6))
+    page = f"<body><div>{links}<p>Some more of this ends so.</p>{links}</div><div>{''.join(f'<p>{LONG}</p>' for _ in range(3))}</div></body>"
+    text, n, kept, moved = extract(page)
+    assert "more of this" not in text and text.count(LONG) == 3
+
+
+def test_weights_follow_the_pages(spark):
+    import numpy as np
+
+    base = fit_weights({})
+    # where lists hold content and short texts too, their weights go down
+    w = fit_weights({((0, 5, 9, 12), 0): 500.0, ((0, 8, 9), 1): 500.0})
+    assert w[12] < base[12] and w[8] > base[8] and np.isfinite(w).all()
+    pages = spark.createDataFrame([(i, "u", f"<nav><p><a href='/'>Home {i}</a></p></nav><article><p>{LONG}</p><p>{LONG}</p></article><footer>x</footer>") for i in range(30)], "page_id long, url string, html string")
+    weights, agreed = learn(pages)
+    assert agreed[(0, 0, 2)][0] >= 30 and agreed[(0, 0, 2)][1] == 0 and any(v[1] > 0 for k, v in agreed.items() if k[1])
+    assert {r.text for r in html_text(pages).collect()} == {f"{LONG}\n{LONG}"}
+    assert learn(pages.limit(0))[1] == {}
+
+
+def test_long_pages_take_time_in_proportion():
+    def took(n):
+        page = "<body>" + "".join(f"<div><p>{'Short' if i % 3 else LONG}</p><p><a href='/'>x{i}</a></p></div>" for i in range(n))
+        began = time.time()
+        assert extract(page)[1] == 2 * n
+        return time.time() - began
+
+    took(200)
+    assert took(8000) < 30 * took(1000) + 1
+
+
+def test_broken_quotes_leak_no_markup():
+    assert extract(f'<article><p>{LONG}</p><p>See <a href="foo>bar</a> and more of it.</p></article>')[0].endswith("and more of it.")
+    assert "href" not in extract(f'<article><p>{LONG}</p><p>See <a href="foo>bar</a>.</p></article>')[0]
 
 
 def test_rows(spark):
