@@ -30,7 +30,8 @@ from lacuna.llm.common import pieces, text_or_empty
 BITS = 18  #: hashed features share 2 ** BITS weights
 SAMPLE = 6000  #: documents that the scorer is fitted on, at most
 EM_ROUNDS = 200
-FALSE_ALARMS = 0.02  #: how often a labeller votes against a good document, at most
+#: what the rates of votes are drawn to, by DRAWN times the class's own weight: against good documents; against those of the labeller's kind
+FALSE_ALARM, FOUND, DRAWN = 0.005, 0.9, 0.1
 ROUNDS = 150  #: gradient steps of the scorer
 L2 = 1e-3
 CACHED_WORDS = 500_000  #: words whose features a worker remembers
@@ -74,7 +75,9 @@ def estimate(votes: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> t
     Labellers look for different defects, so bad documents are of as many kinds as there are labellers: class 0 is
     good, class j + 1 starts as what labeller j votes against. Returns the posterior of good by combination, the
     classes' shares, and rates[class, labeller, vote] (votes in the order b, -, g), which hold the labellers'
-    accuracies. A good document draws a labeller's vote against at a rate of FALSE_ALARMS at most.
+    accuracies. Votes of one labeller alone do not tell many bad documents of which it finds few from few of which it
+    finds most, or from false alarms; so its rates of votes against good documents and its own kind are drawn a
+    little to FALSE_ALARM and FOUND.
     """
     coded = np.array([["b-g".index(c) for c in v] for v in votes], int).reshape(len(votes), len(votes[0]) if votes else len(LABELLERS))
     m = coded.shape[1]
@@ -89,9 +92,10 @@ def estimate(votes: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> t
         for j in range(m):
             r = np.stack([np.bincount(coded[:, j], weight[:, c], 3) for c in range(m + 1)]) + 0.1
             r /= r.sum(1, keepdims=True)
-            capped = min(r[0, 0], FALSE_ALARMS)
-            r[0] *= (1 - capped) / (1 - r[0, 0])
-            r[0, 0] = capped
+            for c, aim in ((0, FALSE_ALARM), (j + 1, FOUND)):
+                drawn = (r[c, 0] + DRAWN * aim) / (1 + DRAWN)
+                r[c, 1:] *= (1 - drawn) / (1 - r[c, 0])
+                r[c, 0] = drawn
             rates[:, j] = r
             logs += np.log(r)[:, coded[:, j]].T
         new = np.exp(logs - logs.max(1, keepdims=True, initial=-np.inf))
@@ -106,7 +110,7 @@ def estimate(votes: list[str], counts: np.ndarray, rounds: int = EM_ROUNDS) -> t
 def shape(word: str) -> str:
     """Runs of capitals, letters and digits as one A, a or 0 each; other characters as they are, runs as one."""
     out, last = [], ""
-    for ch in word[:40]:
+    for ch in word:
         c = "A" if ch.isupper() else "a" if ch.isalpha() else "0" if ch.isdigit() else ch
         if c != last:
             out.append(c)
