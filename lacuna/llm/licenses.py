@@ -81,8 +81,13 @@ LICENSES = {
 KNOWN_ROWS = 10_000  #: a table of known licences with no more rows is broadcast
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: (pattern, replacement) in order, in the syntax that Java and RE2 share. The text has a line feed before it.
-COPYRIGHT = (r"\n[ \t#*/;-]*(?:copyright|\(c\)|\x{A9}|all rights reserved)[^\n]*", "")
+#: (pattern, replacement) in order, in the syntax that Java and RE2 share. The text has line feeds before it. A line goes if it
+#: starts with "copyright" and a sign, a year or a blank to fill in, or with a sign and one of these, or names a holder at a
+#: paragraph's start; so do lines with a sign that follow such a one. A sentence that only wraps at the word stays.
+COPYRIGHT = [
+    (r"\n[ \t#*/;-]*(?:copyright[ \t:]*(?:\(c\)|\x{A9}|&copy;|[0-9]{4}|[<\[{])|(?:\(c\)|\x{A9}|&copy;)[ \t]*(?:copyright|[0-9]{4}|[<\[{])|all rights reserved)[^\n]*(?:\n[ \t#*/;-]*(?:\(c\)|\x{A9}|&copy;)[^\n]*)*", ""),
+    (r"\n[ \t#*/;-]*\n[ \t#*/;-]*(?:copyright (?:by|[^\n ]+ ?(?:inc|ltd|llc|gmbh|corp|foundation|authors|developers))|\x{A9})[^\n]*", ""),
+]
 PUNCTUATION = (r"[\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{BF}\x{2010}-\x{206F}\x{3000}-\x{3003}]+", " ")
 #: equivalent spellings, both sides made one form; a form need not be a word
 SPELLINGS = [
@@ -109,9 +114,9 @@ SPELLINGS = [
 
 
 def canonical(text: Column) -> Column:
-    out = F.concat(F.lit("\n"), F.translate(text, UPPER, LOWER))
-    out = F.regexp_replace(out, F.lit(COPYRIGHT[0]), F.lit(COPYRIGHT[1]))
-    out = F.regexp_replace(out, F.lit(PUNCTUATION[0]), F.lit(PUNCTUATION[1]))
+    out = F.concat(F.lit("\n\n"), F.translate(text, UPPER, LOWER))
+    for pattern, to in (*COPYRIGHT, PUNCTUATION):
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(to))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(to.replace("{1}", "$1"))) if "(" in pattern else F.replace(out, F.lit(pattern), F.lit(to))
     return F.trim(out)
@@ -119,8 +124,8 @@ def canonical(text: Column) -> Column:
 
 def canonical_sql(text: str) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    out = f"chr(10) || translate({text}, '{UPPER}', '{LOWER}')"
-    for pattern, to in (COPYRIGHT, PUNCTUATION):
+    out = f"chr(10) || chr(10) || translate({text}, '{UPPER}', '{LOWER}')"
+    for pattern, to in (*COPYRIGHT, PUNCTUATION):
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to)}, 'g')"
     for pattern, to in SPELLINGS:
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('{1}', chr(92) + '1'))}, 'g')" if "(" in pattern else f"replace({out}, {quoted(pattern)}, {quoted(to)})"

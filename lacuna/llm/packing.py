@@ -47,13 +47,17 @@ class WordTokenizer:
     No token of such a tokenizer reaches across a space or a line feed, so a text's ids are those of its
     space-separated words in order, and a word's ids those of the pattern's matches in it. Both are remembered
     up to CACHED_WORDS each, the frequent ones being met first; texts with anything unusual (the tokenizer's
-    special strings, letters whose lower case depends on their place) go to the tokenizer whole.
+    special strings, letters whose lower case depends on their place, characters outside the scripts for which a test
+    holds both ways equal) go to the tokenizer whole.
     """
 
     # fixed values: the tokenizer's own pattern, white space spelled out (regex would count U+001C to U+001F as such)
     SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
 
+    #: Latin, Greek and Cyrillic with their extensions, general punctuation, currencies, kana, common ideographs, Hangul
+    UNUSUAL = r"<\||\u03a3|[^\x00-\u052f\u1e00-\u1fff\u2000-\u206f\u20a0-\u20bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3]"
+
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
@@ -61,6 +65,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.find = regex.compile(self.PATTERN).findall
+        self.unusual = regex.compile(self.UNUSUAL).search
         self.letters = byte_letters()
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
@@ -82,7 +87,7 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for text in texts:
-            if "<|" in text or "\u03a3" in text:
+            if self.unusual(text):
                 out.append(self.plain(text))
                 continue
             if not text.isascii():

@@ -215,3 +215,26 @@ def test_label_model_finds_the_rates():
     at = dict(zip(names, post))
     right = np.mean([(at[v] >= 0.5) == (k == 0) for v, k in zip(votes, kind)])
     assert right > 0.95 and abs(shares[0] - 0.8) < 0.06
+
+
+def test_wrapped_licenses_are_found(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for name, text in licenses.LICENSES.items():
+        body = text.replace("<year>", "2019").replace("<copyright holders>", "The Example Authors").replace("<owner>", "Example Inc.")
+        for width in range(60, 100):
+            want[len(rows)] = name
+            rows.append((len(rows), "\n\n".join(textwrap.fill(p, width) for p in body.split("\n\n"))))
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_ids_of_every_safe_code_point():
+    import public_tokenizers
+
+    tok = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"a{c}b {c}1{c} x" for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not tok.unusual(c)]
+    texts += [f"a{chr(c)}b {chr(c)}1" for c in range(0x530, 0x110000, 97) if not 0xD800 <= c < 0xE000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tok.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert len(texts) > 30_000 and tok.encode(texts) == want
