@@ -37,6 +37,10 @@ def week_monday(date: Column) -> Column:
     return F.date_add(date, F.when(dow == 0, 1).otherwise(1 - dow))
 
 
+def add_weeks(date: Column, weeks: int) -> Column:
+    return F.date_add(date, 7 * weeks)
+
+
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.sin(dlat) * F.sin(dlat) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(dlon) * F.sin(dlon)

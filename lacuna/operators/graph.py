@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -14,12 +14,19 @@ _OWN: dict[str, str] = {}
 def cut(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read back, so that a loop's plan doesn't grow."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("at", "file://" + tempfile.mkdtemp(prefix="spark-lacuna-"))
-    path = f"{where.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own on a local master, and of the warehouse on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.split("[")[0] == "local":
+        where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lacuna-scratch"
+    return (where or _OWN.setdefault("at", "file://" + tempfile.mkdtemp(prefix="spark-lacuna-"))).rstrip("/")
+
+
 def segments_to_graph(points: DataFrame, cell: float = 0.5) -> DataFrame:
     """Edges between consecutive vertices of each line, vertices snapped to a grid of ``cell`` metres.
 
@@ -38,8 +45,13 @@ def segments_to_graph(points: DataFrame, cell: float = 0.5) -> DataFrame:
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
-    """node, label: the least node of its component, by contraction in rounds."""
-    labels, rest = None, cut(edges.select("src", "dst").where("src <> dst").distinct())
+    """node, label: the least node of its component, by contraction in rounds.
+
+    Each node goes to the least of itself and its neighbours, in the order of a hash, so that a chain whose nodes are in
+    order shrinks like any other; at the end a component gets its least node for a label.
+    """
+    hashed = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    labels, rest = None, cut(edges.select(hashed("src").alias("src"), hashed("dst").alias("dst")).where("src <> dst").distinct())
     while rest.limit(1).count():
         step = cut(rest.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("to")).withColumnRenamed("src", "node"))
         jump = cut(step.alias("s").join(step.alias("t"), F.col("s.to") == F.col("t.node")).select("s.node", F.col("t.to").alias("to")))
@@ -49,7 +61,10 @@ def component_labels(edges: DataFrame) -> DataFrame:
             labels = cut(labels.join(jump.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
         moved = rest.join(jump.select(F.col("node").alias("src"), F.col("to").alias("a")), "src").join(jump.select(F.col("node").alias("dst"), F.col("to").alias("b")), "dst")
         rest = cut(moved.select(F.col("a").alias("src"), F.col("b").alias("dst")).where("src <> dst").distinct())
-    return labels if labels is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
+    if labels is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct()
+    least = labels.groupBy("label").agg(F.min("node.n").alias("least"))
+    return labels.join(least, "label").select(F.col("node.n").alias("node"), F.col("least").alias("label"))
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -99,3 +114,45 @@ def graph_funnel(edges: DataFrame) -> DataFrame:
     """Nodes, edges (each pair once) and nodes by degree."""
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     return degree.groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def contract_degree2(edges: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst, w, both ways) with runs of degree-2 nodes folded into one, weights summed, the least for each pair.
+
+    Kept are nodes of another degree and ``pinned`` ones (node); of a ring without such, two nodes and the shorter way
+    between them. In each round a degree-2 node gives way to an edge between its neighbours if none of these that may
+    go too comes before it in the order of a hash, so a few rounds do for runs of any length.
+    """
+    both = cut(edges.groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst"))
+    while True:
+        degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dst", "w")).alias("a"), F.max(F.struct("dst", "w")).alias("b")).where("n = 2")
+        free = degree.select(F.col("src").alias("node"), F.col("a.dst").alias("a"), F.col("b.dst").alias("b"), (F.col("a.w") + F.col("b.w")).alias("w"))
+        if pinned is not None:
+            free = free.join(pinned.select("node").distinct(), "node", "left_anti")
+        free = cut(free)
+        order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+        nearby = free.select("node", F.explode(F.array("a", "b")).alias("next")).join(free.select(F.col("node").alias("next")), "next").where(order("next") < order("node")).select("node").distinct()
+        gone = cut(free.join(nearby, "node", "left_anti"))
+        if not gone.limit(1).count():
+            return both
+        new = gone.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w").where("src <> dst")
+        kept = both.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
+        both = cut(kept.unionByName(new).groupBy("src", "dst").agg(F.min("w").alias("w")))
+
+
+def routed_walks(origins: DataFrame, doors: DataFrame, edges: DataFrame, ceiling: float) -> DataFrame:
+    """Per origin and place the least of the leg to the graph, the way through it and the leg from it to a door.
+
+    ``origins``: source, node, leg; ``doors``: place_id, node, leg. Pairs beyond the ceiling have no row.
+    """
+    far = bounded_distances(edges, origins.select("source", "node", F.col("leg").alias("cost")), ceiling)
+    rows = far.join(doors.select("place_id", "node", "leg"), "node").withColumn("metres", F.col("dist") + F.col("leg"))
+    return rows.where(F.col("metres") <= ceiling).groupBy("source", "place_id").agg(F.min("metres").alias("metres"))
+
+
+def graph_passes(edges: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    """Nodes and edges (each pair once) of a graph, of its largest component, and of that with runs of degree 2 folded."""
+    inside = largest_component(edges).select("node")
+    big = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi")
+    count = lambda e, name: e.agg(F.lit(name).alias("stage"), F.countDistinct("src").alias("nodes"), F.count_if(F.col("src") < F.col("dst")).alias("edges"))
+    return count(edges, "all").unionByName(count(big, "largest")).unionByName(count(contract_degree2(big, pinned), "contracted"))

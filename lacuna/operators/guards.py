@@ -93,3 +93,33 @@ def refusal_report(guards: list[DataFrame], force: bool = False) -> DataFrame:
     rows = reduce(DataFrame.unionByName, guards)
     out = rows.agg(F.count_if(F.col("level") == "fatal").alias("fatal"), F.count_if(F.col("level") == "forceable").alias("forceable"))
     return out.withColumn("refused", (F.col("fatal") > 0) | (F.lit(not force) & (F.col("forceable") > 0)))
+
+
+def allowed_fields_guard(df: DataFrame, fields: tuple[str, ...], codes: dict[str, tuple]) -> DataFrame:
+    """Columns that nobody approved, and values of coded columns outside their list, with how many rows; any is fatal."""
+    extra = [c for c in df.columns if c not in fields]
+    checks = [("field", c, F.count(F.lit(1))) for c in extra] + [("code", c, F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*v))) for c, v in codes.items() if c in df.columns]
+    counts = df.agg(F.lit(0).alias("_"), *[n.alias(f"n{i}") for i, (_, _, n) in enumerate(checks)])
+    rows = F.array(*[F.struct(F.lit(f"{kind}:{c}").alias("guard"), F.col(f"n{i}").alias("n")) for i, (kind, c, _) in enumerate(checks)])
+    return counts.select(F.explode(rows).alias("r")).select("r.guard", F.when(F.col("r.n") > 0, "fatal").otherwise("ok").alias("level"), F.col("r.n").cast("string").alias("detail"))
+
+
+def phantom_sentinel(df: DataFrame, real: Column, sentinel: Column, capacity: int = 998) -> DataFrame:
+    """Rows with the sentinel's capacity that pass as real are fatal; so is a table without the sentinel."""
+    agg = df.agg(F.count_if(real & (F.col("capacity") == capacity)).alias("phantoms"), F.count_if(sentinel).alias("seen"))
+    level = F.when((F.col("phantoms") > 0) | (F.col("seen") == 0), "fatal").otherwise("ok")
+    return guard(agg, "phantoms", level, F.concat_ws("/", "phantoms", "seen"))
+
+
+def field_drift(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """Rows that lack some of the fields, with their names."""
+    lacking = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in fields]))
+    return df.withColumn("lacking", F.array_join(lacking, ",")).where("lacking <> ''")
+
+
+def max_distance_guard(children: DataFrame, parents: DataFrame, key: str, most: float) -> DataFrame:
+    """Children farther than ``most`` metres from their parent, with the distance: a broken join. Both have lat and lon."""
+    from lacuna.functions.scalars import haversine_m
+
+    p = parents.select(key, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    return children.join(p, key).withColumn("metres", haversine_m(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))).where(F.col("metres") > most).drop("_lat", "_lon")

@@ -31,15 +31,28 @@ def ask_places(asks: DataFrame, places: DataFrame, radius_m: float) -> DataFrame
     return out.withColumn("walk", walk_minutes(F.col("metres") * DETOUR)).drop("cy", "cx", "p_lat", "p_lon")
 
 
-def sweep_reason(offerable: Sequence[str]) -> Column:
-    """The first reason that a candidate is out, in the order in which they are counted."""
-    return (
-        F.when(F.col("place_id").isNull(), "noPlace")
-        .when(F.col("lat").isNull() | F.col("lon").isNull(), "noCoordinate")
-        .when(F.col("type").isNotNull() & (F.col("type") != "") & ~F.col("type").isin(*offerable), "notOfferable")
-        .when(F.col("state") == "closed", "closed")
-        .when((F.col("state") == "open") & (F.col("close") <= F.col("open")), "noWindow")
-    )
+def sweep_counts(asks: DataFrame, resources: DataFrame, places: DataFrame, hours: DataFrame, full: DataFrame, offerable: Sequence[str]) -> DataFrame:
+    """Per question how many resources are candidates, and how many are out for which reason, the first that holds of
+    noBuilding, noCoordinate, badOrigin, notOfferable, closed, noWindow.
+
+    ``asks``: ask_id, date, day, lat, lon; ``full``: resource_id, date of the days on which a resource has no gap. Nothing
+    but the day and whether there is an origin differs between questions, so resources are counted by day first.
+    """
+    p = places.select("place_id", (F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("_there"))
+    known = F.col("type").isNull() | (F.col("type") == "") | F.col("type").isin(*offerable)
+    static = F.when(F.col("_there").isNull(), "noBuilding").when(~F.col("_there"), "noCoordinate").when(~known, "notOfferable").otherwise("ok")
+    rows = resources.join(p, "place_id", "left").withColumn("_static", static)
+    groups = rows.groupBy("place_id", "_static").agg(F.count(F.lit(1)).alias("n"))
+    days = groups.withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(6)))).join(hours.select("place_id", "day", "open", "close").withColumn("_hours", F.lit(True)), ["place_id", "day"], "left")
+    later = F.when(hours_state() == "closed", "closed").when((hours_state() == "open") & (F.col("close") <= F.col("open")), "noWindow").otherwise("candidate")
+    by_day = days.groupBy("day", F.when(F.col("_static") == "ok", later).otherwise(F.col("_static")).alias("reason")).agg(F.sum("n").alias("n"))
+    busy = rows.where("_static = 'ok'").select("resource_id", "place_id").join(full.select("resource_id", "date").distinct(), "resource_id").withColumn("day", F.dayofweek("date") - 1)
+    busy = hours_tristate_join(busy, hours).where("state = 'unknown' or state = 'open' and close > open").groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+    moved = asks.where("lat is not null and lon is not null").select("ask_id", "date").join(busy, "date")
+    moved = moved.select("ask_id", F.explode(F.array(F.struct(F.lit("noWindow").alias("reason"), F.col("n")), F.struct(F.lit("candidate").alias("reason"), (-F.col("n")).alias("n")))).alias("r")).select("ask_id", "r.*")
+    reason = F.when((F.col("lat").isNull() | F.col("lon").isNull()) & ~F.col("reason").isin("noBuilding", "noCoordinate"), "badOrigin").otherwise(F.col("reason"))
+    out = asks.select("ask_id", "day", "lat", "lon").join(by_day, "day").select("ask_id", reason.alias("reason"), "n").unionByName(moved)
+    return out.groupBy("ask_id", "reason").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def pick_gap(gaps: DataFrame, keys: Sequence[str], lookahead: int = 1440, packup: int = PACKUP) -> DataFrame:
@@ -63,10 +76,15 @@ def rank(answers: DataFrame, type_rank: dict[str, int]) -> DataFrame:
 
     Rows have ask_id, resource_id, known, listed, wait, meets, walk, usable, need, type, seats.
     """
-    order = F.coalesce(F.create_map(*[F.lit(x) for kv in type_rank.items() for x in kv])[F.col("type")], F.lit(3))
     out = answers.withColumn("tier", tier_of(F.col("known"), F.col("wait"), F.col("meets"), F.col("listed"))).withColumn("score", score_of(F.col("walk"), F.col("usable"), F.col("need")))
+    return total_order(out, type_rank)
+
+
+def total_order(rows: DataFrame, type_rank: dict[str, int]) -> DataFrame:
+    """``place`` of each row among its question's. Rows have ask_id, resource_id, tier, score, usable, type, seats."""
+    order = F.coalesce(F.create_map(*[F.lit(x) for kv in type_rank.items() for x in kv])[F.col("type")], F.lit(3))
     by = Window.partitionBy("ask_id").orderBy("tier", "score", F.coalesce("usable", F.lit(0)).desc(), order, F.col("seats").asc_nulls_last(), "resource_id")
-    return out.withColumn("place", F.row_number().over(by).cast("long"))
+    return rows.withColumn("place", F.row_number().over(by).cast("long"))
 
 
 def shape(ranked: DataFrame, max_walk: int = 12, limit: int = 40, enough: int = 10, per_place: int | None = None) -> DataFrame:

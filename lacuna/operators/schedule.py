@@ -138,7 +138,7 @@ def feed_row_validity(df: DataFrame, known: DataFrame, codes: Sequence[str]) ->
     """``reason``: why a feed row is rejected (unknown-room, invalid-block, invalid-kind, invalid-event), null if it isn't."""
     good_block = (F.col("day").between(0, 6)) & (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= 1440)
     rows = df.join(known.select("resource_id").distinct().withColumn("_known", F.lit(True)), "resource_id", "left")
-    digits = F.col("source_id").rlike("^[0-9]{1,9}$")
+    digits = F.when(F.col("kind") == "event", F.col("source_id").rlike("^[0-9]{9}$")).otherwise(F.col("source_id").rlike("^[0-9]{1,9}$"))
     reason = (
         F.when(F.col("_known").isNull(), "unknown-room")
         .when(~F.coalesce(good_block, F.lit(False)), "invalid-block")
@@ -155,11 +155,11 @@ def dedupe_feed(df: DataFrame) -> DataFrame:
 
 
 def asof_snapshot(questions: DataFrame, weeks: DataFrame) -> DataFrame:
-    """The snapshot whose week holds each date, else the first one, with ``coverage``."""
-    w = F.broadcast(weeks.select("week_start", "week_end"))  # a row a week
+    """The snapshot of the week (from its Monday, ``week_start``) that holds each date, else the first one, with ``coverage``."""
     first = weeks.agg(F.min("week_start").alias("fallback"))
-    out = questions.join(w, F.col("date").between(F.col("week_start"), F.col("week_end")), "left").crossJoin(F.broadcast(first))
-    return out.withColumn("coverage", F.when(F.col("week_start").isNull(), "outside-snapshot").otherwise("inside")).withColumn("snapshot", F.coalesce("week_start", "fallback"))
+    own = weeks.select("week_start").distinct()
+    out = questions.withColumn("_week", F.to_date(F.date_trunc("week", "date"))).join(own, F.col("_week") == F.col("week_start"), "left").crossJoin(F.broadcast(first))  # one row
+    return out.withColumn("coverage", F.when(F.col("week_start").isNull(), "outside-snapshot").otherwise("inside")).withColumn("snapshot", F.coalesce("week_start", "fallback")).drop("_week")
 
 
 def feed_counts(df: DataFrame) -> DataFrame:

@@ -257,10 +257,10 @@ def _(spark, sf):
     return schedule.overlay_for_date(rows.where("label <> 'purchase'"), dated, F.expr("date'2024-01-10'"))
 
 
-@query("p8_feed_row_validity", ctes("busy") + """SELECT event_id, CASE WHEN resource_id % 7 = 0 THEN 'unknown-room' WHEN NOT (start < "end") THEN 'invalid-block' WHEN label = 'view' THEN 'invalid-kind' WHEN label = 'click' AND event_id % 5 = 0 THEN 'invalid-event' END AS reason FROM busy""")
+@query("p8_feed_row_validity", ctes("busy") + """SELECT event_id, CASE WHEN resource_id % 7 = 0 THEN 'unknown-room' WHEN NOT (start < "end") THEN 'invalid-block' WHEN label = 'view' THEN 'invalid-kind' WHEN label = 'click' AND (event_id % 5 = 0 OR event_id % 6 = 0) THEN 'invalid-event' END AS reason FROM busy""")
 def _(spark, sf):
     rows = X.busy(spark, sf)
-    feed = rows.select("event_id", "resource_id", "day", "start", "end", F.col("event_id").cast("string").alias("source_id"), F.when(F.col("label") == "view", "other").when(F.col("label") == "click", "event").otherwise("block").alias("kind"), F.when(F.col("event_id") % 5 != 0, "MTG").alias("code"))
+    feed = rows.select("event_id", "resource_id", "day", "start", "end", F.when(F.col("event_id") % 6 == 0, F.col("event_id").cast("string")).otherwise(F.lpad(F.col("event_id").cast("string"), 9, "1")).alias("source_id"), F.when(F.col("label") == "view", "other").when(F.col("label") == "click", "event").otherwise("block").alias("kind"), F.when(F.col("event_id") % 5 != 0, "MTG").alias("code"))
     return schedule.feed_row_validity(feed, rows.where("resource_id % 7 <> 0"), ["MTG", "TOUR", "INFO"]).select("event_id", "reason")
 
 
@@ -279,7 +279,7 @@ def _(spark, sf):
 def _(spark, sf):
     orders = X.table(spark, sf, "orders")
     week = F.to_date(F.date_trunc("week", "o_orderdate"))
-    weeks = orders.where("o_orderkey % 4 = 0").select(week.alias("week_start")).distinct().withColumn("week_end", F.date_add("week_start", 6))
+    weeks = orders.where("o_orderkey % 4 = 0").select(week.alias("week_start")).distinct()
     out = schedule.asof_snapshot(orders.select("o_orderkey", F.to_date("o_orderdate").alias("date")), weeks)
     return out.select("o_orderkey", "date", "snapshot", "coverage")
 
@@ -478,12 +478,6 @@ def _(spark, sf):
     return readers.extract_ids(X.table(spark, sf, "pages"), "html", r"track\(([0-9]+)\)")
 
 
-@query("s1_read_page_archive", "SELECT conv_id, turn, role, length(text) AS n FROM conversations")
-def _(spark, sf):
-    nested = X.table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
-    return nested.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.turn", "t.role", F.length("t.text").cast("long").alias("n"))
-
-
 @query("s9_launch_subset", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') OR c_custkey IN (1, 2, 3)")
 def _(spark, sf):
     want = X.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
@@ -496,13 +490,6 @@ def _(spark, sf):
     return readers.split_blocks(X.table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("p12_drop_personal_fields", "SELECT conv_id, count(*) AS turns, count(*) AS removed FROM conversations GROUP BY conv_id")
-def _(spark, sf):
-    nested = X.table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
-    clean = nested.withColumn("turns", F.transform("turns", lambda t: t.dropFields("text"))).withColumn("removed", F.size("turns").cast("long"))
-    return clean.select("conv_id", F.size("turns").cast("long").alias("turns"), "removed")
-
-
 # -- joins and reconciliation ------------------------------------------------------------------
 
 
@@ -698,10 +685,10 @@ def _(spark, sf):
     return graph.component_labels(X.edges(spark, sf))
 
 
-@query("n4_bounded_distances", ctes("edges").replace("WITH ", "WITH RECURSIVE ") + ", r(source, node, dist) AS (SELECT src, src, 0 FROM edges WHERE src % 50 = 7 UNION SELECT r.source, e.dst, r.dist + e.w FROM r JOIN edges e ON e.src = r.node WHERE r.dist + e.w <= 600) SELECT source, node, min(dist)::BIGINT AS dist FROM r GROUP BY ALL")
+@query("n4_bounded_distances", ctes("edges").replace("WITH ", "WITH RECURSIVE ") + ", r(source, node, dist) AS (SELECT src, src, 0 FROM edges UNION SELECT r.source, e.dst, r.dist + e.w FROM r JOIN edges e ON e.src = r.node WHERE r.dist + e.w <= 600) SELECT source, node, min(dist)::BIGINT AS dist FROM r GROUP BY ALL")
 def _(spark, sf):
     e = X.edges(spark, sf)
-    sources = e.where("src % 50 = 7").select(F.col("src").alias("source"), F.col("src").alias("node"), F.lit(0).cast("long").alias("cost")).distinct()
+    sources = e.select(F.col("src").alias("source"), F.col("src").alias("node"), F.lit(0).cast("long").alias("cost")).distinct()
     return graph.bounded_distances(e, sources, 600)
 
 

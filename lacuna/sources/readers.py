@@ -22,14 +22,15 @@ def read_page_archive(spark: SparkSession, path: str) -> DataFrame:
     return sections.select("subject", "s.classNumber", "s.startDate", "s.endDate", F.explode("s.meetings").alias("m")).select("subject", "classNumber", "startDate", "endDate", "m.*")
 
 
-def read_keyed_dim(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
-    """Rows (id, fields) of one JSON object keyed by id."""
-    text = spark.read.text(path, wholetext=True)
+def read_keyed_dim(spark: SparkSession, path: str, value_schema: str, lines: bool = False) -> DataFrame:
+    """Rows (id, fields) of JSON objects keyed by id: one a file, or with ``lines`` one a line."""
+    text = spark.read.text(path, wholetext=not lines)
     return text.select(F.explode(F.from_json("value", f"map<string, struct<{value_schema}>>")).alias("id", "v")).select("id", "v.*")
 
 
-def read_id_list(spark: SparkSession, path: str, field: str) -> DataFrame:
-    rows = spark.read.schema(f"pulled date, `{field}` array<string>").option("multiLine", True).json(path)
+def read_id_list(spark: SparkSession, path: str, field: str, lines: bool = False) -> DataFrame:
+    """Distinct ids of lists with the date on which they were pulled: one list a file, or with ``lines`` one a line."""
+    rows = spark.read.schema(f"pulled date, `{field}` array<string>").option("multiLine", not lines).json(path)
     return rows.select(F.explode(field).alias("id"), "pulled").distinct()
 
 
@@ -62,6 +63,11 @@ def write_index(busy: DataFrame, path: str) -> None:
     nested.write.mode("overwrite").parquet(path)
 
 
+def write_report(guards: DataFrame, path: str, run: str) -> None:
+    """Adds a run's guard rows to a table of all runs."""
+    guards.select(F.lit(run).alias("run"), "guard", "level", "detail").write.mode("append").parquet(path)
+
+
 def calendar_events(df: DataFrame, column: str) -> DataFrame:
     """Events of calendar text as (summary, day): folded lines joined, the end date left out, one day without an end."""
     text = F.regexp_replace(F.regexp_replace(F.col(column), "\r", ""), r"\n[ \t]", "")
