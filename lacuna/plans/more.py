@@ -673,11 +673,11 @@ def _(spark, sf):
 # -- graph -------------------------------------------------------------------------------------
 
 
-@query("n1_segments_to_graph", """WITH p AS (SELECT l_orderkey AS line, l_linenumber AS seq, (l_suppkey % 50)::DOUBLE + l_linenumber % 3 * 0.1::DOUBLE AS x, (l_partkey % 40)::DOUBLE AS y FROM lineitem),
+@query("n1_segments_to_graph", """WITH p AS (SELECT l_orderkey AS line, l_linenumber * 1000000000::BIGINT + l_partkey * 1000 + l_suppkey AS seq, (l_suppkey % 50)::DOUBLE + l_linenumber % 3 * 0.1::DOUBLE AS x, (l_partkey % 40)::DOUBLE AS y FROM lineitem),
  n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM p WINDOW w AS (PARTITION BY line ORDER BY seq)), g AS (SELECT floor(x / 0.5 + 0.5)::BIGINT AS gx, floor(y / 0.5 + 0.5)::BIGINT AS gy, floor(nx / 0.5 + 0.5)::BIGINT AS hx, floor(ny / 0.5 + 0.5)::BIGINT AS hy, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS w FROM n WHERE nx IS NOT NULL),
  o AS (SELECT CASE WHEN (gx, gy) < (hx, hy) THEN [gx, gy, hx, hy] ELSE [hx, hy, gx, gy] END AS k, w FROM g WHERE gx <> hx OR gy <> hy) SELECT k[1] AS ax, k[2] AS ay, k[3] AS bx, k[4] AS by, round(min(w), 6) AS w FROM o GROUP BY k""")
 def _(spark, sf):
-    points = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("seq"), ((F.col("l_suppkey") % 50).cast("double") + F.col("l_linenumber") % 3 * 0.1).alias("x"), (F.col("l_partkey") % 40).cast("double").alias("y"))
+    points = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("line"), (F.col("l_linenumber") * F.lit(1000000000).cast("long") + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("seq"), ((F.col("l_suppkey") % 50).cast("double") + F.col("l_linenumber") % 3 * 0.1).alias("x"), (F.col("l_partkey") % 40).cast("double").alias("y"))
     return graph.segments_to_graph(points).withColumn("w", F.round("w", 6))
 
 
