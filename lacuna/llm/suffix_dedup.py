@@ -376,7 +376,7 @@ def _compare(length: int, gram: int, homes: int):
 
 
 def _apply(keep_text: bool, carry: tuple[str, ...]):
-    columns = [c.split()[0] for c in SCHEMA.split(", ")] + ["spans", "kept"] * keep_text
+    columns = [c.split()[0] for c in SCHEMA.split(", ")] + ["spans", "kept", "kept_text"] * keep_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pieces(batches):
@@ -396,7 +396,7 @@ def _apply(keep_text: bool, carry: tuple[str, ...]):
                         at = b
                     kept = b"".join([*left, raw[at:]])
                 row = (None if pd.isna(doc_id) else int(doc_id), len(raw), removed, len(merged), hashlib.sha256(kept).hexdigest())
-                out.append((*row, [list(m) for m in merged], kept) if keep_text else row)
+                out.append((*row, [list(m) for m in merged], kept, kept.decode("utf-8", "ignore")) if keep_text else row)
             frame = pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
             for i, c in enumerate(carry):
                 frame[c] = pdf[f"carry{i}"].to_numpy()
@@ -406,7 +406,8 @@ def _apply(keep_text: bool, carry: tuple[str, ...]):
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``. With ``keep_text`` also spans (removed byte ranges) and kept (remaining bytes).
+    """One row per row of ``docs``. With ``keep_text`` also spans (removed byte ranges), kept (remaining bytes) and
+    kept_text (these without the bytes that are no longer part of a character).
 
     ``carry``: string columns of ``docs`` that the result shall have too.
     """
@@ -432,4 +433,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     compared = compared.groupBy("home").applyInPandas(_at_home, f"{_KEY}, spans binary, ask binary")
     spans = settled.unionByName(compared).where("spans is not null").select(*by, "spans").groupBy(*by).agg(F.collect_list("spans").alias("spans"))
     full = here.join(spans.hint("shuffle_merge"), list(by), "left").select("doc_id", "text", "spans", *extra)
-    return full.mapInPandas(_apply(keep_text, carry), SCHEMA + ", spans array<array<long>>, kept binary" * keep_text + "".join(f", `{c}` string" for c in carry))
+    return full.mapInPandas(_apply(keep_text, carry), SCHEMA + ", spans array<array<long>>, kept binary, kept_text string" * keep_text + "".join(f", `{c}` string" for c in carry))
