@@ -55,20 +55,32 @@ def sweep_counts(asks: DataFrame, resources: DataFrame, places: DataFrame, hours
     return out.groupBy("ask_id", "reason").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def pick_gap(gaps: DataFrame, keys: Sequence[str], lookahead: int = 1440, packup: int = PACKUP) -> DataFrame:
-    """One gap per question and resource. ``gaps``: keys, now, walk, need, gap_start, gap_end.
+def gaps_by_day(gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``gaps`` (keys, gap_start, gap_end) with those of a resource's day in one row, as an array of structs."""
+    return gaps.groupBy(*keys).agg(F.collect_list(F.struct("gap_start", "gap_end")).alias("gaps"))  # of one day's minutes
+
+
+def pick_gap(cand: DataFrame, lookahead: int = 1440, packup: int = PACKUP, soon: bool = False) -> DataFrame:
+    """One gap for each row of ``cand`` (question and resource: now, walk, need, and the resource's ``gaps`` of the day).
 
     A gap that is open on arrival wins if it leaves ``need``; else the earliest that does; else the longest, the
-    earlier of equal ones. Gaps that are over, leave nothing or start after the lookahead are out.
+    earlier of equal ones (with ``soon`` none of these). Gaps that are over, leave nothing or start after the lookahead
+    are out, and rows without a gap with them. The gaps are looked at inside the row, so nothing is shuffled.
     """
-    arrival = F.col("now") + F.col("walk")
+    now, arrival = F.col("now"), F.col("now") + F.col("walk")
+    left = lambda g: g["gap_end"] - packup - F.greatest(arrival, g["gap_start"])
+    meets = lambda g: left(g) >= F.greatest("need", F.lit(1))
+    good = lambda g: (g["gap_end"] > now) & (left(g) > 0) & (g["gap_start"] <= now + lookahead) & (meets(g) if soon else F.lit(True))
+
+    def order(g: Column) -> Column:
+        klass = F.when(meets(g) & (g["gap_start"] <= arrival), 0).when(meets(g), 1).otherwise(2)
+        return F.struct(klass.alias("k"), F.when(klass == 2, -left(g)).otherwise(0).alias("u"), g["gap_start"].alias("gap_start"), g["gap_end"].alias("gap_end"))
+
+    best = F.array_compact(F.array(F.array_min(F.transform(F.filter("gaps", good), order))))  # one or none; a filter would look twice
+    out = cand.withColumn("_b", F.explode(best)).select(*[c for c in cand.columns if c != "gaps"], "_b.gap_start", "_b.gap_end")
     usable = F.col("gap_end") - packup - F.greatest(arrival, F.col("gap_start"))
-    ok = gaps.withColumn("usable", usable).where((F.col("gap_end") > F.col("now")) & (F.col("usable") > 0) & (F.col("gap_start") <= F.col("now") + lookahead))
-    ok = ok.withColumn("meets", F.col("usable") >= F.greatest("need", F.lit(1)))
-    klass = F.when(F.col("meets") & (F.col("gap_start") <= arrival), 0).when(F.col("meets"), 1).otherwise(2)
-    best = F.struct(klass.alias("k"), F.when(klass == 2, -F.col("usable")).otherwise(0).alias("u"), F.col("gap_start"), F.col("gap_end"), F.col("usable"), F.col("meets"), F.col("now"), F.col("walk"), F.col("need"))
-    out = ok.groupBy(*keys).agg(F.min(best).alias("b")).select(*keys, "b.gap_start", "b.gap_end", "b.usable", "b.meets", "b.now", "b.walk", "b.need")
-    return out.withColumn("wait", F.greatest(F.col("gap_start") - (F.col("now") + F.col("walk")), F.lit(0)))
+    out = out.withColumn("usable", usable).withColumn("meets", F.col("usable") >= F.greatest("need", F.lit(1)))
+    return out.withColumn("wait", F.greatest(F.col("gap_start") - arrival, F.lit(0)))
 
 
 def rank(answers: DataFrame, type_rank: dict[str, int]) -> DataFrame:
@@ -118,19 +130,30 @@ def tally(rows: DataFrame) -> DataFrame:
     )
 
 
-def fallback_ladder(answers: DataFrame, rungs: list[tuple[str, int, int]], quorum: int = 3, limit: int = 40) -> DataFrame:
-    """The first rung with a quorum of answers, else the first with any; all rungs from one pass over the answers.
+def fallback_ladder(answers: DataFrame, rungs: list[tuple[str, int, int | None, tuple | None, bool, int]], quorum: int = 3) -> DataFrame:
+    """The first rung with a quorum of answers, else the first with any, its rows in order up to its limit, and its total.
 
-    ``rungs``: (name, need, max_walk) in order. Answers have ask_id, resource_id, walk, usable.
+    ``rungs``: (name, need, max_walk or None, types or None, whether waiting counts, limit); a limit of 1 takes the
+    longest. Answers have ask_id, resource_id, type, walk, wait, usable. All rungs are counted in one window over the
+    question, so answers are shuffled once.
     """
-    table = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("rung"), F.lit(need).alias("need"), F.lit(walk).alias("max_walk")) for i, (n, need, walk) in enumerate(rungs)])
-    rows = answers.withColumn("r", F.explode(table)).where((F.col("usable") >= F.col("r.need")) & (F.col("walk") <= F.col("r.max_walk")))
-    counts = rows.groupBy("ask_id", F.col("r.ordinal").alias("ordinal")).agg(F.count(F.lit(1)).alias("n"))
-    chosen = counts.groupBy("ask_id").agg(F.coalesce(F.min(F.when(F.col("n") >= quorum, F.col("ordinal"))), F.min("ordinal")).alias("ordinal"))
-    picked = rows.select("ask_id", F.col("r.ordinal").alias("ordinal"), F.col("r.rung").alias("rung"), "resource_id", "walk", "usable").join(chosen, ["ask_id", "ordinal"])
-    by = Window.partitionBy("ask_id").orderBy("walk", F.desc("usable"), "resource_id")
-    picked = picked.withColumn("place", F.row_number().over(by).cast("long")).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("ask_id")))
-    return picked.where(F.col("place") <= limit)
+    whole = Window.partitionBy("ask_id")
+
+    def holds(need, walk, types, waits):
+        ok = F.col("usable") >= need
+        ok = ok & (F.col("walk") <= walk) if walk is not None else ok
+        ok = ok & F.col("type").isin(*types) if types is not None else ok
+        return ok if waits else ok & (F.col("wait") == 0)
+
+    tests = [holds(*r[1:5]) for r in rungs]
+    rows = answers.select("*", *[F.count_if(t).over(whole).alias(f"_n{i}") for i, t in enumerate(tests)])
+    first = lambda least: F.coalesce(*[F.when(F.col(f"_n{i}") >= least, F.lit(i)) for i in range(len(rungs))])
+    pick = lambda values: F.element_at(F.array(*values), F.col("_rung") + 1)
+    rows = rows.withColumn("_rung", F.coalesce(first(quorum), first(1))).where("_rung is not null").where(pick(tests))
+    rows = rows.withColumn("rung", pick([F.lit(r[0]) for r in rungs])).withColumn("total", pick([F.col(f"_n{i}") for i in range(len(rungs))])).withColumn("_limit", pick([F.lit(r[5]) for r in rungs]))
+    longest = F.when(F.col("_limit") == 1, -F.col("usable")).otherwise(0)
+    by = whole.orderBy(longest, "walk", F.desc("usable"), "resource_id")
+    return rows.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= F.col("_limit")).drop("_rung", "_limit", *[f"_n{i}" for i in range(len(rungs))])
 
 
 def rank_places(place_hours: DataFrame) -> DataFrame:

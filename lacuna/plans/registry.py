@@ -338,13 +338,19 @@ ANSWERS = GAPS.replace(ctes("busy"), ctes("busy", "places", "asks", "resources",
 
 
 def answers(spark, sf) -> DataFrame:
-    near = rank.ask_places(X.asks(spark, sf), X.places(spark, sf), RADIUS)
+    """The gap that each resource near a question offers. Gaps are made for the days asked about alone, and meet questions
+    by place and day, a resource's of a day in one row."""
+    asks = X.asks(spark, sf)
+    near = rank.ask_places(asks, X.places(spark, sf), RADIUS)
     near = rank.hours_tristate_join(near, X.hours(spark, sf)).where("state <> 'closed'")
-    gaps = intervals.free_gaps(X.busy(spark, sf), windows(spark, sf), KEYS)
-    cand = near.join(X.resources(spark, sf), "place_id").join(gaps, KEYS)
-    keys = ["ask_id", "resource_id", "place_id", "type", "seats", "state"]
-    out = rank.pick_gap(cand, keys)
-    return out.withColumn("known", F.col("state") == "open").withColumn("listed", F.col("type") == "BUILDING").drop("state", "now")
+    dates = asks.select("date").distinct()
+    busy = X.busy(spark, sf).join(dates, "date", "left_semi")
+    spans = busy.select("resource_id", "date").distinct().withColumn("open", F.lit(480)).withColumn("close", F.lit(1320))
+    gaps = rank.gaps_by_day(intervals.free_gaps(busy, spans, KEYS), KEYS)
+    near = near.select("ask_id", "place_id", "date", "now", "need", "walk", "state")
+    cand = X.resources(spark, sf).join(gaps, "resource_id").join(near, ["place_id", "date"])
+    out = rank.pick_gap(cand)
+    return out.withColumn("known", F.col("state") == "open").withColumn("listed", F.col("type") == "BUILDING").drop("state", "now", "date")
 
 
 def ranked(spark, sf) -> DataFrame:
@@ -378,18 +384,33 @@ def _(spark, sf):
     return rank.beyond_summary(ranked(spark, sf), max_walk=6)
 
 
-RUNGS = [("asked", 120, 4), ("shorter", 60, 4), ("further", 60, 8), ("longest", 1, 12)]
+RUNGS = [
+    ("asked", 120, 4, ("BUILDING",), False, 40), ("any-type", 120, 4, None, False, 40), ("shorter:60", 60, 4, None, False, 40), ("shorter:20", 20, 4, None, False, 40),
+    ("opens-at", 60, 4, None, True, 40), ("further", 60, 8, None, False, 40), ("anywhere", 60, None, None, True, 40), ("longest", 1, None, None, True, 1),
+]
 
 
-@query("d3_fallback_ladder", ANSWERS + """, rungs(ordinal, rung, rneed, rwalk) AS (VALUES (0, 'asked', 120, 4), (1, 'shorter', 60, 4), (2, 'further', 60, 8), (3, 'longest', 1, 12)),
- h AS (SELECT ask_id, resource_id, a.walk, usable, ordinal, rung FROM answers a, rungs WHERE usable >= rneed AND a.walk <= rwalk), c AS (SELECT ask_id, ordinal, count(*) AS n FROM h GROUP BY ALL),
- b AS (SELECT ask_id, coalesce(min(ordinal) FILTER (WHERE n >= 3), min(ordinal)) AS ordinal FROM c GROUP BY ask_id),
- o AS (SELECT h.*, row_number() OVER (PARTITION BY ask_id ORDER BY walk, usable DESC, resource_id) AS place, count(*) OVER (PARTITION BY ask_id) AS total FROM h JOIN b USING (ask_id, ordinal))
- SELECT ask_id, rung, resource_id, place, total FROM o WHERE place <= 40""")
+def _ladder_sql() -> str:
+    test = lambda need, walk, types, waits: " AND ".join([f"usable >= {need}", *([f"walk <= {walk}"] if walk else []), *([f"type IN ({', '.join(repr(t) for t in types)})"] if types else []), *([] if waits else ["wait = 0"])])
+    each = " UNION ALL ".join(f"SELECT ask_id, resource_id, walk, usable, {i} AS ordinal, '{r[0]}' AS rung, {r[5]} AS lim FROM answers WHERE {test(*r[1:5])}" for i, r in enumerate(RUNGS))
+    return ANSWERS + f""", h AS ({each}), c AS (SELECT ask_id, ordinal, count(*) AS n FROM h GROUP BY ALL), b AS (SELECT ask_id, coalesce(min(ordinal) FILTER (WHERE n >= 3), min(ordinal)) AS ordinal FROM c GROUP BY ask_id),
+ o AS (SELECT h.*, row_number() OVER (PARTITION BY ask_id ORDER BY CASE WHEN lim = 1 THEN -usable ELSE 0 END, walk, usable DESC, resource_id) AS place, count(*) OVER (PARTITION BY ask_id) AS total FROM h JOIN b USING (ask_id, ordinal))
+ SELECT ask_id, rung, resource_id, place, total FROM o WHERE place <= lim"""
+
+
+@query("d3_fallback_ladder", _ladder_sql())
 def _(spark, sf):
     return rank.fallback_ladder(answers(spark, sf), RUNGS).select("ask_id", "rung", "resource_id", "place", "total")
 
 
+@query("w2_pick_gap_soon", ANSWERS + " SELECT ask_id, resource_id, gap_start, gap_end, usable FROM (SELECT * FROM k WHERE klass < 2 QUALIFY row_number() OVER (PARTITION BY ask_id, resource_id ORDER BY klass, gap_start) = 1)")
+def _(spark, sf):
+    asks, busy = X.asks(spark, sf), X.busy(spark, sf)
+    near = rank.hours_tristate_join(rank.ask_places(asks, X.places(spark, sf), RADIUS), X.hours(spark, sf)).where("state <> 'closed'").select("ask_id", "place_id", "date", "now", "need", "walk")
+    gaps = rank.gaps_by_day(intervals.free_gaps(busy, windows(spark, sf), KEYS), KEYS)
+    return rank.pick_gap(X.resources(spark, sf).join(gaps, "resource_id").join(near, ["place_id", "date"]), soon=True).select("ask_id", "resource_id", "gap_start", "gap_end", "usable")
+
+
 @query("j5_hours_tristate_join", ctes("hours", "asks") + "SELECT ask_id, place_id, CASE WHEN h.day IS NULL THEN 'unknown' WHEN open IS NULL THEN 'closed' ELSE 'open' END AS state FROM asks a CROSS JOIN (SELECT n_nationkey AS place_id FROM nation) p LEFT JOIN hours h USING (place_id, day)")
 def _(spark, sf):
     both = X.asks(spark, sf).crossJoin(F.broadcast(X.places(spark, sf).select("place_id")))  # a row a place
