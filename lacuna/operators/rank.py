@@ -60,7 +60,13 @@ def gaps_by_day(gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
     return gaps.groupBy(*keys).agg(F.collect_list(F.struct("gap_start", "gap_end")).alias("gaps"))  # of one day's minutes
 
 
-def pick_gap(cand: DataFrame, lookahead: int = 1440, packup: int = PACKUP, soon: bool = False) -> DataFrame:
+def pick_gap(gaps: DataFrame, keys: Sequence[str], lookahead: int = 1440, packup: int = PACKUP, soon: bool = False) -> DataFrame:
+    """One gap per question and resource. ``gaps``: keys, now, walk, need, gap_start, gap_end, a row a gap; see pick_gap_in_row."""
+    rows = gaps.groupBy(*keys, "now", "walk", "need").agg(F.collect_list(F.struct("gap_start", "gap_end")).alias("gaps"))
+    return pick_gap_in_row(rows, lookahead, packup, soon)
+
+
+def pick_gap_in_row(cand: DataFrame, lookahead: int = 1440, packup: int = PACKUP, soon: bool = False) -> DataFrame:
     """One gap for each row of ``cand`` (question and resource: now, walk, need, and the resource's ``gaps`` of the day).
 
     A gap that is open on arrival wins if it leaves ``need``; else the earliest that does; else the longest, the

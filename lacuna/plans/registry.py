@@ -349,7 +349,7 @@ def answers(spark, sf) -> DataFrame:
     gaps = rank.gaps_by_day(intervals.free_gaps(busy, spans, KEYS), KEYS)
     near = near.select("ask_id", "place_id", "date", "now", "need", "walk", "state")
     cand = X.resources(spark, sf).join(gaps, "resource_id").join(near, ["place_id", "date"])
-    out = rank.pick_gap(cand)
+    out = rank.pick_gap_in_row(cand)
     return out.withColumn("known", F.col("state") == "open").withColumn("listed", F.col("type") == "BUILDING").drop("state", "now", "date")
 
 
@@ -408,7 +408,7 @@ def _(spark, sf):
     asks, busy = X.asks(spark, sf), X.busy(spark, sf)
     near = rank.hours_tristate_join(rank.ask_places(asks, X.places(spark, sf), RADIUS), X.hours(spark, sf)).where("state <> 'closed'").select("ask_id", "place_id", "date", "now", "need", "walk")
     gaps = rank.gaps_by_day(intervals.free_gaps(busy, windows(spark, sf), KEYS), KEYS)
-    return rank.pick_gap(X.resources(spark, sf).join(gaps, "resource_id").join(near, ["place_id", "date"]), soon=True).select("ask_id", "resource_id", "gap_start", "gap_end", "usable")
+    return rank.pick_gap_in_row(X.resources(spark, sf).join(gaps, "resource_id").join(near, ["place_id", "date"]), soon=True).select("ask_id", "resource_id", "gap_start", "gap_end", "usable")
 
 
 @query("j5_hours_tristate_join", ctes("hours", "asks") + "SELECT ask_id, place_id, CASE WHEN h.day IS NULL THEN 'unknown' WHEN open IS NULL THEN 'closed' ELSE 'open' END AS state FROM asks a CROSS JOIN (SELECT n_nationkey AS place_id FROM nation) p LEFT JOIN hours h USING (place_id, day)")
