@@ -506,7 +506,7 @@ def _(spark, sf):
     return X.table(spark, sf, "customer").join(want.union(fixed).distinct(), "c_custkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("w13_split_blocks")
+@query("w13_split_blocks", """WITH b AS (SELECT doc_id, list_filter(string_split_regex(text, '\\n[ \\t]*(?:\\n[ \\t]*)+'), lambda x: trim(x, ' ') <> '') AS l FROM documents) SELECT doc_id, unnest(range(len(l)))::INT AS block, unnest(l) AS text FROM b""")
 def _(spark, sf):
     return readers.split_blocks(X.table(spark, sf, "documents"), "doc_id", "text")
 
