@@ -447,11 +447,22 @@ def ngram_components(docs: DataFrame, n: int = N, threshold: int = THRESHOLD, sa
     tokens = tokens.select(F.posexplode("prefix").alias("at", "token"), "set_id", "n_shingles", "short")
 
     def near(rows: DataFrame) -> DataFrame:
-        """Rows that share their token with a set of like size: one next to it in order of size."""
-        by_size = Window.partitionBy("token").orderBy("n_shingles", "set_id")
-        smaller, larger = F.lag("n_shingles").over(by_size), F.lead("n_shingles").over(by_size)
-        like = (smaller * 100 >= F.col("n_shingles") * threshold) | (F.col("n_shingles") * 100 >= larger * threshold)
-        return rows.withColumn("like", like).where("like").drop("like")
+        """Rows that share their token with a set of like size: one next to it in order of size.
+
+        A token that the sample shows to be common may be held by a large part of all sets; of these, the different
+        sizes are counted first and ordered, and the rows meet the sizes found, so no task sorts all rows of one token.
+        """
+
+        def like(by: Window, alone=F.lit(False)):
+            smaller, larger = F.lag("n_shingles").over(by), F.lead("n_shingles").over(by)
+            return alone | (smaller * 100 >= F.col("n_shingles") * threshold) | (F.col("n_shingles") * 100 >= larger * threshold)
+
+        is_common = F.col("token") >= F.lit(1 << HASH_BITS)  # the class is in the upper bits
+        one_by_one = Window.partitionBy("token").orderBy("n_shingles", "set_id")
+        rare = rows.where(~is_common).withColumn("like", like(one_by_one)).where("like").drop("like")
+        sizes = rows.where(is_common).groupBy("token", "n_shingles").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.withColumn("like", like(Window.partitionBy("token").orderBy("n_shingles"), F.col("n") > 1)).where("like")
+        return rare.unionByName(rows.where(is_common).join(sizes.select("token", "n_shingles"), ["token", "n_shingles"], "left_semi"))
 
     # Linked sets of sizes a <= b have 1 + EXTRA * a / 100 elements or more in common among their prefixes, as these
     # are longer by as much; a set that shares fewer with all sets of like size together has no link.
