@@ -731,7 +731,14 @@ def _(spark, sf):
 # -- streams -----------------------------------------------------------------------------------
 
 
-@query("x1_throttle_fixes")
+X1_SQL = """WITH RECURSIVE f AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS "at", value * 10 AS x, (event_id % 97)::DOUBLE AS y, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events),
+ walk AS (SELECT user_id, event_id, "at", x, y, n, true AS kept, "at" AS last_at, x AS last_x, y AS last_y FROM f WHERE n = 1
+ UNION ALL SELECT user_id, event_id, "at", x, y, n, kept, CASE WHEN kept THEN "at" ELSE last_at END, CASE WHEN kept THEN x ELSE last_x END, CASE WHEN kept THEN y ELSE last_y END
+ FROM (SELECT f.*, w.last_at, w.last_x, w.last_y, coalesce(sqrt((f.x - w.last_x) * (f.x - w.last_x) + (f.y - w.last_y) * (f.y - w.last_y)) >= 40 AND f."at" - w.last_at >= 15, false) AS kept FROM f JOIN walk w ON f.user_id = w.user_id AND f.n = w.n + 1))
+ SELECT user_id, event_id, "at", x, y FROM walk WHERE kept"""
+
+
+@query("x1_throttle_fixes", X1_SQL)
 def _(spark, sf):
     rows = X.table(spark, sf, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") * 10).alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
     return fixes.throttle_fixes(rows)
