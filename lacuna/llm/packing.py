@@ -15,8 +15,8 @@ from __future__ import annotations
 import struct
 import unicodedata
 import zlib
-from collections import ChainMap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,7 @@ from lacuna.llm.common import pieces, release, text_or_empty
 LENGTH = 2048  #: tokens in a sequence
 GROUP_DOCS = 2048  #: mean number of documents in a group; a row of a group has LENGTH tokens at most
 CACHED_WORDS = 200_000  #: words, and as many parts of words, whose ids a task remembers
+RECENT_WORDS = 20_000  #: and, beyond these, the latest
 END_ID = 1
 
 TOKENS_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, group long"
@@ -41,12 +42,45 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Values of ``make`` by argument: the first CACHED_WORDS for good, of later ones the latest, up to RECENT_WORDS."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+        self.recent: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.recent.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(self) < CACHED_WORDS:
+                self[key] = value
+            else:
+                if len(self.recent) >= RECENT_WORDS:
+                    self.recent.clear()
+                self.recent[key] = value
+        return value
+
+
+def part_ids(model, letters: list[str], part: str) -> bytes:
+    """Ids of one match of the tokenizer's pattern."""
+    mapped = part if part.isascii() and part.isprintable() else "".join([letters[b] for b in part.encode()])
+    t = [x.id for x in model.tokenize(mapped)]
+    return struct.pack(f"<{len(t)}I", *t)
+
+
+def word_ids(find: Callable[[str], list[str]], parts: Remembered, word: str) -> bytes:
+    if word.isascii() and word.isalpha():
+        return parts[word]  # one match
+    return b"".join(map(parts.__getitem__, find(word)))
+
+
 class WordTokenizer:
     """Ids of a text by a byte-level BPE tokenizer that lower-cases and splits by a pattern, words remembered.
 
     No token of such a tokenizer reaches across a space or a line feed, so a text's ids are those of its
-    space-separated words in order, and a word's ids those of the pattern's matches in it. Both are remembered
-    up to CACHED_WORDS each, the frequent ones being met first; texts with anything unusual (the tokenizer's
+    space-separated words in order, and a word's ids those of the pattern's matches in it. Both are remembered,
+    the frequent ones being met first; texts with anything unusual (the tokenizer's
     special strings, letters whose lower case depends on their place, characters outside the scripts for which a test
     holds both ways equal) go to the tokenizer whole.
     """
@@ -67,18 +101,7 @@ class WordTokenizer:
         self.find = regex.compile(self.PATTERN).findall
         self.unusual = regex.compile(self.UNUSUAL).search
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def part(self, part: str) -> bytes:
-        """Ids of one match of the pattern."""
-        ids = self.parts.get(part)
-        if ids is None:
-            mapped = part if part.isascii() and part.isprintable() else "".join([self.letters[b] for b in part.encode()])
-            ids = struct.pack(f"<{len(t)}I", *t) if (t := [x.id for x in self.model.tokenize(mapped)]) else b""
-            if len(self.parts) < CACHED_WORDS:
-                self.parts[part] = ids
-        return ids
+        self.words = Remembered(partial(word_ids, self.find, Remembered(partial(part_ids, self.model, self.letters))))
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -87,20 +110,12 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for text in texts:
-            if self.unusual(text):
+            if "<|" in text if text.isascii() else self.unusual(text):
                 out.append(self.plain(text))
                 continue
             if not text.isascii():
                 text = unicodedata.normalize("NFC", text)
-            words = text.lower().replace("\n", " ").split(" ")
-            known = self.words
-            if new := [w for w in set(words) if w not in known]:
-                fresh = {w: b"".join(map(self.part, self.find(w))) for w in new}
-                if len(known) < CACHED_WORDS:
-                    known.update(fresh)
-                else:
-                    known = ChainMap(fresh, known)
-            out.append(b"".join(map(known.__getitem__, words)))
+            out.append(b"".join(map(self.words.__getitem__, text.lower().replace("\n", " ").split(" "))))
         return out
 
 
