@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.llm import decontamination, manifest
 from lacuna.llm.common import read
 from lacuna.llm.fingerprints import document_fingerprints
 from lacuna.llm.html_text import html_text
 from lacuna.llm.licenses import license_scan
 from lacuna.llm.licenses import oracle as license_oracle
 from lacuna.llm import mixing
+from lacuna.llm import negatives
 from lacuna.llm.neighbours import divisible_queries, nearest_neighbours
 from lacuna.llm.ngram_join import ngram_components
 from lacuna.llm.packing import pack
@@ -64,6 +66,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(*negatives.query_rows(read(spark, sf_dir, "embeddings")))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(read(spark, sf_dir, "documents"), manifest.without_breaks(F.col("doc_id"), F.col("text")))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_neighbours": op2_neighbours,
@@ -75,9 +89,15 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_manifest": op12_manifest,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_oracle(),
     "op6_mixing": mixing.oracle(),
+    "op11_hard_negatives": negatives.oracle(),
+    "op12_manifest": manifest.oracle(),
+    "op13_decontamination": decontamination.oracle(),
 }
