@@ -12,6 +12,18 @@ WALK_M_PER_MIN = 78.0
 DETOUR = 1.3  #: walked metres for each straight one
 PACKUP = 10  #: minutes that an answer leaves for packing up
 DAY = 1440
+DIGITS, CAPITALS, DASHES = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "-–—"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+
+
+def words_of(text: Column) -> Column:
+    """What white space separates."""
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def tokens_of(text: Column) -> Column:
+    """Runs of letters (lower case), runs of digits, and every other character alone; dashes are one kind."""
+    return F.regexp_extract_all(F.lower(F.translate(text, DASHES, "---")), F.lit(r"[a-z]+|[0-9]+|[^a-z0-9\s]"), F.lit(0))
 
 
 def clock_to_minutes(text: Column, is_close: bool = False) -> Column:

@@ -8,7 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.scalars import MONTHS, tokens_of
+from lacuna.operators.graph import cut
+
 DARK = 0.005  #: share of live rows below which a day's schedule counts as empty
+WORKING_DAYS = ("mon", "tue", "wed", "thu", "fri")  #: how the names of days with exams begin
 WEEKEND = (7 * 60, 23 * 60)  #: the hours that are searched at a weekend
 
 
@@ -97,49 +101,52 @@ def window_check(windows: DataFrame, slack: dict[str, int]) -> DataFrame:
     return both.withColumn("slip", slip).select("key", "source", F.col("b.first").alias("exams_first"), F.col("b.last").alias("exams_last"), "slip", verdict.alias("verdict"))
 
 
-def slid_dates(left: DataFrame, right: DataFrame, tolerance: int, rounds: int = 64) -> DataFrame:
+def slid_dates(left: DataFrame, right: DataFrame, tolerance: int) -> DataFrame:
     """Days that one calendar has and the other doesn't, paired by state with the nearest within ``tolerance`` days.
 
-    Both: key, date, state. Of the pairs left, those that are the best one of both their days (by gap, then dates) are
-    taken together, round after round; that gives what taking the best of all one by one does. Returns key, left_date,
-    right_date, state, gap; unpaired days have a null partner, a date with two states both its states' rows alone.
+    Both: key, date, state. The nearest pair of all is taken first, of equal ones that with the earlier days, and so on
+    until none is left. That is done gap by gap: days that are ``gap`` apart and of alternating calendars form chains, and
+    in a chain the best pairs are always the first two days, the next two, and so on. Returns key, left_date, right_date,
+    state, gap; unpaired days have a null partner, a date with two states both its states' rows alone.
     """
     a, b = (df.select("key", "date", "state").distinct() for df in (left, right))
-    only = lambda x, y: x.join(y.select("key", "date"), ["key", "date"], "left_anti")
-    l, r = only(a, b).withColumnRenamed("date", "left_date"), only(b, a)
-    near = r.withColumn("left_date", F.explode(F.sequence(F.date_sub("date", tolerance), F.date_add("date", tolerance)))).withColumnRenamed("date", "right_date")
-    gap = F.abs(F.datediff("left_date", "right_date"))
-    rest = l.join(near, ["key", "state", "left_date"]).withColumn("gap", gap).select("key", "state", "left_date", "right_date", "gap")
-    from lacuna.operators.graph import cut
-
-    rest, taken = cut(rest), []
-    order = [F.col("gap"), F.col("left_date"), F.col("right_date")]
-    for _ in range(rounds):
-        if not rest.limit(1).count():
-            break
-        best = rest.withColumn("_l", F.row_number().over(Window.partitionBy("key", "left_date").orderBy(*order))).withColumn("_r", F.row_number().over(Window.partitionBy("key", "right_date").orderBy(*order)))
-        won = cut(best.where("_l = 1 and _r = 1").drop("_l", "_r"))
-        taken.append(won)
-        rest = cut(rest.join(won.select("key", "left_date"), ["key", "left_date"], "left_anti").join(won.select("key", "right_date"), ["key", "right_date"], "left_anti"))
-    pairs = reduce(DataFrame.unionByName, taken) if taken else rest
-    null = F.lit(None).cast("date")
-    alone_l = l.join(pairs, ["key", "left_date"], "left_anti").select("key", "state", "left_date", null.alias("right_date"), F.lit(None).cast("int").alias("gap"))
-    alone_r = r.withColumnRenamed("date", "right_date").join(pairs, ["key", "right_date"], "left_anti").select("key", "state", null.alias("left_date"), "right_date", F.lit(None).cast("int").alias("gap"))
+    only = lambda x, y, side: x.join(y.select("key", "date"), ["key", "date"], "left_anti").withColumn("side", F.lit(side))
+    rest = only(a, b, "l").unionByName(only(b, a, "r"))
+    pairs = []
+    for gap in range(1, tolerance + 1):
+        line = Window.partitionBy("key", "state", F.pmod(F.unix_date("date"), F.lit(gap))).orderBy("date")
+        before = F.lag(F.struct("date", "side")).over(line)
+        starts = F.when((F.datediff("date", before["date"]) == gap) & (before["side"] != F.col("side")), 0).otherwise(1)
+        chains = rest.withColumn("_new", starts).withColumn("_chain", F.sum("_new").over(line))
+        own = Window.partitionBy("key", "state", F.pmod(F.unix_date("date"), F.lit(gap)), "_chain").orderBy("date")
+        placed = chains.withColumn("_at", F.row_number().over(own)).withColumn("_next", F.lead("date").over(own)).withColumn("_first", F.col("_at") % 2 == 1)
+        placed = cut(placed.withColumn("_paired", ~F.col("_first") | F.col("_next").isNotNull()).select("key", "date", "state", "side", "_next", "_first", "_paired"))
+        won = placed.where("_first and _paired")
+        day = lambda side: F.when(F.col("side") == side, F.col("date")).otherwise(F.col("_next"))
+        pairs.append(won.select("key", "state", day("l").alias("left_date"), day("r").alias("right_date"), F.lit(gap).alias("gap")))
+        rest = placed.where("not _paired").select("key", "date", "state", "side")
+    day = lambda side: F.when(F.col("side") == side, F.col("date"))
+    alone = rest.select("key", "state", day("l").alias("left_date"), day("r").alias("right_date"), F.lit(None).cast("int").alias("gap"))
     two = a.join(b.withColumnRenamed("state", "other"), ["key", "date"]).where("state <> other").select("key", F.concat("state", F.lit("/"), "other").alias("state"), F.col("date").alias("left_date"), F.col("date").alias("right_date"), F.lit(None).cast("int").alias("gap"))
-    return pairs.unionByName(alone_l).unionByName(alone_r).unionByName(two)
+    return reduce(DataFrame.unionByName, [*pairs, alone, two])
 
 
 def exam_dates_in_cells(df: DataFrame, key: str, column: str, year: Column) -> DataFrame:
-    """Per key the first and last day that cells name: "Monday 12/14", or "Monday, Dec 14[, 2026]"; another year's are not read."""
-    day = r"(?i)^(?:Mon|Tues|Tue|Wednes|Wed|Thurs|Thu|Fri)[a-z]*"
-    slash, named = day + r"\s+([0-9]{1,2})/([0-9]{1,2})$", day + r",?\s+([A-Za-z]{3,})\.?\s+([0-9]{1,2})(?:,\s*([0-9]{4}))?$"
-    part = lambda p, i: F.nullif(F.regexp_extract(column, p, i), F.lit(""))
-    short = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
-    month = F.nullif(F.array_position(short, F.lower(F.substring(part(named, 1), 1, 3))), F.lit(0)).cast("int")
-    other = F.coalesce(part(named, 3).cast("int") != year, F.lit(False))
-    made = F.when(F.col(column).rlike(slash), F.expr("null")).cast("date")
-    date = F.when(F.col(column).rlike(slash), F.try_make_date(year, part(slash, 1).cast("int"), part(slash, 2).cast("int")) if hasattr(F, "try_make_date") else F.make_date(year, part(slash, 1).cast("int"), part(slash, 2).cast("int"))).when(month.isNotNull() & ~other, F.make_date(year, month, part(named, 2).cast("int"))).otherwise(made)
-    return df.withColumn("_d", date).where("_d is not null").groupBy(key).agg(F.min("_d").alias("first"), F.max("_d").alias("last"), F.countDistinct("_d").alias("days"))
+    """Per key the first and last day that cells name: "Monday 12/14", or "Monday, Dec 14[, 2026]"; another year's are not read.
+
+    A cell is read as tokens, commas and stops aside: a working day's name, then two numbers around a slash, or a month's
+    name (its first three letters count) and a day, with or without the year.
+    """
+    t = F.filter(tokens_of(F.col(column)), lambda x: ~x.isin(",", "."))
+    at = lambda i: F.get(t, F.lit(i))
+    number = lambda x: x.try_cast("int")
+    named = F.nullif(F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), F.left(at(1), F.lit(3))), F.lit(0)).cast("int")
+    working = F.left(at(0), F.lit(3)).isin(*WORKING_DAYS)
+    slash = (F.size(t) == 4) & (at(2) == "/")
+    spelled = named.isNotNull() & ((F.size(t) == 3) | (F.size(t) == 4) & (number(at(3)) == year))
+    date = F.when(working & slash, F.struct(number(at(1)).alias("m"), number(at(3)).alias("d"))).when(working & spelled, F.struct(named.alias("m"), number(at(2)).alias("d")))
+    rows = df.withColumn("_p", date).withColumn("_d", F.format_string("%04d-%02d-%02d", year, F.col("_p.m"), F.col("_p.d")).try_cast("date"))
+    return rows.where("_p.m is not null and _d is not null").groupBy(key).agg(F.min("_d").alias("first"), F.max("_d").alias("last"), F.countDistinct("_d").alias("days"))
 
 
 def column_of(cells: DataFrame, header: str) -> DataFrame:

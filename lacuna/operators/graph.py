@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lacuna.functions.scalars import DETOUR
+
 _OWN: dict[str, str] = {}
 
 
@@ -74,40 +78,146 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(best), "label", "left_semi")
 
 
-def bounded_distances(edges: DataFrame, sources: DataFrame, ceiling: float) -> DataFrame:
+def bounded_distances(edges: DataFrame, sources: DataFrame, ceiling: float, width: float | None = None) -> DataFrame:
     """Shortest distances of (source, node) up to the ceiling. ``sources``: source, node, cost.
 
-    Each round extends what got nearer in the last one, so it ends once nothing does.
+    Distances are settled in bands of ``width`` (the least weight; a 32nd of the ceiling, if that is more). A band
+    takes what earlier ones offered for it, drops nodes that are settled, and is written once, with what it offers to
+    later bands, each into the folder of its band; nothing that is written is read for another purpose or written again.
+    Where an edge can be shorter than a band, the band's own rows are relaxed over such edges until none gets nearer,
+    before it is written.
     """
-    best = cut(sources.where(F.col("cost") <= ceiling).groupBy("source", "node").agg(F.min("cost").alias("dist")))
-    frontier = best
-    while frontier.limit(1).count():
-        reach = frontier.join(edges, frontier.node == edges.src).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist")).where(F.col("dist") <= ceiling)
-        reach = reach.groupBy("source", "node").agg(F.min("dist").alias("new"))
-        nearer = reach.join(best, ["source", "node"], "left").where("dist is null or new < dist").select("source", "node", F.col("new").alias("dist"))
-        frontier = cut(nearer)
-        best = cut(best.unionByName(frontier).groupBy("source", "node").agg(F.min("dist").alias("dist")))
-    return best
-
-
-def prune_to_reach(edges: DataFrame, doors: DataFrame, reach: float) -> DataFrame:
-    """Edges between nodes within reach of a door. ``doors``: node."""
-    near = bounded_distances(edges, doors.select(F.lit(0).alias("source"), "node", F.lit(0).alias("cost")), reach).select("node")
-    return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    spark = edges.sparkSession
+    both = cut(edges.groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst"))
+    least = both.agg(F.min("w")).first()[0]
+    width = width or max(least or 0, ceiling / 32) or 1
+    band = lambda d: F.floor(d / F.lit(width)).cast("long")
+    stay = both.select("src").distinct().select("src", F.col("src").alias("node"), F.lit(0).cast(both.schema["w"].dataType).alias("w"), F.lit(True).alias("own"))
+    steps, light = cut(both.select("src", F.col("dst").alias("node"), "w", F.lit(False).alias("own")).unionByName(stay)), both.where(F.col("w") < width)
+    path = f"{scratch(spark)}/bands-{uuid.uuid4().hex}"
+    start = sources.where(F.col("cost") <= ceiling).groupBy("source", "node").agg(F.min("cost").alias("dist"))
+    # one type for all bands: that of a cost and a weight together
+    start = start.select("source", "node", (F.col("dist") + F.lit(0).cast(both.schema["w"].dataType)).alias("dist"))
+    schema = start.schema
+    put = lambda rows: rows.write.mode("append").partitionBy("own", "band").parquet(path)
+    put(start.select("*", F.lit(False).alias("own"), band(F.col("dist")).alias("band")))
+    for at in range(int(ceiling // width) + 1):  # 33 at most, unless a width is given
+        try:
+            offers = spark.read.schema(schema).parquet(f"{path}/own=false/band={at}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # nothing was offered for this band
+        opened = offers.groupBy("source", "node").agg(F.min("dist").alias("dist"))
+        settled = _settled(spark, path, schema)
+        fresh = lambda rows, settled=settled: rows if settled is None else rows.join(settled, ["source", "node"], "left_anti")
+        opened = fresh(opened)
+        if least is not None and least < width:
+            opened = _relaxed(opened, light, lambda rows, at=at, fresh=fresh: fresh(rows.where(band(F.col("dist")) == at)))
+        reach = opened.withColumnRenamed("node", "at").join(steps, F.col("at") == F.col("src"), "left")
+        rows = reach.select("source", F.coalesce("node", "at").alias("node"), (F.col("dist") + F.coalesce("w", F.lit(0))).alias("dist"), F.coalesce("own", F.lit(True)).alias("own"))
+        rows = rows.where(F.col("dist") <= ceiling).groupBy("source", "node", "own").agg(F.min("dist").alias("dist"))
+        put(rows.select("source", "node", F.col("dist").cast(schema["dist"].dataType).alias("dist"), "own", band(F.col("dist")).alias("band")))
+    settled = _settled(spark, path, schema)
+    return settled if settled is not None else spark.createDataFrame([], schema)
+
+
+def _settled(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/own=true").select(*schema.names)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _relaxed(opened: DataFrame, light: DataFrame, inside) -> DataFrame:
+    """The rows of one band with the least distances that edges inside it allow; ``inside`` keeps what lies in the band."""
+    front = cut(opened)
+    found = [front]
+    while True:
+        best = reduce(DataFrame.unionByName, found).groupBy("source", "node").agg(F.min("dist").alias("dist"))
+        reach = front.join(light, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"))
+        reach = inside(reach.groupBy("source", "node").agg(F.min("dist").alias("dist"))).withColumnRenamed("dist", "new")
+        front = cut(reach.join(best, ["source", "node"], "left").where("dist is null or new < dist").select("source", "node", F.col("new").alias("dist")))
+        if not front.limit(1).count():
+            return best
+        found.append(front)
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, radius: float = 150.0, cell: float = 60.0) -> DataFrame:
-    """The nearest node within the radius of each point (null if none), exactly: all cells that the radius reaches.
+def nearest_node(points: DataFrame, nodes: DataFrame, radius: float | None = 150.0, cell: float = 60.0) -> DataFrame:
+    """The nearest node of each point, exactly, within the radius (null if none), or at any distance without one.
 
-    ``points``: id, x, y; ``nodes``: node, x, y.
+    ``points``: id, x, y; ``nodes``: node, x, y. Ties go to the smaller node; a point without coordinates has none.
     """
+    found = _nearest_within(points, nodes, radius, cell) if radius is not None else _nearest_any(points, nodes, cell)
+    found = found.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "node", "metres")
+    return points.join(found, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").drop("_x", "_y")
+
+
+def _cell(c: str, size: float) -> Column:
+    return F.floor(F.col(c) / F.lit(size)).cast("long")
+
+
+def _nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("node", F.col("x").cast("double").alias("nx"), F.col("y").cast("double").alias("ny")).where("nx is not null and ny is not null")
+
+
+def _metres() -> Column:
+    return F.sqrt((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")))
+
+
+def _nearest_within(points: DataFrame, nodes: DataFrame, radius: float, cell: float) -> DataFrame:
     rings = int(-(-radius // cell))
-    place = lambda c: F.floor(F.col(c) / cell).cast("long")
-    n = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"), place("x").alias("cx"), place("y").alias("cy"))
-    p = points.withColumn("cx", F.explode(F.sequence(place("x") - rings, place("x") + rings))).withColumn("cy", F.explode(F.sequence(place("y") - rings, place("y") + rings)))
-    d = F.sqrt((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny")))
-    best = p.join(n, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= radius).groupBy("id").agg(F.min(F.struct("d", "node")).alias("b"))
-    return points.join(best, "id", "left").select(*points.columns, F.col("b.node").alias("node"), F.col("b.d").alias("metres"))
+    n = _nodes(nodes).withColumn("cx", _cell("nx", cell)).withColumn("cy", _cell("ny", cell))
+    around = lambda c: F.explode(F.sequence(_cell(c, cell) - rings, _cell(c, cell) + rings))
+    spots = points.select("x", "y").where("x is not null and y is not null").distinct().withColumn("cx", around("x")).withColumn("cy", around("y"))
+    best = spots.join(n, ["cx", "cy"]).withColumn("d", _metres()).where(F.col("d") <= radius).groupBy("x", "y").agg(F.min(F.struct("d", "node")).alias("b"))
+    return best.select("x", "y", "b.node", F.col("b.d").alias("metres"))
+
+
+def _nearest_any(points: DataFrame, nodes: DataFrame, cell: float) -> DataFrame:
+    """Rounds over cells that grow fourfold, for the spots still without a certain node.
+
+    A spot looks at its own cell and the eight around it. These hold boxes, the bounds of the nodes in a sixteenth of a
+    cell; a box whose near side is farther than some box's far corner is out, and only the nodes in what is left meet the
+    spot. What is found within a cell's length is certain, as no other cell comes so near. The last cells hold everything.
+    """
+    n = cut(_nodes(nodes))
+    pending = cut(points.select("x", "y").where("x is not null and y is not null").distinct())
+    ends = [F.min(c).alias(f"{c}0") for c in ("x", "y")] + [F.max(c).alias(f"{c}1") for c in ("x", "y")]
+    ends = pending.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).unionByName(n.select(F.col("nx").alias("x"), F.col("ny").alias("y"))).agg(*ends).first()
+    extent = max(ends["x1"] - ends["x0"], ends["y1"] - ends["y0"]) if ends["x0"] is not None else 0
+    found, size = [], cell
+    while True:
+        part = size / 4 if size > cell else size
+        boxes = n.groupBy(_cell("nx", part).alias("bx"), _cell("ny", part).alias("by")).agg(*[f(c).alias(f"{c}{i}") for c in ("nx", "ny") for i, f in enumerate((F.min, F.max))])
+        share = F.lit(size / part)
+        boxes = boxes.withColumn("cx", F.floor(F.col("bx") / share).cast("long")).withColumn("cy", F.floor(F.col("by") / share).cast("long"))
+        around = lambda c, size=size: F.explode(F.sequence(_cell(c, size) - 1, _cell(c, size) + 1))
+        low = lambda c: F.greatest(F.col(f"n{c}0") - F.col(c), F.col(c) - F.col(f"n{c}1"), F.lit(0.0))
+        high = lambda c: F.greatest(F.abs(F.col(f"n{c}0") - F.col(c)), F.abs(F.col(f"n{c}1") - F.col(c)))
+        near = pending.withColumn("cx", around("x")).withColumn("cy", around("y")).join(boxes, ["cx", "cy"])
+        near = near.select("x", "y", "bx", "by", F.sqrt(low("x") * low("x") + low("y") * low("y")).alias("low"), F.sqrt(high("x") * high("x") + high("y") * high("y")).alias("high"))
+        near = near.withColumn("most", F.min("high").over(Window.partitionBy("x", "y"))).where("low <= most + 1e-6").select("x", "y", "bx", "by")
+        inside = n.withColumn("bx", _cell("nx", part)).withColumn("by", _cell("ny", part))
+        best = near.join(inside, ["bx", "by"]).withColumn("d", _metres()).groupBy("x", "y").agg(F.min(F.struct("d", "node")).alias("b")).select("x", "y", "b.node", F.col("b.d").alias("metres"))
+        last = size > extent
+        best = cut(best if last else best.where(F.col("metres") <= size))
+        found.append(best)
+        if last:
+            return reduce(DataFrame.unionByName, found)
+        pending = cut(pending.join(best, ["x", "y"], "left_anti"))
+        if not pending.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        size *= 4
+
+
+def prune_to_reach(edges: DataFrame, nodes: DataFrame, doors: DataFrame, reach: float) -> DataFrame:
+    """Edges between nodes within reach of a door's nearest node, however far that is. ``doors``: x, y."""
+    snapped = nearest_node(doors.select("x", "y").distinct().withColumn("id", F.lit(0)), nodes, None).where("node is not null")
+    near = bounded_distances(edges, snapped.select(F.lit(0).alias("source"), "node", F.lit(0).alias("cost")), reach).select("node")
+    return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
 def graph_funnel(edges: DataFrame) -> DataFrame:
@@ -116,43 +226,104 @@ def graph_funnel(edges: DataFrame) -> DataFrame:
     return degree.groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-def contract_degree2(edges: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+def _runs(edges: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """src, first, head, prev, dist of every arc (src, first) that is followed over nodes of degree 2 to an end, and the
+    arcs of rings, which have none. ``edges``: each pair once a direction; ``ends``: node.
+
+    Pointer doubling: in each round an arc takes over what the arc after its head has reached, so runs of any length take
+    as many rounds as their length has binary digits. Once a round brings no arc to an end, what is left are rings.
+    """
+    mark = ends.select(F.col("node").alias("head"), F.lit(True).alias("_end"))
+    arcs = edges.select("src", F.col("dst").alias("first"), F.col("dst").alias("head"), F.col("src").alias("prev"), F.col("w").alias("dist"))
+    state = cut(arcs.join(mark, "head", "left").withColumn("done", F.col("_end").isNotNull()).drop("_end"))
+    left = state.where("not done").count()
+    while left:
+        step = state.select(F.col("src").alias("_s"), F.col("first").alias("_f"), F.col("head").alias("_h"), F.col("prev").alias("_p"), F.col("dist").alias("_d"), F.col("done").alias("_done"))
+        moved = state.where("not done").join(step, (F.col("head") == F.col("_s")) & (F.col("prev") != F.col("_f")))
+        moved = moved.select("src", "first", F.col("_h").alias("head"), F.col("_p").alias("prev"), (F.col("dist") + F.col("_d")).alias("dist"), F.col("_done").alias("done"))
+        state = cut(state.where("done").unionByName(moved))
+        before, left = left, state.where("not done").count()
+        if left == before:
+            break
+    return state.where("done").drop("done"), state.where("not done").drop("done")
+
+
+def _ends(edges: DataFrame, pinned: DataFrame | None) -> DataFrame:
+    ends = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").select(F.col("src").alias("node"))
+    return cut(ends.unionByName(pinned.select("node")).distinct() if pinned is not None else ends)
+
+
+def pins(edges: DataFrame, longest: float, pinned: DataFrame | None = None) -> DataFrame:
+    """node: where runs of degree-2 nodes are cut, so that no folded edge gets longer than ``longest`` (a single step may be).
+
+    A run is followed from its lesser end; a node is a cut if the next one, or the run's other end, lies farther than
+    ``longest`` from the cut before. Running sums come from pointer doubling, and so do the cuts: each node knows the cut
+    that would follow it, and the cuts that follow from the run's start are found 1, 2, 4, ... at a time. The next cut is
+    sought in a window over one run, a sorted stream.
+    """
+    arcs, _ = _runs(edges, _ends(edges, pinned))
+    free = arcs.join(_ends(edges, pinned).withColumnRenamed("node", "src"), "src", "left_anti")
+    way = F.struct("head", "prev", "dist")
+    nodes = free.groupBy(F.col("src").alias("node")).agg(F.min(way).alias("a"), F.max(way).alias("b"))
+    nodes = nodes.select("node", F.struct(F.col("a.head").alias("h1"), F.col("a.prev").alias("p1"), F.col("b.head").alias("h2"), F.col("b.prev").alias("p2")).alias("run"), F.col("a.dist").cast("double").alias("at"), (F.col("a.dist") + F.col("b.dist")).cast("double").alias("total"))
+    starts = nodes.groupBy("run").agg(F.max("total").alias("total")).select(F.lit(None).cast(nodes.schema["node"].dataType).alias("node"), "run", F.lit(0.0).alias("at"), "total")
+    both = nodes.unionByName(starts)
+    by = Window.partitionBy("run").orderBy("at")
+    reach = F.expr(f"max(struct(at, node)) over (partition by run order by at range between current row and {float(longest)}D following)")
+    after = F.lead(F.struct("at", "node")).over(by)
+    follow = F.when(reach["at"] > F.col("at"), reach).otherwise(after)
+    jumps = cut(both.withColumn("next", F.when(F.col("total") - F.col("at") > longest, follow["node"])).where("next is not null").select("node", "next"))
+    found = cut(jumps.where("node is null").select(F.col("next").alias("node")))
+    jumps, n = jumps.where("node is not null"), -1
+    while (now := found.count()) != n:
+        n = now
+        found = cut(found.unionByName(found.join(jumps, "node").select(F.col("next").alias("node"))).distinct())
+        jumps = cut(jumps.alias("a").join(jumps.alias("b"), F.col("a.next") == F.col("b.node")).select("a.node", "b.next"))
+    return found
+
+
+def contract_degree2(edges: DataFrame, pinned: DataFrame | None = None, longest: float | None = None) -> DataFrame:
     """Edges (src, dst, w, both ways) with runs of degree-2 nodes folded into one, weights summed, the least for each pair.
 
-    Kept are nodes of another degree and ``pinned`` ones (node); of a ring without such, two nodes and the shorter way
-    between them. In each round a degree-2 node gives way to an edge between its neighbours if none of these that may
-    go too comes before it in the order of a hash, so a few rounds do for runs of any length.
+    Kept are nodes of another degree and ``pinned`` ones (node), and with ``longest`` the cuts that ``pins`` makes. A run
+    that returns to where it started, and a ring without a kept node, carry no way between nodes and leave no edge.
     """
     both = cut(edges.groupBy("src", "dst").agg(F.min("w").alias("w")).where("src <> dst"))
-    while True:
-        degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dst", "w")).alias("a"), F.max(F.struct("dst", "w")).alias("b")).where("n = 2")
-        free = degree.select(F.col("src").alias("node"), F.col("a.dst").alias("a"), F.col("b.dst").alias("b"), (F.col("a.w") + F.col("b.w")).alias("w"))
-        if pinned is not None:
-            free = free.join(pinned.select("node").distinct(), "node", "left_anti")
-        free = cut(free)
-        order = lambda c: F.struct(F.xxhash64(c), F.col(c))
-        nearby = free.select("node", F.explode(F.array("a", "b")).alias("next")).join(free.select(F.col("node").alias("next")), "next").where(order("next") < order("node")).select("node").distinct()
-        gone = cut(free.join(nearby, "node", "left_anti"))
-        if not gone.limit(1).count():
-            return both
-        new = gone.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e"), "w").select("e.src", "e.dst", "w").where("src <> dst")
-        kept = both.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti")
-        both = cut(kept.unionByName(new).groupBy("src", "dst").agg(F.min("w").alias("w")))
-
-
-def routed_walks(origins: DataFrame, doors: DataFrame, edges: DataFrame, ceiling: float) -> DataFrame:
-    """Per origin and place the least of the leg to the graph, the way through it and the leg from it to a door.
-
-    ``origins``: source, node, leg; ``doors``: place_id, node, leg. Pairs beyond the ceiling have no row.
+    if longest is not None:
+        more = pins(both, longest, pinned)
+        pinned = more if pinned is None else pinned.select("node").unionByName(more)
+    ends = _ends(both, pinned)
+    arcs, _ = _runs(both, ends)
+    kept = arcs.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").where("src <> head")
+    return kept.groupBy("src", F.col("head").alias("dst")).agg(F.min("dist").alias("w"))
+
+
+def routed_walks(origins: DataFrame, doors: DataFrame, nodes: DataFrame, edges: DataFrame, ceiling: float, snap: float = 150.0, detour: float = DETOUR) -> DataFrame:
+    """A row for each origin and place: source, place_id, routed, straight, metres, how.
+
+    ``origins``: source, x, y; ``doors``: place_id, x, y; ``nodes``: node, x, y. Origins and doors stand on the graph at
+    their nearest node within ``snap`` metres. ``routed`` is the least of the leg to the graph, the way through it (up to
+    the ceiling, the first leg included) and the leg to a door; ``straight`` goes to the nearest door. ``metres`` is the
+    routed walk or else the straight one with a detour; ``how`` says why: routed, off-graph (the origin or all doors stand
+    off the graph), beyond (no way within the ceiling).
     """
-    far = bounded_distances(edges, origins.select("source", "node", F.col("leg").alias("cost")), ceiling)
-    rows = far.join(doors.select("place_id", "node", "leg"), "node").withColumn("metres", F.col("dist") + F.col("leg"))
-    return rows.where(F.col("metres") <= ceiling).groupBy("source", "place_id").agg(F.min("metres").alias("metres"))
-
-
-def graph_passes(edges: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
+    start = nearest_node(origins.select("source", "x", "y"), nodes, snap).where("node is not null")
+    land = cut(nearest_node(doors.select("place_id", "x", "y").distinct(), nodes, snap).where("node is not null"))
+    far = bounded_distances(edges, start.select("source", "node", F.col("metres").alias("cost")), ceiling)
+    routed = far.join(land.select("place_id", "node", "metres"), "node").groupBy("source", "place_id").agg(F.min(F.col("dist") + F.col("metres")).alias("routed"))
+    places = doors.groupBy("place_id").agg(F.collect_list(F.struct("x", "y")).alias("doors")).join(land.select("place_id").distinct().withColumn("_lands", F.lit(True)), "place_id", "left")
+    stands = start.select("source").distinct().withColumn("_stands", F.lit(True))
+    legs = F.transform("doors", lambda d: F.sqrt((d["x"] - F.col("x")) * (d["x"] - F.col("x")) + (d["y"] - F.col("y")) * (d["y"] - F.col("y"))))
+    pairs = origins.select("source", "x", "y").join(stands, "source", "left").crossJoin(places)  # every pair is asked for
+    pairs = pairs.select("source", "place_id", F.array_min(legs).alias("straight"), (F.col("_stands").isNotNull() & F.col("_lands").isNotNull()).alias("_on"))
+    out = pairs.join(routed, ["source", "place_id"], "left")
+    how = F.when(F.col("routed").isNotNull(), "routed").when(F.col("_on"), "beyond").otherwise("off-graph")
+    return out.select("source", "place_id", "routed", "straight", F.coalesce("routed", F.col("straight") * detour).alias("metres"), how.alias("how"))
+
+
+def graph_passes(edges: DataFrame, pinned: DataFrame | None = None, longest: float | None = None) -> DataFrame:
     """Nodes and edges (each pair once) of a graph, of its largest component, and of that with runs of degree 2 folded."""
     inside = largest_component(edges).select("node")
-    big = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi")
+    big = cut(edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi"))
     count = lambda e, name: e.agg(F.lit(name).alias("stage"), F.countDistinct("src").alias("nodes"), F.count_if(F.col("src") < F.col("dst")).alias("edges"))
-    return count(edges, "all").unionByName(count(big, "largest")).unionByName(count(contract_degree2(big, pinned), "contracted"))
+    return count(edges, "all").unionByName(count(big, "largest")).unionByName(count(contract_degree2(big, pinned, longest), "contracted"))

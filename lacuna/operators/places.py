@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.functions.scalars import DAY, clock_to_minutes
+from lacuna.functions.scalars import CAPITALS, DASHES, DAY, DIGITS, MONTHS, clock_to_minutes, tokens_of, words_of
 
 CLOCK = r"[0-9]{1,2}(?::[0-9]{2})?\s*[AaPp]\.?\s*[Mm]\.?"
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 def _close(text: Column) -> Column:
@@ -22,16 +21,17 @@ def _close(text: Column) -> Column:
 def range_to_span(text: Column, overnight: bool = False) -> Column:
     """``7am-10pm`` as struct(open, close, error): closed is a null pair without an error, what can't be read has one.
 
-    With ``overnight`` a close at or before the open is the next day's, else it is an error.
+    The two times stand on either side of one dash of any length, or of the word "to". With ``overnight`` a close at or
+    before the open is the next day's, else it is an error.
     """
-    clean = F.regexp_replace(F.trim(text), r"\.$", "")
-    pattern = r"(?i)^(.+?)\s*(?:-|–|—|\bto\b)\s*(.+)$"
-    first, second = F.regexp_extract(clean, pattern, 1), F.regexp_extract(clean, pattern, 2)
-    open_, close = clock_to_minutes(first), clock_to_minutes(second) if overnight else _close(second)
+    flat = F.rtrim(F.lower(F.trim(text)), F.lit("."))
+    sides = F.transform(F.split(F.replace(F.translate(flat, DASHES, "---"), F.lit(" to "), F.lit("-")), "-"), lambda x: F.trim(x))
+    from_, until = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
+    open_, close = clock_to_minutes(from_), clock_to_minutes(until) if overnight else _close(until)
     late = F.when(close <= open_, close + DAY).otherwise(close) if overnight else close
-    closed = F.lower(clean) == "closed"
+    closed = flat == "closed"
     error = (
-        F.when(text.isNull() | (clean == ""), "empty").when(closed, None).when(first == "", "separator").when(open_.isNull(), "open").when(close.isNull(), "close").when(late <= open_, "order")
+        F.when(text.isNull() | (flat == ""), "empty").when(closed, None).when(F.size(sides) != 2, "separator").when(open_.isNull(), "open").when(close.isNull(), "close").when(late <= open_, "order")
     )
     good = error.isNull() & ~closed
     return F.struct(F.when(good, open_).alias("open"), F.when(good, late).cast("int").alias("close"), error.alias("error"))
@@ -56,29 +56,67 @@ def feed_day_hours(status: Column, hours: Column, text: Column) -> Column:
 
 
 def title_parts(title: Column) -> Column:
-    """``Name (ABBR) | address`` as struct(name, abbr, address), null without an abbreviation."""
-    pattern = r"^(.*?)\s*\(([A-Z0-9]{1,4})\)\s*\|?\s*(.*)$"
-    clean = F.trim(F.regexp_replace(title, r"\s+", " "))
-    part = lambda i: F.trim(F.regexp_extract(clean, pattern, i))
-    return F.when(clean.rlike(pattern), F.struct(part(1).alias("name"), part(2).alias("abbr"), F.nullif(part(3), F.lit("")).alias("address")))
+    """``Name (ABBR) | address`` as struct(name, abbr, address), null without an abbreviation.
 
+    What comes before the bar is split at its last bracket, which holds up to four capitals and digits; what follows the
+    bracket there, and the bar, is the address.
+    """
+    flat = F.array_join(words_of(title), " ")
+    head, bar = F.substring_index(flat, "|", 1), F.instr(flat, "|")
+    inside = F.substring_index(head, "(", -1)
+    abbr, behind = F.substring_index(inside, ")", 1), F.substring(inside, F.instr(inside, ")") + 1, F.length(inside))
+    name = F.trim(F.left(head, F.length(head) - F.length(inside) - 1))
+    address = F.trim(F.concat(F.trim(behind), F.when(bar > 0, F.substring(flat, bar + 1, F.length(flat))).otherwise("")))
+    good = (F.instr(head, "(") > 0) & (F.instr(inside, ")") > 0) & F.length(abbr).between(1, 4) & (F.translate(abbr, CAPITALS + DIGITS, "") == "")
+    return F.when(good, F.struct(name.alias("name"), abbr.alias("abbr"), F.nullif(address, F.lit("")).alias("address")))
 
-def date_ranges(df: DataFrame, column: str, key: str) -> DataFrame:
-    """key, first, last of each range in a line, the year or month taken over from its other end; without a year none.
 
-    What follows "close on" is no range.
+def _date(year: Column, month: Column, day: Column) -> Column:
+    """The date, null where there is none such."""
+    return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date"))
+
+
+def dated_lines(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ranges (array of struct(first, last)) and early of each line such as "March 12-20, 2027".
+
+    The line is read as tokens. A date is a month's name and a day, or a day behind a dash, with the year that follows a
+    comma. Two dates with a dash between them are a range, any other named one is a day. A year or month that one end
+    lacks is the other end's (a start in a later month than the end is in the year before); without any year a date is
+    not read. A date behind the words "close on" is none of the ranges but an early close, in the year in which the last
+    range starts.
     """
-    month = "(" + "|".join(MONTHS) + ")"
-    body = F.regexp_replace(F.col(column), rf"(?is)close on\s+{month}\s+[0-9].*$", "")
-    pattern = rf"(?i){month}\s+([0-9]{{1,2}})(?:,\s*([0-9]{{4}}))?(?:\s*-\s*(?:{month}\s+)?([0-9]{{1,2}})(?:,\s*([0-9]{{4}}))?)?"
-    found = df.select(key, F.explode(F.regexp_extract_all(body, F.lit(pattern), 0)).alias("r"))
-    part = lambda i: F.nullif(F.regexp_extract("r", pattern, i), F.lit(""))
-    number = lambda c: F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(c)).cast("int")
-    m0, m1 = number(part(1)), number(F.coalesce(part(4), part(1)))
-    y1 = F.coalesce(part(6), part(3)).cast("int")
-    y0 = F.coalesce(part(3).cast("int"), F.when(m1 < m0, y1 - 1).otherwise(y1))
-    out = found.select(key, F.make_date(y0, m0, part(2).cast("int")).alias("first"), F.make_date(y1, m1, F.coalesce(part(5), part(2)).cast("int")).alias("last"))
-    return out.where("last is not null")
+    number = lambda x: x.try_cast("int")
+    month = lambda x: F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), x), F.lit(0)).cast("int")
+    is_day = lambda x: (F.length(x) <= 2) & number(x).isNotNull()
+    at = lambda i: F.get("_t", i)
+
+    def atom(x: Column, i: Column) -> Column:
+        """The date whose first token is the i-th, or null: where it stands, which token follows it, and what it says."""
+        named = month(x).isNotNull() & is_day(at(i + 1))
+        last = F.when(named, i + 1).when(is_day(x) & (i > 0) & (at(i - 1) == "-"), i)
+        has_year = F.coalesce((at(last + 1) == ",") & (F.length(at(last + 2)) == 4) & number(at(last + 2)).isNotNull(), F.lit(False))
+        early = F.coalesce(named & (i > 1) & (at(i - 1) == "on") & (at(i - 2) == "close"), F.lit(False))
+        return F.when(last.isNotNull(), F.struct(i.alias("at"), month(x).alias("month"), number(at(last)).alias("day"), F.when(has_year, number(at(last + 2))).alias("year"), (last + F.when(has_year, 3).otherwise(1)).alias("next"), early.alias("early")))
+
+    rows = df.withColumn("_t", tokens_of(F.col(column))).withColumn("_a", F.array_compact(F.transform("_t", atom)))
+    rows = rows.withColumn("_e", F.get(F.filter("_a", lambda a: a["early"]), F.lit(0)))
+    rows = rows.withColumn("_a", F.filter("_a", lambda a: F.col("_e").isNull() | (a["at"] < F.col("_e.at"))))
+    # each date with the one that a dash joins to it
+    joins = lambda a, b: (b["at"] == a["next"] + 1) & (at(a["next"]) == "-")
+    rows = rows.withColumn("_p", F.transform("_a", lambda a, i: F.struct(a.alias("a"), F.when(joins(a, F.get("_a", i + 1)), F.get("_a", i + 1)).alias("b"), F.coalesce((i > 0) & joins(F.get("_a", i - 1), a), F.lit(False)).alias("second"))))
+    rows = rows.withColumn("_p", F.transform(F.filter("_p", lambda p: p["a"]["month"].isNotNull() & ~p["second"]), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.coalesce(p["b"]["year"], p["a"]["year"]).alias("year"), F.coalesce(p["b"]["month"], p["a"]["month"]).alias("month"))))
+    begins = lambda p: F.coalesce(p["a"]["year"], p["year"] - F.when(p["month"] < p["a"]["month"], 1).otherwise(0))
+    ranges = F.transform("_p", lambda p: F.struct(_date(begins(p), p["a"]["month"], p["a"]["day"]).alias("first"), _date(p["year"], p["month"], F.coalesce(p["b"]["day"], p["a"]["day"])).alias("last")))
+    rows = rows.withColumn("ranges", F.filter(ranges, lambda r: r["first"].isNotNull() & r["last"].isNotNull()))
+    year = F.year(F.try_element_at("ranges", F.lit(-1))["first"])
+    return rows.withColumn("early", F.when(year.isNotNull(), _date(year, F.col("_e.month"), F.col("_e.day")))).drop("_t", "_a", "_e", "_p")
+
+
+def date_ranges(df: DataFrame, column: str, key: str) -> DataFrame:
+    """key, first, last of each range in a line, and its early close (null: none); see dated_lines."""
+    rows = dated_lines(df.select(key, column), column)
+    # outer: else Spark tests the array's size below all steps, where every step's expression stands inside the next one's
+    return rows.select(key, F.explode_outer("ranges").alias("r"), "early").where("r is not null").select(key, "r.first", "r.last", "early")
 
 
 def rule_days(days: DataFrame, closed: DataFrame, breaks: DataFrame, tables: DataFrame, early: DataFrame, early_close: int = 1200) -> DataFrame:
@@ -131,21 +169,30 @@ def study_fallback(ranked: DataFrame, least: int = 30, limit: int = 2) -> DataFr
     return good.withColumn("place", F.row_number().over(Window.partitionBy("ask_id").orderBy("place")).cast("long")).where(F.col("place") <= limit)
 
 
+def slash_halves(ident: Column) -> Column:
+    """The two ids that a slash form names: A123/45 stands for A123 and A145. Null for any other id.
+
+    The digits behind the last slash take the place of as many at the end of the number before it.
+    """
+    tail = F.substring_index(ident, "/", -1)
+    base = F.left(ident, F.length(ident) - F.length(tail) - 1)
+    digits = F.length(base) - F.length(F.rtrim(base, F.lit(DIGITS)))
+    form = (F.instr(ident, "/") > 0) & (tail != "") & (F.translate(tail, DIGITS, "") == "") & (digits > 0)
+    other = F.concat(F.left(base, F.length(base) - F.least(digits, F.length(tail))), tail)
+    return F.when(form, F.array_distinct(F.array(base, other)))
+
+
 def group_halves(df: DataFrame, keys: Sequence[str] = ("place",)) -> DataFrame:
     """parent, child of split resources. ``df``: keys, id, group flag.
 
-    A parent's halves are ids that go on from its own; a slash form A123/45 stands for A123 and A145. Prefixes are sought
-    among parents alone, by every length that a parent has, so ids meet by equality.
+    A parent's halves are ids that go on from its own, or those that its slash form names, where these exist. Prefixes
+    are sought among parents alone, by every length that a parent has, so ids meet by equality.
     """
     keys = list(keys)
-    slash = r"^(.*?)([0-9]+)/([0-9]+)$"
-    part = lambda i: F.regexp_extract("id", slash, i)
     ids = df.select(*keys, "id").distinct()
-    parents = df.where("group").select(*keys, "id").distinct()
-    named = parents.where(F.col("id").rlike(slash))
-    tail = F.concat(part(1), F.expr("substring(regexp_extract(id, '^(.*?)([0-9]+)/([0-9]+)$', 2), 1, greatest(0, length(regexp_extract(id, '^(.*?)([0-9]+)/([0-9]+)$', 2)) - length(regexp_extract(id, '^(.*?)([0-9]+)/([0-9]+)$', 3))))"), part(3))
-    named = named.select(*keys, F.col("id").alias("parent"), F.explode(F.array_distinct(F.array(F.concat(part(1), part(2)), tail))).alias("id")).join(ids, [*keys, "id"], "left_semi")
-    plain = parents.where(~F.col("id").rlike(slash)).withColumnRenamed("id", "parent")
+    parents = df.where("group").select(*keys, F.col("id").alias("parent"), slash_halves(F.col("id")).alias("_halves")).distinct()
+    named = parents.where("_halves is not null").select(*keys, "parent", F.explode("_halves").alias("id")).where("id <> parent").join(ids, [*keys, "id"], "left_semi")
+    plain = parents.where("_halves is null").drop("_halves")
     lengths = plain.select(*keys, F.length("parent").alias("n")).distinct()
-    starts = ids.join(lengths, keys).where(F.length("id") > F.col("n")).select(*keys, "id", F.expr("substring(id, 1, n)").alias("parent"))
+    starts = ids.join(lengths, keys).where(F.length("id") > F.col("n")).select(*keys, "id", F.left("id", F.col("n")).alias("parent"))
     return named.select(*keys, "parent", F.col("id").alias("child")).unionByName(starts.join(plain, [*keys, "parent"], "left_semi").select(*keys, "parent", F.col("id").alias("child")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalars import DETOUR, PACKUP, planar_m, score_of, tier_of, walk_minutes
+from lacuna.operators.graph import cut
 
 
 def hours_state(open_: str = "open", known: str = "_hours") -> Column:
@@ -94,29 +95,43 @@ def rank(answers: DataFrame, type_rank: dict[str, int]) -> DataFrame:
 
     Rows have ask_id, resource_id, known, listed, wait, meets, walk, usable, need, type, seats.
     """
-    out = answers.withColumn("tier", tier_of(F.col("known"), F.col("wait"), F.col("meets"), F.col("listed"))).withColumn("score", score_of(F.col("walk"), F.col("usable"), F.col("need")))
-    return total_order(out, type_rank)
+    return total_order(scored(answers), type_rank)
+
+
+def _in_order(type_rank: dict[str, int]) -> list[Column]:
+    order = F.coalesce(F.create_map(*[F.lit(x) for kv in type_rank.items() for x in kv])[F.col("type")], F.lit(3))
+    return [F.col("tier").asc(), F.col("score").asc(), F.coalesce("usable", F.lit(0)).desc(), order.asc(), F.col("seats").asc_nulls_last(), F.col("resource_id").asc()]
 
 
 def total_order(rows: DataFrame, type_rank: dict[str, int]) -> DataFrame:
     """``place`` of each row among its question's. Rows have ask_id, resource_id, tier, score, usable, type, seats."""
-    order = F.coalesce(F.create_map(*[F.lit(x) for kv in type_rank.items() for x in kv])[F.col("type")], F.lit(3))
-    by = Window.partitionBy("ask_id").orderBy("tier", "score", F.coalesce("usable", F.lit(0)).desc(), order, F.col("seats").asc_nulls_last(), "resource_id")
+    by = Window.partitionBy("ask_id").orderBy(*_in_order(type_rank))
     return rows.withColumn("place", F.row_number().over(by).cast("long"))
 
 
-def shape(ranked: DataFrame, max_walk: int = 12, limit: int = 40, enough: int = 10, per_place: int | None = None) -> DataFrame:
-    """Rows to show: the best of every place first, then second ones until there are enough; in rank order."""
-    near = ranked.where(F.col("walk") <= max_walk)
-    near = near.withColumn("depth", (F.row_number().over(Window.partitionBy("ask_id", "place_id").orderBy("place")) - 1).cast("long"))
+def scored(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("tier", tier_of(F.col("known"), F.col("wait"), F.col("meets"), F.col("listed"))).withColumn("score", score_of(F.col("walk"), F.col("usable"), F.col("need")))
+
+
+def shape(answers: DataFrame, type_rank: dict[str, int], max_walk: int = 12, limit: int = 40, enough: int = 10, per_place: int | None = None) -> DataFrame:
+    """Rows to show: the best of every place first, then second ones until there are enough; ``shown`` is the rank order.
+
+    Answers are those that ``rank`` takes. No more than ``limit`` rows of a place can be shown, so a row's depth in its
+    place is bounded by a filter that Spark applies to each part before it shuffles; how many rows and places a question
+    has is counted beside it, exactly, over the same written rows.
+    """
+    near = cut(scored(answers.where(F.col("walk") <= max_walk)))
+    order = _in_order(type_rank)
     whole = Window.partitionBy("ask_id")
-    near = near.withColumn("position", F.row_number().over(whole.orderBy("depth", "place")))
+    deep = near.withColumn("depth", F.row_number().over(Window.partitionBy("ask_id", "place_id").orderBy(*order))).where(F.col("depth") <= limit)
+    deep = deep.withColumn("depth", (F.col("depth") - 1).cast("long"))
     if per_place is not None:
-        kept = near.where((F.col("depth") < per_place) & (F.col("position") <= limit))
-    else:
-        n, first = F.count(F.lit(1)).over(whole), F.count_if(F.col("depth") == 0).over(whole)
-        kept = near.withColumn("most", F.greatest(F.least(F.lit(limit), first), F.least(F.lit(min(limit, enough)), n))).where("position <= most").drop("most")
-    return kept.withColumn("shown", F.row_number().over(whole.orderBy("place")).cast("long")).drop("position")
+        deep = deep.where(F.col("depth") < per_place)
+    kept = deep.withColumn("position", F.row_number().over(whole.orderBy("depth", *order))).where(F.col("position") <= limit)
+    if per_place is None:
+        sizes = near.groupBy("ask_id").agg(F.count(F.lit(1)).alias("_n"), F.countDistinct("place_id").alias("_first"))
+        kept = kept.join(sizes, "ask_id").where(F.col("position") <= F.greatest(F.least(F.lit(limit), F.col("_first")), F.least(F.lit(min(limit, enough)), F.col("_n")))).drop("_n", "_first")
+    return kept.withColumn("shown", F.row_number().over(whole.orderBy(*order)).cast("long")).drop("position")
 
 
 def beyond_summary(ranked: DataFrame, max_walk: int = 12) -> DataFrame:
@@ -136,30 +151,63 @@ def tally(rows: DataFrame) -> DataFrame:
     )
 
 
-def fallback_ladder(answers: DataFrame, rungs: list[tuple[str, int, int | None, tuple | None, bool, int]], quorum: int = 3) -> DataFrame:
-    """The first rung with a quorum of answers, else the first with any, its rows in order up to its limit, and its total.
+# fixed values of the ladder
+RELAX = (120, 90, 60, 45, 30, 20)  #: minutes that a shorter stay is offered for
+RELAXED_LEAST = 20  #: minutes that a relaxed answer must leave
+QUORUM = 3  #: answers with which a rung has answered
+RUNGS = ("asked", "any-type", *[f"shorter:{n}" for n in RELAX], "opens-at", "further", "anywhere", "longest")
 
-    ``rungs``: (name, need, max_walk or None, types or None, whether waiting counts, limit); a limit of 1 takes the
-    longest. Answers have ask_id, resource_id, type, walk, wait, usable. All rungs are counted in one window over the
-    question, so answers are shuffled once.
-    """
-    whole = Window.partitionBy("ask_id")
 
-    def holds(need, walk, types, waits):
-        ok = F.col("usable") >= need
-        ok = ok & (F.col("walk") <= walk) if walk is not None else ok
-        ok = ok & F.col("type").isin(*types) if types is not None else ok
-        return ok if waits else ok & (F.col("wait") == 0)
-
-    tests = [holds(*r[1:5]) for r in rungs]
-    rows = answers.select("*", *[F.count_if(t).over(whole).alias(f"_n{i}") for i, t in enumerate(tests)])
-    first = lambda least: F.coalesce(*[F.when(F.col(f"_n{i}") >= least, F.lit(i)) for i in range(len(rungs))])
-    pick = lambda values: F.element_at(F.array(*values), F.col("_rung") + 1)
-    rows = rows.withColumn("_rung", F.coalesce(first(quorum), first(1))).where("_rung is not null").where(pick(tests))
-    rows = rows.withColumn("rung", pick([F.lit(r[0]) for r in rungs])).withColumn("total", pick([F.col(f"_n{i}") for i in range(len(rungs))])).withColumn("_limit", pick([F.lit(r[5]) for r in rungs]))
-    longest = F.when(F.col("_limit") == 1, -F.col("usable")).otherwise(0)
-    by = whole.orderBy(longest, "walk", F.desc("usable"), "resource_id")
-    return rows.withColumn("place", F.row_number().over(by).cast("long")).where(F.col("place") <= F.col("_limit")).drop("_rung", "_limit", *[f"_n{i}" for i in range(len(rungs))])
+def fallback_ladder(cand: DataFrame, type_rank: dict[str, int], preferred: Sequence[str], offerable: Sequence[str], limit: int = 40, quorum: int = QUORUM, packup: int = PACKUP) -> DataFrame:
+    """Of each question's rungs the first with a quorum of answers, else the first with any: its best rows, with
+    ``rung``, ``rung_need`` and ``total``, all answers of the rung.
+
+    ``cand``: a row for each question and resource with ask_id, now, need, radius (minutes to walk), resource_id,
+    place_id, type, seats, known, listed, walk, and the resource's ``gaps`` of the day. Rungs follow from the question:
+    its own need within its radius, of preferred types, then of any offerable one; shorter stays, below its need; what
+    opens later; twice its radius; any distance and wait; last the one best resource for any stay. On rungs for now a
+    resource has to be free on arrival. Where hours are known the rung's need has to be met; where they aren't, less is
+    an answer too. Relaxed answers for a shorter stay, a later opening, or any stay leave at least ``RELAXED_LEAST``.
+
+    A candidate tells by itself, from its first, fitting and longest gap, which rungs it answers. Rungs are counted by
+    conditional counts that Spark sums before it shuffles; then only the winning rung's rows are ranked, and those not
+    among a part's best ``limit`` of a question stay where they are.
+    """
+    now, arrival, need, known, walk, radius = (F.col("now"), F.col("now") + F.col("walk"), F.col("need"), F.col("known"), F.col("walk"), F.col("radius"))
+    left = lambda g: g["gap_end"] - packup - F.greatest(arrival, g["gap_start"])
+    least = lambda n: F.greatest(n, F.lit(1))
+    some = F.transform(F.filter("gaps", lambda g: (g["gap_end"] > now) & (left(g) > 0)), lambda g: F.struct(g["gap_start"], g["gap_end"], left(g).alias("left")))
+    rows = cand.withColumn("_g", F.array_sort(some)).where(F.size("_g") > 0)
+    first = F.get("_g", F.lit(0))
+    rows = rows.withColumn("_first", first).withColumn("_open", F.when(first["gap_start"] <= arrival, first))
+    rows = rows.withColumn("_fit", F.get(F.filter("_g", lambda g: g["left"] >= least(need)), F.lit(0)))
+    rows = rows.withColumn("_long", F.array_min(F.transform("_g", lambda g: F.struct((-g["left"]).alias("l"), g["gap_start"], g["gap_end"], g["left"])))).drop("_g", "gaps")
+
+    def at_once(n: Column, floor: int = 0) -> Column:
+        """Free on arrival, for as long as n; where hours are unknown also as the longest of gaps that are all too short."""
+        own, longest = F.col("_open.left"), F.col("_long.left")
+        return F.coalesce(own >= least(n), F.lit(False)) | (~known & F.coalesce((longest < least(n)) & (own == longest) & (own >= floor), F.lit(False)))
+
+    types, nearby = F.col("type").isin(*offerable), walk <= radius
+    tests = {"asked": at_once(need) & F.col("type").isin(*preferred) & nearby, "any-type": at_once(need) & nearby}
+    tests |= {f"shorter:{n}": (F.lit(n) < need) & at_once(F.lit(n), RELAXED_LEAST) & nearby & (F.col("_open.left") >= RELAXED_LEAST) for n in RELAX}
+    tests |= {"opens-at": F.coalesce(F.col("_fit.left") >= RELAXED_LEAST, F.lit(False)) & nearby, "further": at_once(need) & (walk <= radius * 2), "anywhere": F.col("_fit").isNotNull() | ~known, "longest": F.col("_first.left") >= RELAXED_LEAST}
+    mask = F.array(*[F.coalesce(tests[r] & types, F.lit(False)) for r in RUNGS])
+    rows = cut(rows.withColumn("_on", mask).where(F.exists("_on", lambda x: x)))
+    counts = rows.groupBy("ask_id").agg(F.array(*[F.count_if(F.get("_on", F.lit(i))) for i in range(len(RUNGS))]).alias("_n"))
+    at = lambda n: F.nullif(F.array_position(F.transform("_n", lambda x: x >= n), True), F.lit(0))
+    won = counts.withColumn("_rung", (F.coalesce(at(quorum), at(1)) - 1).cast("int")).withColumn("total", F.get("_n", F.col("_rung"))).drop("_n")
+    rows = rows.join(won, "ask_id").where(F.get("_on", F.col("_rung")))
+    name = F.get(F.array(*[F.lit(r) for r in RUNGS]), F.col("_rung"))
+    needs = F.array(*[F.lit(int(r.split(":")[1])) if ":" in r else F.lit(0) if r == "longest" else need.cast("int") for r in RUNGS])
+    rows = rows.withColumn("rung", name).withColumn("rung_need", F.get(needs, F.col("_rung")))
+    gap = lambda c: F.struct(F.col(f"{c}.gap_start"), F.col(f"{c}.gap_end"), F.col(f"{c}.left"))
+    taken = F.when(F.col("rung") == "longest", gap("_first")).when(F.col("rung") == "opens-at", gap("_fit")).when(F.col("rung") == "anywhere", F.when(F.col("_fit").isNotNull(), gap("_fit")).otherwise(gap("_long"))).otherwise(gap("_open"))
+    rows = rows.withColumn("_t", taken).withColumn("gap_start", F.col("_t.gap_start")).withColumn("gap_end", F.col("_t.gap_end")).withColumn("usable", F.col("_t.left"))
+    rows = rows.withColumn("wait", F.greatest(F.col("gap_start") - arrival, F.lit(0))).withColumn("meets", F.col("usable") >= least(F.col("rung_need"))).withColumn("asked_need", need).withColumn("need", F.col("rung_need"))
+    rows = scored(rows).drop("_first", "_open", "_fit", "_long", "_on", "_t")
+    best = rows.withColumn("place", F.row_number().over(Window.partitionBy("ask_id").orderBy(*_in_order(type_rank)))).where(F.col("place") <= limit)
+    return best.where((F.col("rung") != "longest") | (F.col("place") == 1)).withColumn("place", F.col("place").cast("long")).drop("_rung")
 
 
 def rank_places(place_hours: DataFrame) -> DataFrame:

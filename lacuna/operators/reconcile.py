@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalars import unpad
+from lacuna.operators.graph import cut
+from lacuna.operators.order import rows_before
 
 
 def harvest_union(rows: DataFrame, key: str) -> DataFrame:
@@ -54,15 +58,23 @@ def carried_forward(rows: DataFrame, key: str, period: str) -> DataFrame:
     return out.withColumn("strength", F.when(F.col("periods") >= 3, "strong").when(F.col("periods") == 2, "medium").otherwise("weak"))
 
 
+def _pattern_ok() -> Column:
+    return F.coalesce(F.col("time").rlike("^[0-2][0-9][0-5][0-9]-[0-2][0-9][0-5][0-9]$") & F.col("pattern").rlike("^[01]{7}$"), F.lit(False))
+
+
 def source_intervals(df: DataFrame) -> DataFrame:
     """A row for each 1 in a 7-letter pattern (first Monday); ``day`` is 0 for Sunday. Times are HHMM-HHMM."""
-    t = F.regexp_extract("time", "^([0-2][0-9])([0-5][0-9])-([0-2][0-9])([0-5][0-9])$", 0)
     minute = lambda at: F.substring("time", at, 2).try_cast("int") * 60 + F.substring("time", at + 2, 2).try_cast("int")
-    ok = (t != "") & F.col("pattern").rlike("^[01]{7}$")
-    rows = df.where(ok).select("*", F.posexplode(F.split("pattern", "")).alias("at", "bit")).where("bit = '1'")
+    rows = df.where(_pattern_ok()).select("*", F.posexplode(F.split("pattern", "")).alias("at", "bit")).where("bit = '1'")
     return rows.withColumn("day", (F.col("at") + 1) % 7).withColumn("start", minute(1)).withColumn("end", minute(6)).drop("at", "bit")
 
 
+def source_counts(df: DataFrame) -> DataFrame:
+    """One row: rows of a second source that give intervals, that are skipped (no pattern or time to read), and intervals."""
+    days = F.length("pattern") - F.length(F.replace("pattern", F.lit("1"), F.lit("")))
+    return df.agg(F.count_if(_pattern_ok()).alias("read"), F.count_if(~_pattern_ok()).alias("skipped"), F.coalesce(F.sum(F.when(_pattern_ok(), days)), F.lit(0)).cast("long").alias("intervals"))
+
+
 def uncovered(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Intervals of ``rows`` that the union of the other's doesn't cover, with the minutes it lacks."""
     from lacuna.operators.intervals import merge_intervals
@@ -121,24 +133,97 @@ def override_patch(df: DataFrame, overrides: DataFrame, keys: Sequence[str], val
     return out.withColumn("patched", F.col(value).isNull() & F.col("_value").isNotNull()).withColumn(value, F.coalesce(F.col(value), F.col("_value"))).drop("_value")
 
 
+def override_report(df: DataFrame, overrides: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row on a patch: cells patched, unresolved (still null: fatal), overrides unused (their cell could be read) and
+    without a cell."""
+    o = overrides.select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_over"), F.col("value").alias("_value"))
+    cells = df.select(*keys, F.col(value).alias("_own"), F.lit(True).alias("_cell"))
+    both = cells.join(o, [cells[k] == o[f"_{k}"] for k in keys], "full_outer")
+    open_ = F.col("_cell").isNotNull() & F.col("_own").isNull()
+    out = both.agg(
+        F.count_if(open_ & F.col("_value").isNotNull()).alias("patched"), F.count_if(open_ & F.col("_value").isNull()).alias("unresolved"),
+        F.count_if(F.col("_over").isNotNull() & F.col("_own").isNotNull()).alias("unused"), F.count_if(F.col("_cell").isNull()).alias("without_cell"),
+    )
+    return out.withColumn("level", F.when(F.col("unresolved") > 0, "fatal").otherwise("ok"))
+
+
+def key_clashes(dim: DataFrame, key: str) -> DataFrame:
+    """Keys of a dimension that are one without leading zeros: unpadded, keys (sorted). Any row is fatal for a join by them."""
+    own = dim.select(unpad(F.col(key)).alias("unpadded"), F.col(key).alias("_k")).where("_k is not null").distinct()
+    return own.groupBy("unpadded").agg(F.array_sort(F.collect_list("_k")).alias("keys")).where(F.size("keys") > 1)
+
+
 def fallback_key_join(df: DataFrame, dim: DataFrame, first: str, second: str, key: str) -> DataFrame:
-    """Rows with the dimension's key found by ``first``, else by ``second``; keys without leading zeros."""
-    d = dim.select(unpad(F.col(key)).alias("_k"), F.col(key).alias("_v")).groupBy("_k").agg(F.min("_v").alias("_v"))
+    """Rows with the dimension's key found by ``first``, else by ``second``; keys without leading zeros.
+
+    Two keys of the dimension that are one without zeros are fatal: the query fails where a row would meet them (see
+    key_clashes for the list).
+    """
+    d = dim.select(unpad(F.col(key)).alias("_k"), F.col(key).alias("_v")).groupBy("_k").agg(F.min("_v").alias("_v"), F.max("_v").alias("_w"))
+    clash = F.raise_error(F.concat(F.lit("keys that differ in leading zeros only: "), "_v", F.lit(", "), "_w"))
+    d = d.select("_k", F.when(F.col("_v") == F.col("_w"), F.col("_v")).otherwise(clash.cast("string")).alias("_v"))
     a, b = d.toDF("_ka", "_va"), d.toDF("_kb", "_vb")
     out = df.join(a, unpad(F.col(first)) == F.col("_ka"), "left").join(b, unpad(F.col(second)) == F.col("_kb"), "left")
     by = F.when(F.col("_va").isNotNull(), "first").when(F.col("_vb").isNotNull(), "second")
     return out.withColumn("matched", F.coalesce("_va", "_vb")).withColumn("matched_by", by).drop("_ka", "_va", "_kb", "_vb")
 
 
-def order_inversions(df: DataFrame, group: str, key: str, a: str, b: str) -> DataFrame:
-    """Per group: pairs of keys, and those whose strict order by a flips by b.
+def inversions(values: np.ndarray) -> int:
+    """Pairs in which a strictly larger value comes first: bit by bit from the highest, ones before zeros of equal heads."""
+    x = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    total = 0
+    for bit in range(int(x.max(initial=0)).bit_length() - 1, -1, -1):
+        head, one = x >> (bit + 1), (x >> bit) & 1
+        ones = np.cumsum(one)
+        first = np.searchsorted(head, head)  # where the run of equal heads begins; x is in order of its heads
+        total += int((ones - (ones - one)[first])[one == 0].sum())
+        x = x[np.argsort(x >> bit, kind="stable")]
+    return total
+
+
+def _within(rows: DataFrame, group: str, part: str) -> DataFrame:
+    """Inversions inside each part of a group, whose rows one task holds."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"group": [key[0]], "n": [inversions(pdf.sort_values("at")["rank"].to_numpy())]})
+
+    rows = rows.select(F.col(group).alias("group"), F.col(part).alias("part"), "at", "rank")
+    return rows.groupBy("group", "part").applyInPandas(run, rows.select("group").schema.simpleString()[7:-1].replace(":", " ") + ", n long")
+
+
+def order_inversions(df: DataFrame, group: str, key: str, a: str, b: str, block: int = 65_536) -> DataFrame:
+    """Per group: pairs of keys, and those whose strict order by a is the other way round by b. Ties in either don't count.
 
-    Inversions are counted over ranks: a group's pairs are joined on the group and are meant for small groups.
+    Rows are put in order of (a, b) and cut into blocks of that order; values of b are ranked and cut into buckets. A pair
+    that lies in two blocks and two buckets is counted from sums over the grid of these; pairs inside one block, or inside
+    one bucket, are counted by the task that holds it. No pair is ever a row. A value of b that alone fills a bucket has
+    no inversions inside and isn't gathered, so no task holds more than about two blocks. The grid has (rows / block)**2
+    cells for a group, less than it has rows up to block**2 of these. Rows with a null score take no part.
     """
-    x = df.select(group, F.col(key).alias("k1"), F.col(a).alias("a1"), F.col(b).alias("b1"))
-    y = df.select(group, F.col(key).alias("k2"), F.col(a).alias("a2"), F.col(b).alias("b2"))
-    flips = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2")) < 0
-    return x.join(y, group).where("k1 < k2").groupBy(group).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(flips).alias("flipped"))
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(group).alias("group"), F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b"))
+    values = rows_before(rows.groupBy("group", "b").agg(F.count(F.lit(1)).alias("same")), ["b"], ["group"], F.col("same"), "rank")
+    alone = F.col("same") > block
+    values = values.withColumn("bucket", F.floor(F.col("rank") / block) * 2 + alone.cast("int")).withColumn("alone", alone)
+    placed = rows_before(rows, ["a", "b", "key"], ["group"], name="at").withColumn("block", F.floor(F.col("at") / block))
+    values = values.select(F.col("group").alias("_g"), F.col("b").alias("_v"), "rank", "bucket", "alone")
+    placed = cut(placed.join(values, F.col("group").eqNullSafe(F.col("_g")) & (F.col("b") == F.col("_v"))).select("group", "at", "block", "rank", "bucket", "alone"))
+
+    counts = cut(placed.groupBy("group", "block", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    sides = lambda c: counts.select(F.col("group").alias("_g"), c).distinct()
+    grid = sides("block").alias("x").join(sides("bucket").alias("y"), F.col("x._g").eqNullSafe(F.col("y._g"))).select(F.col("x._g").alias("_g"), F.col("block").alias("_b"), F.col("bucket").alias("_k"))
+    grid = grid.join(counts, F.col("_g").eqNullSafe(F.col("group")) & (F.col("_b") == F.col("block")) & (F.col("_k") == F.col("bucket")), "left")
+    grid = grid.select("_g", F.col("_b").alias("block"), F.col("_k").alias("bucket"), F.coalesce("n", F.lit(0)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("_g", "bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    larger = F.coalesce(F.sum("earlier").over(Window.partitionBy("_g", "block").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    across = grid.withColumn("earlier", earlier).withColumn("larger", larger).select(F.col("_g").alias("group"), (F.col("n") * F.col("larger")).alias("n"))
+    # a pair of one bucket in one block is counted with both, so it goes once from the bucket's
+    in_block = _within(placed, "group", "block")
+    in_bucket = _within(placed.where("not alone"), "group", "bucket")
+    in_both = _within(placed.where("not alone").withColumn("cell", F.struct("block", "bucket")), "group", "cell").select("group", (-F.col("n")).alias("n"))
+    flipped = across.unionByName(in_block).unionByName(in_bucket).unionByName(in_both).groupBy("group").agg(F.sum("n").alias("flipped"))
+    sizes = df.groupBy(F.col(group).alias("group")).agg(F.count(F.lit(1)).alias("_n")).withColumn("pairs", (F.col("_n") * (F.col("_n") - 1) / 2).cast("long"))
+    out = sizes.where("pairs > 0").join(flipped.withColumnRenamed("group", "_g"), F.col("group").eqNullSafe(F.col("_g")), "left")
+    return out.select(F.col("group").alias(group), "pairs", F.coalesce("flipped", F.lit(0)).cast("long").alias("flipped"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

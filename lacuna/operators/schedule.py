@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lacuna.operators.intervals import merge_intervals
+from lacuna.operators.order import rows_before
+
 
 def is_real_resource(df: DataFrame, pseudo: Sequence[str]) -> Column:
     return F.col("resource_id").isNotNull() & ~F.col("resource_id").isin(*pseudo) & ~F.coalesce(F.col("place_id").isin(*pseudo), F.lit(False))
@@ -47,25 +50,24 @@ def expand_weekdays(df: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 def active_sessions(busy: DataFrame, sessions: DataFrame, date: Column) -> DataFrame:
     """Rows whose session holds the date, both ends included; a session that isn't listed is live."""
-    s = F.broadcast(sessions.select("session_id", "first", "last"))  # a row a session of one term
-    return busy.join(s, "session_id", "left").where(F.col("first").isNull() | date.between(F.col("first"), F.col("last"))).drop("first", "last")
+    return busy.join(sessions.select("session_id", "first", "last"), "session_id", "left").where(F.col("first").isNull() | date.between(F.col("first"), F.col("last"))).drop("first", "last")
 
 
 def distinct_sessions(df: DataFrame) -> DataFrame:
     """Distinct (first, last), a row's own or else its parent's, numbered in order."""
     spans = df.select(F.coalesce("first", "parent_first").alias("first"), F.coalesce("last", "parent_last").alias("last")).where("first is not null and last is not null").distinct()
-    return spans.withColumn("session_id", (F.row_number().over(Window.orderBy("first", "last")) - 1).cast("long"))
+    return rows_before(spans, ["first", "last"], name="session_id")
 
 
 def prune_sessions(sessions: DataFrame, busy: DataFrame) -> DataFrame:
     """Sessions that some row refers to, numbered anew."""
     used = sessions.join(busy.select("session_id").distinct(), "session_id", "left_semi")
-    return used.withColumn("new_id", (F.row_number().over(Window.orderBy("session_id")) - 1).cast("long"))
+    return rows_before(used, ["session_id"], name="new_id")
 
 
 def label_dictionary(df: DataFrame, column: str) -> DataFrame:
     """Distinct labels in order with their numbers."""
-    return df.select(F.col(column).alias("label")).where("label is not null").distinct().withColumn("label_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
+    return rows_before(df.select(F.col(column).alias("label")).where("label is not null").distinct(), ["label"], name="label_id")
 
 
 def schedule_coverage(busy: DataFrame, sessions: DataFrame, dates: DataFrame) -> DataFrame:
@@ -118,12 +120,20 @@ def overrun_check(last_ends: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def propagate_groups(busy: DataFrame, halves: DataFrame) -> DataFrame:
-    """Own intervals of a parent on its halves too, and the halves' own on the parent. ``halves``: parent, child."""
+    """A parent's own intervals on its halves too, and the halves' own on the parent, merged again. ``halves``: parent, child.
+
+    Returns the own rows as they were (own true) and, for every resource, its merged ones (own false; merges and dropped
+    count what was joined). If ``busy`` has the column own, only its own rows are read, so that a second run gives the same.
+    """
+    if "own" in busy.columns:
+        busy = busy.where("own")
     own = busy.select("resource_id", "day", "start", "end", "label")
     h = halves.select("parent", "child").distinct()
-    down = own.join(h, own.resource_id == h.parent).select(F.col("child").alias("resource_id"), "day", "start", "end", "label")
-    up = own.join(h, own.resource_id == h.child).select(F.col("parent").alias("resource_id"), "day", "start", "end", "label")
-    return own.unionByName(down).unionByName(up).distinct()
+    way = h.select(F.col("parent").alias("resource_id"), F.col("child").alias("to")).unionByName(h.select(F.col("child").alias("resource_id"), F.col("parent").alias("to"))).distinct()
+    moved = own.join(way, "resource_id").select(F.col("to").alias("resource_id"), "day", "start", "end", "label")
+    merged = merge_intervals(own.unionByName(moved), ["resource_id", "day"])
+    kept = own.select("*", F.lit(True).alias("own"))
+    return kept.unionByName(merged.select("resource_id", "day", "start", "end", "label", F.lit(False).alias("own")))
 
 
 def overlay_for_date(weekly: DataFrame, dated: DataFrame, date: Column, suspended: bool = False) -> DataFrame:

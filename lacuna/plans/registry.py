@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalars as S
-from lacuna.operators import decide, graph, guards, intervals, rank, reconcile, schedule
+from lacuna.operators import decide, graph, guards, intervals, places, rank, reconcile, schedule
 from lacuna.plans import fixtures as X
 from lacuna.plans.fixtures import ctes
 from lacuna.sources import readers
@@ -241,12 +241,19 @@ def _(spark, sf):
     return schedule.prune_sessions(X.sessions(spark, sf), X.busy(spark, sf).where("label <> 'view'"))
 
 
-@query("j9_propagate_groups", ctes("busy") + """, h AS (SELECT DISTINCT resource_id // 10 * 10 AS parent, resource_id AS child FROM busy WHERE resource_id % 10 IN (1, 2)), o AS (SELECT resource_id, day, start, "end", label FROM busy)
- SELECT * FROM o UNION SELECT child, day, start, "end", label FROM o JOIN h ON resource_id = parent UNION SELECT parent, day, start, "end", label FROM o JOIN h ON resource_id = child""")
+HALVES = """, ids AS (SELECT DISTINCT resource_id, resource_id::VARCHAR AS id FROM busy), h AS (SELECT p.resource_id AS parent, c.resource_id AS child FROM ids p JOIN ids c ON c.id <> p.id AND starts_with(c.id, p.id) WHERE p.resource_id % 3 = 1),
+ w AS (SELECT parent AS a, child AS b FROM h UNION SELECT child, parent FROM h),
+ src AS (SELECT resource_id, day AS date, start, "end", label, event_id FROM busy UNION ALL SELECT b, day, start, "end", label, event_id FROM busy JOIN w ON a = resource_id),"""
+
+
+@query("j9_propagate_groups", ctes("busy") + HALVES + ISLANDS.format(src="src", op=">") + """ SELECT resource_id, date AS day, start, "end", label FROM merged""")
 def _(spark, sf):
+    """Halves as j8 finds them by prefix, propagated twice: the second run must change nothing."""
     rows = X.busy(spark, sf)
-    halves = rows.where("resource_id % 10 in (1, 2)").select((F.floor(F.col("resource_id") / 10) * 10).alias("parent"), F.col("resource_id").alias("child"))
-    return schedule.propagate_groups(rows, halves)
+    ids = rows.select(F.lit("p").alias("place"), F.col("resource_id").cast("string").alias("id"), (F.col("resource_id") % 3 == 1).alias("group")).distinct()
+    halves = places.group_halves(ids).select(F.col("parent").cast("long").alias("parent"), F.col("child").cast("long").alias("child"))
+    once = schedule.propagate_groups(rows, halves)
+    return schedule.propagate_groups(once, halves).where("not own").drop("own")
 
 
 @query("j15_overlay_for_date", ctes("busy") + """SELECT resource_id, start, "end", label FROM busy WHERE day = 3 AND label <> 'purchase' UNION ALL
@@ -337,8 +344,8 @@ ANSWERS = GAPS.replace(ctes("busy"), ctes("busy", "places", "asks", "resources",
  ranked AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY tier, score, usable DESC, CASE type WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 3 END, seats, resource_id) AS place FROM scored)"""
 
 
-def answers(spark, sf) -> DataFrame:
-    """The gap that each resource near a question offers. Gaps are made for the days asked about alone, and meet questions
+def candidates(spark, sf) -> DataFrame:
+    """Resources near a question with their gaps of the day. Gaps are made for the days asked about alone, and meet questions
     by place and day, a resource's of a day in one row."""
     asks = X.asks(spark, sf)
     near = rank.ask_places(asks, X.places(spark, sf), RADIUS)
@@ -349,8 +356,12 @@ def answers(spark, sf) -> DataFrame:
     gaps = rank.gaps_by_day(intervals.free_gaps(busy, spans, KEYS), KEYS)
     near = near.select("ask_id", "place_id", "date", "now", "need", "walk", "state")
     cand = X.resources(spark, sf).join(gaps, "resource_id").join(near, ["place_id", "date"])
-    out = rank.pick_gap_in_row(cand)
-    return out.withColumn("known", F.col("state") == "open").withColumn("listed", F.col("type") == "BUILDING").drop("state", "now", "date")
+    return cand.withColumn("known", F.col("state") == "open").withColumn("listed", F.col("type") == "BUILDING").drop("state")
+
+
+def answers(spark, sf, soon: bool = False) -> DataFrame:
+    """The gap that each resource near a question offers."""
+    return rank.pick_gap_in_row(candidates(spark, sf), soon=soon).drop("now", "date")
 
 
 def ranked(spark, sf) -> DataFrame:
@@ -376,7 +387,7 @@ def _(spark, sf):
  p AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY depth, place) AS position, count(*) OVER (PARTITION BY ask_id) AS n, count(*) FILTER (WHERE depth = 0) OVER (PARTITION BY ask_id) AS n0 FROM d),
  s AS (SELECT * FROM p WHERE position <= greatest(least(40, n0), least(10, n))) SELECT ask_id, resource_id, depth, row_number() OVER (PARTITION BY ask_id ORDER BY place) AS shown FROM s""")
 def _(spark, sf):
-    return rank.shape(ranked(spark, sf), max_walk=6).select("ask_id", "resource_id", "depth", "shown")
+    return rank.shape(answers(spark, sf), TYPES, max_walk=6).select("ask_id", "resource_id", "depth", "shown")
 
 
 @query("w5_beyond_summary", ANSWERS + " SELECT ask_id, count(*) FILTER (WHERE known AND wait = 0) AS free, count(DISTINCT place_id) FILTER (WHERE known AND wait = 0) AS free_places, min(walk) FILTER (WHERE known AND wait = 0) AS free_walk, count(*) FILTER (WHERE NOT (known AND wait = 0)) AS waiting, min(walk) FILTER (WHERE NOT (known AND wait = 0)) AS waiting_walk FROM ranked WHERE walk > 6 GROUP BY ask_id")
@@ -384,31 +395,38 @@ def _(spark, sf):
     return rank.beyond_summary(ranked(spark, sf), max_walk=6)
 
 
-RUNGS = [
-    ("asked", 120, 4, ("BUILDING",), False, 40), ("any-type", 120, 4, None, False, 40), ("shorter:60", 60, 4, None, False, 40), ("shorter:20", 20, 4, None, False, 40),
-    ("opens-at", 60, 4, None, True, 40), ("further", 60, 8, None, False, 40), ("anywhere", 60, None, None, True, 40), ("longest", 1, None, None, True, 1),
-]
+OFFERABLE = ("BUILDING", "MACHINERY", "FURNITURE", "HOUSEHOLD")
+PREFERRED = ("BUILDING", "MACHINERY")
 
 
 def _ladder_sql() -> str:
-    test = lambda need, walk, types, waits: " AND ".join([f"usable >= {need}", *([f"walk <= {walk}"] if walk else []), *([f"type IN ({', '.join(repr(t) for t in types)})"] if types else []), *([] if waits else ["wait = 0"])])
-    each = " UNION ALL ".join(f"SELECT ask_id, resource_id, walk, usable, {i} AS ordinal, '{r[0]}' AS rung, {r[5]} AS lim FROM answers WHERE {test(*r[1:5])}" for i, r in enumerate(RUNGS))
-    return ANSWERS + f""", h AS ({each}), c AS (SELECT ask_id, ordinal, count(*) AS n FROM h GROUP BY ALL), b AS (SELECT ask_id, coalesce(min(ordinal) FILTER (WHERE n >= 3), min(ordinal)) AS ordinal FROM c GROUP BY ask_id),
- o AS (SELECT h.*, row_number() OVER (PARTITION BY ask_id ORDER BY CASE WHEN lim = 1 THEN -usable ELSE 0 END, walk, usable DESC, resource_id) AS place, count(*) OVER (PARTITION BY ask_id) AS total FROM h JOIN b USING (ask_id, ordinal))
- SELECT ask_id, rung, resource_id, place, total FROM o WHERE place <= lim"""
+    """Every rung of every question: the gap of each candidate by the rules of w2, what the rung asks of it, and counts."""
+    relax = ", ".join(f"({2 + i}, 'shorter:{n}', {n}, 1, 20, false, 'here')" for i, n in enumerate(rank.RELAX))
+    last = 2 + len(rank.RELAX)
+    rungs = f"(VALUES (0, 'asked', NULL, 0, 0, false, 'here'), (1, 'any-type', NULL, 1, 0, false, 'here'), {relax}, ({last}, 'opens-at', NULL, 1, 20, true, 'here'), ({last + 1}, 'further', NULL, 1, 0, false, 'twice'), ({last + 2}, 'anywhere', NULL, 1, 0, true, 'any'), ({last + 3}, 'longest', 0, 1, 20, true, 'any')) r(ordinal, rung, fixed, wide, floor, waits, reach)"
+    offer, prefer = (", ".join(f"'{t}'" for t in x) for x in (OFFERABLE, PREFERRED))
+    return ANSWERS + f""", radii AS (SELECT ask_id, (3 + ask_id % 4)::INT AS radius FROM asks),
+ g0 AS (SELECT c.ask_id, c.resource_id, c.type, c.seats, c.known, c.now, c.walk, c.need AS asked, gap_start, gap_end, usable, radius FROM cand c JOIN radii USING (ask_id) WHERE gap_end > now AND usable > 0),
+ g1 AS (SELECT *, coalesce(fixed, asked) AS rn FROM g0, {rungs} WHERE (rung NOT LIKE 'shorter%' OR fixed < asked) AND (reach = 'any' OR walk <= radius * CASE reach WHEN 'twice' THEN 2 ELSE 1 END) AND type IN ({offer}) AND (wide = 1 OR type IN ({prefer}))),
+ g2 AS (SELECT *, CASE WHEN usable >= greatest(rn, 1) AND gap_start <= now + walk THEN 0 WHEN usable >= greatest(rn, 1) THEN 1 ELSE 2 END AS k2 FROM g1),
+ g3 AS (SELECT * FROM g2 WHERE rung <> 'opens-at' OR k2 < 2 QUALIFY row_number() OVER (PARTITION BY ask_id, resource_id, ordinal ORDER BY k2, CASE WHEN k2 = 2 THEN -usable ELSE 0 END, gap_start) = 1),
+ h AS (SELECT *, greatest(gap_start - (now + walk), 0) AS w FROM g3 WHERE (waits OR gap_start <= now + walk) AND usable >= floor AND (rn = 0 OR NOT known OR k2 < 2)),
+ n3 AS (SELECT ask_id, ordinal, count(*) AS total FROM h GROUP BY ALL), b AS (SELECT ask_id, coalesce(min(ordinal) FILTER (WHERE total >= 3), min(ordinal)) AS ordinal FROM n3 GROUP BY ask_id),
+ t AS (SELECT h.*, CASE WHEN known AND w = 0 THEN CASE WHEN usable >= greatest(rn, 1) THEN 0 ELSE 2 END WHEN known THEN 4 WHEN usable >= greatest(rn, 1) THEN 6 ELSE 8 END + CASE WHEN type = 'BUILDING' THEN 0 ELSE 1 END AS tier2,
+   CASE WHEN rn > 0 AND usable >= rn THEN walk - 0.001::DOUBLE * least(usable - rn, 60) ELSE walk - 0.1::DOUBLE * least(usable - rn, 60) END AS score2, total FROM h JOIN b USING (ask_id, ordinal) JOIN n3 USING (ask_id, ordinal)),
+ o AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY tier2, score2, usable DESC, CASE type WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 WHEN 'FURNITURE' THEN 2 ELSE 3 END, seats, resource_id) AS place FROM t)
+ SELECT ask_id, rung, rn AS rung_need, resource_id, gap_start, usable, place, total FROM o WHERE place <= CASE WHEN rung = 'longest' THEN 1 ELSE 40 END"""
 
 
 @query("d3_fallback_ladder", _ladder_sql())
 def _(spark, sf):
-    return rank.fallback_ladder(answers(spark, sf), RUNGS).select("ask_id", "rung", "resource_id", "place", "total")
+    cand = candidates(spark, sf).withColumn("radius", (3 + F.col("ask_id") % 4).cast("int"))
+    return rank.fallback_ladder(cand, TYPES, PREFERRED, OFFERABLE).select("ask_id", "rung", "rung_need", "resource_id", "gap_start", "usable", "place", "total")
 
 
 @query("w2_pick_gap_soon", ANSWERS + " SELECT ask_id, resource_id, gap_start, gap_end, usable FROM (SELECT * FROM k WHERE klass < 2 QUALIFY row_number() OVER (PARTITION BY ask_id, resource_id ORDER BY klass, gap_start) = 1)")
 def _(spark, sf):
-    asks, busy = X.asks(spark, sf), X.busy(spark, sf)
-    near = rank.hours_tristate_join(rank.ask_places(asks, X.places(spark, sf), RADIUS), X.hours(spark, sf)).where("state <> 'closed'").select("ask_id", "place_id", "date", "now", "need", "walk")
-    gaps = rank.gaps_by_day(intervals.free_gaps(busy, windows(spark, sf), KEYS), KEYS)
-    return rank.pick_gap_in_row(X.resources(spark, sf).join(gaps, "resource_id").join(near, ["place_id", "date"]), soon=True).select("ask_id", "resource_id", "gap_start", "gap_end", "usable")
+    return answers(spark, sf, soon=True).select("ask_id", "resource_id", "gap_start", "gap_end", "usable")
 
 
 @query("j5_hours_tristate_join", ctes("hours", "asks") + "SELECT ask_id, place_id, CASE WHEN h.day IS NULL THEN 'unknown' WHEN open IS NULL THEN 'closed' ELSE 'open' END AS state FROM asks a CROSS JOIN (SELECT n_nationkey AS place_id FROM nation) p LEFT JOIN hours h USING (place_id, day)")
@@ -423,9 +441,9 @@ def _(spark, sf):
     return rank.next_opening(X.asks(spark, sf), X.hours(spark, sf))
 
 
-@query("t7_prefix_then_contains", "SELECT p_partkey, CASE WHEN lower(p_name) LIKE 'part%' THEN 0 ELSE 1 END AS hit FROM part WHERE lower(p_name) LIKE '%part%'")
+@query("t7_prefix_then_contains", "SELECT p_partkey, CASE WHEN lower(p_name) LIKE 're%' THEN 0 ELSE 1 END AS hit FROM part WHERE lower(p_name) LIKE '%re%'")
 def _(spark, sf):
-    return rank.prefix_then_contains(X.table(spark, sf, "part"), "p_name", "PART").select("p_partkey", "hit")
+    return rank.prefix_then_contains(X.table(spark, sf, "part"), "p_name", "RE").select("p_partkey", "hit")
 
 
 @query("a27_place_day_open_counts", ctes("hours") + "SELECT day, count(open) AS open, count(*) - count(open) AS closed FROM hours GROUP BY day")
@@ -846,11 +864,21 @@ def _(spark, sf):
     return ranked(spark, sf).groupBy("ask_id").agg(F.count(F.lit(1)).alias("ranked"), F.count_if(F.col("place") <= 40).alias("shown"), F.count_if(F.col("place") > 40).alias("below"))
 
 
-@query("n5_prune_to_reach", ctes("edges").replace("WITH ", "WITH RECURSIVE ") + ", r(node, dist) AS (SELECT src, 0 FROM edges WHERE src % 50 = 7 UNION SELECT e.dst, r.dist + e.w FROM r JOIN edges e ON e.src = r.node WHERE r.dist + e.w <= 300), k AS (SELECT DISTINCT node FROM r) SELECT src, dst, w FROM edges WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)")
+NODES = "nodes AS (SELECT p_partkey AS node, ((p_partkey % 100) * 60)::DOUBLE AS x, ((p_partkey // 100) * 60)::DOUBLE AS y FROM part)"
+
+
+def nodes(spark, sf) -> DataFrame:
+    k = F.col("p_partkey")
+    return X.table(spark, sf, "part").select(k.alias("node"), ((k % 100) * 60).cast("double").alias("x"), (F.floor(k / 100) * 60).cast("double").alias("y"))
+
+
+@query("n5_prune_to_reach", ctes("edges").replace("WITH ", "WITH RECURSIVE ") + ", " + NODES + """, d AS (SELECT DISTINCT ((s_suppkey * 977) % 20000 - 5000)::DOUBLE AS x, ((s_suppkey * 531) % 9000 - 3000)::DOUBLE AS y FROM supplier WHERE s_suppkey % 4 = 1),
+ s AS (SELECT node FROM d, nodes n QUALIFY row_number() OVER (PARTITION BY d.x, d.y ORDER BY sqrt((d.x - n.x) * (d.x - n.x) + (d.y - n.y) * (d.y - n.y)), node) = 1),
+ r(node, dist) AS (SELECT DISTINCT node, 0 FROM s UNION SELECT e.dst, r.dist + e.w FROM r JOIN edges e ON e.src = r.node WHERE r.dist + e.w <= 300), k AS (SELECT DISTINCT node FROM r) SELECT src, dst, w FROM edges WHERE src IN (SELECT node FROM k) AND dst IN (SELECT node FROM k)""")
 def _(spark, sf):
-    e = X.edges(spark, sf)
-    doors = e.where("src % 50 = 7").select(F.col("src").alias("node")).distinct()
-    return graph.prune_to_reach(e, doors, 300).select("src", "dst", "w")
+    k = F.col("s_suppkey")
+    doors = X.table(spark, sf, "supplier").where("s_suppkey % 4 = 1").select((k * 977 % 20000 - 5000).cast("double").alias("x"), (k * 531 % 9000 - 3000).cast("double").alias("y"))
+    return graph.prune_to_reach(X.edges(spark, sf), nodes(spark, sf), doors, 300).select("src", "dst", "w")
 
 
 @query("g13_refusal_report", ctes("busy") + """, f AS (SELECT (SELECT count(*) > 0 FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 2))::BIGINT
