@@ -9,7 +9,7 @@ aggregation meets them. Containers get the rows before them from directories ove
 prefix sum runs over more than 65,536 of them (1,048,576 at the top). A leaf's rank is then the container's start, the
 word's, and a popcount of the bits below its own.
 
-``WIDTH`` = 3**8 consecutive nodes make a block, an array of slots keyed by rank, which one call reduces by eight levels;
+``FAN**DEPTH`` = 3**8 consecutive nodes make a block, an array of slots keyed by rank, which one call reduces by eight levels;
 blocks of blocks follow until every source has one node: two passes up to 43 million rows of one source. On the way back,
 each block gets its path to the root, and each leaf's siblings are those of its block followed by that path.
 
@@ -35,7 +35,6 @@ from lacuna.llm.common import materialize
 
 FAN = 3
 DEPTH = 8  #: levels that a block is reduced by
-WIDTH = FAN**DEPTH
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 GROUP = ["known", "src"]
 NODES = "known boolean, src string, slot long, node string, total long"
@@ -119,8 +118,9 @@ def _repeats(rows: DataFrame, digits: int = 4) -> DataFrame:
     before = lambda by, order: F.coalesce(F.sum("copies").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = F.col("doc_id").asc_nulls_first()
     heads = each.groupBy(*word, "doc_id", "_head").agg(F.sum("copies").alias("copies")).withColumn("_start", before(word, [first, "_head"])).drop("copies")
-    same = [each[c] == heads[c] for c in (*word, "_head")] + [each["doc_id"].eqNullSafe(heads["doc_id"])]
-    out = each.join(heads, same).select(*[each[c] for c in each.columns], "_start")
+    names = [*word, "_head", "doc_id"]
+    heads = heads.select(*[F.col(c).alias(f"_h{i}") for i, c in enumerate(names)], "_start")
+    out = each.join(heads, [F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(names)]).select(*each.columns, "_start")
     out = out.withColumn("slot", F.col("_at") + F.col("_start") + before([*word, "doc_id", "_head"], ["node", "changed"]))
     # many copies of one row are dealt out before they become rows
     parts = out.withColumn("_part", F.explode(F.expr("sequence(0L, (copies - 1) div 4096)"))).repartition(*GROUP, "slot", "_part")
@@ -130,7 +130,7 @@ def _repeats(rows: DataFrame, digits: int = 4) -> DataFrame:
 # -- levels -----------------------------------------------------------------------------------
 
 
-def levels(nodes: list[str], total: int, depth: int = DEPTH) -> list[list[str]]:
+def levels(nodes: list[str], total: int, depth: int) -> list[list[str]]:
     """The nodes of a block and of the levels above, while the source has more than one node and the block levels left."""
     out = [nodes]
     while total > 1 and len(out) <= depth:
@@ -164,13 +164,13 @@ def fold(node: str, path: list[tuple[str, str]]) -> str:
     return node
 
 
-def _by_block(rows: DataFrame, of_block: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+def _by_block(rows: DataFrame, of_block: Callable[[list[dict]], list[dict]], schema: str, depth: int) -> DataFrame:
     """``of_block`` of the rows of every block, in the order of slots; a block's rows are all that a call holds."""
-    names = [x.split()[0] for x in schema.split(",")]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    width = FAN**depth
 
     def batch(out: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({n: [r[n] for r in out] for n in names}, schema=arrow)
+        return pa.RecordBatch.from_pydict({n: [r[n] for r in out] for n in arrow.names}, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, key, out = [], None, []
@@ -180,7 +180,7 @@ def _by_block(rows: DataFrame, of_block: Callable[[list[dict]], list[dict]], sch
                 if own != key and block:
                     out += of_block(block)
                     block = []
-                    if len(out) >= WIDTH:
+                    if len(out) >= 4096:
                         yield batch(out)
                         out = []
                 key = own
@@ -191,62 +191,71 @@ def _by_block(rows: DataFrame, of_block: Callable[[list[dict]], list[dict]], sch
             yield batch(out)
 
     by = [*GROUP, "block"]
-    return rows.withColumn("block", F.expr(f"slot div {WIDTH}")).repartition(*by).sortWithinPartitions(*by, "first", "slot").mapInArrow(run, schema)
+    return rows.withColumn("block", F.expr(f"slot div {width}")).repartition(*by).sortWithinPartitions(*by, "first", "slot").mapInArrow(run, schema)
 
 
-def _up(block: list[dict]) -> list[dict]:
-    head = block[0]
-    found = levels([r["node"] for r in block], head["total"])
-    return [{"known": head["known"], "src": head["src"], "slot": head["block"], "node": found[-1][0], "total": -(-head["total"] // WIDTH)}]
+def _up(depth: int) -> Callable[[list[dict]], list[dict]]:
+    def of_block(block: list[dict]) -> list[dict]:
+        head = block[0]
+        found = levels([r["node"] for r in block], head["total"], depth)
+        return [{"known": head["known"], "src": head["src"], "slot": head["block"], "node": found[-1][0], "total": -(-head["total"] // FAN**depth)}]
 
+    return of_block
 
-def _down(block: list[dict]) -> list[dict]:
-    """``block``: the block's own path (slot null), then its nodes. Their paths."""
-    above, nodes = block[0], block[1:]
-    found = levels([r["node"] for r in nodes], nodes[0]["total"])
-    rest = [above["path"]] if above["path"] else []
-    return [{"known": r["known"], "src": r["src"], "slot": r["slot"], "path": "/".join(filter(None, [path_text(siblings(found, i)), *rest])), "subroot": above["subroot"]} for i, r in enumerate(nodes)]
 
+def _down(depth: int) -> Callable[[list[dict]], list[dict]]:
+    def of_block(block: list[dict]) -> list[dict]:
+        """``block``: the block's own path, then its nodes. Their paths."""
+        above, nodes = block[0], block[1:]
+        found = levels([r["node"] for r in nodes], nodes[0]["total"], depth)
+        rest = [above["path"]] if above["path"] else []
+        return [{"known": r["known"], "src": r["src"], "slot": r["slot"], "path": "/".join(filter(None, [path_text(siblings(found, i)), *rest])), "subroot": above["subroot"]} for i, r in enumerate(nodes)]
 
-def _prove(block: list[dict]) -> list[dict]:
-    above, nodes = block[0], block[1:]
-    found = levels([r["node"] for r in nodes], nodes[0]["total"])
-    rest = path_of(above["path"])
-    out = []
-    for i, r in enumerate(nodes):
-        path = siblings(found, i) + rest
-        out.append({"doc_id": r["doc_id"], "leaf": r["node"], "subroot": above["subroot"], "proof_sha256": digest("".join(a + b for a, b in path)), "folded_root": fold(r["changed"], path)})
-    return out
+    return of_block
+
+
+def _prove(depth: int) -> Callable[[list[dict]], list[dict]]:
+    def of_block(block: list[dict]) -> list[dict]:
+        above, nodes = block[0], block[1:]
+        found = levels([r["node"] for r in nodes], nodes[0]["total"], depth)
+        rest = path_of(above["path"])
+        out = []
+        for i, r in enumerate(nodes):
+            path = siblings(found, i) + rest
+            out.append({"doc_id": r["doc_id"], "leaf": r["node"], "subroot": above["subroot"], "proof_sha256": digest("".join(a + b for a, b in path)), "folded_root": fold(r["changed"], path)})
+        return out
+
+    return of_block
 
 
-def passes(total: int) -> int:
+def passes(total: int, depth: int = DEPTH) -> int:
     """Blocks of blocks until one node is left of ``total``; a block is made of a lone node too."""
-    n = 1
-    while total > WIDTH:
-        total = -(-total // WIDTH)
+    n, width = 1, FAN**depth
+    while total > width:
+        total = -(-total // width)
         n += 1
     return n
 
 
-def climb(nodes: DataFrame, most: int) -> list[DataFrame]:
+def climb(nodes: DataFrame, most: int, depth: int) -> list[DataFrame]:
     """``nodes`` and the blocks above, written tables; the last has one node for each source. ``most``: rows of the largest."""
     out = [nodes]
-    for _ in range(passes(most)):
-        out.append(materialize(_by_block(out[-1].select(*GROUP, "slot", "node", "total").withColumn("first", F.lit(0)), _up, NODES), "merkle-level"))
+    for _ in range(passes(most, depth)):
+        out.append(materialize(_by_block(out[-1].select(*GROUP, "slot", "node", "total").withColumn("first", F.lit(0)), _up(depth), NODES, depth), "merkle-level"))
     return out
 
 
-def _with_paths(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+def _with_paths(nodes: DataFrame, paths: DataFrame, depth: int) -> DataFrame:
     """The nodes, and before those of each block its path: paths' slots are the nodes' blocks."""
     own = nodes.withColumns({"first": F.lit(1), "path": F.lit(None).cast("string"), "subroot": F.lit(None).cast("string")})
-    head = paths.select(*GROUP, (F.col("slot") * WIDTH).alias("slot"), F.lit(0).alias("first"), "path", "subroot")
+    head = paths.select(*GROUP, (F.col("slot") * FAN**depth).alias("slot"), F.lit(0).alias("first"), "path", "subroot")
     return own.unionByName(head, allowMissingColumns=True)
 
 
-def descend(tables: list[DataFrame], paths: DataFrame) -> DataFrame:
+def descend(tables: list[DataFrame], paths: DataFrame, depth: int) -> DataFrame:
     """The paths of the nodes of the first table from those of the last."""
     for nodes in reversed(tables[:-1]):
-        paths = materialize(_by_block(_with_paths(nodes, paths), _down, "known boolean, src string, slot long, path string, subroot string"), "merkle-paths")
+        paths = materialize(_by_block(_with_paths(nodes, paths, depth), _down(depth), "known boolean, src string, slot long, path string, subroot string", depth), "merkle-paths")
     return paths
 
 
@@ -259,7 +268,7 @@ def _numbered(sources: DataFrame) -> DataFrame:
     return spread.join(F.broadcast(starts), "_range").withColumn("number", F.col("_start") + F.col("_in")).drop("_range", "_start", "_in")
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: a row for each row of ``docs``.
 
     ``tampered``: the text that the check finds in place of the original one (a column over ``docs``).
@@ -267,17 +276,17 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     rows = materialize(leaves(docs, tampered), "merkle-leaves")
     nodes = materialize(ranked(rows), "merkle-ranked")
     most = nodes.agg(F.max("total")).first()[0] or 0
-    tables = climb(nodes, most)
+    tables = climb(nodes, most, depth)
     numbered = materialize(_numbered(tables[-1].select(*GROUP, "node")), "merkle-subroots")
     n = numbered.count()
-    top = climb(numbered.select(F.lit(True).alias("known"), F.lit("").alias("src"), F.col("number").alias("slot"), "node", F.lit(n).cast("long").alias("total")), n)
+    top = climb(numbered.select(F.lit(True).alias("known"), F.lit("").alias("src"), F.col("number").alias("slot"), "node", F.lit(n).cast("long").alias("total")), n, depth)
     root = F.lit((top[-1].first() or {"node": None})["node"]).cast("string")
     start = top[-1].select(*GROUP, "slot", F.lit("").alias("path"), F.lit("").alias("subroot"))
-    paths = descend(top, start).select(F.col("slot").alias("number"), "path").join(numbered, "number")
-    paths = descend(tables[1:], paths.select(*GROUP, F.lit(0).cast("long").alias("slot"), "path", F.col("node").alias("subroot")))
+    paths = descend(top, start, depth).select(F.col("slot").alias("number"), "path").join(numbered, "number")
+    paths = descend(tables[1:], paths.select(*GROUP, F.lit(0).cast("long").alias("slot"), "path", F.col("node").alias("subroot")), depth)
     # ids as text: Python would take a column with nulls for floats
     last = nodes.select(*GROUP, "slot", "node", "total", "changed", F.col("doc_id").cast("string").alias("doc_id"))
-    out = _by_block(_with_paths(last, paths), _prove, "doc_id string, leaf string, subroot string, proof_sha256 string, folded_root string")
+    out = _by_block(_with_paths(last, paths, depth), _prove(depth), "doc_id string, leaf string, subroot string, proof_sha256 string, folded_root string", depth)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
