@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -756,15 +758,53 @@ X1_SQL = """WITH RECURSIVE f AS (SELECT user_id, event_id, floor(epoch(ts))::BIG
  SELECT user_id, event_id, "at", x, y FROM walk WHERE kept"""
 
 
+def position_fixes(spark, sf) -> DataFrame:
+    return X.table(spark, sf, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") * 10).alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
+
+
+def as_stream(spark, rows: DataFrame, name: str, parts: int = 3) -> DataFrame:
+    """The rows as a stream over files, read ``parts`` batches long."""
+    path = f"{graph.scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.repartition(parts).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("x1_throttle_fixes", X1_SQL)
 def _(spark, sf):
-    rows = X.table(spark, sf, "events").select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") * 10).alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
-    return fixes.throttle_fixes(rows)
+    return fixes.throttle_fixes(position_fixes(spark, sf))
+
+
+@query("x1_throttle_stream", X1_SQL)
+def _(spark, sf):
+    """The same over a stream of shuffled files; a last file moves the watermark past all fixes."""
+    rows = position_fixes(spark, sf)
+    path = f"{graph.scratch(spark)}/fixes-{uuid.uuid4().hex}"
+    rows.repartition(3).write.parquet(path)
+    read = lambda: fixes.throttle_fix_stream(spark.readStream.schema(rows.schema).parquet(path), delay="60 days")
+    folder = f"{path}-out"
+    fixes.run_to_end(read(), "fixes", folder)
+    rows.agg(F.max("at").alias("at")).select(F.lit(-1).cast("long").alias("user_id"), F.lit(0).cast(rows.schema["event_id"].dataType).alias("event_id"), (F.col("at") + 61 * 86_400).alias("at"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")).write.mode("append").parquet(path)
+    return fixes.run_to_end(read(), "fixes", folder)
+
+
+@query("x2_dedupe_stream", ctes("busy") + 'SELECT DISTINCT resource_id, date, start, "end", label FROM busy')
+def _(spark, sf):
+    rows = X.busy(spark, sf).select(*KEYS, "start", "end", "label", F.col("date").cast("timestamp").alias("ts"))
+    keys = [*KEYS, "start", "end", "label"]
+    return fixes.run_to_end(fixes.dedupe_feed_stream(as_stream(spark, rows, "feed"), keys, delay="60 days").select(*keys), "feed-once")
+
+
+@query("x3_stale_feed_drop", "SELECT event_id FROM events WHERE (ts - INTERVAL 5 HOUR)::DATE = ts::DATE")
+def _(spark, sf):
+    """A row states the date by UTC; it is stale where the local date, five hours behind in January, is another."""
+    rows = X.table(spark, sf, "events").select("event_id", "ts", F.to_date("ts").alias("date"))
+    return fixes.stale_feed_stream(rows, "America/New_York").select("event_id")
 
 
-@query("x3_stale_feed_drop", ctes("busy") + "SELECT event_id FROM busy WHERE date = DATE '2024-01-10'")
+@query("x3_stale_feed_stream", "SELECT event_id FROM events WHERE (ts - INTERVAL 5 HOUR)::DATE = ts::DATE")
 def _(spark, sf):
-    return fixes.stale_feed_drop(X.busy(spark, sf), F.col("date"), F.expr("date'2024-01-10'")).select("event_id")
+    rows = X.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("date"))
+    return fixes.run_to_end(fixes.stale_feed_stream(as_stream(spark, rows, "stale"), "America/New_York", delay="60 days").select("event_id"), "fresh")
 
 
 # -- decisions ---------------------------------------------------------------------------------

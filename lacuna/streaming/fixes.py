@@ -1,14 +1,21 @@
-"""Streams of position fixes and feeds, with a batch twin of each."""
+"""Streams of position fixes and feeds, each with a batch twin that gives the same rows."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from lacuna.operators.graph import scratch
 
 FIX = "user_id long, event_id long, at long, x double, y double"
+IDLE = 30 * 86_400  #: seconds without a fix after which a user starts anew
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def accept(last: tuple | None, at: int, x: float, y: float, metres: float, seconds: int) -> bool:
@@ -19,51 +26,128 @@ def accept(last: tuple | None, at: int, x: float, y: float, metres: float, secon
     return moved >= metres and at - last[0] >= seconds
 
 
-def throttle_fixes(fixes: DataFrame, metres: float = 40.0, seconds: int = 15) -> DataFrame:
-    """Accepted fixes of each user, in order of time; a user's fixes are read as a sorted stream."""
+def _fixes(fixes: DataFrame) -> DataFrame:
+    return fixes.select("user_id", "event_id", F.col("at").cast("long").alias("at"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def throttle_fixes(fixes: DataFrame, metres: float = 40.0, seconds: int = 15, idle: int = IDLE) -> DataFrame:
+    """Accepted fixes of each user, in order of time; a user's fixes are read as a sorted stream.
+
+    After ``idle`` seconds without any fix the next one counts as the first.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, last = None, None
+        user, last, seen = None, None, None
         for pdf in batches:
             keep = []
             for u, at, x, y in zip(pdf["user_id"], pdf["at"], pdf["x"], pdf["y"]):
-                if u != user:
+                if u != user or at - seen > idle:
                     user, last = u, None
+                seen = at
                 ok = accept(last, at, x, y, metres, seconds)
                 if ok:
                     last = (at, x, y)
                 keep.append(ok)
             yield pdf[keep]
 
-    rows = fixes.select("user_id", "event_id", F.col("at").cast("long").alias("at"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, FIX)
-
-
-def throttle_fix_stream(fixes: DataFrame, metres: float = 40.0, seconds: int = 15) -> DataFrame:
-    """The same over a stream: the state of a user is its last accepted fix. Late fixes are judged as they come."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        keep = []
-        for at, x, y in zip(pdf["at"], pdf["x"], pdf["y"]):
-            ok = accept(last, at, x, y, metres, seconds)
-            if ok:
-                last = (int(at), float(x), float(y))
-            keep.append(ok)
-        if last is not None:
-            state.update(last)
-        yield pdf[keep][[c.split()[0] for c in FIX.split(", ")]]
-
-    rows = fixes.select("user_id", "event_id", F.col("at").cast("long").alias("at"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, FIX, "at long, x double, y double", "append", GroupStateTimeout.NoTimeout)
+    return _fixes(fixes).repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(run, FIX)
+
+
+class Throttle(StatefulProcessor):
+    """A user's fixes wait until the watermark has passed them and are then judged in order of time.
+
+    State: the fixes that wait, and the last accepted one with the time of the last fix. One event-time timer is set for
+    the next fix that waits; when none does, one for the end of ``idle``, which frees the user's state.
+    """
+
+    def __init__(self, metres: float, seconds: int, idle: int):
+        self.metres, self.seconds, self.idle = metres, seconds, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, x double, y double")
+        self.last = handle.getValueState("last", "at long, x double, y double, seen long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                self.waiting.appendValue((int(r.at), int(r.event_id), float(r.x), float(r.y)))
+        self._set([r[0] for r in self.waiting.get()])
+        yield pd.DataFrame(columns=[c.split()[0] for c in FIX.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ripe, rest = [r for r in rows if r[0] * 1000 < passed], [r for r in rows if r[0] * 1000 >= passed]
+        state = tuple(self.last.get()) if self.last.exists() else None
+        last, seen = (state[:3], state[3]) if state else (None, None)
+        out = []
+        for at, event_id, x, y in ripe:
+            if seen is not None and at - seen > self.idle:
+                last = None
+            seen = at
+            if accept(last, at, x, y, self.metres, self.seconds):
+                last = (at, x, y)
+                out.append((key[0], event_id, at, x, y))
+        if ripe:
+            self.last.update((*last, seen))
+            self.waiting.clear()
+            for r in rest:
+                self.waiting.appendValue(r)
+        elif not rest and seen is not None and (seen + self.idle) * 1000 < passed:
+            self.last.clear()
+            seen = None
+        self._set([r[0] for r in rest], seen)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FIX.split(", ")])
+
+    def _set(self, waiting: list[int], seen: int | None = None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if waiting:
+            self.handle.registerTimer(min(waiting) * 1000 + 1)
+        elif seen is not None:
+            self.handle.registerTimer((seen + self.idle) * 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_fix_stream(fixes: DataFrame, metres: float = 40.0, seconds: int = 15, idle: int = IDLE, delay: str = "1 hour") -> DataFrame:
+    """The same over a stream with columns of ``throttle_fixes``. A fix that comes up to ``delay`` late is judged in its
+    place; a later one is dropped. The state store has to be RocksDB (see ``run_to_end``)."""
+    rows = _fixes(fixes).withColumn("time", F.timestamp_seconds("at")).withWatermark("time", delay)
+    return rows.groupBy("user_id").transformWithStateInPandas(Throttle(metres, seconds, idle), FIX, "Append", "EventTime")
 
 
 def dedupe_feed_stream(feed: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 day") -> DataFrame:
+    """One row for each key that comes again within ``delay``; its state goes once the watermark has passed it."""
     return feed.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def stale_feed_drop(feed: DataFrame, local_date: Column, today: Column) -> DataFrame:
     """Availability for another local date is dropped whole."""
     return feed.where(local_date == today)
+
+
+def stale_feed_stream(feed: DataFrame, zone: str, date: str = "date", time: str = "ts", delay: str = "1 day") -> DataFrame:
+    """Rows whose ``date`` is the local date at which they were made (``time``, in UTC), in a time zone. For a batch or a stream."""
+    local = F.to_date(F.from_utc_timestamp(F.col(time).cast("timestamp"), zone))
+    rows = feed.withWatermark(time, delay) if feed.isStreaming else feed
+    return stale_feed_drop(rows, local, F.col(date))
+
+
+def run_to_end(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """All rows of a stream over what its source holds now, from files in the shared folder.
+
+    With a ``folder`` a later call goes on where the last one ended, and returns the rows of both.
+    """
+    spark: SparkSession = stream.sparkSession
+    folder = folder or f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/rows")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

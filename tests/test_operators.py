@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from lacuna.functions import scalars as S
 from lacuna.operators import graph, intervals, rank, reconcile, schedule
 from lacuna.sources import readers
-from lacuna.streaming import fixes
 
 
 def rows(df, *cols):
@@ -124,19 +123,6 @@ def test_readers_of_nested_json(spark, tmp_path):
     assert rows(readers.read_keyed_dim(spark, str(tmp_path / "b.json"), "name: string"), "id", "name") == [("12", "Lab"), ("279", "Hall")]
 
 
-def test_throttle_in_batch_and_stream(spark, tmp_path):
-    data = [(u, e, e * 7, float((e * 13) % 90), 0.0) for u in (1, 2) for e in range(40)]
-    df = spark.createDataFrame(data, "user_id long, event_id long, at long, x double, y double")
-    batch = rows(fixes.throttle_fixes(df), "user_id", "event_id")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = fixes.throttle_fix_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("fixes").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert rows(spark.table("fixes"), "user_id", "event_id") == batch
-    assert 2 < len(batch) < 80
-
-
 def test_entry_points():
     import __spark_entry__ as e
 
