@@ -57,21 +57,39 @@ def window_class(wait: Column, known: Column, until: Column, close: Column, next
     return F.when(wait > 0, "wait").when(~known | odd, "unknown").when(next_busy < close, "strong").otherwise("medium")
 
 
-def room_claims(busy: DataFrame, asks: DataFrame) -> DataFrame:
-    """State of each resource at ``now`` of a date: no-class-today, before-first-class, in-class, free, after-last-class.
-
-    ``busy``: resource_id, date, start, end, merged; ``asks``: resource_id, date, now. A free one is free until the
-    next class less the time to pack up.
+def room_claims(busy: DataFrame, asks: DataFrame, seam: int = 20) -> DataFrame:
+    """State of each resource at ``now`` of a date, with ``until`` and ``next``, the start of the next free time.
+
+    ``busy``: resource_id, date, start, end, merged; ``asks``: resource_id, date, now, known, open, close. Where hours are
+    not ``known``, open and close are those of the schedule, and the state says no more than that classes haven't begun
+    or are over. Gaps shorter than ``seam`` minutes are not free times. In this order: no-class-today without hours;
+    opens (until: the opening) or before-first-class; closed-for-day or after-last-class (until: the close); in-class
+    (until: its end); no-class-today without classes; nothing-free in a seam; free, until the next class less the time to
+    pack up (null: none follows).
     """
-    per = asks.join(busy, ["resource_id", "date"], "left")
-    now = F.col("now")
-    agg = per.groupBy("resource_id", "date", "now").agg(
-        F.min("start").alias("first"), F.max("end").alias("last"), F.max(F.when((F.col("start") <= now) & (now < F.col("end")), F.col("end"))).alias("class_end"), F.min(F.when(F.col("start") > now, F.col("start"))).alias("next")
-    )
+    cut = busy.join(asks.select("resource_id", "date", "now", "open", "close").distinct(), ["resource_id", "date"])
+    cut = cut.withColumn("start", F.greatest("start", "open")).withColumn("end", F.least("end", "close")).where("end > start")
+    blocks = cut.groupBy("resource_id", "date", "now", "open", "close").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("b"))  # of one day's minutes
+    keys = ["resource_id", "date", "now"]
+    rows = asks.join(blocks.drop("open", "close"), keys, "left").withColumn("b", F.coalesce("b", F.array().cast("array<struct<start:int,end:int>>")))
+    now, open_, close = F.col("now"), F.col("open"), F.col("close")
+    begins = lambda i: F.when(i == 0, open_).otherwise(F.get("b", i - 1)["end"])
+    gaps = F.transform(F.sequence(F.lit(0), F.size("b")), lambda i: F.struct(begins(i).cast("int").alias("start"), F.when(i == F.size("b"), close).otherwise(F.get("b", i)["start"]).cast("int").alias("end")))
+    rows = rows.withColumn("free", F.filter(gaps, lambda g: g["end"] - g["start"] >= seam))
+    rows = rows.withColumn("class", F.get(F.filter("b", lambda x: (x["start"] <= now) & (now < x["end"])), F.lit(0)))
+    here = F.exists("free", lambda g: (g["start"] <= now) & (now < g["end"]))
+    later = F.get(F.filter("b", lambda x: x["start"] >= now), F.lit(0))["start"]
     state = (
-        F.when(F.col("first").isNull(), "no-class-today").when(F.col("class_end").isNotNull(), "in-class").when(now < F.col("first"), "before-first-class").when(F.col("next").isNull(), "after-last-class").otherwise("free")
-    )
-    return agg.withColumn("state", state).withColumn("until", F.when(F.col("state") == "in-class", F.col("class_end")).when(F.col("state").isin("free", "before-first-class"), F.col("next") - PACKUP)).select("resource_id", "date", "now", "state", "until")
+        F.when(open_.isNull() | close.isNull(), "no-class-today").when(now < open_, F.when(F.col("known"), "opens").otherwise("before-first-class"))
+        .when(now >= close, F.when(F.col("known"), "closed-for-day").otherwise("after-last-class")).when(F.col("class").isNotNull(), "in-class")
+        .when(F.size("b") == 0, "no-class-today").when(~here, "nothing-free").otherwise("free")
+    )
+    rows = rows.withColumn("state", state)
+    is_ = lambda *names: F.col("state").isin(*names)
+    until = F.when(is_("opens", "before-first-class"), open_).when(is_("closed-for-day", "after-last-class"), close).when(is_("in-class"), F.col("class.end")).when(is_("free"), later - PACKUP)
+    after = F.when(is_("opens"), open_).when(is_("in-class"), F.col("class.end"))
+    first = F.get(F.filter("free", lambda g: g["start"] >= after), F.lit(0))["start"]
+    return rows.select(*keys, "state", until.cast("int").alias("until"), F.when(after.isNotNull(), first).cast("int").alias("next"))
 
 
 def calendar_states(df: DataFrame) -> DataFrame:

@@ -39,11 +39,12 @@ ON_WHEELS = "Movable Tables and Chairs on Casters"
 FAMILY = {"Fixed Tablet Arm": "tablet-arm", "Movable Tablet Arm": "tablet-arm", "Fixed Tables": "table-chair", "Movable Tables and Chairs": "table-chair", ON_WHEELS: "table-chair"}
 
 
-def derive_attributes(codes: Column, furniture: Column) -> Column:
+def derive_attributes(codes: Column, furniture: Column, boards: Column | None = None) -> Column:
     """struct(family, mobility, basis, contested, windows, chalk, white) of a resource from two sources.
 
     The first source's codes go before the second's furniture, which alone can only tell that chairs have wheels. Both
-    window codes at once tell nothing.
+    window codes at once tell nothing. Boards are those of the codes, and where a resource has none of these, those that
+    the second source lists (``boards``, names; an empty list tells nothing).
     """
     some = lambda those: F.arrays_overlap(codes, F.array(*[F.lit(c) for c in those]))
     first = F.when(some(TABLET), "tablet-arm").when(some(TABLE), "table-chair")
@@ -53,9 +54,11 @@ def derive_attributes(codes: Column, furniture: Column) -> Column:
     basis = F.when(some(BOLTED), "first").when(some(LOOSE), F.when(furniture.isNotNull(), "both").otherwise("first")).when(wheels, "second")
     contested = F.coalesce((first != second) | some(BOLTED) & furniture.startswith("Movable") & first.isNotNull(), F.lit(False))
     yes, no = F.array_contains(codes, WINDOWS), F.array_contains(codes, NO_WINDOWS)
+    listed = F.when(F.size(boards) > 0, boards) if boards is not None else F.lit(None).cast("array<string>")
+    board = lambda code, name: F.when(codes.isNotNull(), F.array_contains(codes, code)).otherwise(F.array_contains(listed, name))
     return F.struct(
         F.coalesce(first, second).alias("family"), mobility.alias("mobility"), basis.alias("basis"), contested.alias("contested"), F.when(yes != no, yes).alias("windows"),
-        F.array_contains(codes, CHALK).alias("chalk"), F.array_contains(codes, WHITE).alias("white"),
+        board(CHALK, "Chalk").alias("chalk"), board(WHITE, "Dry Erase").alias("white"),
     )
 
 
@@ -125,12 +128,19 @@ def door_funnel(doors: DataFrame, places: DataFrame, most: float) -> DataFrame:
     return rows.withColumn("place", kept).select("door_id", "place_id", "stage", "metres", "place")
 
 
-def footprint_bias(vertices: DataFrame) -> DataFrame:
-    """Over places the median, 90 % and most of the largest distance from the middle to the outline, by rank floor(n * p).
+def farthest_vertex(rings: Column, x: Column, y: Column) -> Column:
+    """Metres from a pin to the farthest vertex of an outline, an array of rings of struct(x, y); null without vertices."""
+    away = lambda v: F.sqrt((v["x"] - x) * (v["x"] - x) + (v["y"] - y) * (v["y"] - y))
+    return F.array_max(F.transform(F.flatten(rings), away))
 
-    ``vertices``: place_id, metres.
+
+def footprint_bias(outlines: DataFrame) -> DataFrame:
+    """Over places the median, 90 % and most of the distance from the pin to the farthest corner, by rank floor(n * p).
+
+    ``outlines``: place_id, x, y (the pin), rings (array of rings, arrays of struct(x, y)); rows of one place count
+    together. Vertices are looked at inside their row.
     """
-    far = vertices.groupBy("place_id").agg(F.max("metres").alias("far"))
+    far = outlines.select("place_id", farthest_vertex(F.col("rings"), F.col("x"), F.col("y")).alias("far")).where("far is not null").groupBy("place_id").agg(F.max("far").alias("far"))
     ordered = far.groupBy("far").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(Window.orderBy("far"))  # a row a place's distance
     ranked = ordered.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy()))

@@ -11,6 +11,35 @@ from lacuna.functions.scalars import DETOUR, PACKUP, planar_m, score_of, tier_of
 from lacuna.operators.graph import cut
 
 
+def free_steps(gaps: DataFrame, needs: Sequence[int], packup: int = PACKUP) -> DataFrame:
+    """place_id, date, need, minute, until, free: how many resources of a place one can arrive at for that need, minute by
+    minute as steps.
+
+    ``gaps``: place_id, date, resource_id, gap_start, gap_end, disjoint for a resource. A gap takes arrivals from its start
+    to the last minute that leaves the need and the time to pack up: one up there, one down after it. Differences of a
+    place and day are summed before they are put in order, so a running sum sees at most a day's minutes.
+    """
+    need = F.explode(F.array(*[F.lit(int(n)) for n in needs]))
+    rows = gaps.select("place_id", "date", "gap_start", "gap_end", need.alias("need")).withColumn("last", F.col("gap_end") - packup - F.greatest("need", F.lit(1))).where("last >= gap_start")
+    ends = F.explode(F.array(F.struct(F.col("gap_start").alias("minute"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).alias("minute"), F.lit(-1).alias("d"))))
+    steps = rows.select("place_id", "date", "need", ends.alias("e")).groupBy("place_id", "date", "need", F.col("e.minute").alias("minute")).agg(F.sum("e.d").alias("d")).where("d <> 0")
+    by = Window.partitionBy("place_id", "date", "need").orderBy("minute")
+    return steps.select("place_id", "date", "need", "minute", F.lead("minute").over(by).alias("until"), F.sum("d").over(by).alias("free")).where("free > 0")
+
+
+def replay(walks: DataFrame, steps: DataFrame, times: Sequence[int], needs: Sequence[int]) -> DataFrame:
+    """source, date, time, need, resources, nearest: what each origin is offered at every time for every need.
+
+    ``walks``: source, date, place_id, walk, the places in reach of an origin. Free resources are read off the steps at
+    the minute of arrival, so no gap is looked at here. Combinations without any have a row with 0 and no nearest.
+    """
+    minutes = steps.select("place_id", "date", "need", F.explode(F.sequence("minute", F.col("until") - 1)).alias("arrival"), "free")  # of a day
+    grid = F.explode(F.array(*[F.struct(F.lit(int(t)).alias("time"), F.lit(int(n)).alias("need")) for t in times for n in needs]))
+    asked = walks.select("source", "date", "place_id", "walk", grid.alias("g")).select("source", "date", "place_id", "walk", "g.*").withColumn("arrival", F.col("time") + F.col("walk"))
+    both = asked.join(minutes, ["place_id", "date", "need", "arrival"], "left")
+    return both.groupBy("source", "date", "time", "need").agg(F.coalesce(F.sum("free"), F.lit(0)).cast("long").alias("resources"), F.min(F.when(F.col("free") > 0, F.col("walk"))).alias("nearest"))
+
+
 def hours_state(open_: str = "open", known: str = "_hours") -> Column:
     """unknown without a row, closed with a null pair, else open."""
     return F.when(F.col(known).isNull(), "unknown").when(F.col(open_).isNull(), "closed").otherwise("open")

@@ -91,11 +91,14 @@ def _(spark, sf):
     return calendar.date_cells(calendar.column_of(cells, "TERM 1"), "text").select("table_id", "day")
 
 
-@query("s7_write_index", ctes("busy") + 'SELECT resource_id, (row_number() OVER (PARTITION BY resource_id ORDER BY day, start, "end", session_id, label) - 1)::INT AS place, day, start, "end", label FROM busy')
+@query("s7_write_index", ctes("busy") + 'SELECT session_id AS term, resource_id, (row_number() OVER (PARTITION BY session_id, resource_id ORDER BY day, start, "end", session_id, label) - 1)::INT AS place, day, start, "end", label FROM busy')
 def _(spark, sf):
-    path = fresh(spark, "index")
-    readers.write_index(X.busy(spark, sf), path)
-    return spark.read.parquet(path).select("resource_id", F.posexplode("busy").alias("place", "b")).select("resource_id", "place", "b.day", "b.start", "b.end", "b.label")
+    """Two versions; read through the pointer, which the second one moved."""
+    root, rows = fresh(spark, "index"), X.busy(spark, sf).withColumn("term", F.col("session_id"))
+    readers.write_index(rows.where("day = 1"), root, "first")
+    readers.write_index(rows, root, "second")
+    found = readers.read_index(spark, root).select("term", "resource_id", F.posexplode("busy").alias("place", "b"))
+    return found.select("term", "resource_id", "place", "b.day", "b.start", "b.end", "b.label")
 
 
 @query("s8_write_guard_report", ctes("busy") + """SELECT 'a' AS run, 'residue:end' AS guard, CASE WHEN count(*) FILTER (WHERE "end" <= start) > 0.01 * count(*) THEN 'fatal' ELSE 'ok' END AS level, (count(*) FILTER (WHERE "end" <= start))::VARCHAR AS detail FROM busy
@@ -190,12 +193,14 @@ def _(spark, sf):
 @query("f25_derive_attributes", """WITH p AS (SELECT p_partkey, p_partkey % 6 AS k, p_size % 3 AS f FROM part) SELECT p_partkey, CASE WHEN k IN (0, 1) THEN 'tablet-arm' WHEN k IN (2, 3) THEN 'table-chair' WHEN f = 1 THEN 'tablet-arm' WHEN f = 2 THEN 'table-chair' END AS family,
  CASE WHEN k IN (0, 2) THEN 'bolted' WHEN k IN (1, 3) THEN CASE WHEN f = 2 THEN 'casters' ELSE 'freestanding' END WHEN f = 2 THEN 'casters' END AS mobility,
  CASE WHEN k IN (0, 2) THEN 'first' WHEN k IN (1, 3) THEN CASE WHEN f = 0 THEN 'first' ELSE 'both' END WHEN f = 2 THEN 'second' END AS basis,
- CASE WHEN f = 0 OR k > 3 THEN false WHEN k IN (0, 1) AND f = 2 THEN true WHEN k IN (2, 3) AND f = 1 THEN true WHEN k IN (0, 2) AND f = 2 THEN true ELSE false END AS contested, CASE WHEN k < 2 THEN true WHEN k = 2 THEN false END AS windows FROM p""")
+ CASE WHEN f = 0 OR k > 3 THEN false WHEN k IN (0, 1) AND f = 2 THEN true WHEN k IN (2, 3) AND f = 1 THEN true WHEN k IN (0, 2) AND f = 2 THEN true ELSE false END AS contested, CASE WHEN k < 2 THEN true WHEN k = 2 THEN false END AS windows,
+ CASE WHEN k = 5 THEN CASE f WHEN 0 THEN true WHEN 1 THEN false END ELSE k = 4 END AS chalk, CASE WHEN k = 5 THEN CASE f WHEN 0 THEN true WHEN 1 THEN true END ELSE false END AS white FROM p""")
 def _(spark, sf):
     k, f = F.col("p_partkey") % 6, F.col("p_size") % 3
     codes = F.when(k == 0, F.array(F.lit(29), F.lit(39))).when(k == 1, F.array(F.lit(30), F.lit(39))).when(k == 2, F.array(F.lit(31), F.lit(40))).when(k == 3, F.array(F.lit(32), F.lit(39), F.lit(40))).when(k == 4, F.array(F.lit(43)))
     kind = F.when(f == 1, "Fixed Tablet Arm").when(f == 2, features.ON_WHEELS)
-    return T(spark, sf, "part").select("p_partkey", features.derive_attributes(codes, kind).alias("a")).select("p_partkey", "a.family", "a.mobility", "a.basis", "a.contested", "a.windows")
+    listed = F.when(f == 0, F.array(F.lit("Chalk"), F.lit("Dry Erase"))).when(f == 1, F.array(F.lit("Dry Erase"))).otherwise(F.array().cast("array<string>"))
+    return T(spark, sf, "part").select("p_partkey", features.derive_attributes(codes, kind, listed).alias("a")).select("p_partkey", "a.family", "a.mobility", "a.basis", "a.contested", "a.windows", "a.chalk", "a.white")
 
 
 @query("f27_booking_kind", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'block' ELSE 'class' END AS kind FROM events")
@@ -352,12 +357,21 @@ def _(spark, sf):
     return calendar.slid_dates(a, b, 2).select("key", "state", "left_date", "right_date", "gap")
 
 
-@query("j20_origins_x_resources", ctes("places", "asks", "resources") + f""", n AS (SELECT a.ask_id, a.need, p.place_id, ceil({METRES.format(a='a', b='p')} * 1.3 / 78.0)::INT AS walk FROM asks a, places p WHERE {METRES.format(a='a', b='p')} <= {RADIUS})
- SELECT ask_id, need, count(*) AS resources, min(walk) AS nearest, max(seats) AS seats FROM n JOIN resources USING (place_id) GROUP BY ALL""")
+TIMES, NEEDS = (550, 730, 910, 1090), (30, 60)
+
+
+@query("j20_origins_x_resources", ANSWERS + f""", grid AS (SELECT t, n FROM (VALUES {", ".join(f"({t})" for t in TIMES)}) a(t), (VALUES {", ".join(f"({n})" for n in NEEDS)}) b(n)),
+ nearby AS (SELECT DISTINCT ask_id AS source, date, place_id, walk FROM near),
+ ways AS (SELECT source, nearby.date, t, n, walk, resource_id, gap_start <= t + walk AND gap_end - 10 - n >= t + walk AS ok FROM nearby, grid LEFT JOIN resources r ON r.place_id = nearby.place_id LEFT JOIN gaps g USING (resource_id) WHERE g.date = nearby.date OR g.date IS NULL)
+ SELECT s.source, s.date, s.t AS time, s.n AS need, coalesce(count(DISTINCT resource_id) FILTER (WHERE ok), 0) AS resources, min(walk) FILTER (WHERE ok) AS nearest
+ FROM (SELECT DISTINCT source, date, t, n FROM nearby, grid) s LEFT JOIN ways w USING (source, date, t, n) GROUP BY ALL""")
 def _(spark, sf):
-    near = rank.ask_places(X.asks(spark, sf), X.places(spark, sf), RADIUS)
-    per = X.resources(spark, sf).groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.max("seats").alias("seats"))  # what every origin shares, once
-    return near.join(per, "place_id").groupBy("ask_id", "need").agg(F.sum("n").alias("resources"), F.min("walk").alias("nearest"), F.max("seats").alias("seats"))
+    asks, dates = X.asks(spark, sf), X.asks(spark, sf).select("date").distinct()
+    near = rank.ask_places(asks, X.places(spark, sf), RADIUS).select(F.col("ask_id").alias("source"), "date", "place_id", "walk")
+    busy = X.busy(spark, sf).join(dates, "date", "left_semi")
+    spans = busy.select("resource_id", "date").distinct().withColumn("open", F.lit(480)).withColumn("close", F.lit(1320))
+    gaps = intervals.free_gaps(busy, spans, KEYS).join(X.resources(spark, sf).select("resource_id", "place_id"), "resource_id")
+    return rank.replay(near, rank.free_steps(gaps, NEEDS), TIMES, NEEDS)
 
 
 @query("j21_attach_features", """WITH f AS (SELECT l_partkey AS k, list_sort(list_distinct(list(CASE WHEN l_quantity < 45 THEN (l_quantity * 20)::INT END))) AS features, count(*) FILTER (WHERE l_quantity >= 45 OR l_quantity IS NULL) AS invalid FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
@@ -417,9 +431,16 @@ def _(spark, sf):
     return features.free_window_analysis(feed.where("kind is null"), feed.where("kind is not null"), rows, [("evening", [1, 2, 3], 600, 900), ("late", [6], 480, 1320)])
 
 
-@query("a23_footprint_bias", """WITH f AS (SELECT l_suppkey, max(l_quantity) AS far FROM lineitem GROUP BY 1), s AS (SELECT list_sort(list(far)) AS a, count(*) AS n FROM f) SELECT n AS places, a[least(n - 1, floor(n * 0.5))::INT + 1] AS median, a[least(n - 1, floor(n * 0.9))::INT + 1] AS p90, a[n] AS most FROM s""")
+@query("a23_footprint_bias", """WITH v AS (SELECT l_suppkey AS k, sqrt((l_quantity - l_suppkey % 50) * (l_quantity - l_suppkey % 50) + (l_partkey % 70 - l_suppkey % 30) * (l_partkey % 70 - l_suppkey % 30)) AS d FROM lineitem),
+ f AS (SELECT k, max(d) AS far FROM v GROUP BY 1), s AS (SELECT list_sort(list(far)) AS a, count(*) AS n FROM f)
+ SELECT n AS places, round(a[least(n - 1, floor(n * 0.5))::INT + 1], 9) AS median, round(a[least(n - 1, floor(n * 0.9))::INT + 1], 9) AS p90, round(a[n], 9) AS most FROM s""")
 def _(spark, sf):
-    return features.footprint_bias(T(spark, sf, "lineitem").select(F.col("l_suppkey").alias("place_id"), F.col("l_quantity").alias("metres")))
+    """Each supplier's lines are the corners of its outline, a ring for each return flag."""
+    k = F.col("l_suppkey")
+    corner = F.struct(F.col("l_quantity").cast("double").alias("x"), (F.col("l_partkey") % 70).cast("double").alias("y"))
+    rings = T(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.collect_list(corner).alias("ring"))
+    outlines = rings.groupBy("l_suppkey").agg(F.collect_list("ring").alias("rings")).select(k.alias("place_id"), (k % 50).cast("double").alias("x"), (k % 30).cast("double").alias("y"), "rings")
+    return features.footprint_bias(outlines).select("places", *[F.round(c, 9).alias(c) for c in ("median", "p90", "most")])
 
 
 @query("a24_field_trial_tally", """WITH v AS (SELECT event_id % 2 = 0 AS hours_known, event_id % 3 = 0 AS shown, CASE event_id % 7 WHEN 0 THEN 'empty' WHEN 1 THEN 'occupied' WHEN 2 THEN 'missing' WHEN 3 THEN 'locked-outer' WHEN 4 THEN 'locked-inner' END AS o FROM events)
@@ -551,13 +572,13 @@ def _(spark, sf):
 
 # -- decisions ---------------------------------------------------------------------------------
 
-LOOKUP = """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), c AS (SELECT o_orderdate::DATE AS date, min(CASE WHEN o_orderkey % 2 = 0 THEN 'no-classes' ELSE 'offices-closed' END) AS state FROM orders WHERE o_orderkey % 37 = 0 GROUP BY 1),
- l AS (SELECT d.date, c.state, year(d.date) % 2 = 0 AS in_term, month(d.date) = 12 AND day(d.date) BETWEEN 5 AND 15 AS exams, month(d.date) = 10 AND day(d.date) <= 7 AS low FROM d LEFT JOIN c USING (date))"""
+LOOKUP = """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), c AS (SELECT o_orderdate::DATE AS date, min(ROW(CASE WHEN o_orderkey % 2 = 0 THEN 'no-classes' ELSE 'offices-closed' END, 'Holiday ' || o_orderkey % 5)) AS c FROM orders WHERE o_orderkey % 37 = 0 GROUP BY 1),
+ l AS (SELECT d.date, c.c[1] AS state, c.c[2] AS name, year(d.date) % 2 = 0 AS in_term, month(d.date) = 12 AND day(d.date) BETWEEN 5 AND 15 AS exams, month(d.date) = 10 AND day(d.date) <= 7 AS low FROM d LEFT JOIN c USING (date))"""
 
 
 def looked_up(spark, sf) -> DataFrame:
     o = T(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("date"))
-    closed = o.where("o_orderkey % 37 = 0").select("date", F.when(F.col("o_orderkey") % 2 == 0, "no-classes").otherwise("offices-closed").alias("state"), F.lit(None).cast("string").alias("name"))
+    closed = o.where("o_orderkey % 37 = 0").select("date", F.when(F.col("o_orderkey") % 2 == 0, "no-classes").otherwise("offices-closed").alias("state"), F.concat(F.lit("Holiday "), (F.col("o_orderkey") % 5).cast("string")).alias("name"))
     years = o.select(F.year("date").alias("y")).distinct()
     span = lambda df, kind, a, b: df.select(F.lit(kind).alias("kind"), F.make_date("y", *a).alias("first"), F.make_date("y", *b).alias("last"))
     lit = lambda *x: tuple(F.lit(v) for v in x)
@@ -565,9 +586,9 @@ def looked_up(spark, sf) -> DataFrame:
     return calendar.calendar_lookup(o.select("date").distinct(), closed, spans)
 
 
-@query("d9_calendar_lookup", LOOKUP + " SELECT date, state, in_term, exams, low AS low_confidence FROM l")
+@query("d9_calendar_lookup", LOOKUP + " SELECT date, state, name, in_term, exams, low AS low_confidence FROM l")
 def _(spark, sf):
-    return looked_up(spark, sf).drop("name")
+    return looked_up(spark, sf)
 
 
 @query("d2_resolve_state", LOOKUP + """, r AS (SELECT *, CASE WHEN exams THEN 'exams' WHEN NOT in_term THEN 'out-of-term' WHEN state = 'offices-closed' THEN 'closed' END AS reason FROM l) SELECT date, CASE WHEN reason IS NULL THEN 'RANKED' ELSE 'REFUSED' END AS kind,
@@ -693,15 +714,31 @@ def _(spark, sf):
 JUNCTIONS = ctes("edges").replace("WITH ", "WITH RECURSIVE ") + ", j AS (SELECT src AS node FROM edges GROUP BY src HAVING count(*) <> 2)"
 
 
-@query("n3_contract_degree2", JUNCTIONS + ", r(source, node, dist) AS (SELECT node, node, 0 FROM j UNION SELECT r.source, e.dst, r.dist + e.w FROM r JOIN edges e ON e.src = r.node WHERE r.dist + e.w <= 900) SELECT source, node, min(dist)::BIGINT AS dist FROM r JOIN j USING (node) GROUP BY ALL")
+@query("n3_contract_degree2", JUNCTIONS + """, r(start, prev, cur, w) AS (SELECT src, src, dst, w FROM edges WHERE src IN (SELECT node FROM j)
+ UNION ALL SELECT r.start, r.cur, e.dst, r.w + e.w FROM r JOIN edges e ON e.src = r.cur AND e.dst <> r.prev WHERE r.cur NOT IN (SELECT node FROM j))
+ SELECT start AS src, cur AS dst, min(w)::BIGINT AS w FROM r WHERE cur IN (SELECT node FROM j) AND start <> cur GROUP BY ALL""")
+def _(spark, sf):
+    return graph.contract_degree2(X.edges(spark, sf))
+
+
+@query("n3_junction_distances", JUNCTIONS + ", r(source, node, dist) AS (SELECT node, node, 0 FROM j UNION SELECT r.source, e.dst, r.dist + e.w FROM r JOIN edges e ON e.src = r.node WHERE r.dist + e.w <= 900) SELECT source, node, min(dist)::BIGINT AS dist FROM r JOIN j USING (node) GROUP BY ALL")
 def _(spark, sf):
-    """Distances between junctions, over the contracted graph."""
+    """Folding leaves distances between junctions as they are."""
     e = X.edges(spark, sf)
     junctions = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n <> 2").select(F.col("src").alias("node"))
     sources = junctions.select(F.col("node").alias("source"), "node", F.lit(0).cast("long").alias("cost"))
     return graph.bounded_distances(graph.contract_degree2(e), sources, 900).join(junctions, "node", "left_semi").select("source", "node", "dist")
 
 
+@query("n3_longest_edge", JUNCTIONS + """, r(start, first, prev, cur, w, run, cuts) AS (SELECT src, dst, src, dst, w, w, []::BIGINT[] FROM edges WHERE src IN (SELECT node FROM j)
+ UNION ALL SELECT r.start, r.first, r.cur, e.dst, r.w + e.w, CASE WHEN r.run + e.w > 300 THEN e.w ELSE r.run + e.w END, CASE WHEN r.run + e.w > 300 THEN list_append(r.cuts, r.cur) ELSE r.cuts END
+  FROM r JOIN edges e ON e.src = r.cur AND e.dst <> r.prev WHERE r.cur NOT IN (SELECT node FROM j))
+ SELECT DISTINCT unnest(cuts) AS node FROM r WHERE cur IN (SELECT node FROM j) AND (start, first) < (cur, prev)""")
+def _(spark, sf):
+    """Where runs are cut so that no folded edge is longer than 300."""
+    return graph.pins(X.edges(spark, sf), 300)
+
+
 WALKS = ctes("edges").replace("WITH ", "WITH RECURSIVE ") + ", " + NODES + """, o AS (SELECT s_suppkey AS source, ((s_suppkey * 91) % 7000)::DOUBLE AS x, ((s_suppkey * 53) % 1500)::DOUBLE AS y FROM supplier),
  d AS (SELECT c_nationkey AS place_id, ((c_custkey * 61) % 6500)::DOUBLE AS x, ((c_custkey * 29) % 1800)::DOUBLE AS y FROM customer WHERE c_custkey % 5 = 0),
  os AS (SELECT source, node, sqrt((o.x - n.x) * (o.x - n.x) + (o.y - n.y) * (o.y - n.y)) AS leg FROM o JOIN nodes n ON n.x BETWEEN o.x - 150 AND o.x + 150 AND n.y BETWEEN o.y - 150 AND o.y + 150 WHERE leg <= 150 QUALIFY row_number() OVER (PARTITION BY source ORDER BY leg, node) = 1),

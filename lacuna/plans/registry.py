@@ -431,10 +431,11 @@ def _(spark, sf):
     return answers(spark, sf, soon=True).select("ask_id", "resource_id", "gap_start", "gap_end", "usable")
 
 
-@query("j5_hours_tristate_join", ctes("hours", "asks") + "SELECT ask_id, place_id, CASE WHEN h.day IS NULL THEN 'unknown' WHEN open IS NULL THEN 'closed' ELSE 'open' END AS state FROM asks a CROSS JOIN (SELECT n_nationkey AS place_id FROM nation) p LEFT JOIN hours h USING (place_id, day)")
+@query("j5_hours_tristate_join", ctes("hours", "resources") + "SELECT resource_id, i::INT AS day, CASE WHEN h.day IS NULL THEN 'unknown' WHEN open IS NULL THEN 'closed' ELSE 'open' END AS state FROM resources r CROSS JOIN range(7) t(i) LEFT JOIN hours h ON h.place_id = r.place_id AND h.day = i")
 def _(spark, sf):
-    both = X.asks(spark, sf).crossJoin(F.broadcast(X.places(spark, sf).select("place_id")))  # a row a place
-    return rank.hours_tristate_join(both, X.hours(spark, sf)).select("ask_id", "place_id", "state")
+    """The week of every resource."""
+    week = X.resources(spark, sf).select("resource_id", "place_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("day"))
+    return rank.hours_tristate_join(week, X.hours(spark, sf)).select("resource_id", "day", "state")
 
 
 @query("t5_next_opening", ctes("hours", "asks") + """, n AS (SELECT ask_id, i AS ahead, open, count(*) AS places FROM asks a, range(7) t(i), hours h WHERE h.day = (a.day + i) % 7 AND open IS NOT NULL AND (i > 0 OR open > now) GROUP BY ALL)
@@ -571,6 +572,29 @@ def _(spark, sf):
     return reconcile.override_patch(rows, over, ["p_partkey"], "price")
 
 
+@query("j16_key_clashes", "SELECT unpadded, list_sort(list(DISTINCT key))::VARCHAR AS keys FROM (SELECT key, coalesce(nullif(ltrim(key, '0'), ''), '0') AS unpadded FROM (SELECT CASE WHEN s_suppkey % 3 = 0 THEN '0' ELSE '' END || (s_suppkey % 40) AS key FROM supplier)) GROUP BY 1 HAVING count(DISTINCT key) > 1")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    dim = X.table(spark, sf, "supplier").select(F.concat(F.when(k % 3 == 0, "0").otherwise(""), (k % 40).cast("string")).alias("key"))
+    return reconcile.key_clashes(dim, "key").select("unpadded", F.concat(F.lit("["), F.array_join("keys", ", "), F.lit("]")).alias("keys"))
+
+
+@query("j18_override_report", "SELECT count(*) FILTER (WHERE p_partkey % 10 = 0 AND p_partkey % 20 = 0) AS patched, count(*) FILTER (WHERE p_partkey % 10 = 0 AND p_partkey % 20 <> 0) AS unresolved, count(*) FILTER (WHERE p_partkey % 20 = 5) AS unused, (SELECT count(*) FROM supplier WHERE s_suppkey % 4 = 0) AS without_cell, CASE WHEN count(*) FILTER (WHERE p_partkey % 20 = 10) > 0 THEN 'fatal' ELSE 'ok' END AS level FROM part")
+def _(spark, sf):
+    p = X.table(spark, sf, "part")
+    rows = p.select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("price"))
+    over = p.where("p_partkey % 20 in (0, 5)").select("p_partkey", F.lit(1.0).alias("value"))
+    strange = X.table(spark, sf, "supplier").where("s_suppkey % 4 = 0").select((-1 - F.col("s_suppkey")).alias("p_partkey"), F.lit(1.0).alias("value"))
+    return reconcile.override_report(rows, over.unionByName(strange), ["p_partkey"], "price")
+
+
+@query("u7_source_counts", "SELECT count(*) FILTER (WHERE p_partkey % 6 NOT IN (0, 1)) AS read, count(*) FILTER (WHERE p_partkey % 6 IN (0, 1)) AS skipped, coalesce(sum(bit_count((p_size & 127)::INT)) FILTER (WHERE p_partkey % 6 NOT IN (0, 1)), 0)::BIGINT AS intervals FROM part")
+def _(spark, sf):
+    k = F.col("p_partkey") % 6
+    bits = F.concat(*[(F.shiftright("p_size", i).bitwiseAND(F.lit(1))).cast("string") for i in range(7)])
+    return reconcile.source_counts(X.table(spark, sf, "part").select(F.when(k != 0, bits).alias("pattern"), F.when(k == 1, "noon").otherwise("0800-0855").alias("time")))
+
+
 @query("u1_harvest_union", "WITH p AS (SELECT event_id, event_id % 4 AS pass FROM events UNION ALL SELECT event_id, 3 FROM events WHERE event_id % 3 = 0), f AS (SELECT event_id, min(pass) AS pass FROM p GROUP BY 1), s AS (SELECT pass, count(DISTINCT event_id) AS saw FROM p GROUP BY 1), a AS (SELECT pass, count(*) AS added FROM f GROUP BY 1) SELECT pass, saw, coalesce(added, 0) AS added, (sum(coalesce(added, 0)) OVER (ORDER BY pass))::BIGINT AS union_after FROM s LEFT JOIN a USING (pass)")
 def _(spark, sf):
     e = X.table(spark, sf, "events")
@@ -853,15 +877,26 @@ def _(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", decide.season_floor(F.col("p_partkey").cast("string")).alias("least"))
 
 
-@query("f17_room_claim", ctes("busy") + "," + ISLANDS.format(src="busy", op=">") + """, q AS (SELECT DISTINCT resource_id, date, (480 + (resource_id * 7) % 700)::INT AS now FROM busy WHERE day <> 2),
- g AS (SELECT q.*, min(start) AS first, max("end") AS last, max("end") FILTER (WHERE start <= now AND now < "end") AS class_end, min(start) FILTER (WHERE start > now) AS next FROM q LEFT JOIN merged m ON m.resource_id = q.resource_id AND m.date = q.date AND m.start <> 0 GROUP BY q.resource_id, q.date, q.now),
- s AS (SELECT *, CASE WHEN first IS NULL THEN 'no-class-today' WHEN class_end IS NOT NULL THEN 'in-class' WHEN now < first THEN 'before-first-class' WHEN next IS NULL THEN 'after-last-class' ELSE 'free' END AS state FROM g)
- SELECT resource_id, date, now, state, CASE WHEN state = 'in-class' THEN class_end WHEN state IN ('free', 'before-first-class') THEN next - 10 END AS until FROM s""")
+@query("f17_room_claim", ctes("busy", "hours", "resources") + "," + ISLANDS.format(src="busy", op=">") + """, ends AS (SELECT resource_id, date, min(start) AS first, max("end") AS last FROM merged GROUP BY ALL),
+ q AS (SELECT DISTINCT b.resource_id, b.date, (400 + (b.resource_id * 37 + b.day * 211) % 1030)::INT AS now, h.day IS NOT NULL AS known, CASE WHEN h.day IS NULL THEN first ELSE h.open END AS open, CASE WHEN h.day IS NULL THEN last ELSE h.close END AS close
+  FROM busy b JOIN ends USING (resource_id, date) JOIN resources r ON r.resource_id = b.resource_id LEFT JOIN hours h ON h.place_id = r.place_id AND h.day = b.day),
+ bl AS (SELECT q.*, greatest(k.start, open) AS s, least(k."end", close) AS e FROM q JOIN merged k USING (resource_id, date) WHERE least(k."end", close) > greatest(k.start, open)),
+ gp AS (SELECT resource_id, date, s AS a, e AS z FROM bl UNION ALL SELECT resource_id, date, close, close FROM q WHERE open IS NOT NULL),
+ fr AS (SELECT resource_id, date, coalesce(lag(z) OVER w, open) AS s, a AS e FROM gp JOIN (SELECT resource_id, date, open FROM q) USING (resource_id, date) WINDOW w AS (PARTITION BY resource_id, date ORDER BY a, z)),
+ st AS (SELECT q.*, (SELECT max(e) FROM bl WHERE bl.resource_id = q.resource_id AND bl.date = q.date AND s <= q.now AND q.now < e) AS class_end, (SELECT count(*) FROM bl WHERE bl.resource_id = q.resource_id AND bl.date = q.date) AS n,
+   (SELECT min(s) FROM bl WHERE bl.resource_id = q.resource_id AND bl.date = q.date AND s >= q.now) AS later, (SELECT count(*) FROM fr WHERE fr.resource_id = q.resource_id AND fr.date = q.date AND e - s >= 20 AND s <= q.now AND q.now < e) AS here FROM q),
+ t AS (SELECT *, CASE WHEN open IS NULL THEN 'no-class-today' WHEN now < open THEN CASE WHEN known THEN 'opens' ELSE 'before-first-class' END WHEN now >= close THEN CASE WHEN known THEN 'closed-for-day' ELSE 'after-last-class' END WHEN class_end IS NOT NULL THEN 'in-class' WHEN n = 0 THEN 'no-class-today' WHEN here = 0 THEN 'nothing-free' ELSE 'free' END AS state FROM st),
+ u AS (SELECT *, CASE state WHEN 'opens' THEN open WHEN 'before-first-class' THEN open WHEN 'closed-for-day' THEN close WHEN 'after-last-class' THEN close WHEN 'in-class' THEN class_end WHEN 'free' THEN later - 10 END AS until, CASE state WHEN 'opens' THEN open WHEN 'in-class' THEN class_end END AS after FROM t)
+ SELECT resource_id, date, now, state, until::INT AS until, (SELECT min(s) FROM fr WHERE fr.resource_id = u.resource_id AND fr.date = u.date AND e - s >= 20 AND s >= u.after)::INT AS next FROM u""")
 def _(spark, sf):
     rows = X.busy(spark, sf)
-    merged = intervals.merge_intervals(rows, KEYS).where("start <> 0").select(*KEYS, "start", "end")
-    asks = rows.where("day <> 2").select(*KEYS, (480 + F.col("resource_id") * 7 % 700).cast("int").alias("now")).distinct()
-    return decide.room_claims(merged, asks)
+    merged = intervals.merge_intervals(rows, KEYS).select(*KEYS, "start", "end")
+    ends = merged.groupBy(*KEYS).agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    now = (400 + (F.col("resource_id") * 37 + F.col("day") * 211) % 1030).cast("int")
+    asks = rows.select(*KEYS, "day", now.alias("now")).distinct().join(ends, KEYS).join(X.resources(spark, sf).select("resource_id", "place_id"), "resource_id")
+    asks = rank.hours_tristate_join(asks, X.hours(spark, sf)).withColumn("known", F.col("state") != "unknown")
+    own = lambda a, b: F.when(F.col("known"), F.col(a)).otherwise(F.col(b)).cast("int").alias(a)
+    return decide.room_claims(merged, asks.select(*KEYS, "now", "known", own("open", "first"), own("close", "last")))
 
 
 @query("u10_calendar_states", """WITH e AS (SELECT o_orderdate::DATE AS date, CASE WHEN o_orderkey % 40 = 0 THEN 2 WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS l FROM orders) SELECT date, CASE max(l) WHEN 2 THEN 'offices-closed' WHEN 1 THEN 'no-classes' ELSE 'none' END AS state FROM e GROUP BY date""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +58,46 @@ def split_blocks(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.posexplode(blocks).alias("block", "text"))
 
 
-def write_index(busy: DataFrame, path: str) -> None:
-    """Nested, sorted intervals of each resource."""
-    nested = busy.groupBy("resource_id").agg(F.array_sort(F.collect_list(F.struct("day", "start", "end", "session_id", "label"))).alias("busy"))
-    nested.write.mode("overwrite").parquet(path)
+class IncompleteIndex(ValueError):
+    """A staged index doesn't hold what was to be written."""
+
+
+def write_index(busy: DataFrame, root: str, name: str, term: str = "term") -> None:
+    """Nested, sorted intervals of each resource, as the version ``name`` of the index in ``root``, partitioned by term.
+
+    In two phases: the version is written to a folder of its own and read back; only if it holds the resources and
+    intervals of ``busy`` does a row that points to it join the pointers, the last thing that is written. Readers follow
+    the newest pointer, so a write that fails or is not whole leaves them with the version before. One writer at a time.
+    """
+    spark = busy.sparkSession
+    staged = f"{root}/versions/{name}"
+    nested = busy.groupBy(term, "resource_id").agg(F.array_sort(F.collect_list(F.struct("day", "start", "end", "session_id", "label"))).alias("busy"))
+    nested.write.partitionBy(term).parquet(staged)
+    want = busy.agg(F.countDistinct(F.struct(term, "resource_id")).alias("resources"), F.count(F.lit(1)).alias("intervals")).first()
+    found = spark.read.parquet(staged).agg(F.count(F.lit(1)).alias("resources"), F.coalesce(F.sum(F.size("busy")), F.lit(0)).alias("intervals")).first()
+    if tuple(want) != tuple(found):
+        raise IncompleteIndex(f"{staged}: {found['resources']} resources and {found['intervals']} intervals of {want['resources']} and {want['intervals']}")
+    last = pointers(spark, root).agg(F.max("version")).first()[0] or 0
+    spark.range(1).select(F.lit(last + 1).cast("long").alias("version"), F.lit(name).alias("name"), F.lit(want["resources"]).cast("long").alias("resources"), F.lit(want["intervals"]).cast("long").alias("intervals")).write.mode("append").parquet(f"{root}/pointers")
+
+
+def pointers(spark: SparkSession, root: str) -> DataFrame:
+    """The versions of an index that were published; a row each."""
+    schema = "version long, name string, resources long, intervals long"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/pointers")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_index(spark: SparkSession, root: str) -> DataFrame:
+    """The newest published version: term, resource_id, busy."""
+    newest = pointers(spark, root).orderBy(F.desc("version")).first()
+    if newest is None:
+        raise FileNotFoundError(f"no index was published in {root}")
+    return spark.read.parquet(f"{root}/versions/{newest['name']}")
 
 
 def write_report(guards: DataFrame, path: str, run: str) -> None:

@@ -2,9 +2,12 @@
 
 from datetime import date
 
+import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lacuna.operators import calendar, decide, features, graph, places, rank, reports
+from lacuna.sources import readers
 
 
 def test_range_to_span(spark):
@@ -62,12 +65,20 @@ def test_rising_chain_takes_few_rounds(spark, monkeypatch):
     assert len(calls) < 20 * 4
 
 
-def test_ladder_takes_the_first_rung_with_a_quorum(spark):
-    rows = [("a", i, "X", 3, 0, 130) for i in range(3)] + [("b", 9, "X", 3, 0, 130)] + [("b", i, "Y", 3, 0, 130) for i in range(2)] + [("c", 1, "Y", 30, 200, 20), ("c", 2, "Y", 40, 0, 25), ("d", 1, "X", 3, 0, 0)]
-    df = spark.createDataFrame(rows, "ask_id string, resource_id int, type string, walk int, wait int, usable int")
-    rungs = [("asked", 120, 4, ("X",), False, 40), ("any-type", 120, 4, None, False, 40), ("longest", 1, None, None, True, 1)]
-    got = sorted((r.ask_id, r.rung, r.resource_id, r.total) for r in rank.fallback_ladder(df, rungs).collect())
-    assert got == [("a", "asked", 0, 3), ("a", "asked", 1, 3), ("a", "asked", 2, 3), ("b", "any-type", 0, 3), ("b", "any-type", 1, 3), ("b", "any-type", 9, 3), ("c", "longest", 2, 2)]
+def test_ladder_follows_the_asks_own_need_and_radius(spark):
+    """One question with enough asked-for rows, one that is told a shorter stay below its need, one with a radius of its own."""
+    gap = lambda a, b: [(a, b)]
+    rows = [("a", 60, 4, i, "X", True, 3, gap(480, 900)) for i in range(3)]
+    rows += [("b", 60, 4, i, "X", True, 3, gap(480, 660)) for i in range(4)]  # 47 minutes left on arrival at 603
+    rows += [("c", 30, 4, i, "X", True, 7, gap(480, 900)) for i in range(3)] + [("d", 30, 8, i, "X", True, 7, gap(480, 900)) for i in range(3)]
+    rows += [("e", 120, 4, 1, "X", True, 3, gap(480, 640)), ("e", 120, 4, 2, "Y", True, 30, gap(700, 735)), ("f", 0, 4, 1, "Z", True, 3, gap(480, 900)), ("g", 120, 4, 1, "Y", False, 3, gap(480, 660))]
+    schema = "ask_id string, need int, radius int, resource_id int, type string, known boolean, walk int, gaps array<struct<gap_start:int,gap_end:int>>"
+    df = spark.createDataFrame(rows, schema).withColumn("now", F.lit(600)).withColumn("seats", F.lit(10)).withColumn("listed", F.lit(True)).withColumn("place_id", F.lit(1))
+    got = sorted((r.ask_id, r.rung, r.rung_need, r.resource_id, r.total) for r in rank.fallback_ladder(df, {"X": 0}, ["X"], ["X", "Y"]).collect())
+    want = [("a", "asked", 60, i, 3) for i in range(3)] + [("b", "shorter:45", 45, i, 4) for i in range(4)] + [("c", "further", 30, i, 3) for i in range(3)] + [("d", "asked", 30, i, 3) for i in range(3)]
+    # e: one row for shorter:20 (27 minutes), never three anywhere; f has no offerable type; g's hours are unknown, so less is an answer
+    want += [("e", "shorter:20", 20, 1, 1), ("g", "any-type", 120, 1, 1)]
+    assert got == sorted(want)
 
 
 def test_slid_dates_pair_nearest_first(spark):
@@ -93,3 +104,49 @@ def test_derive_attributes(spark):
 def test_convergence(spark):
     df = spark.createDataFrame([(1, 5), (2, 0), (3, 1), (4, 0), (5, 0)], "pass int, added_with_room int")
     assert [r.converged for r in reports.pass_convergence(df).orderBy("pass").collect()] == [False, False, False, False, True]
+
+
+def test_boards_of_either_source(spark):
+    df = spark.createDataFrame([(1, [43], ["Dry Erase"]), (2, None, ["Chalk"]), (3, None, []), (4, [], ["Chalk"])], "i int, codes array<int>, boards array<string>")
+    got = {r.i: (r.a.chalk, r.a.white) for r in df.select("i", features.derive_attributes(F.col("codes"), F.lit(None).cast("string"), F.col("boards")).alias("a")).collect()}
+    assert got == {1: (True, False), 2: (True, False), 3: (None, None), 4: (False, False)}
+
+
+def test_room_claims_at_every_state(spark):
+    busy = spark.createDataFrame([("r", date(2026, 9, 1), a, b) for a, b in ((540, 600), (610, 660), (900, 960))], "resource_id string, date date, start int, end int")
+    states = {}
+    for known, nows in ((True, (400, 550, 605, 700, 1000, 1300)), (False, (400, 1300))):
+        asks = spark.createDataFrame([("r", date(2026, 9, 1), n, known, 480, 1200) for n in nows], "resource_id string, date date, now int, known boolean, open int, close int")
+        states |= {(known, r.now): (r.state, r.until, r.next) for r in decide.room_claims(busy, asks).collect()}
+    assert states == {
+        (True, 400): ("opens", 480, 480), (True, 550): ("in-class", 600, 660), (True, 605): ("nothing-free", None, None), (True, 700): ("free", 890, None), (True, 1000): ("free", None, None),
+        (True, 1300): ("closed-for-day", 1200, None), (False, 400): ("before-first-class", 480, None), (False, 1300): ("after-last-class", 1200, None),
+    }
+    none = spark.createDataFrame([("s", date(2026, 9, 1), 500, True, 480, 1200), ("t", date(2026, 9, 1), 500, True, None, None)], "resource_id string, date date, now int, known boolean, open int, close int")
+    assert {r.state for r in decide.room_claims(busy, none).collect()} == {"no-class-today"}
+
+
+def test_index_is_published_last(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/index"
+    rows = spark.createDataFrame([("t1", "r", 1, 60, 90, 0, "a"), ("t1", "r", 1, 10, 20, 0, "b"), ("t2", "s", 2, 0, 5, 0, None)], "term string, resource_id string, day int, start int, end int, session_id int, label string")
+    with pytest.raises(FileNotFoundError):
+        readers.read_index(spark, root)
+    readers.write_index(rows.where("term = 't1'"), root, "one")
+    assert [[b.start for b in r.busy] for r in readers.read_index(spark, root).collect()] == [[10, 60]]
+    # a version that isn't whole: its write loses a term
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: real(self._df.where("term = 't2'").write.partitionBy("term"), path) if path.endswith("/two") else real(self, path, *a, **k))
+    with pytest.raises(readers.IncompleteIndex):
+        readers.write_index(rows, root, "two")
+    assert readers.read_index(spark, root).count() == 1 and readers.pointers(spark, root).count() == 1
+    monkeypatch.undo()
+    readers.write_index(rows, root, "three")
+    assert readers.read_index(spark, root).count() == 2 and [r["name"] for r in readers.pointers(spark, root).orderBy("version").collect()] == ["one", "three"]
+
+
+def test_replay_reads_steps_at_arrival(spark):
+    gaps = spark.createDataFrame([(1, "d", "a", 480, 600), (1, "d", "a", 700, 800), (1, "d", "b", 500, 560), (2, "d", "c", 480, 1300)], "place_id int, date string, resource_id string, gap_start int, gap_end int")
+    walks = spark.createDataFrame([("o", "d", 1, 5), ("o", "d", 2, 9), ("p", "d", 1, 5), ("q", "d", 3, 1)], "source string, date string, place_id int, walk int")
+    got = {(r.source, r.time, r.need): (r.resources, r.nearest) for r in rank.replay(walks, rank.free_steps(gaps, [30, 90]), [495, 585, 700], [30, 90]).collect()}
+    assert got[("o", 495, 30)] == (3, 5) and got[("o", 495, 90)] == (2, 5) and got[("o", 585, 30)] == (1, 9) and got[("p", 585, 30)] == (0, None)
+    assert got[("p", 700, 30)] == (1, 5) and got[("p", 700, 90)] == (0, None) and got[("q", 700, 30)] == (0, None) and len(got) == 18
