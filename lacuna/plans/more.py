@@ -566,7 +566,9 @@ HELD = ctes("busy") + """, h AS (SELECT resource_id, date, start, "end" FROM bus
 def _(spark, sf):
     rows = X.busy(spark, sf)
     asks = rows.select(*KEYS, (480 + F.col("resource_id") * 7 % 700).cast("int").alias("now")).distinct()
-    claims = decide.room_claims(rows.where("label <> 'purchase' and end > start").select(*KEYS, "start", "end"), asks)
+    merged = intervals.merge_intervals(rows.where("label <> 'purchase' and end > start"), KEYS).select(*KEYS, "start", "end")
+    ends = merged.groupBy(*KEYS).agg(F.min("start").alias("open"), F.max("end").alias("close"))
+    claims = decide.room_claims(merged, asks.join(ends, KEYS, "left").withColumn("known", F.lit(False)), seam=1)
     return features.holds_on(rows.where("label = 'purchase'"), claims).drop("until")
 
 

@@ -11,7 +11,7 @@ from lacuna.functions import scalars as S
 from lacuna.operators import graph, guards, intervals, rank, reports, schedule
 from lacuna.plans import fixtures as X
 from lacuna.plans.fixtures import ctes
-from lacuna.plans.registry import ANSWERS, CLIPPED, FIXED, GAPS, ISLANDS, KEYS, LAST, SAFETY, answers, classified, query, ranked, windows
+from lacuna.plans.registry import ANSWERS, CLIPPED, FIXED, GAPS, ISLANDS, KEYS, LAST, SAFETY, TYPES, answers, classified, query, windows
 
 T = X.table
 
@@ -41,7 +41,7 @@ def _(spark, sf):
 @query("a9_tally_shown", ANSWERS + """, d AS (SELECT *, row_number() OVER (PARTITION BY ask_id, place_id ORDER BY place) - 1 AS depth FROM ranked WHERE walk <= 6), p AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY depth, place) AS position, count(*) OVER (PARTITION BY ask_id) AS n, count(*) FILTER (WHERE depth = 0) OVER (PARTITION BY ask_id) AS n0 FROM d)
  SELECT ask_id, count(*) FILTER (WHERE meets AND wait = 0) AS meets, count(*) FILTER (WHERE NOT meets) AS shorter, count(*) FILTER (WHERE wait > 0) AS waiting, count(*) FILTER (WHERE known AND wait = 0) AS free, count(*) AS total FROM p WHERE position <= greatest(least(40, n0), least(10, n)) GROUP BY ask_id""")
 def _(spark, sf):
-    return rank.tally(rank.shape(ranked(spark, sf), max_walk=6))
+    return rank.tally(rank.shape(answers(spark, sf), TYPES, max_walk=6))
 
 
 @query("a11_overrun_allowed", LAST + " SELECT place_id, day, CASE WHEN open IS NULL THEN 'closed' ELSE 'after-close' END AS why, place_id % 4 = 1 AS allowed FROM l JOIN hours USING (place_id, day) WHERE open IS NULL OR last_end > close")
