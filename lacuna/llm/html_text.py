@@ -50,6 +50,7 @@ AGAINST_TAG = frozenset("nav header footer aside form menu dialog fieldset butto
 #: of these, what may hold articles that are not the page's; what others say ends at an article, and all of it at main
 FIRM_TAG = AGAINST_TAG - {"form", "fieldset", "header"}
 FIRM_WORD = frozenset("ad ads advert adverts advertisement advertising comment comments disqus discussion promo promoted promotion related reply replies respond sponsor sponsored".split())
+READER_WORD = frozenset("comment comments disqus discussion reply replies respond related".split())
 FOR_TAG = frozenset("article main".split())
 WORD = re.compile(r"[a-z]+")
 AGAINST_WORD = frozenset(
@@ -67,10 +68,13 @@ NAMES = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 ATTR = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 END_OF = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 SPACES = re.compile(r"\s+")
+#: how a line about rights begins
+RIGHTS = re.compile(r"©|\(c\)\s|copyright\s*(?:©|\(c\)|[0-9]{4}|by\b)", re.I)
 
+ARTICLE_LEAST = 25  #: code points in an article or main element, links aside, that make a page's own text
 SAMPLE = 2000  #: pages that weights and capacities are fitted to, at most
 #: starting values of the text's log odds, more for the rest: by length in code points up to each bound, by share of linked
-#: text up to each bound, whether the last character ends a sentence, a heading, a list item, a copyright sign in front
+#: text up to each bound, whether the last character ends a sentence, a heading, a list item, a line about rights
 LENGTHS, LINKS = (24, 59, 119, 299), (0.0, 0.25, 0.5)
 START = np.array([0.6, 0.1, -0.3, -0.8, -1.0, -0.3, 0.0, 0.5, 1.6, 0.2, -0.5, -0.5, 0.3, 1.5])
 DRAWN = 40.0  #: how many blocks the starting values count as much as
@@ -83,9 +87,10 @@ AGREE = ((20.0, 1.0), (1.0, 2.0))
 
 
 class Block:
-    __slots__ = ("parts", "path", "linked", "size", "around", "against", "inside", "heading", "item")
+    __slots__ = ("parts", "path", "linked", "size", "around", "against", "inside", "heading", "item", "article")
 
-    def __init__(self, path, against, inside, heading, item):
+    def __init__(self, path, against, inside, heading, item, article):
+        self.article = article
         self.parts, self.linked, self.size, self.around = [], 0, 0, (against, inside)
         self.path, self.against, self.inside, self.heading, self.item = path, against, inside, heading, item
 
@@ -101,14 +106,26 @@ def is_hidden(attrs: str) -> bool:
     return False
 
 
-def graded(blocks: list[Block]) -> list[Block]:
-    """``blocks`` with the elements in against and inside as grades: 1 if they hold up to 2/5 of the text, 0 from 3/5."""
+def graded(blocks: list[Block], readers: set[int]) -> list[Block]:
+    """``blocks`` with the elements in against and inside as grades: 1 if they hold up to 2/5 of the text, 0 from 3/5.
+
+    Elements of readers' comments and of related pages (``readers``) keep 1 whatever they hold, if outside of them some
+    text, ``ARTICLE_LEAST`` characters at least, lies in an article or main element: comments may well be longer than the
+    article they are on.
+    """
     held: dict[int, int] = {}
+    article, within = 0, {e: 0 for e in readers}
     for b in blocks:
+        own = b.size - b.linked
         for e in b.against:
-            held[e] = held.get(e, 0) + b.size - b.linked
+            held[e] = held.get(e, 0) + own
+        if b.article:
+            article += own
+            for e in b.against:
+                if e in readers:
+                    within[e] += own
     total = max(sum(b.size - b.linked for b in blocks), 1)
-    grade = {e: min(max(3 - 5 * n / total, 0.0), 1.0) for e, n in held.items()}
+    grade = {e: 1.0 if e in readers and article - within[e] >= ARTICLE_LEAST else min(max(3 - 5 * n / total, 0.0), 1.0) for e, n in held.items()}
     for b in blocks:
         b.against = max((grade[e] for e in b.against), default=0.0)
         b.inside = any(all(grade.get(e, 1.0) < 0.5 for e in around) for around in b.inside)
@@ -121,7 +138,7 @@ def blocks_of(html: str) -> list[Block]:
     # an open element: name, number, skipped depth, the elements up to it that speak against the article, those around each
     # one that speaks for it, in a link, heading
     stack: list[tuple] = [("", 0, False, (), (), False, False)]
-    firm = set()
+    firm, readers = set(), set()
     number, current, at, n = 0, None, 0, len(html)
 
     def add(text: str) -> None:
@@ -133,7 +150,7 @@ def blocks_of(html: str) -> list[Block]:
         if current is None:
             if not text.strip():
                 return
-            current = Block(tuple(e[1] for e in stack if e[0] in BLOCK), top[3], top[4], top[6], any(e[0] == "li" for e in stack))
+            current = Block(tuple(e[1] for e in stack if e[0] in BLOCK), top[3], top[4], top[6], any(e[0] == "li" for e in stack), any(e[0] in FOR_TAG for e in stack))
             out.append(current)
         current.parts.append(text)
         size = len(text)
@@ -221,13 +238,19 @@ def blocks_of(html: str) -> list[Block]:
         against = top[3]
         if article:
             against = () if name == "main" else tuple(e for e in against if e in firm)
+            if name != "main" and words & READER_WORD:  # a comment marked up as an article
+                against = (*against, number)
+                firm.add(number)
+                readers.add(number)
         elif name not in ("html", "body") and (words & AGAINST_WORD or name in AGAINST_TAG and not (name == "header" and top[4])):
             against = (*against, number)
             if name in FIRM_TAG or words & FIRM_WORD:
                 firm.add(number)
+            if words & READER_WORD:
+                readers.add(number)
         inside = top[4] if not main or against in top[4] else (*top[4], against)
         stack.append((name, number, top[2] or name in SKIPPED or hidden, against, inside, top[5] or name == "a", top[6] or len(name) == 2 and name[0] == "h" and name[1] in "123456"))
-    return graded(out)
+    return graded(out, readers)
 
 
 def features(text: str, block: Block) -> tuple[int, ...]:
@@ -236,7 +259,7 @@ def features(text: str, block: Block) -> tuple[int, ...]:
     ends = 9 + (text[-1] in ".!?:;\"'”’)")
     return (
         sum(len(text) > x for x in LENGTHS), 5 + sum(share > x for x in LINKS), ends,
-        *[11] * block.heading, *[12] * block.item, *[13] * (text[0] == "©"),
+        *[11] * block.heading, *[12] * block.item, *[13] * bool(RIGHTS.match(text)),
     )
 
 

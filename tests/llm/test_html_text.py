@@ -1,8 +1,9 @@
 import itertools
 import random
-
 import time
 
+import pytest
+
 from lacuna.llm.html_text import costs, extract, fit_weights, html_text, learn, min_cut, relations, texts_of
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body>
@@ -137,3 +138,32 @@ def test_hidden_is_an_attribute():
 def test_articles_of_comment_lists_are_not_the_page():
     comments = '<section id="comments"><article><p>A reader says that it is good.</p></article></section><aside><article><p>Another story, in short.</p></article></aside>'
     assert extract(f"<article>{BODY}</article>{comments}")[0] == TEXT
+
+
+COMMENTS = "".join(f'<article class="comment"><p>Reader {i} thinks that this is a long and winding remark about nothing much at all.</p></article>' for i in range(20))
+PAGES_BY_HAND = {
+    "comments longer than the article, as articles": (
+        f'<body><header><nav><a href="/">Home</a></nav></header><main><article><h1>Short news</h1><p>The bridge was opened to traffic on Monday morning.</p></article><section id="comments"><h2>20 comments</h2>{COMMENTS}</section></main></body>',
+        "Short news\nThe bridge was opened to traffic on Monday morning.",
+    ),
+    "comments without a wrapper": (
+        f"<body><main><article><h1>Short news</h1><p>The bridge was opened to traffic on Monday morning.</p></article>{COMMENTS}</main></body>",
+        "Short news\nThe bridge was opened to traffic on Monday morning.",
+    ),
+    "a wrapper named after comments holds all": (
+        '<body><div class="comments-open"><article><h1>Short news</h1><p>The bridge was opened to traffic on Monday morning, after two years of work on its piers.</p></article></div></body>',
+        "Short news\nThe bridge was opened to traffic on Monday morning, after two years of work on its piers.",
+    ),
+    "a line about rights": (
+        "<body><div>"
+        "<p>The bridge was opened to traffic on Monday morning, after two years of work on its piers and its deck.</p><p>Copyright law has nothing to say about bridges, as a judge in the town explained to those who asked.</p></div><div>Copyright 2020 Foo Inc</div></body>",
+        "The bridge was opened to traffic on Monday morning, after two years of work on its piers and its deck.\nCopyright law has nothing to say about bridges, as a judge in the town explained to those who asked.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", PAGES_BY_HAND)
+def test_pages_made_by_hand(spark, name):
+    html, want = PAGES_BY_HAND[name]
+    got = html_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first()
+    assert got["text"] == want
