@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from lacuna.functions.scalars import CAPITALS, DASHES, DAY, DIGITS, MONTHS, cloc
 CLOCK = r"[0-9]{1,2}(?::[0-9]{2})?\s*[AaPp]\.?\s*[Mm]\.?"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _close(text: Column) -> Column:
     """A closing time: one in the hour after midnight belongs to the day before."""
     at = clock_to_minutes(text)
@@ -25,16 +30,21 @@ def range_to_span(text: Column, overnight: bool = False) -> Column:
     before the open is the next day's, else it is an error.
     """
     flat = F.rtrim(F.lower(F.trim(text)), F.lit("."))
-    sides = F.transform(F.split(F.replace(F.translate(flat, DASHES, "---"), F.lit(" to "), F.lit("-")), "-"), lambda x: F.trim(x))
-    from_, until = F.get(sides, F.lit(0)), F.get(sides, F.lit(1))
-    open_, close = clock_to_minutes(from_), clock_to_minutes(until) if overnight else _close(until)
-    late = F.when(close <= open_, close + DAY).otherwise(close) if overnight else close
-    closed = flat == "closed"
-    error = (
-        F.when(text.isNull() | (flat == ""), "empty").when(closed, None).when(F.size(sides) != 2, "separator").when(open_.isNull(), "open").when(close.isNull(), "close").when(late <= open_, "order")
-    )
-    good = error.isNull() & ~closed
-    return F.struct(F.when(good, open_).alias("open"), F.when(good, late).cast("int").alias("close"), error.alias("error"))
+    dashed = F.replace(F.translate(flat, DASHES, "---"), F.lit(" to "), F.lit("-"))
+
+    def read(line: Column) -> Column:
+        from_, until = F.trim(F.substring_index(line, "-", 1)), F.trim(F.substring_index(line, "-", -1))
+        times = F.struct(clock_to_minutes(from_).alias("open"), (clock_to_minutes(until) if overnight else _close(until)).alias("close"))
+        return let(times, lambda t: judged(line, t["open"], F.when(t["close"] <= t["open"], t["close"] + DAY).otherwise(t["close"]) if overnight else t["close"]))
+
+    def judged(line: Column, open_: Column, close: Column) -> Column:
+        dashes = F.length(line) - F.length(F.replace(line, F.lit("-"), F.lit("")))
+        closed = line == "closed"
+        error = F.when(line.isNull() | (line == ""), "empty").when(closed, None).when(dashes != 1, "separator").when(open_.isNull(), "open").when(close.isNull(), "close").when(close <= open_, "order")
+        good = error.isNull() & ~closed
+        return F.struct(F.when(good, open_).alias("open"), F.when(good, close).cast("int").alias("close"), error.alias("error"))
+
+    return let(dashed, read)
 
 
 def feed_day_hours(status: Column, hours: Column, text: Column) -> Column:
@@ -44,15 +54,14 @@ def feed_day_hours(status: Column, hours: Column, text: Column) -> Column:
     """
     span = lambda a, b: range_to_span(F.concat(a, F.lit("-"), b), True)
     pair = lambda s: F.struct(s["open"].alias("open"), s["close"].alias("close"))
-    listed = F.transform(hours, lambda h: pair(span(h["from"], h["to"])))
-    listed = F.when(F.forall(listed, lambda s: s["open"].isNotNull()) & (F.size(listed) > 0), listed)
+    listed = let(F.transform(hours, lambda h: let(span(h["from"], h["to"]), pair)), lambda spans: F.when(F.forall(spans, lambda s: s["open"].isNotNull()) & (F.size(spans) > 0), spans))
     until = F.regexp_extract(text, rf"(?i)closed at\s*({CLOCK})", 1)
     end = F.when(until == "", DAY).otherwise(clock_to_minutes(until))
     whole = F.when(end.isNotNull(), F.array(F.struct(F.lit(0).alias("open"), end.cast("int").alias("close"))))
-    one = pair(range_to_span(F.regexp_extract(text, rf"^\s*({CLOCK}\s*[-–]\s*{CLOCK})", 1), True))
+    one = let(range_to_span(F.regexp_extract(text, rf"^\s*({CLOCK}\s*[-–]\s*{CLOCK})", 1), True), lambda s: F.when(s["open"].isNotNull(), F.array(pair(s))))
     none = F.array().cast("array<struct<open:int,close:int>>")
     all_day = (status == "24hours") | (status == "text") & text.rlike(r"(?i)^\s*24 hours")
-    return F.when(status == "closed", none).when(status == "open", listed).when(all_day, whole).when((status == "text") & one["open"].isNotNull(), F.array(one))
+    return F.when(status == "closed", none).when(status == "open", listed).when(all_day, whole).when(status == "text", one)
 
 
 def title_parts(title: Column) -> Column:
