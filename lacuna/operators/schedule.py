@@ -73,9 +73,9 @@ def label_dictionary(df: DataFrame, column: str) -> DataFrame:
 def schedule_coverage(busy: DataFrame, sessions: DataFrame, dates: DataFrame) -> DataFrame:
     """Per date: blocks that are live, all blocks, and their share (null without blocks). Counted by session first."""
     per = busy.groupBy("session_id").agg(F.count(F.lit(1)).alias("blocks"))
-    per = per.join(F.broadcast(sessions), "session_id", "left")
+    per = per.join(sessions, "session_id", "left")
     live = F.col("first").isNull() | F.col("date").between(F.col("first"), F.col("last"))
-    both = dates.crossJoin(F.broadcast(per))  # a row a session
+    both = dates.crossJoin(per)  # every date and session
     out = both.groupBy("date").agg(F.sum(F.when(live, F.col("blocks")).otherwise(0)).alias("live"), F.sum("blocks").alias("total"))
     return out.withColumn("share", F.col("live") / F.nullif(F.col("total"), F.lit(0)))
 
