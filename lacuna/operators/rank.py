@@ -196,7 +196,8 @@ def fallback_ladder(cand: DataFrame, type_rank: dict[str, int], preferred: Seque
     its own need within its radius, of preferred types, then of any offerable one; shorter stays, below its need; what
     opens later; twice its radius; any distance and wait; last the one best resource for any stay. On rungs for now a
     resource has to be free on arrival. Where hours are known the rung's need has to be met; where they aren't, less is
-    an answer too. Relaxed answers for a shorter stay, a later opening, or any stay leave at least ``RELAXED_LEAST``.
+    an answer too. Relaxed answers for a shorter stay, a later opening, or any stay leave at least ``RELAXED_LEAST`` where
+    hours are known; a time that can't be promised is no near miss.
 
     A candidate tells by itself, from its first, fitting and longest gap, which rungs it answers. Rungs are counted by
     conditional counts that Spark sums before it shuffles; then only the winning rung's rows are ranked, and those not
@@ -212,15 +213,18 @@ def fallback_ladder(cand: DataFrame, type_rank: dict[str, int], preferred: Seque
     rows = rows.withColumn("_fit", F.get(F.filter("_g", lambda g: g["left"] >= least(need)), F.lit(0)))
     rows = rows.withColumn("_long", F.array_min(F.transform("_g", lambda g: F.struct((-g["left"]).alias("l"), g["gap_start"], g["gap_end"], g["left"])))).drop("_g", "gaps")
 
-    def at_once(n: Column, floor: int = 0) -> Column:
+    def at_once(n: Column) -> Column:
         """Free on arrival, for as long as n; where hours are unknown also as the longest of gaps that are all too short."""
         own, longest = F.col("_open.left"), F.col("_long.left")
-        return F.coalesce(own >= least(n), F.lit(False)) | (~known & F.coalesce((longest < least(n)) & (own == longest) & (own >= floor), F.lit(False)))
+        return F.coalesce(own >= least(n), F.lit(False)) | (~known & F.coalesce((longest < least(n)) & (own == longest), F.lit(False)))
+
+    def enough(gap: str) -> Column:
+        return F.col(gap).isNotNull() & (~known | (F.col(f"{gap}.left") >= RELAXED_LEAST))
 
     types, nearby = F.col("type").isin(*offerable), walk <= radius
     tests = {"asked": at_once(need) & F.col("type").isin(*preferred) & nearby, "any-type": at_once(need) & nearby}
-    tests |= {f"shorter:{n}": (F.lit(n) < need) & at_once(F.lit(n), RELAXED_LEAST) & nearby & (F.col("_open.left") >= RELAXED_LEAST) for n in RELAX}
-    tests |= {"opens-at": F.coalesce(F.col("_fit.left") >= RELAXED_LEAST, F.lit(False)) & nearby, "further": at_once(need) & (walk <= radius * 2), "anywhere": F.col("_fit").isNotNull() | ~known, "longest": F.col("_first.left") >= RELAXED_LEAST}
+    tests |= {f"shorter:{n}": (F.lit(n) < need) & at_once(F.lit(n)) & nearby for n in RELAX}
+    tests |= {"opens-at": enough("_fit") & nearby, "further": at_once(need) & (walk <= radius * 2), "anywhere": F.col("_fit").isNotNull() | ~known, "longest": enough("_first")}
     mask = F.array(*[F.coalesce(tests[r] & types, F.lit(False)) for r in RUNGS])
     rows = cut(rows.withColumn("_on", mask).where(F.exists("_on", lambda x: x)))
     counts = rows.groupBy("ask_id").agg(F.array(*[F.count_if(F.get("_on", F.lit(i))) for i in range(len(RUNGS))]).alias("_n"))

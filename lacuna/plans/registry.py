@@ -412,7 +412,7 @@ def _ladder_sql() -> str:
  g1 AS (SELECT *, coalesce(fixed, asked) AS rn FROM g0, {rungs} WHERE (rung NOT LIKE 'shorter%' OR fixed < asked) AND (reach = 'any' OR walk <= radius * CASE reach WHEN 'twice' THEN 2 ELSE 1 END) AND type IN ({offer}) AND (wide = 1 OR type IN ({prefer}))),
  g2 AS (SELECT *, CASE WHEN usable >= greatest(rn, 1) AND gap_start <= now + walk THEN 0 WHEN usable >= greatest(rn, 1) THEN 1 ELSE 2 END AS k2 FROM g1),
  g3 AS (SELECT * FROM g2 WHERE rung <> 'opens-at' OR k2 < 2 QUALIFY row_number() OVER (PARTITION BY ask_id, resource_id, ordinal ORDER BY k2, CASE WHEN k2 = 2 THEN -usable ELSE 0 END, gap_start) = 1),
- h AS (SELECT *, greatest(gap_start - (now + walk), 0) AS w FROM g3 WHERE (waits OR gap_start <= now + walk) AND usable >= floor AND (rn = 0 OR NOT known OR k2 < 2)),
+ h AS (SELECT *, greatest(gap_start - (now + walk), 0) AS w FROM g3 WHERE (waits OR gap_start <= now + walk) AND (NOT known OR usable >= floor) AND (rn = 0 OR NOT known OR k2 < 2)),
  n3 AS (SELECT ask_id, ordinal, count(*) AS total FROM h GROUP BY ALL), b AS (SELECT ask_id, coalesce(min(ordinal) FILTER (WHERE total >= 3), min(ordinal)) AS ordinal FROM n3 GROUP BY ask_id),
  t AS (SELECT h.*, CASE WHEN known AND w = 0 THEN CASE WHEN usable >= greatest(rn, 1) THEN 0 ELSE 2 END WHEN known THEN 4 WHEN usable >= greatest(rn, 1) THEN 6 ELSE 8 END + CASE WHEN type = 'BUILDING' THEN 0 ELSE 1 END AS tier2,
    CASE WHEN rn > 0 AND usable >= rn THEN walk - 0.001::DOUBLE * least(usable - rn, 60) ELSE walk - 0.1::DOUBLE * least(usable - rn, 60) END AS score2, total FROM h JOIN b USING (ask_id, ordinal) JOIN n3 USING (ask_id, ordinal)),

@@ -71,13 +71,14 @@ def test_ladder_follows_the_asks_own_need_and_radius(spark):
     rows = [("a", 60, 4, i, "X", True, 3, gap(480, 900)) for i in range(3)]
     rows += [("b", 60, 4, i, "X", True, 3, gap(480, 660)) for i in range(4)]  # 47 minutes left on arrival at 603
     rows += [("c", 30, 4, i, "X", True, 7, gap(480, 900)) for i in range(3)] + [("d", 30, 8, i, "X", True, 7, gap(480, 900)) for i in range(3)]
-    rows += [("e", 120, 4, 1, "X", True, 3, gap(480, 640)), ("e", 120, 4, 2, "Y", True, 30, gap(700, 735)), ("f", 0, 4, 1, "Z", True, 3, gap(480, 900)), ("g", 120, 4, 1, "Y", False, 3, gap(480, 660))]
+    rows += [("e", 120, 4, 1, "X", True, 3, gap(480, 640)), ("e", 120, 4, 2, "Y", True, 30, gap(700, 735)), ("f", 0, 4, 1, "Z", True, 3, gap(480, 900)), ("g", 120, 4, 1, "Y", False, 3, gap(480, 660)), ("h", 0, 1, 1, "X", False, 30, gap(480, 645)), ("i", 0, 1, 1, "X", True, 30, gap(480, 645))]
     schema = "ask_id string, need int, radius int, resource_id int, type string, known boolean, walk int, gaps array<struct<gap_start:int,gap_end:int>>"
     df = spark.createDataFrame(rows, schema).withColumn("now", F.lit(600)).withColumn("seats", F.lit(10)).withColumn("listed", F.lit(True)).withColumn("place_id", F.lit(1))
     got = sorted((r.ask_id, r.rung, r.rung_need, r.resource_id, r.total) for r in rank.fallback_ladder(df, {"X": 0}, ["X"], ["X", "Y"]).collect())
     want = [("a", "asked", 60, i, 3) for i in range(3)] + [("b", "shorter:45", 45, i, 4) for i in range(4)] + [("c", "further", 30, i, 3) for i in range(3)] + [("d", "asked", 30, i, 3) for i in range(3)]
-    # e: one row for shorter:20 (27 minutes), never three anywhere; f has no offerable type; g's hours are unknown, so less is an answer
-    want += [("e", "shorter:20", 20, 1, 1), ("g", "any-type", 120, 1, 1)]
+    # e: one row for shorter:20 (27 minutes), never three anywhere; f has no offerable type; g's hours are unknown, so less is an answer,
+    # and so is h's five minutes, far off; of i, whose hours are known, these are too few for the longest but do anywhere
+    want += [("e", "shorter:20", 20, 1, 1), ("g", "any-type", 120, 1, 1), ("h", "anywhere", 0, 1, 1), ("i", "anywhere", 0, 1, 1)]
     assert got == sorted(want)
 
 
