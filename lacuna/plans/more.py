@@ -11,7 +11,7 @@ from lacuna.functions import scalars as S
 from lacuna.operators import calendar, decide, features, graph, guards, intervals, places, rank, schedule
 from lacuna.plans import fixtures as X
 from lacuna.plans.fixtures import ctes
-from lacuna.plans.registry import ANSWERS, CLIPPED, FIXED, GAPS, ISLANDS, KEYS, METRES, NODES, RADIUS, answers, nodes, query, windows
+from lacuna.plans.registry import ANSWERS, GAPS, KEYS, METRES, NODES, RADIUS, nodes, query, windows
 from lacuna.sources import readers
 
 T = X.table

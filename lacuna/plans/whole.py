@@ -11,7 +11,7 @@ from lacuna.functions import scalars as S
 from lacuna.operators import graph, guards, intervals, rank, reports, schedule
 from lacuna.plans import fixtures as X
 from lacuna.plans.fixtures import ctes
-from lacuna.plans.registry import ANSWERS, CLIPPED, FIXED, GAPS, ISLANDS, KEYS, LAST, SAFETY, TYPES, answers, classified, query, windows
+from lacuna.plans.registry import ANSWERS, GAPS, ISLANDS, KEYS, LAST, SAFETY, TYPES, answers, classified, query, windows
 
 T = X.table
 
