@@ -1,6 +1,6 @@
 """License scans: whole texts looked up by the digest of their canonical form.
 
-The canonical form lower-cases A-Z, drops copyright lines, makes equivalent spellings one, and turns every run of
+The canonical form lower-cases A-Z, drops a title and copyright lines, makes equivalent spellings one, and turns every run of
 punctuation and white space into one space. Known licences go through the same expressions, so a match is an
 equality of SHA-256 digests: one projection and one hash join, all of it SQL functions.
 
@@ -78,15 +78,36 @@ LICENSES = {
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "MIT-notice": "Released under the MIT License.",
 }
+# fixed values: digests of the canonical forms of long public texts, as Debian's base-files has them, appendices included
+DIGESTS = {
+    "Apache-2.0": "fcbdc1229c3c0f132b5f86856e32f4095e01497ca28b7d381fb79cb43713fb6f",
+    "CC0-1.0": "8a58796fb749d87126983cebc26e6619b99601332e2fee24acbad509518cad3f",
+    "GPL-2.0": "a6867825c7ada5a541a99a15091c71fb7a38e00bbafacf795941014b022a19b9",
+    "GPL-3.0": "72bae471b202d264903d339721fea4c41ddd5534b7a426780581683e0d649e0b",
+    "LGPL-2.1": "5b9d9bbcd8fe8257321bc214dfd50bc81942910d5b74d4110f173af1d6393aa6",
+    "LGPL-3.0": "0e4b76b6e59624322ba990d1d340242e86730de87442c15bb2172248c4e49b4a",
+    "MPL-2.0": "fed163994fe9fcdd2a56e016ad1b506ec0fd9d98faf279dcfcd347b6daa991df",
+}
 KNOWN_ROWS = 10_000  #: a table of known licences with no more rows is broadcast
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: (pattern, replacement) in order, in the syntax that Java and RE2 share. The text has line feeds before it. A line goes if it
-#: starts with "copyright" and a sign, a year or a blank to fill in, or with a sign and one of these, or names a holder at a
-#: paragraph's start; so do lines with a sign that follow such a one. A sentence that only wraps at the word stays.
+#: (pattern, replacement) in order, in the syntax that Java and RE2 share; {1} is the first group. The text has line feeds
+#: before it. A title is a first line with the word licence that a blank line and more text follow; it goes, as many copies
+#: have none or another.
+_LEAD = r"[ \t\r#*/;-]*"
+_SIGN = r"(?:\(c\)|\x{A9}|&copy;)"
+_YEAR = r"(?:19|20)[0-9]{2}"
+TITLE = (r"\A[\n \t\r#*/;=-]*[a-z0-9 .,()\"'-]{0,60}licen[cs]e[a-z0-9 .,()\"'-]{0,30}\r?(?:\n[=~_ \t\r#*/;-]+)?\n" + _LEAD + r"\n[ \t\r\n#*/;-]*([a-z0-9<(\[\"'])", "\n\n{1}")
+#: A line goes if it starts with "copyright" and a sign, a year or a blank to fill in, or with a sign and one of these; so do
+#: lines with a sign that follow such a one, and one further line of at most 80 characters that ends the paragraph, if another
+#: follows. At a paragraph's start a line that names a holder or holds a year goes too. A sentence that only wraps at the
+#: word stays.
+_NOTICE = r"(?:portions )?(?:copyright[ \t:]*(?:" + _SIGN + r"|[0-9]{4}|[<\[{])|" + _SIGN + r"[ \t]*(?:copyright|[0-9]{4}|[<\[{]))"
+_HOLDER = r"(?:[^\n ]+ ){0,4}(?:inc|ltd|llc|gmbh|corp|foundation|authors|developers|contributors)"
 COPYRIGHT = [
-    (r"\n[ \t#*/;-]*(?:copyright[ \t:]*(?:\(c\)|\x{A9}|&copy;|[0-9]{4}|[<\[{])|(?:\(c\)|\x{A9}|&copy;)[ \t]*(?:copyright|[0-9]{4}|[<\[{])|all rights reserved)[^\n]*(?:\n[ \t#*/;-]*(?:\(c\)|\x{A9}|&copy;)[^\n]*)*", ""),
-    (r"\n[ \t#*/;-]*\n[ \t#*/;-]*(?:copyright (?:by|[^\n ]+ ?(?:inc|ltd|llc|gmbh|corp|foundation|authors|developers))|\x{A9})[^\n]*", ""),
+    (r"\n" + _LEAD + _NOTICE + r"[^\n]*\n" + _LEAD + r"[a-z<][^\n]{0,79}(\n" + _LEAD + r"\n[ \t\r\n#*/;-]*[a-z0-9<(\[\"'])", "{1}"),
+    (r"\n" + _LEAD + r"(?:" + _NOTICE + r"|all rights reserved)[^\n]*(?:\n" + _LEAD + _SIGN + r"[^\n]*)*", ""),
+    (r"(\n" + _LEAD + r")(?:\n" + _LEAD + r"(?:portions )?(?:copyright (?:by|" + _HOLDER + r"|[^\n]*" + _YEAR + r")|\x{A9}|\(c\)[^\n]*" + _YEAR + r")[^\n]*)+", "{1}"),
 ]
 PUNCTUATION = (r"[\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{BF}\x{2010}-\x{206F}\x{3000}-\x{3003}]+", " ")
 #: equivalent spellings, both sides made one form; a form need not be a word
@@ -115,8 +136,8 @@ SPELLINGS = [
 
 def canonical(text: Column) -> Column:
     out = F.concat(F.lit("\n\n"), F.translate(text, UPPER, LOWER))
-    for pattern, to in (*COPYRIGHT, PUNCTUATION):
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(to))
+    for pattern, to in (TITLE, *COPYRIGHT, PUNCTUATION):
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(to.replace("{1}", "$1")))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(to.replace("{1}", "$1"))) if "(" in pattern else F.replace(out, F.lit(pattern), F.lit(to))
     return F.trim(out)
@@ -125,28 +146,30 @@ def canonical(text: Column) -> Column:
 def canonical_sql(text: str) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     out = f"chr(10) || chr(10) || translate({text}, '{UPPER}', '{LOWER}')"
-    for pattern, to in (*COPYRIGHT, PUNCTUATION):
-        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    for pattern, to in (TITLE, *COPYRIGHT, PUNCTUATION):
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('{1}', chr(92) + '1'))}, 'g')"
     for pattern, to in SPELLINGS:
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to.replace('{1}', chr(92) + '1'))}, 'g')" if "(" in pattern else f"replace({out}, {quoted(pattern)}, {quoted(to)})"
     return f"trim({out}, ' ')"
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(LICENSES.items()), "license_id string, text string")
+    """license_id with a text, or with the digest of its canonical form."""
+    rows = [(k, v, None) for k, v in sorted(LICENSES.items())] + [(k, None, v) for k, v in sorted(DIGESTS.items())]
+    return spark.createDataFrame(rows, "license_id string, text string, digest string")
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, digest of the canonical text, its length, and license_id (null: no known licence)."""
+    """doc_id, digest of the canonical text, its length, and license_id (null: no known licence).
+
+    ``known`` has license_id and text; in a column digest it may give the digest of a canonical text instead.
+    """
     known = known_licenses(docs.sparkSession) if known is None else known
     form = canonical(text_or_empty())
-    known = (
-        known.where("license_id is not null")
-        .select("license_id", form.alias("canonical"))
-        .where("canonical <> ''")
-        .groupBy(F.sha2("canonical", 256).alias("digest"))
-        .agg(F.min("license_id").alias("license_id"))
-    )
+    given = F.col("digest") if "digest" in known.columns else F.lit(None).cast("string")
+    known = known.where("license_id is not null").select("license_id", form.alias("canonical"), given.alias("given"))
+    digest = F.coalesce(F.lower("given"), F.when(F.col("canonical") != "", F.sha2("canonical", 256)))
+    known = known.groupBy(digest.alias("digest")).agg(F.min("license_id").alias("license_id")).where("digest is not null")
     if known.count() <= KNOWN_ROWS:
         known = F.broadcast(known)
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), form.alias("canonical"))
@@ -157,10 +180,12 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
 def oracle() -> str:
     quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(LICENSES.items()))
+    digests = ", ".join(f"({quoted(v)}, {quoted(k)})" for k, v in sorted(DIGESTS.items()))
     return f"""
         WITH known AS (
             SELECT sha256(c) AS digest, min(license_id) AS license_id
             FROM (SELECT license_id, {canonical_sql("text")} AS c FROM (VALUES {rows}) AS t(license_id, text)) WHERE c <> '' GROUP BY 1
+            UNION ALL FROM (VALUES {digests}) AS d(digest, license_id)
         ), scanned AS (
             SELECT doc_id, sha256(c) AS digest, length(c) AS n_canonical
             FROM (SELECT CAST(doc_id AS BIGINT) AS doc_id, {canonical_sql("coalesce(text, '')")} AS c FROM documents)

@@ -1,6 +1,7 @@
 """Licences, fingerprints, packing, toxicity, quality."""
 
 import hashlib
+import pathlib
 import random
 import zlib
 
@@ -42,10 +43,45 @@ def test_license_variants(spark):
 
 
 def test_license_digests_are_distinct(spark):
-    known = licenses.known_licenses(spark).select(licenses.canonical(licenses.text_or_empty()).alias("c")).distinct()
+    known = licenses.known_licenses(spark).where("digest is null").select(licenses.canonical(licenses.text_or_empty()).alias("c")).distinct()
     assert known.count() == len(licenses.LICENSES)
 
 
+def test_license_titles_and_notices(spark):
+    body = licenses.LICENSES["MIT"].split("\n\n", 2)[2]
+    own = "Copyright (c) 2020 Jo Doe"
+    found = [
+        f"The MIT License (MIT)\n\n{own}\n\n{body}",
+        f"{own}\n\n{body}",
+        body,
+        f"MIT License\n\nCopyright Jo Doe 2020\n\n{body}",
+        f"MIT License\n\n(c) Jo Doe, 2020\n\n{body}",
+        f"MIT License\n\n{own}\nPortions Copyright (c) 2019 Al\n\n{body}",
+        f"MIT License\n\n{own} and a long list of\ncontributors, who are named in AUTHORS\n\n{body}",
+        f"Copyright Node.js contributors. All rights reserved.\n\n{body}",
+        f"Copyright The Go Authors. All rights reserved.\n\n{body}",
+        f"# MIT License\r\n\r\n{own}\r\n\r\n{body}",
+        f"MIT License\n===========\n\n{own}\nCopyright (c) 2021 Al\n\n{body}",
+    ]
+    other = [f"{body}\n\nand more", f"A story of a license\n\n{own}\n\nOnce upon a time", f"{body[:200]}\nCopyright law of 1976 holds.\n{body[200:]}"]
+    notices = ["Copyright (c) 2020 X\nReleased under the MIT License.\n\n", "Released under the MIT License.\n\n"]
+    long = [body + " x" * 2_000_000]
+    rows = list(enumerate(found + other + notices + long))
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(docs(spark, rows).withColumnsRenamed({"key": "digest", "score": "canonical"})).collect()}
+    assert [got[i] for i, _ in rows] == ["MIT"] * len(found) + [None] * len(other) + ["MIT-notice"] * 2 + [None]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.DIGESTS))
+def test_license_digests_are_those_of_the_texts(spark, name):
+    path = pathlib.Path("/usr/share/common-licenses") / (name.removesuffix(".0") if name[0] in "GL" else name)
+    if not path.exists():
+        pytest.skip("no copy of the text here")
+    text = path.read_text()
+    wrapped = "\n".join("// " + line.strip() for line in text.splitlines())
+    got = licenses.license_scan(docs(spark, [(1, text), (2, wrapped), (3, text + "\n.x")])).collect()
+    assert {r.doc_id: r.license_id for r in got} == {1: name, 2: name, 3: None}
+
+
 # -- fingerprints
 
 
