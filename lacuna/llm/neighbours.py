@@ -2,7 +2,8 @@
 
 Coarse centroids and the quantiser's codebooks are fitted on a bounded sample (``sample`` vectors in the order of a
 hash of the id); every vector is indexed: it goes to the list of its nearest centroid, and its residual is coded by
-the nearest codeword of each subspace. A query looks into its ``probes`` best lists; there a table of inner products
+the nearest codeword of each subspace. A query looks into its ``probes`` best lists, and into further ones until
+these hold k vectors beside its own, so no query finds fewer than there are; there a table of inner products
 with all codewords scores every code, and the best ``rerank`` of a shard are scored again on the original vectors, in
 double precision. ``probes`` is the least number that reaches ``aim`` recall for sample vectors as queries against
 the sample, found by brute force there.
@@ -86,8 +87,11 @@ class Index:
         p = self.padded(q).reshape(len(q), self.m, self.width)
         return np.einsum("qmw,mcw->qmc", p, self.books)
 
-    def best_lists(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), 1, kind="stable")[:, : self.probes]
+    def best_lists(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """For each query, its ``probes`` best lists, or as many as hold ``least`` vectors (all, if there are fewer)."""
+        order = np.argsort(-(q @ self.centroids.T), 1, kind="stable")
+        need = (np.cumsum(sizes[order], 1) < least).sum(1) + 1
+        return [own[:n] for own, n in zip(order, np.maximum(need, self.probes))]
 
     def _probes(self, x: np.ndarray, k: int, aim: float) -> int:
         q = x[: min(300, len(x))]
@@ -150,7 +154,7 @@ def shards_of(sizes: dict[int, int], lists: int, part: int) -> tuple[np.ndarray,
     return first, parts
 
 
-def _route(index, first: np.ndarray, parts: np.ndarray):
+def _route(index, first: np.ndarray, parts: np.ndarray, held: np.ndarray, least: int):
     """A row for each query and shard that holds one of its lists, with those lists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,7 +163,7 @@ def _route(index, first: np.ndarray, parts: np.ndarray):
             if not len(pdf):
                 continue
             out = []
-            for query, vec, near in zip(pdf["id"], pdf["vec"], ix.best_lists(np.stack(pdf["vec"].to_list()))):
+            for query, vec, near in zip(pdf["id"], pdf["vec"], ix.best_lists(np.stack(pdf["vec"].to_list()), held, least)):
                 near = np.sort(near)
                 at = np.nonzero(np.diff(first[near], prepend=-1))[0]
                 for own in np.split(near, at[1:]):
@@ -238,9 +242,10 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, samp
     coded = materialize(coded, "ann-index")
     sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row a list
     first, parts = shards_of(sizes, len(index.value.centroids), part)
+    held = np.array([sizes.get(i, 0) for i in range(len(first))], np.int64)
     place = F.array(*[F.lit(int(v)) for v in first])[F.col("list")], F.array(*[F.lit(int(v)) for v in parts])[F.col("list")]
     coded = coded.withColumn("shard", place[0].cast("long") + F.pmod(F.xxhash64(F.col("ids")[0], F.lit(3)), place[1]))
-    routed = materialize(asked.mapInPandas(_route(index, first, parts), "id long, vec array<double>, shard long, lists binary"), "ann-routed")
+    routed = materialize(asked.mapInPandas(_route(index, first, parts, held, k + 1), "id long, vec array<double>, shard long, lists binary"), "ann-routed")
     # a shard's queries come in blocks; its vectors go to each
     blocks = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
     left = routed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
