@@ -17,7 +17,7 @@ of either class every score is 0. Other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import pieces, release, text_or_empty
+from lacuna.llm.common import materialize, pieces, release, text_or_empty
 
 BITS = 20  #: hashed words share 2 ** BITS weights
 SAMPLE = 8000  #: labelled documents that are learned from, at most
@@ -82,7 +82,7 @@ def _features(bits: int):
     return run
 
 
-def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, rounds: int = ROUNDS, l1: float = L1, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, float]:
+def fit(bags: Iterable[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, rounds: int = ROUNDS, l1: float = L1, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, float]:
     """Weights by slot and the bias, from (label, slots of all sentences, number of slots of each sentence)."""
     weights = np.zeros(1 << bits)
     bags = [b for b in bags if len(b[2])]
@@ -96,15 +96,16 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, rounds
     used = np.nonzero(df >= min_docs)[0]
     place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
-    # chunks of documents, so that a step needs little memory beside the sample
+    # chunks of documents, so that a step needs little memory beside the sample; a document is let go once it is in its chunk
     chunks, sentences_seen = [], 0
     for a in range(0, len(bags), CHUNK):
         part = bags[a : a + CHUNK]
+        bags[a : a + CHUNK] = [None] * len(part)
         at = place[np.concatenate([b[1] for b in part])]
         sizes = np.concatenate([b[2] for b in part])
-        of_sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[at >= 0]
+        kept = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at >= 0], minlength=len(sizes))
         of_doc = np.repeat(np.arange(len(part), dtype=np.int32), [len(b[2]) for b in part])
-        chunks.append((at[at >= 0], of_sentence, of_doc, y[a : a + CHUNK]))
+        chunks.append((at[at >= 0], kept.astype(np.int32), of_doc, y[a : a + CHUNK]))
         sentences_seen += len(sizes)
     w, bias = np.zeros(len(used)), np.log(max(y.mean(), 1e-6) / max(sentences_seen / len(y), 1.0))
     # between the classes' own shares and even ones
@@ -112,7 +113,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, rounds
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, rounds + 1):
         g, gb = np.zeros(len(used)), 0.0
-        for at, of_sentence, of_doc, labels in chunks:
+        for at, kept, of_doc, labels in chunks:
+            of_sentence = np.repeat(np.arange(len(kept), dtype=np.int32), kept)
             z = np.bincount(of_sentence, w[at], len(of_doc)) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             clean = np.exp(np.bincount(of_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
@@ -213,10 +215,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         .join(F.broadcast(drawn), "key")  # ``sample`` rows at most
         .dropDuplicates(["key"])
         .mapInPandas(_features(bits), "key long, y int, slots binary, sizes binary")
-        .orderBy("key")
-        .collect()
     )
-    weights, bias = fit([(r["y"], np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["sizes"], "<i4")) for r in bags], bits)
+    # written, then read in order of the id, a partition after the other: the driver holds the sample once
+    bags = materialize(bags, "toxicity-sample").orderBy("key").toLocalIterator()
+    weights, bias = fit(((r["y"], np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["sizes"], "<i4")) for r in bags), bits)
     slots = np.nonzero(np.abs(weights) > 1e-3)[0]
     return slots, weights[slots], bias
 
