@@ -13,8 +13,8 @@ the GRAM-byte strings of each window of ``length`` bytes. Equal windows have equ
    every document holds leaves a task once. In a bucket, a context that occurs in an earlier document is settled:
    all its windows repeat. Anchors that occur with different contexts in several documents are left.
 2. The bytes of those contexts, one for each different context, go to the anchor's bucket again. Their suffixes are
-   sorted by prefix doubling to depth ``length``, ties by document; a suffix whose run of equal ones starts with an
-   earlier document has its previous smaller position in the run, so its previous factor is long enough.
+   sorted by prefix doubling to depth ``length``, ties by document. Common prefixes of neighbours are read from the bytes,
+   previous and next suffixes with a smaller document are found, and with them the longest previous factors.
 3. The spans found are joined to the documents.
 
 Null text counts as empty. Documents shorter than ``length`` keep all. A null id counts as larger than any other,
@@ -25,7 +25,7 @@ empty table gives an empty result. Other columns are ignored. Nothing but counts
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +40,7 @@ GRAM = 16  #: bytes that an anchor's hash covers
 HOME = 4096  #: mean number of documents whose spans are put together in one task
 BUCKET = 8 << 20  #: mean number of bytes of text whose anchors meet in one group
 TOGETHER = 8192  #: contexts whose suffixes are sorted together
+SLAB = 1 << 16  #: neighbours in suffix order that are compared at once
 SEGMENT = 1 << 22  #: bytes hashed at once
 LAST = (1 << 63) - 1  #: stands for a null id
 
@@ -311,18 +312,59 @@ def suffix_ranks(rows: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def earlier_match(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor of each suffix reaches the depth of ``rank``.
+def smaller_before(value: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the nearest place before it with a smaller value (-1: none), and the least ``common`` on the way there.
 
-    In suffix order, ties by document, the previous suffix with a smaller document lies in the run of equal ranks
-    exactly if the run starts with an earlier document; the next smaller one never does.
+    ``common[i]`` belongs to the step from place i - 1 to i. Blocks of 2 ** j places are skipped as a whole, longest first,
+    where none of their values is smaller.
+    """
+    n = len(value)
+    least, shared = [value], [common]
+    while 2 ** len(least) <= n:
+        half = 2 ** (len(least) - 1)
+        for levels in (least, shared):
+            up = levels[-1].copy()
+            up[half:] = np.minimum(up[half:], levels[-1][:-half])
+            levels.append(up)
+    at, way = np.arange(n) - 1, common.copy()
+    for j in range(len(least) - 1, -1, -1):
+        go = np.nonzero(at >= 2**j - 1)[0]
+        go = go[least[j][at[go]] >= value[go]]
+        way[go] = np.minimum(way[go], shared[j][at[go]])
+        at[go] -= 2**j
+    way[at < 0] = 0
+    return at, way
+
+
+def common_prefixes(strings: np.ndarray) -> np.ndarray:
+    """Bytes that each row shares with the row before it, from the start."""
+    n, length = strings.shape
+    out = np.zeros(n, np.int32)
+    for a in range(1, n, SLAB):
+        b = min(n, a + SLAB)
+        equal = strings[a:b] == strings[a - 1 : b - 1]
+        out[a:b] = np.where(equal.all(1), length, equal.argmin(1))
+    return out
+
+
+def previous_factors(rank: np.ndarray, doc: np.ndarray, strings: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Longest previous factors of suffixes, cut at the depth of ``rank``; ``strings`` gives the bytes at some of them.
+
+    A factor is the longest prefix that a suffix shares with one of a smaller document: in suffix order the previous or the
+    next one with a smaller document, and what is shared is the least common prefix on the way. Only suffixes that have
+    another of equal rank are put in order; for the others, whose factors are shorter than the depth, 0 is given.
     """
     order = np.lexsort((doc, rank))
-    r, d = rank[order], doc[order]
-    new = np.ones(len(r), bool)
-    new[1:] = r[1:] != r[:-1]
-    out = np.zeros(len(r), bool)
-    out[order] = d > d[new][np.cumsum(new) - 1]
+    same = rank[order[1:]] == rank[order[:-1]]
+    twice = np.append(same, False) | np.append(False, same) if len(order) else np.zeros(0, bool)
+    order = order[twice]
+    out = np.zeros(len(rank), np.int32)
+    if len(order):
+        common = common_prefixes(strings(order))
+        value = np.unique(doc[order], return_inverse=True)[1].ravel().astype(np.int32)
+        before = smaller_before(value, common)[1]
+        after = smaller_before(value[::-1], np.append(common[1:], np.int32(0))[::-1])[1][::-1]
+        out[order] = np.maximum(before, after)
     return out
 
 
@@ -354,16 +396,19 @@ def _compare(length: int, gram: int, homes: int):
             first, last = (length - gram) - left[part].astype(np.int64), (length - gram) + right[part].astype(np.int64) - length
             found = []
             if len(part) <= 2 * TOGETHER:
-                rank = suffix_ranks(rows[part], length)[:, :starts]
+                own = rows[part]
+                rank = suffix_ranks(own, length)[:, :starts]
                 begin = np.arange(starts)[None, :]
                 r, s = np.nonzero((begin >= first[:, None]) & (begin <= last[:, None]))
-                hit = earlier_match(rank[r, s], doc[part][r])
+                windows = np.lib.stride_tricks.sliding_window_view(own, length, 1)
+                hit = previous_factors(rank[r, s], doc[part][r], lambda i, r=r, s=s, windows=windows: windows[r[i], s[i]]) >= length
                 found.append((r[hit], s[hit]))
             else:
                 # one anchor with very many contexts: equal windows have it at the same place, so one place after the other
                 for s in range(starts):
                     r = np.nonzero((s >= first) & (s <= last))[0]
-                    hit = earlier_match(row_ranks(rows[part[r], s : s + length]), doc[part][r])
+                    own = rows[part[r], s : s + length]
+                    hit = previous_factors(row_ranks(own), doc[part][r], own.__getitem__) >= length
                     found.append((r[hit], np.full(int(hit.sum()), s)))
             r, s = (np.concatenate(x) for x in zip(*found))
             begin = pos[part][r].astype(np.int64) - (length - gram) + s

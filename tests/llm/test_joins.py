@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,9 +160,62 @@ def test_suffix_ranks_order_suffixes():
     assert len({b for b, _ in flat}) == len({r for _, r in flat}) == len(set(flat))
 
 
+def test_previous_factors_are_the_longest_shared_with_a_smaller_document():
+    rng = np.random.default_rng(3)
+    for n, letters in ((1, 2), (2, 1), (60, 1), (400, 2), (300, 3)):
+        strings = rng.integers(0, letters, (n, 6)).astype(np.uint8)
+        doc = rng.integers(0, 9, n)
+        got = suffix_dedup.previous_factors(suffix_dedup.row_ranks(strings), doc, strings.__getitem__)
+        alike = (strings[:, None] == strings[None]).all(2).sum(1)
+        for i in range(n):
+            others = [int(np.append(np.nonzero(strings[i] != strings[j])[0], 6)[0]) for j in np.nonzero(doc < doc[i])[0]]
+            want = max(others, default=0)
+            assert (got[i] == 6) == (want == 6)
+            # among suffixes that occur again; a shorter factor may lie with one that doesn't
+            assert got[i] <= want and (alike[i] > 1 or got[i] == 0)
+        order = np.lexsort((doc, suffix_dedup.row_ranks(strings)))
+        value = doc[order]
+        at, way = suffix_dedup.smaller_before(value, common := suffix_dedup.common_prefixes(strings[order]))
+        for i in range(n):
+            j = next((j for j in range(i - 1, -1, -1) if value[j] < value[i]), -1)
+            assert at[i] == j and way[i] == (common[j + 1 : i + 1].min() if j >= 0 else 0)
+
+
+def test_anchor_with_very_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 3)
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    hot, tails = word(40), [word(15) for _ in range(4)]
+    rows = [(i, word(40) + hot + tails[i % 4] + word(30)) for i in range(24)]
+    doc = np.array([r[0] for r in rows])
+    blob = np.array([np.frombuffer(t[20:104].encode(), np.uint8) for _, t in rows])  # contexts of the anchor at byte 54
+    n = len(rows)
+    data = np.array([n], "<u4").tobytes() + doc.astype("<i8").tobytes() + np.zeros(n, "<i8").tobytes() + np.full(n, 54, "<u4").tobytes() + np.full(n, 34, "<u1").tobytes() + np.full(n, 50, "<u1").tobytes() + blob.tobytes()
+    home = suffix_dedup._compare(50, 16, 1)((0,), pd.DataFrame({"blob": [data]}))
+    got = suffix_dedup._at_home((0,), home)
+    spans = {int(d): np.frombuffer(s, "<u4").reshape(-1, 2).tolist() for d, s in zip(got["doc"], got["spans"])}
+    windows = {}
+    for i, t in rows:
+        for a in range(20, 55):
+            windows.setdefault(t[a : a + 50], []).append(i)
+    for i, t in rows:
+        covered = {x for a in range(20, 55) if min(windows[t[a : a + 50]]) < i for x in range(a, a + 50)}
+        assert covered == {x for a, b in spans.get(i, []) for x in range(a, b)}
+    assert len(spans) == 20
+
+
 # -- neighbours
 
 
+def test_neighbours_in_small_lists_are_all_found(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(6, 8)) * 40
+    rows = [(i, (middles[i % 5] + rng.normal(size=8)).tolist()) for i in range(600)] + [(1000 + i, (middles[5] + rng.normal(size=8)).tolist()) for i in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(frame, neighbours.divisible_queries(frame, 100)).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {i: 20 for i in [*range(0, 600, 100), 1000]}
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2500, 24))
