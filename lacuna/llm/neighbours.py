@@ -5,8 +5,10 @@ hash of the id); every vector is indexed: it goes to the list of its nearest cen
 the nearest codeword of each subspace. A query looks into its ``probes`` best lists, and into further ones until
 these hold k vectors beside its own, so no query finds fewer than there are; there a table of inner products
 with all codewords scores every code, and the best ``rerank`` of a shard are scored again on the original vectors, in
-double precision. ``probes`` is the least number that reaches ``aim`` recall for sample vectors as queries against
-the sample, found by brute force there.
+double precision. ``probes`` and ``rerank`` are measured on the table itself: ``tried`` of the queries are answered by
+brute force against every vector, and the two are the least numbers (``rerank`` no less than the one given) that keep
+the share ``aim`` of these neighbours each. So they hold for rows that the sample did not fit, for vectors of
+different lengths, and for clusters that are tighter than the codes.
 
 Vectors are first made distinct, each with its ids; of one vector's ids the k + 1 smallest can matter, so a vector
 that repeats many times costs no more than one (ties go to the smaller id). Small lists share a shard of about ``part``
@@ -35,7 +37,8 @@ CODEWORDS = 64
 PART = 8192  #: vectors that are searched together, of one or more lists
 BLOCK = 4096  #: queries that are answered together
 RERANK = 256
-AIM = 0.97
+TRIED = 256  #: queries that are answered by brute force, to measure how far to look
+AIM = 0.99  #: of the true neighbours that the lists looked into hold, and of these that are scored again
 
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -54,16 +57,15 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
 
 
 class Index:
-    """Centroids, codebooks by subspace (columns padded to a multiple), and the number of lists to look into."""
+    """Centroids, and codebooks by subspace (columns padded to a multiple)."""
 
-    def __init__(self, x: np.ndarray, lists: int, k: int, aim: float, subspaces: int = SUBSPACES, codewords: int = CODEWORDS):
+    def __init__(self, x: np.ndarray, lists: int, subspaces: int = SUBSPACES, codewords: int = CODEWORDS):
         self.dim = x.shape[1]
         self.m = min(subspaces, self.dim)
         self.width = -(-self.dim // self.m)
         self.centroids = kmeans(x, lists)
         rest = self.padded(x - self.centroids[self.nearest(x)])
         self.books = np.stack([kmeans(rest[:, i * self.width : (i + 1) * self.width], codewords, 8) for i in range(self.m)])
-        self.probes = self._probes(x, k, aim)
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.m * self.width - self.dim)))
@@ -87,20 +89,15 @@ class Index:
         p = self.padded(q).reshape(len(q), self.m, self.width)
         return np.einsum("qmw,mcw->qmc", p, self.books)
 
-    def best_lists(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+    def order(self, q: np.ndarray) -> np.ndarray:
+        """[query, lists]: all lists, best first."""
+        return np.argsort(-(q @ self.centroids.T), 1, kind="stable")
+
+    def best_lists(self, q: np.ndarray, sizes: np.ndarray, least: int, probes: int) -> list[np.ndarray]:
         """For each query, its ``probes`` best lists, or as many as hold ``least`` vectors (all, if there are fewer)."""
-        order = np.argsort(-(q @ self.centroids.T), 1, kind="stable")
+        order = self.order(q)
         need = (np.cumsum(sizes[order], 1) < least).sum(1) + 1
-        return [own[:n] for own, n in zip(order, np.maximum(need, self.probes))]
-
-    def _probes(self, x: np.ndarray, k: int, aim: float) -> int:
-        q = x[: min(300, len(x))]
-        score = q @ x.T
-        score[np.arange(len(q)), np.arange(len(q))] = -np.inf
-        true = np.argsort(-score, 1)[:, : min(k, max(len(x) - 1, 1))]
-        rank = np.argsort(np.argsort(-(q @ self.centroids.T), 1, kind="stable"), 1)
-        need = np.take_along_axis(rank, self.nearest(x)[true], 1)  # how far each true neighbour's list is down
-        return int(np.quantile(need, aim, method="higher")) + 1
+        return [own[:n] for own, n in zip(order, np.maximum(need, probes))]
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -154,7 +151,32 @@ def shards_of(sizes: dict[int, int], lists: int, part: int) -> tuple[np.ndarray,
     return first, parts
 
 
-def _route(index, first: np.ndarray, parts: np.ndarray, held: np.ndarray, least: int):
+def _brute(tried, k: int):
+    """Of each task's vectors the k nearest of each tried query, with the list they are in; its own alone is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, q = tried.value
+        score, lists, vec_ids = np.empty((len(q), 0)), np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.int64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            new = q @ np.stack(pdf["vec"].to_list()).T
+            firsts = np.array([i[0] for i in pdf["ids"]], np.int64)
+            alone = np.array([len(i) == 1 for i in pdf["ids"]])
+            new[(names[:, None] == firsts) & alone] = -np.inf
+            score = np.concatenate([score, new], 1)
+            lists = np.concatenate([lists, np.broadcast_to(pdf["list"].to_numpy(np.int64), new.shape)], 1)
+            vec_ids = np.concatenate([vec_ids, np.broadcast_to(firsts, new.shape)], 1)
+            if score.shape[1] > k:
+                best = np.argpartition(-score, k - 1, 1)[:, :k]
+                score, lists, vec_ids = (np.take_along_axis(a, best, 1) for a in (score, lists, vec_ids))
+        r, c = np.nonzero(score > -np.inf)
+        yield pd.DataFrame({"query": r, "list": lists[r, c], "vec_id": vec_ids[r, c], "score": score[r, c]})
+
+    return run
+
+
+def _route(index, first: np.ndarray, parts: np.ndarray, held: np.ndarray, least: int, probes: int):
     """A row for each query and shard that holds one of its lists, with those lists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,7 +185,7 @@ def _route(index, first: np.ndarray, parts: np.ndarray, held: np.ndarray, least:
             if not len(pdf):
                 continue
             out = []
-            for query, vec, near in zip(pdf["id"], pdf["vec"], ix.best_lists(np.stack(pdf["vec"].to_list()), held, least)):
+            for query, vec, near in zip(pdf["id"], pdf["vec"], ix.best_lists(np.stack(pdf["vec"].to_list()), held, least, probes)):
                 near = np.sort(near)
                 at = np.nonzero(np.diff(first[near], prepend=-1))[0]
                 for own in np.split(near, at[1:]):
@@ -174,6 +196,43 @@ def _route(index, first: np.ndarray, parts: np.ndarray, held: np.ndarray, least:
     return run
 
 
+def _code_scores(ix: Index, left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, queries, [query, vector]: inner products by codes) of 64 queries at a time; -inf in lists that a
+    query doesn't look into."""
+    q = np.stack(left["vec"].to_list())
+    codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(right), -1)
+    flat = np.ascontiguousarray((codes.astype(np.int64) + np.arange(codes.shape[1]) * ix.books.shape[1]).T)
+    lists, member = np.unique(right["list"].to_numpy(), return_inverse=True)
+    for a in range(0, len(q), 64):
+        part = q[a : a + 64]
+        n = len(part)
+        tables = ix.tables(part).reshape(n, -1).astype(np.float32)
+        base = np.full((n, len(lists)), -np.inf, np.float32)  # the centroids' share of the inner product
+        for r, own in enumerate(left["lists"].iloc[a : a + 64]):
+            own = np.searchsorted(lists, np.intersect1d(lists, np.frombuffer(own, "<i4")))
+            base[r, own] = ix.centroids[lists[own]] @ part[r]
+        score = base[:, member]
+        for row in range(flat.shape[0]):
+            score += tables[:, flat[row]]
+        yield a, part, score
+
+
+def _depth(index, true: dict[int, set[int]]):
+    """query_id, depth: how far down by codes each true neighbour is among the vectors of its shard."""
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            firsts, names = np.array([i[0] for i in right["ids"]], np.int64), left["id"].to_list()
+            for a, part, score in _code_scores(index.value, left, right):
+                for r in range(len(part)):
+                    for j in np.nonzero(np.isin(firsts, list(true[names[a + r]])) & (score[r] > -np.inf))[0]:
+                        out.append((names[a + r], int((score[r] >= score[r, j]).sum())))
+        return pd.DataFrame(out, columns=["query_id", "depth"])
+
+    return run
+
+
 def _search(index, k: int, rerank: int):
     columns = ["query_id", "vec_id", "score"]
 
@@ -181,24 +240,11 @@ def _search(index, k: int, rerank: int):
         if not len(left) or not len(right):
             return pd.DataFrame(columns=columns)
         ix = index.value
-        q, x = np.stack(left["vec"].to_list()), np.stack(right["vec"].to_list())
-        codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(x), -1)
-        flat = np.ascontiguousarray((codes.astype(np.int64) + np.arange(codes.shape[1]) * ix.books.shape[1]).T)
-        lists, member = np.unique(right["list"].to_numpy(), return_inverse=True)
+        x = np.stack(right["vec"].to_list())
         ids, names = right["ids"].to_list(), left["id"].to_list()
         out = []
-        for a in range(0, len(q), 64):
-            part = q[a : a + 64]
+        for a, part, score in _code_scores(ix, left, right):
             n = len(part)
-            tables = ix.tables(part).reshape(n, -1).astype(np.float32)
-            # the centroids' share of the inner product; lists that the query doesn't look into are out
-            base = np.full((n, len(lists)), -np.inf, np.float32)
-            for r, own in enumerate(left["lists"].iloc[a : a + 64]):
-                own = np.searchsorted(lists, np.intersect1d(lists, np.frombuffer(own, "<i4")))
-                base[r, own] = ix.centroids[lists[own]] @ part[r]
-            score = base[:, member]
-            for row in range(flat.shape[0]):
-                score += tables[:, flat[row]]
             near = np.argpartition(-score, rerank - 1, 1)[:, :rerank] if rerank < len(x) else np.tile(np.arange(len(x)), (n, 1))
             # inner products summed component by component: a pair's score is the same wherever it is computed
             true = np.zeros(near.shape)
@@ -220,7 +266,7 @@ def _search(index, k: int, rerank: int):
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, rerank: int = RERANK, part: int = PART, block: int = BLOCK, aim: float = AIM) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, rerank: int = RERANK, part: int = PART, block: int = BLOCK, aim: float = AIM, tried: int = TRIED) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found in ``vectors`` of each row of ``queries``, nearest first.
 
     Both have vec_id and embedding.
@@ -237,7 +283,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, samp
     n = rows.count()
     drawn = np.array([r["vec"] for r in rows.select("vec").orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).collect()])
     lists = int(max(1, min(4096, len(drawn) // 8, round(2 * n**0.5))))
-    index = spark.sparkContext.broadcast(Index(drawn, lists, k, aim))  # 4096 centroids and SUBSPACES * CODEWORDS codewords at most
+    index = spark.sparkContext.broadcast(Index(drawn, lists))  # 4096 centroids and SUBSPACES * CODEWORDS codewords at most
     coded = rows.mapInPandas(_assign(index), "ids array<long>, vec array<double>, list int, code binary")
     coded = materialize(coded, "ann-index")
     sizes = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # a row a list
@@ -245,13 +291,36 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, samp
     held = np.array([sizes.get(i, 0) for i in range(len(first))], np.int64)
     place = F.array(*[F.lit(int(v)) for v in first])[F.col("list")], F.array(*[F.lit(int(v)) for v in parts])[F.col("list")]
     coded = coded.withColumn("shard", place[0].cast("long") + F.pmod(F.xxhash64(F.col("ids")[0], F.lit(3)), place[1]))
-    routed = materialize(asked.mapInPandas(_route(index, first, parts, held, k + 1), "id long, vec array<double>, shard long, lists binary"), "ann-routed")
-    # a shard's queries come in blocks; its vectors go to each
-    blocks = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
-    left = routed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    right = coded.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    by = ("shard", "block")
-    found = left.select(*by, "id", "vec", "lists").groupBy(*by).cogroup(right.select(*by, "ids", "vec", "list", "code").groupBy(*by)).applyInPandas(_search(index, k, rerank), SCHEMA)
+
+    def meet(queries: DataFrame, probes: int, task, schema: str) -> DataFrame:
+        """``task`` over each shard and block: a shard's queries come in blocks; its vectors go to each."""
+        route = _route(index, first, parts, held, k + 1, probes)
+        routed = materialize(queries.mapInPandas(route, "id long, vec array<double>, shard long, lists binary"), "ann-routed")
+        blocks = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+        left = routed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        right = coded.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        by = ("shard", "block")
+        return left.select(*by, "id", "vec", "lists").groupBy(*by).cogroup(right.select(*by, "ids", "vec", "list", "code").groupBy(*by)).applyInPandas(task, schema)
+
+    # how far to look: some queries by brute force
+    some = asked.orderBy(F.xxhash64("id"), "id").limit(tried).dropDuplicates(["id"]).collect()
+    if not some:
+        return empty
+    names, q = np.array([r["id"] for r in some], np.int64), np.array([r["vec"] for r in some])
+    true = coded.mapInPandas(_brute(spark.sparkContext.broadcast((names, q)), k), "query int, list int, vec_id long, score double")
+    true = true.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k).collect()
+    probes = 1
+    if true:
+        rank = np.argsort(index.value.order(q), 1)
+        need = [rank[r["query"], r["list"]] for r in true]
+        probes = int(np.quantile(need, aim, method="higher")) + 1
+        own: dict[int, set[int]] = {int(i): set() for i in names}
+        for r in true:
+            own[int(names[r["query"]])].add(r["vec_id"])
+        sample_of = spark.createDataFrame([(int(r["id"]), r["vec"]) for r in some], "id long, vec array<double>")
+        depths = [r["depth"] for r in meet(sample_of, probes, _depth(index, own), "query_id long, depth long").collect()]  # tried * k at most
+        rerank = max(rerank, int(np.quantile(depths, aim, method="higher"))) if depths else rerank
+    found = meet(asked, probes, _search(index, k, rerank), SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -240,6 +240,24 @@ def test_neighbours_against_brute_force(spark):
     assert [v for _, v, _ in sorted(got[200])] == list(range(100, 120))  # a tie goes to the smaller ids
 
 
+def test_neighbours_in_clusters_tighter_than_codes_and_off_the_origin(spark):
+    """Inner products that codes can't tell apart, and vectors that the lists' order says little about."""
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(6, 48)) * 3
+    tight = middles[rng.integers(0, 6, 5000)] + rng.normal(size=(5000, 48)) * 0.01
+    for x in (tight / np.linalg.norm(tight, axis=1, keepdims=True), rng.normal(size=(4000, 48)) * 0.05 + 1):
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(set)
+        for r in neighbours.nearest_neighbours(frame, neighbours.divisible_queries(frame)).collect():
+            got[r.query_id].add(r.vec_id)
+        hits = 0
+        for q, found in got.items():
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits += len(found & set(np.argsort(-s)[:20].tolist()))
+        assert len(got) == -(-len(x) // 20) and hits / (20 * len(got)) >= 0.95
+
+
 def test_neighbours_of_small_tables(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest_neighbours(frame, neighbours.divisible_queries(frame)).collect()
