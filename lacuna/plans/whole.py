@@ -11,7 +11,7 @@ from lacuna.functions import scalars as S
 from lacuna.operators import graph, guards, intervals, rank, reports, schedule
 from lacuna.plans import fixtures as X
 from lacuna.plans.fixtures import ctes
-from lacuna.plans.registry import ANSWERS, GAPS, ISLANDS, KEYS, LAST, SAFETY, TYPES, answers, classified, query, windows
+from lacuna.plans.registry import ANSWERS, GAPS, ISLANDS, KEYS, LAST, SAFETY, TYPES, answered, classified, query, windows
 
 T = X.table
 
@@ -41,7 +41,7 @@ def _(spark, sf):
 @query("a9_tally_shown", ANSWERS + """, d AS (SELECT *, row_number() OVER (PARTITION BY ask_id, place_id ORDER BY place) - 1 AS depth FROM ranked WHERE walk <= 6), p AS (SELECT *, row_number() OVER (PARTITION BY ask_id ORDER BY depth, place) AS position, count(*) OVER (PARTITION BY ask_id) AS n, count(*) FILTER (WHERE depth = 0) OVER (PARTITION BY ask_id) AS n0 FROM d)
  SELECT ask_id, count(*) FILTER (WHERE meets AND wait = 0) AS meets, count(*) FILTER (WHERE NOT meets) AS shorter, count(*) FILTER (WHERE wait > 0) AS waiting, count(*) FILTER (WHERE known AND wait = 0) AS free, count(*) AS total FROM p WHERE position <= greatest(least(40, n0), least(10, n)) GROUP BY ask_id""")
 def _(spark, sf):
-    return rank.tally(rank.shape(answers(spark, sf), TYPES, max_walk=6))
+    return answered(spark, sf, lambda a: rank.tally(rank.shape(a, TYPES, max_walk=6)))
 
 
 @query("a11_overrun_allowed", LAST + " SELECT place_id, day, CASE WHEN open IS NULL THEN 'closed' ELSE 'after-close' END AS why, place_id % 4 = 1 AS allowed FROM l JOIN hours USING (place_id, day) WHERE open IS NULL OR last_end > close")
@@ -84,14 +84,17 @@ def _(spark, sf):
     near = rank.ask_places(X.asks(spark, sf), X.places(spark, sf), 600.0)
     per = X.resources(spark, sf).groupBy("place_id").agg(F.count(F.lit(1)).alias("n"))
     total = near.join(per, "place_id").groupBy("ask_id").agg(F.sum("n").alias("near"))
-    own = answers(spark, sf).groupBy("ask_id").agg(F.count(F.lit(1)).alias("ranked"))
+    own = answered(spark, sf, lambda a: a.groupBy("ask_id").agg(F.count(F.lit(1)).alias("ranked")))
     return total.join(own, "ask_id", "left").select("ask_id", (F.col("near") - F.coalesce("ranked", F.lit(0))).alias("unranked"))
 
 
 @query("a28_available_names", ANSWERS + " SELECT ask_id, name, string_agg(resource_id::VARCHAR, ',' ORDER BY resource_id) AS resources FROM answers JOIN places USING (place_id) WHERE known AND wait = 0 GROUP BY ask_id, name")
 def _(spark, sf):
-    free = answers(spark, sf).where("known and wait = 0").join(X.places(spark, sf).select("place_id", "name"), "place_id")
-    return free.groupBy("ask_id", "name").agg(F.array_join(F.array_sort(F.collect_list("resource_id")).cast("array<string>"), ",").alias("resources"))
+    def names(a: DataFrame) -> DataFrame:
+        free = a.where("known and wait = 0").join(X.places(spark, sf).select("place_id", "name"), "place_id")
+        return free.groupBy("ask_id", "name").agg(F.array_join(F.array_sort(F.collect_list("resource_id")).cast("array<string>"), ",").alias("resources"))
+
+    return answered(spark, sf, names)
 
 
 @query("w1_malformed", GAPS + """, f AS (SELECT resource_id, date, count(*) FILTER (WHERE malformed) AS malformed FROM fixed GROUP BY ALL), n AS (SELECT resource_id, date, count(*) AS gaps FROM gaps GROUP BY ALL) SELECT resource_id, date, malformed, coalesce(gaps, 0) AS gaps FROM f LEFT JOIN n USING (resource_id, date)""")
