@@ -122,10 +122,11 @@ def dated_lines(df: DataFrame, column: str) -> DataFrame:
 
 
 def date_ranges(df: DataFrame, column: str, key: str) -> DataFrame:
-    """key, first, last of each range in a line, and its early close (null: none); see dated_lines."""
-    rows = dated_lines(df.select(key, column), column)
+    """key, first, last of each range in a line, and its early close (null: none); see dated_lines. Equal lines are read once."""
+    rows = dated_lines(df.select(column).where(F.col(column).isNotNull()).distinct(), column)
     # outer: else Spark tests the array's size below all steps, where every step's expression stands inside the next one's
-    return rows.select(key, F.explode_outer("ranges").alias("r"), "early").where("r is not null").select(key, "r.first", "r.last", "early")
+    rows = rows.select(column, F.explode_outer("ranges").alias("r"), "early").where("r is not null").select(column, "r.first", "r.last", "early")
+    return df.select(key, column).join(rows, column).drop(column)
 
 
 def rule_days(days: DataFrame, closed: DataFrame, breaks: DataFrame, tables: DataFrame, early: DataFrame, early_close: int = 1200) -> DataFrame:

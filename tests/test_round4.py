@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from lacuna.operators import graph, rank
+from lacuna.operators import graph, places, rank
 from lacuna.plans import fixtures as X
 
 QUERIES = queries()
@@ -50,3 +50,10 @@ def test_nearest_doors_by_boxes_and_origins_on_one_spot(spark):
     out = graph.routed_walks(both, spark.createDataFrame([(7, 100.0, 10.0), (8, None, None)], "place_id int, x double, y double"), nodes, edges, 500)
     rows = {(r["source"], r["place_id"]): (r["routed"], r["how"]) for r in out.collect()}
     assert rows == {(s, 7): (115.0, "routed") for s in (1, 2)} | {(3, 7): (None, "off-graph")} | {(s, 8): (None, "off-graph") for s in (1, 2, 3)}
+
+
+def test_equal_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(1, "May 3-4, 2026"), (2, "x"), (3, "May 3-4, 2026"), (4, None)], "k int, t string")
+    got = places.date_ranges(lines, "t", "k")
+    assert sorted((r["k"], str(r["first"]), str(r["last"])) for r in got.collect()) == [(1, "2026-05-03", "2026-05-04"), (3, "2026-05-03", "2026-05-04")]
+    assert "Aggregate [t" in got._jdf.queryExecution().optimizedPlan().toString()
