@@ -6,8 +6,8 @@ of (1 - score). The weights are fitted to document labels through that formula,
 come with it say where the offending sentence is.
 
 The fit uses a bounded sample of labelled documents (``sample``, in the order of a hash of the id, both classes
-by their own share) outside the held-out fold; only hashed words of those reach the driver. Scoring reads every
-whole text once, with no shuffle.
+by their own share) outside the held-out fold, in one task that gets hashed words of those; the driver is sent the
+weights alone. Scoring reads every whole text once, with no shuffle.
 
 Null and empty texts have no sentence and score 0. Null labels are not learned from. Rows that repeat a document
 are scored each; where a document has several labels, it is toxic if one of them says so. With no usable label
@@ -135,6 +135,21 @@ def fit(bags: Iterable[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, ro
     return weights, float(bias)
 
 
+def _fit(bits: int):
+    """The model, as a row: slots with a weight, their weights, the bias."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bags = [(y, np.frombuffer(slots, "<i4"), np.frombuffer(sizes, "<i4")) for pdf in batches for y, slots, sizes in zip(pdf["y"], pdf["slots"], pdf["sizes"])]
+        if bags:
+            weights, bias = fit(bags, bits)
+            slots = np.nonzero(np.abs(weights) > 1e-3)[0]
+            yield pd.DataFrame({"slots": [slots.astype("<i8").tobytes()], "weights": [weights[slots].astype("<f8").tobytes()], "bias": [bias]})
+        bags = None
+        release()
+
+    return run
+
+
 def _scorer(model: tuple, bits: int):
     """A function from a text to (score, sentence spans, sentence scores)."""
     slots, values, bias = model
@@ -216,11 +231,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
         .dropDuplicates(["key"])
         .mapInPandas(_features(bits), "key long, y int, slots binary, sizes binary")
     )
-    # written, then read in order of the id, a partition after the other: the driver holds the sample once
-    bags = materialize(bags, "toxicity-sample").orderBy("key").toLocalIterator()
-    weights, bias = fit(((r["y"], np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["sizes"], "<i4")) for r in bags), bits)
-    slots = np.nonzero(np.abs(weights) > 1e-3)[0]
-    return slots, weights[slots], bias
+    # ``sample`` rows in order of the id, in one task
+    bags = materialize(bags, "toxicity-sample").repartition(1).sortWithinPartitions("key")
+    model = bags.mapInPandas(_fit(bits), "slots binary, weights binary, bias double").collect()  # a row
+    if not model:
+        return np.empty(0, np.int64), np.empty(0), -50.0
+    return np.frombuffer(model[0]["slots"], "<i8"), np.frombuffer(model[0]["weights"], "<f8"), model[0]["bias"]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS) -> DataFrame:

@@ -57,3 +57,30 @@ def test_equal_lines_are_parsed_once(spark):
     got = places.date_ranges(lines, "t", "k")
     assert sorted((r["k"], str(r["first"]), str(r["last"])) for r in got.collect()) == [(1, "2026-05-03", "2026-05-04"), (3, "2026-05-03", "2026-05-04")]
     assert "Aggregate [t" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_model_is_fitted_in_a_task(spark, monkeypatch):
+    from lacuna.llm import toxicity
+
+    driver, fit = os.getpid(), toxicity.fit
+
+    def in_a_task(*args, **kwargs):
+        assert os.getpid() != driver
+        return fit(*args, **kwargs)
+
+    monkeypatch.setattr(toxicity, "fit", in_a_task)
+    docs = spark.createDataFrame([(i, "vile words here" if i % 2 else "fine words here") for i in range(60)], "doc_id long, text string")
+    slots, weights, _ = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert len(slots) == len(weights) > 0
+    assert toxicity.learn(docs, docs.select("doc_id", F.lit(None).cast("int").alias("toxic")))[2] == -50.0
+
+
+def test_which_ngrams_the_sample_shows_decides_no_link(spark):
+    from lacuna.llm import ngram_join
+
+    rnd = random.Random(5)
+    base = [" ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 9)) for _ in range(60)) for _ in range(12)]
+    texts = [t + f" x{j}" * (j % 2) for t in base for j in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = lambda **kw: sorted((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(docs, **kw).collect())
+    assert (found := links()) == links(sample=1) and len({c for _, c in found}) == 12
