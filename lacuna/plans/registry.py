@@ -801,7 +801,7 @@ def _(spark, sf):
     """The same over a stream of shuffled files; a last file moves the watermark past all fixes."""
     rows = position_fixes(spark, sf)
     path = f"{graph.scratch(spark)}/fixes-{uuid.uuid4().hex}"
-    rows.repartition(3).write.parquet(path)
+    rows.repartition("event_id").write.parquet(path)
     read = lambda: fixes.throttle_fix_stream(spark.readStream.schema(rows.schema).parquet(path), delay="60 days")
     folder = f"{path}-out"
     fixes.run_to_end(read(), "fixes", folder)

@@ -1,12 +1,15 @@
-"""Graphs whose tables stay out of the driver."""
+"""Graphs whose tables stay out of the driver, fixes that wait in few entries of state."""
 
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lacuna.operators import graph
+from lacuna.streaming import fixes
 
 
 def test_growing_tables_of_a_graph_are_not_broadcast(spark):
@@ -35,3 +38,50 @@ def test_growing_tables_of_a_graph_are_not_broadcast(spark):
                     front.append(b)
         want |= {(s, n): d for n, d in best.items() if n in ends}
     assert got == want
+
+
+class State:
+    """One user's state and timers, with each access counted as a message."""
+
+    def __init__(self):
+        self.entries, self.value, self.timers, self.messages = [], None, set(), 0
+
+    def said(self, to):
+        self.messages += 1
+        return to
+
+    def getListState(self, *_):
+        return SimpleNamespace(appendValue=lambda v: self.said(self.entries.append(v)), get=lambda: self.said(iter(list(self.entries))), clear=lambda: self.said(self.entries.clear()))
+
+    def getValueState(self, *_):
+        return SimpleNamespace(get=lambda: self.said(self.value), exists=lambda: self.said(self.value is not None), update=lambda v: self.said(setattr(self, "value", v)), clear=lambda: self.said(setattr(self, "value", None)))
+
+    def listTimers(self):
+        return self.said(iter(sorted(self.timers)))
+
+    def registerTimer(self, at):
+        self.said(self.timers.add(at))
+
+    def deleteTimer(self, at):
+        self.said(self.timers.discard(at))
+
+    def expire(self, throttle, watermark):
+        out = []
+        while due := [t for t in self.timers if t <= watermark]:
+            out += [r for pdf in throttle.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark), None) for r in pdf["event_id"]]
+            self.timers.discard(min(due))
+        return out
+
+
+def test_a_batch_of_fixes_is_one_entry_of_state():
+    state = State()
+    throttle = fixes.Throttle(40.0, 15, 10_000)
+    throttle.init(state)
+    rows = [(1, e, 100 + e * 10, e * 25.0, 0.0) for e in range(600)]
+    batch = lambda part: list(throttle.handleInputRows((1,), iter([pd.DataFrame(part, columns=["user_id", "event_id", "at", "x", "y"])]), None))
+    batch(rows[300:][::-1]), batch(rows[:300])  # the later ones first
+    assert len(state.entries) == 2 and state.messages < 10 and state.timers == {100_001}
+    assert state.expire(throttle, 1_100_000) == list(range(0, 100, 2))  # those from then on wait
+    assert sum(len(e[0]) for e in state.entries) == 500 and state.timers == {1_100_001}
+    assert state.expire(throttle, 90_000_000) == list(range(100, 600, 2)) and not state.entries and not state.timers and state.value is None
+    assert state.messages < 30
