@@ -44,6 +44,10 @@ def test_picked_gaps_go_to_all_askers_in_runs(spark, asked):
     dealt_in_runs(spark, asked, "w2_pick_gap")
 
 
+def test_soonest_gaps_go_to_all_askers_in_runs(spark, asked):
+    dealt_in_runs(spark, asked, "w2_pick_gap_soon")
+
+
 def test_askers_in_several_arrays(spark, monkeypatch):
     monkeypatch.setattr(rank, "CHUNK", 7)
     rnd = random.Random(5)
