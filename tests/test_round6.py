@@ -48,10 +48,14 @@ def test_soonest_gaps_go_to_all_askers_in_runs(spark, asked):
     dealt_in_runs(spark, asked, "w2_pick_gap_soon")
 
 
+def test_ranked_answers_go_to_all_askers_in_runs(spark, asked):
+    dealt_in_runs(spark, asked, "w3_rank")
+
+
 def test_askers_in_several_arrays(spark, monkeypatch):
     monkeypatch.setattr(rank, "CHUNK", 7)
     rnd = random.Random(5)
     same = spark.createDataFrame([(a, a % 3 if a < 90 else 4) for a in range(100)], "ask_id long, asked long")
     rows = spark.createDataFrame([(rnd.choice((0, 1, 2, 4, 5)), r) for r in range(300)], "ask_id long, resource_id long")
-    out = rank.each_for_all(rank.by_question(rows), same)
+    out = rank.each_for_all(rank.dealt(rows, "ask_id"), same)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rank.for_all(rows, same).collect()))
